@@ -1,0 +1,219 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from plumbline import RecipeError, run_recipe
+from tests.helpers import column, rows
+
+
+def join(spark, datasets, joins, select=None, aliases=None):
+    names = aliases or list(datasets)
+    spec = {
+        "type": "join",
+        "inputs": [{"ref": n if n in datasets else next(iter(datasets)), "alias": n} for n in names],
+        "joins": joins,
+        "select": select or [],
+    }
+    return run_recipe(spark, spec, datasets)
+
+
+ON = {"on": [{"left": "customer_id", "right": "customer_id"}]}
+
+
+@pytest.mark.parametrize("kind, n", [("left", 5), ("inner", 3), ("right", 3), ("full", 5), ("cross", 10)])
+def test_join_types(spark, stg_orders, stg_customers, kind, n):
+    out = join(spark, {"o": stg_orders, "c": stg_customers}, [{"type": kind, **ON}])
+    assert out.count() == n
+    assert out.columns[-2:] == ["c_customer_id", "nom"]
+
+
+def test_left_is_the_default_and_unmatched_is_null(spark, stg_orders, stg_customers):
+    out = join(spark, {"o": stg_orders, "c": stg_customers}, [ON])
+    assert column(out.filter("order_id = 4"), "nom") == [None, None]
+
+
+def test_select_and_rename(spark, stg_orders, stg_customers):
+    select = [
+        {"from": "o", "column": "order_id"},
+        {"from": "o", "column": "customer_id"},
+        {"from": "c", "column": "customer_id", "as": "customer_id_client"},
+        {"from": "c", "column": "nom", "as": "client"},
+    ]
+    out = join(spark, {"o": stg_orders, "c": stg_customers}, [ON], select)
+    assert out.columns == ["order_id", "customer_id", "customer_id_client", "client"]
+
+
+def test_select_all_names_later_twins_after_their_dataset(spark):
+    a = spark.createDataFrame([(1, 7, 0)], "id int, client_id int, clients_id int")
+    b = spark.createDataFrame([(7, "Alice")], "ID int, nom string")
+    out = join(spark, {"commandes": a, "clients": b}, [{"on": [{"left": "client_id", "right": "ID"}]}])
+    assert out.columns == ["id", "client_id", "clients_id", "clients_ID_2", "nom"]
+    assert rows(out) == [(1, 7, 0, 7, "Alice")]
+
+
+def test_self_join(spark, stg_orders):
+    out = join(
+        spark,
+        {"stg": stg_orders},
+        [{"type": "inner", "on": [{"left": "order_id", "right": "order_id"}]}],
+        [{"from": "a", "column": "order_id"}, {"from": "b", "column": "order_id", "as": "autre"}],
+        aliases=["a", "b"],
+    )
+    assert out.columns == ["order_id", "autre"] and out.count() == 1 + 1 + 1 + 4
+
+
+def test_star_joins_to_the_first_input(spark):
+    a = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "x int, y int")
+    b = spark.createDataFrame([(1, "b1"), (2, "b2")], "x int, b string")
+    c = spark.createDataFrame([(10, "c1"), (None, "c0")], "y int, c string")
+    out = join(
+        spark,
+        {"a": a, "b": b, "c": c},
+        [{"on": [{"left": "x", "right": "x"}]}, {"type": "full", "on": [{"left": "y", "right": "y"}]}],
+        [{"from": "a", "column": "x"}, {"from": "b", "column": "b"}, {"from": "c", "column": "c"}],
+    )
+    assert rows(out) == sorted(
+        [(1, "b1", "c1"), (2, "b2", None), (3, None, None), (None, None, "c0")], key=repr
+    )
+
+
+@pytest.mark.parametrize("kind", ["inner", "left", "right", "full"])
+def test_hot_keys_give_the_same_join(spark, small_groups, kind):
+    rng = random.Random(3)
+
+    def side(n, name):
+        keys = [rng.choice(["hot"] * 4 + [None, "a", "b", name]) for _ in range(n)]
+        data = [(k, rng.choice([1, 1, 2]), i) for i, k in enumerate(keys)]
+        return spark.createDataFrame(data, f"k string, k2 int, {name} int")
+
+    sides = {"l": side(40, "lv"), "r": side(30, "rv")}
+    joins = [{"type": kind, "on": [{"left": "k", "right": "k"}, {"left": "k2", "right": "k2"}]}]
+    plain = rows(join(spark, sides, joins))
+    with small_groups(3):
+        assert rows(join(spark, sides, joins)) == plain
+
+
+@pytest.mark.parametrize(
+    "joins, select, message",
+    [
+        ([{"type": "asof", **ON}], None, "Unknown join type"),
+        ([{"type": "inner", "on": []}], None, "no key given"),
+        ([{"on": [{"left": "nope", "right": "customer_id"}]}], None, "does not exist"),
+        ([ON], [{"from": "z", "column": "nom"}], "unknown dataset"),
+        ([ON], [{"from": "c", "column": "zip"}], "does not exist in 'c'"),
+        ([ON], [{"from": "o", "column": "customer_id"}, {"from": "c", "column": "nom", "as": "Customer_id"}], "two columns"),
+    ],
+)
+def test_join_refusals(spark, stg_orders, stg_customers, joins, select, message):
+    with pytest.raises(RecipeError, match=message):
+        join(spark, {"o": stg_orders, "c": stg_customers}, joins, select)
+
+
+def group(spark, df, keys, *aggregations):
+    spec = {"type": "group", "inputs": [{"ref": "o"}], "group_by": keys, "aggregations": list(aggregations)}
+    return run_recipe(spark, spec, {"o": df})
+
+
+def test_group(spark, stg_orders):
+    out = group(
+        spark,
+        stg_orders,
+        ["customer_id"],
+        {"fn": "count", "column": "*", "alias": "n"},
+        {"fn": "sum", "column": "amount_eur", "alias": "total"},
+        {"fn": "count_distinct", "column": "status", "alias": "d"},
+        {"fn": "count", "column": "*", "alias": "done", "filter": "status = 'completed'"},
+        {"fn": "count", "column": "status", "alias": "known"},
+    )
+    assert rows(out) == [(10, 2, 120.456, 2, 1, 2), (11, 1, 5.5, 1, 1, 1), (12, 2, None, 0, 0, 0)]
+
+
+def test_global_group_and_null_key(spark, stg_orders):
+    assert rows(group(spark, stg_orders, [], {"fn": "max", "column": "amount_eur", "alias": "m"})) == [(100.456,)]
+    by = group(spark, stg_orders, ["country"], {"fn": "count", "alias": "n"})
+    assert (None, 1) in rows(by) and by.count() == 4
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_median_by_position_equals_the_plain_one(spark, small_groups, keys):
+    rng = random.Random(5)
+    data = [(rng.choice(["hot"] * 4 + ["a", None, "none"]), rng.choice([None, *range(25)])) for _ in range(301)]
+    data = [(k, None if k == "none" else v) for k, v in data]
+    df = spark.createDataFrame(data, "k string, v int")
+    measures = [
+        {"fn": "median", "column": "v", "alias": "m"},
+        {"fn": "count", "column": "*", "alias": "n"},
+        {"fn": "median", "column": "v", "alias": "big", "filter": "v > 10"},
+    ]
+    plain = rows(group(spark, df, keys, *measures))
+    with small_groups(8):
+        assert rows(group(spark, df, keys, *measures)) == plain
+
+
+@pytest.mark.parametrize(
+    "keys, measures, message",
+    [
+        ([], [], "at least one measure"),
+        ([], [{"fn": "mode", "column": "status", "alias": "x"}], "Unknown aggregation"),
+        ([], [{"fn": "sum", "column": "*", "alias": "x"}], "only counts rows"),
+        ([], [{"fn": "count", "alias": "1x"}], "Invalid measure name"),
+        (["status"], [{"fn": "count", "alias": "Status"}], "two columns"),
+        (["nope"], [{"fn": "count", "alias": "n"}], "does not exist"),
+        ([], [{"fn": "count", "alias": "n", "filter": "true limit 1"}], "refused by Spark"),
+    ],
+)
+def test_group_refusals(spark, stg_orders, keys, measures, message):
+    with pytest.raises(RecipeError, match=message):
+        group(spark, stg_orders, keys, *measures)
+
+
+def stack(spark, datasets, mode="all"):
+    spec = {"type": "stack", "mode": mode, "inputs": [{"ref": n} for n in datasets]}
+    return run_recipe(spark, spec, datasets)
+
+
+def test_stack_by_name(spark):
+    fr = spark.createDataFrame([(1, "FR")], "id int, pays string")
+    es = spark.createDataFrame([("Madrid", 2)], "ville string, id int")
+    out = stack(spark, {"fr": fr, "es": es})
+    assert out.columns == ["id", "pays", "ville"]
+    assert rows(out) == [(1, "FR", None), (2, None, "Madrid")]
+
+
+def test_stack_distinct(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(2,), (3,)], "id int")
+    assert column(stack(spark, {"a": a, "b": b}, "distinct"), "id") == [1, 2, 3]
+    assert stack(spark, {"a": a, "b": b}).count() == 4
+
+
+def test_stack_refuses_mixed_kinds_and_case_twins(spark):
+    num, txt = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([("abc",)], "id string")
+    with pytest.raises(RecipeError, match="different kinds"):
+        stack(spark, {"num": num, "txt": txt})
+    with pytest.raises(RecipeError, match="two columns"):
+        stack(spark, {"num": num, "up": num.withColumnRenamed("id", "ID")})
+
+
+@pytest.mark.parametrize("table", ["{o}", "{{ ref('o') }}", '{{ ref("pkg", "o") }}', "{{ source('raw', 'o') }}"])
+def test_sql_recipe(spark, table):
+    df = spark.createDataFrame([(1,)], "order_id int")
+    spec = {"type": "sql", "inputs": [{"ref": "o"}], "sql": f"select order_id*10 as dix from {table};"}
+    assert rows(run_recipe(spark, spec, {"o": df})) == [(10,)]
+
+
+def test_sql_refusals(spark):
+    df = spark.createDataFrame([(1,)], "order_id int")
+    with pytest.raises(RecipeError, match="empty"):
+        run_recipe(spark, {"type": "sql", "inputs": [{"ref": "o"}], "sql": " "}, {"o": df})
+    with pytest.raises(RecipeError, match="not an input"):
+        run_recipe(spark, {"type": "sql", "inputs": [{"ref": "o"}], "sql": "select 1 from {{ ref('x') }}"}, {"o": df})
+
+
+def test_catalog_table_and_odd_names(spark, stg_orders):
+    stg_orders.createOrReplaceTempView("cat_orders")
+    spec = {"type": "prepare", "inputs": [{"ref": "cat_orders"}]}
+    assert run_recipe(spark, spec).count() == 5
+    odd = {"type": "sql", "inputs": [{"source_name": "raw", "table": "order-items"}], "sql": "select * from {order_items}"}
+    assert run_recipe(spark, odd, {"raw.order-items": stg_orders}).count() == 5
