@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from ..functions.names import col, cols
 from ..operators.skew import same_keys
@@ -72,10 +72,7 @@ class RecipeTable:
             if (m := re.match(r"(?:data|schema)-(\d{6})", name))
         ]
         number = max(known, default=0) + 1
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self._data_path(number))
+        self._write(df, "overwrite", partition_by).parquet(self._data_path(number))
         self._write_schema(df.schema, Version(number, 1))
 
     # -- changes inside the current version
@@ -86,19 +83,24 @@ class RecipeTable:
         self._write_schema(schema, Version(version.number, version.revision + 1))
 
     def append(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        writer = df.write.mode("append")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
+        writer = self._write(df, "append", partition_by)
         writer.parquet(self._data_path(self._current().number))
 
     def overwrite_partitions(self, df: DataFrame, partition_by: list[str]) -> None:
         """Replaces the partitions these rows belong to and leaves the others alone."""
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partition_by)
-            .parquet(self._data_path(self._current().number))
-        )
+        writer = self._write(df, "overwrite", partition_by)
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+        writer.parquet(self._data_path(self._current().number))
+
+    def _write(
+        self, df: DataFrame, mode: str, partition_by: list[str] | None
+    ) -> DataFrameWriter:
+        """Partitioned rows are gathered first: few files per partition instead of one per
+        task and partition. Spark splits a partition that is too big for one task."""
+        if not partition_by:
+            return df.write.mode(mode)
+        gathered = df.hint("rebalance", *cols(partition_by))
+        return gathered.write.mode(mode).partitionBy(*partition_by)
 
     def partition_values(self, column: str) -> list[str]:
         """Values of the first partition column, from the folder names."""

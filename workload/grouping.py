@@ -28,26 +28,24 @@ def grouped(table: str, keys: list[str], measures: list[dict], before=(), after=
 
 
 _FNS = {
-    "count": "count(l_tax)",
-    "count_distinct": "count(distinct l_tax)",
-    "sum": "round(sum(l_tax), 2)",
-    "avg": "round(avg(l_tax), 6)",
-    "min": "min(l_tax)",
-    "max": "max(l_tax)",
-    "median": "median(l_tax)",
+    "count": "count(l_quantity)",
+    "count_distinct": "count(distinct l_quantity)",
+    "sum": "sum(l_quantity)",
+    "avg": "avg(l_quantity)",
+    "min": "min(l_quantity)",
+    "max": "max(l_quantity)",
+    "median": "median(l_quantity)",
 }
 for _fn, _expr in _FNS.items():
-    _digits = {"sum": 2, "avg": 6}.get(_fn)
     QUERIES[f"group_{_fn}"] = Query(
         grouped(
             "lineitem",
             ["l_returnflag", "l_suppkey"],
-            [measure(_fn, "l_tax", "m")],
-            [formula("l_tax", "nullif(l_tax, 0)")],
-            [rounded("m", _digits)] if _digits else [],
+            [measure(_fn, "l_quantity", "m")],
+            [formula("l_quantity", "nullif(l_quantity, 1)")],
         ),
         f"""select l_returnflag, l_suppkey, {_expr} as m
-        from (select * replace (nullif(l_tax, 0) as l_tax) from lineitem) l
+        from (select * replace (nullif(l_quantity, 1) as l_quantity) from lineitem) l
         group by l_returnflag, l_suppkey""",
     )
 QUERIES["group_rows"] = Query(
@@ -113,11 +111,9 @@ QUERIES["group_documents"] = Query(
             measure("count_distinct", "text", "texts"),
             measure("avg", "n_chars", "mean"),
         ],
-        (),
-        [rounded("mean", 4)],
     ),
     """select lang, source, count(*) as n, cast(sum(n_chars) as bigint) as chars,
-    count(distinct text) as texts, round(avg(n_chars), 4) as mean
+    count(distinct text) as texts, avg(n_chars) as mean
     from documents group by lang, source""",
 )
 

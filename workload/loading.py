@@ -481,16 +481,24 @@ QUERIES["inc_merge_keeps_missing_columns"] = Query(
 
 
 def _stream(spark, folder):
-    source = f"{folder.rstrip('/')}/orders.parquet"
+    """Orders arrive in two deliveries; the second one corrects a part of the first."""
+    orders = Tables(spark, folder)["orders"]
+    landing, target, state = (new_target(spark) for _ in range(3))
     spec = recipe(
         steps=[("text_transform", {"column": "o_orderpriority", "mode": "lower"})],
         output={"unique_key": ["o_orderkey"]},
     )
-    schema = Tables(spark, folder)["orders"].schema
-    return load_arrivals(spark, spec, source, schema, new_target(spark), new_target(spark))
+    wrong = formula("o_orderstatus", "'?'")
+    deliveries = ([_OLD_ORDERS, wrong], [only("o_orderdate >= timestamp_ntz '1997-01-01'")])
+    for steps in deliveries:
+        through(spark, orders, *steps).write.mode("append").parquet(landing)
+        load_arrivals(spark, spec, landing, orders.schema, target, state)
+    return RecipeTable(spark, target).read()
 
 
 QUERIES["stream_delete_insert"] = Query(
     _stream,
-    "select o.* replace (lower(o_orderpriority) as o_orderpriority) from orders o",
+    """select o.* replace (lower(o_orderpriority) as o_orderpriority,
+    case when o_orderdate < '1997-01-01' then '?' else o_orderstatus end as o_orderstatus)
+    from orders o""",
 )

@@ -95,16 +95,18 @@ _STATUSES = ["F", "O", "Été"]
 _PIVOT_SQL = {
     "max": "max(case when o_orderstatus = '{v}' then o_totalprice end)",
     "min": "min(case when o_orderstatus = '{v}' then o_totalprice end)",
-    "sum": "round(sum(case when o_orderstatus = '{v}' then o_totalprice end), 2)",
-    "avg": "round(avg(case when o_orderstatus = '{v}' then o_totalprice end), 4)",
+    "sum": "sum(case when o_orderstatus = '{v}' then round(o_totalprice) end)",
+    "avg": "avg(case when o_orderstatus = '{v}' then round(o_totalprice) end)",
     "count": "count(case when o_orderstatus = '{v}' then 1 end)",
 }
 for _fn, _expr in _PIVOT_SQL.items():
     _names = [("st_f", "F"), ("st_o", "O"), ("st_ete", "Été")]
-    _digits = {"sum": 2, "avg": 4}.get(_fn)
+    # Whole amounts: their sums are exact in any order, so no result depends on it.
+    _whole = [("round", {"column": "o_totalprice"})] if _fn in ("sum", "avg") else []
     add(
         f"step_pivot_{_fn}",
         "orders",
+        *_whole,
         (
             "pivot",
             {
@@ -116,7 +118,6 @@ for _fn, _expr in _PIVOT_SQL.items():
                 "prefix": "st_",
             },
         ),
-        *[("round", {"column": n, "decimals": _digits}) for n, _ in _names if _digits],
         sql="select o_custkey, "
         + ", ".join(f"{_expr.format(v=v)} as {n}" for n, v in _names)
         + " from orders group by o_custkey",

@@ -6,43 +6,40 @@ from .common import Query, formula, keep, prepared
 
 QUERIES: dict[str, Query] = {}
 
-# Orders per customer by date; some prices are missing, and dates repeat.
-_PRICE = "case when o_totalprice <= 400000 then o_totalprice end"
+# Orders per customer by date; some prices are missing, and dates repeat. Amounts are whole
+# numbers, whose sums are exact in any order.
+_PRICE = "case when o_totalprice <= 400000 then round(o_totalprice) end"
 _BY_DATE = [{"column": "o_orderdate", "descending": True}, {"column": "o_orderkey"}]
 _OVER = "partition by o_custkey order by o_orderdate desc nulls last, o_orderkey asc nulls last"
 
-# function -> (settings, the SQL, decimals)
+# function -> (settings, the SQL)
 _CALLS = {
-    "row_number": ({"order_by": _BY_DATE}, f"row_number() over ({_OVER})", None),
+    "row_number": ({"order_by": _BY_DATE}, f"row_number() over ({_OVER})"),
     "rank": (
         {"order_by": [{"column": "o_orderstatus"}]},
         "rank() over (partition by o_custkey order by o_orderstatus nulls last)",
-        None,
     ),
     "dense_rank": (
         {"order_by": [{"column": "o_orderstatus", "descending": True}]},
         "dense_rank() over (partition by o_custkey order by o_orderstatus desc nulls last)",
-        None,
     ),
-    "lag": ({"order_by": _BY_DATE}, f"lag(price, 1) over ({_OVER})", None),
-    "lead": ({"order_by": _BY_DATE, "offset": 2}, f"lead(price, 2) over ({_OVER})", None),
+    "lag": ({"order_by": _BY_DATE}, f"lag(price, 1) over ({_OVER})"),
+    "lead": ({"order_by": _BY_DATE, "offset": 2}, f"lead(price, 2) over ({_OVER})"),
     "running_sum": (
         {"order_by": _BY_DATE},
         f"sum(price) over ({_OVER} rows between unbounded preceding and current row)",
-        2,
     ),
     "moving_avg": (
         {"order_by": _BY_DATE, "window_rows": 4},
         f"avg(price) over ({_OVER} rows between 3 preceding and current row)",
-        4,
     ),
-    "sum": ({}, "sum(price) over (partition by o_custkey)", 2),
-    "avg": ({}, "avg(price) over (partition by o_custkey)", 4),
-    "min": ({}, "min(price) over (partition by o_custkey)", None),
-    "max": ({}, "max(price) over (partition by o_custkey)", None),
-    "count": ({}, "count(*) over (partition by o_custkey)", None),
+    "sum": ({}, "sum(price) over (partition by o_custkey)"),
+    "avg": ({}, "avg(price) over (partition by o_custkey)"),
+    "min": ({}, "min(price) over (partition by o_custkey)"),
+    "max": ({}, "max(price) over (partition by o_custkey)"),
+    "count": ({}, "count(*) over (partition by o_custkey)"),
 }
-for _fn, (_settings, _expr, _digits) in _CALLS.items():
+for _fn, (_settings, _expr) in _CALLS.items():
     QUERIES[f"window_{_fn}"] = Query(
         prepared(
             "orders",
@@ -51,10 +48,9 @@ for _fn, (_settings, _expr, _digits) in _CALLS.items():
                 "window_function",
                 {"fn": _fn, "column": "price", "partition_by": ["o_custkey"], "into": "w", **_settings},
             ),
-            *([("round", {"column": "w", "decimals": _digits})] if _digits else []),
             keep("o_orderkey", "w"),
         ),
-        f"select o_orderkey, {f'round({_expr}, {_digits})' if _digits else _expr} as w "
+        f"select o_orderkey, {_expr} as w "
         f"from (select *, {_PRICE} as price from orders) o",
     )
 
@@ -90,35 +86,33 @@ for _fn, _order in {
 # No partition at all: the whole table is one window.
 _EVENT_ORDER = [{"column": "ts"}, {"column": "event_id"}]
 _GLOBAL = {
-    "row_number": ({"order_by": _EVENT_ORDER}, "row_number() over (order by ts, event_id)", None),
+    "row_number": ({"order_by": _EVENT_ORDER}, "row_number() over (order by ts, event_id)"),
     "lag": (
         {"order_by": _EVENT_ORDER, "offset": 3},
         "lag(value, 3) over (order by ts, event_id)",
-        None,
     ),
     "running_sum": (
         {"order_by": _EVENT_ORDER},
         "sum(value) over (order by ts, event_id rows unbounded preceding)",
-        2,
     ),
     "moving_avg": (
         {"order_by": _EVENT_ORDER, "window_rows": 7},
         "avg(value) over (order by ts, event_id rows between 6 preceding and current row)",
-        4,
     ),
-    "rank": ({"order_by": [{"column": "event_type"}]}, "rank() over (order by event_type)", None),
-    "max": ({}, "max(value) over ()", None),
-    "count": ({}, "count(*) over ()", None),
+    "rank": ({"order_by": [{"column": "event_type"}]}, "rank() over (order by event_type)"),
+    "max": ({}, "max(value) over ()"),
+    "count": ({}, "count(*) over ()"),
 }
-for _fn, (_settings, _expr, _digits) in _GLOBAL.items():
+for _fn, (_settings, _expr) in _GLOBAL.items():
     QUERIES[f"window_global_{_fn}"] = Query(
         prepared(
             "events",
+            formula("value", "round(value * 100)"),
             ("window_function", {"fn": _fn, "column": "value", "into": "w", **_settings}),
-            *([("round", {"column": "w", "decimals": _digits})] if _digits else []),
             keep("event_id", "w"),
         ),
-        f"select event_id, {f'round({_expr}, {_digits})' if _digits else _expr} as w from events",
+        f"select event_id, {_expr} as w "
+        "from (select * replace (round(value * 100) as value) from events) e",
     )
 QUERIES["window_replaces_column"] = Query(
     prepared(
