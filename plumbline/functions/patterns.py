@@ -16,8 +16,12 @@ INTEGER = r"(?U)^-?\d+$"
 DECIMAL = r"(?U)^-?\d*[.,]?\d+([eE][-+]?\d+)?$"
 BOOLEAN_WORDS = ("true", "false", "0", "1", "yes", "no", "oui", "non", "t", "f")
 
-# Fixed value: white space, with the four ASCII separators.
-_BLANK = r"[\s\x1c-\x1f]"
+# The characters that count as white space around a value.
+BLANKS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # A date, or a date and time to the minute, second or fraction with an optional zone offset.
 _DAY = r"(?!0000)\d{4}-\d{2}-\d{2}"
@@ -50,12 +54,9 @@ def _ipv6() -> str:
 IP = rf"^(?:{_ipv4()}|{_ipv6()})$"
 
 
-def blank(text: Column) -> Column:
-    return text.rlike(rf"(?U)^{_BLANK}*$")
-
-
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+def written(text: Column) -> Column:
+    """The text without white space around it; NULL when nothing else is there."""
+    return F.nullif(F.btrim(text, F.lit(BLANKS)), F.lit(""))
 
 
 def temporal(text: Column) -> Column:
@@ -86,5 +87,7 @@ def looks_like(meaning: str, text: Column) -> Column:
     if meaning == "decimal":
         return text.rlike(DECIMAL)
     if meaning == "boolean":
-        return F.lower(text).isin(*BOOLEAN_WORDS)
+        # No longer text can be one of the words, so long texts are not lowered.
+        short = F.octet_length(text) <= F.lit(max(map(len, BOOLEAN_WORDS)))
+        return F.when(short, F.lower(text).isin(*BOOLEAN_WORDS)).otherwise(F.lit(False))
     return F.lit(True)

@@ -17,9 +17,9 @@ from ..functions.names import (
     require,
     spare_name,
 )
-from .skew import hot_groups, same_keys
+from .skew import hot_groups, same_keys, settled
 from .steps import sql_expression
-from .windows import Order, WindowCall, window_function
+from .windows import Order, WindowCall, evaluate
 
 AGGREGATIONS: dict[str, Callable[[Column], Column]] = {
     "count": F.count,
@@ -115,34 +115,22 @@ def _positional_median(
     The values are counted before anything is ordered, and the running count is the
     skew-safe window function, so no task holds a whole group.
     """
-    counts = (
+    counts = settled(
         df.select(*cols(keys), argument.alias("__value"))
         .filter(col("__value").isNotNull())
         .groupBy(*cols([*keys, "__value"]))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    walked = window_function(
-        counts,
-        {
-            "fn": "running_sum",
-            "column": "__n",
-            "partition_by": keys,
-            "order_by": [{"column": "__value"}],
-            "into": "__upto",
-        },
-    )
+    hot = hot_groups(counts, keys)
+    by_value = (Order("__value", descending=False),)
+    upto = WindowCall("running_sum", "__n", tuple(keys), by_value, 0, "__upto")
     total = WindowCall("sum", "__n", tuple(keys), (), 0, "__total")
-    walked = window_function(
-        walked,
-        {"fn": "sum", "column": total.column, "partition_by": keys, "into": total.into},
-    )
-    low = F.floor((col("__total") + 1) / 2)
-    high = F.floor((col("__total") + 2) / 2)
-    at = lambda place: F.max(
-        F.when(
-            (col("__upto") >= place) & (col("__upto") - col("__n") < place),
-            col("__value").cast("double"),
-        )
-    )
+    walked = evaluate(evaluate(counts, upto, hot), total, hot)
+
+    def at(place: Column) -> Column:
+        here = (col("__upto") >= place) & (col("__upto") - col("__n") < place)
+        return F.max(F.when(here, col("__value").cast("double")))
+
+    low, high = (F.floor((col("__total") + F.lit(n)) / 2) for n in (1, 2))
     middle = ((at(low) + at(high)) / 2).alias(name)
     return walked.groupBy(*cols(keys)).agg(middle)

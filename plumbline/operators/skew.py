@@ -3,18 +3,19 @@
 Windows, medians and outer joins put all the rows of a key together. Where one key may hold
 a third of a table that is one task doing a third of the work, so those operators first ask
 which keys are hot. The answer comes from a mergeable heavy-hitter sketch: one pass over the
-key columns, no shuffle of the keys, a result of at most ``_TRACKED`` entries. Keys are
-compared by their 64-bit hash, so NULL is a key like any other and a collision only sends a
+key columns, sketches instead of keys in the shuffle, merged in two levels, and a result of at
+most ``_TRACKED`` entries. Keys are compared by their 64-bit hash, so NULL is a key like any other and a collision only sends a
 small group down the path for large ones, which is exact as well.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.names import cols
 
@@ -22,10 +23,12 @@ from ..functions.names import cols
 GROUP_ROWS = 4_000_000
 _SETTING = "spark.plumbline.groupRows"
 
-# Hottest keys split apart, and counters the sketch keeps. Every key beyond the first
-# _TRACKED holds less than 1/_TRACKED of the rows, an ordinary share of a large shuffle.
+# Hottest keys split apart, and counters a sketch keeps. Every key beyond the first _TRACKED
+# holds less than 1/_TRACKED of the rows, an ordinary share of a large shuffle.
 _TRACKED = 1_000
-_SKETCH = 100_000
+_SKETCH = 10_000
+# Tasks that merge the sketches of the scan before one task merges theirs.
+_MERGERS = 256
 
 
 def group_rows(spark: SparkSession, default: int = GROUP_ROWS) -> int:
@@ -66,9 +69,19 @@ def hot_groups(df: DataFrame, keys: list[str], default: int = GROUP_ROWS) -> Hot
     if not keys:
         rows = df.count()
         return HotGroups((), (), rows if rows > limit else 0, limit)
-    top = F.expr(f"approx_top_k(__key, {_TRACKED}, {_SKETCH})")
-    found = df.select(F.xxhash64(*cols(keys)).alias("__key")).agg(top.alias("top")).first()
-    hot = [(e["item"], e["count"]) for e in (found["top"] or []) if e["count"] > limit]
+    partial = (
+        df.select(
+            (F.spark_partition_id() % _MERGERS).alias("__merger"),
+            F.xxhash64(*cols(keys)).alias("__key"),
+        )
+        .groupBy("__merger")
+        .agg(F.expr(f"approx_top_k_accumulate(__key, {_SKETCH})").alias("__sketch"))
+    )
+    merged = f"approx_top_k_combine(__sketch, {_SKETCH})"
+    top = F.expr(f"approx_top_k_estimate({merged}, {_TRACKED})")
+    # Grouped by a constant: without rows there are no sketches, and then no result row.
+    found = partial.groupBy(F.lit("all")).agg(top.alias("top")).first()
+    hot = [(e["item"], e["count"]) for e in (found["top"] if found else []) if e["count"] > limit]
     return HotGroups(tuple(keys), tuple(k for k, _ in hot), sum(n for _, n in hot), limit)
 
 
@@ -82,9 +95,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written once to reliable storage: later plans and retries reread them."""
+    """The same rows, computed once and written to the shared folder: later plans and retried
+    tasks read them back, only the columns they need, with the size known to the optimizer."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if any(isinstance(f.dataType, _NOT_IN_PARQUET) for f in df.schema.fields):
+        return df.checkpoint(eager=True)
+    where = f"{df.sparkSession.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+_NOT_IN_PARQUET = (T.NullType, T.CalendarIntervalType)
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:

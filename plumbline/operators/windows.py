@@ -109,7 +109,11 @@ class WindowCall:
 
 def window_function(df: DataFrame, params: dict) -> DataFrame:
     call = read_call(df, params)
-    hot = hot_groups(df, list(call.keys))
+    return evaluate(df, call, hot_groups(df, list(call.keys)))
+
+
+def evaluate(df: DataFrame, call: WindowCall, hot: HotGroups) -> DataFrame:
+    """Adds the column of the call, given the groups of its keys that are hot."""
     if not hot:
         return put(df, call.into, call.value())
     large = _large_groups(hot.inside(df), call, hot)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import RecipeError
@@ -33,73 +35,88 @@ def _meaning_of_type(dtype: T.DataType) -> str | None:
 def quality_profile(df: DataFrame, sample: int | None = None) -> DataFrame:
     """Per column: storage, meaning, and how many values are fine, empty or off.
 
-    Every value is tested against every meaning it could have in one aggregation; the
-    meaning is chosen afterwards from the counts. ``sample`` restricts the profile to that
-    many rows, for a quick look.
+    Columns whose type says what they mean are counted in one aggregate. The others are
+    tested against every meaning they could have in one more, and the meaning is chosen from
+    the counts. ``sample`` restricts the profile to that many rows, for a quick look.
     """
     if sample is not None:
         df = df.limit(sample)
-    meanings = (*patterns.MAJORITY_MEANINGS, *patterns.UNANIMOUS_MEANINGS)
-    value = F.col("value")
-    hits = [F.count_if(patterns.looks_like(m, value)).alias(m) for m in meanings]
-    counted = (
-        _cells(df, df.columns)
-        .groupBy("position")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_filled"), *hits)
-    )
-    names = _one_row_per_column(df)
-    return (
-        names.join(counted, "position", "left")
-        .select(
-            "position",
-            "column",
-            "storage",
-            _chosen_meaning().alias("meaning"),
-            "by_type",
-            F.coalesce("n", F.lit(0)).alias("n"),
-            F.coalesce("n_filled", F.lit(0)).alias("n_filled"),
-            *[F.coalesce(m, F.lit(0)).alias(m) for m in meanings],
-        )
-        .select("position", "column", "storage", "meaning", "n", "n_filled", _valid().alias("n_ok"))
-        .select(
-            "position",
-            "column",
-            "storage",
-            "meaning",
-            "n_ok",
-            (F.col("n") - F.col("n_filled")).alias("n_empty"),
-            (F.col("n_filled") - F.col("n_ok")).alias("n_nok"),
-            _percent(F.col("n_ok")).alias("ok"),
-            _percent(F.col("n") - F.col("n_filled")).alias("empty"),
-            _percent(F.col("n_filled") - F.col("n_ok")).alias("nok"),
-        )
+    fields = list(enumerate(df.schema.fields))
+    typed = [(i, f) for i, f in fields if _meaning_of_type(f.dataType)]
+    others = [(i, f) for i, f in fields if not _meaning_of_type(f.dataType)]
+    parts = []
+    if typed:
+        parts.append(_typed_counts(df, typed))
+    if others:
+        parts.append(_text_counts(df, others))
+    counts = reduce(DataFrame.union, parts)
+    storages = [storage(f.dataType) for _, f in fields]
+    n, filled_, ok = F.col("n"), F.col("n_filled"), F.col("n_ok")
+    return counts.select(
+        "position",
+        _label_at(df.columns).alias("column"),
+        _label_at(storages).alias("storage"),
+        "meaning",
+        "n_ok",
+        (n - filled_).alias("n_empty"),
+        (filled_ - ok).alias("n_nok"),
+        _percent(ok).alias("ok"),
+        _percent(n - filled_).alias("empty"),
+        _percent(filled_ - ok).alias("nok"),
     )
 
 
+def _label_at(labels: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("position") + F.lit(1))
+
+
 def _percent(part: Column) -> Column:
     return F.bround(F.lit(100.0) * part / F.greatest(F.col("n"), F.lit(1)), 1)
 
 
-def _cells(df: DataFrame, names: list[str]) -> DataFrame:
-    """(position, value) for every cell, stripped text, NULL where empty: one scan."""
-    entries = [
-        F.struct(F.lit(i).alias("position"), col(n).cast("string").alias("value"))
-        for i, n in enumerate(names)
-    ]
-    cells = df.select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
-    text = F.col("value")
-    return cells.select(
-        "position", F.when(patterns.blank(text), None).otherwise(patterns.stripped(text)).alias("value")
-    )
+def _typed_counts(df: DataFrame, columns: list[tuple[int, T.StructField]]) -> DataFrame:
+    """A value of the right type is fine, except a number that is not one."""
+    measures, entries = [F.count(F.lit(1)).alias("n")], []
+    for i, f in columns:
+        c = col(f.name)
+        fine = c
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            fine = F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+        measures += [F.count(c).alias(f"filled{i}"), F.count(fine).alias(f"ok{i}")]
+        entries.append(
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(_meaning_of_type(f.dataType)).alias("meaning"),
+                F.col("n"),
+                F.col(f"filled{i}").alias("n_filled"),
+                F.col(f"ok{i}").alias("n_ok"),
+            )
+        )
+    return df.agg(*measures).select(F.inline(F.array(*entries)))
 
 
-def _one_row_per_column(df: DataFrame) -> DataFrame:
-    rows = [
-        (i, f.name, storage(f.dataType), _meaning_of_type(f.dataType))
-        for i, f in enumerate(df.schema.fields)
-    ]
-    schema = "position int, column string, storage string, by_type string"
-    return df.sparkSession.createDataFrame(rows, schema)
+def _text_counts(df: DataFrame, columns: list[tuple[int, T.StructField]]) -> DataFrame:
+    """One pass over (column, value) pairs; the whole text of every value is tested."""
+    meanings = (*patterns.MAJORITY_MEANINGS, *patterns.UNANIMOUS_MEANINGS)
+    texts = df.select(*[col(f.name).cast("string").alias(str(i)) for i, f in columns])
+    cells = texts.unpivot([], texts.columns, "place", "cell").select(
+        F.col("place").cast("int").alias("position"),
+        patterns.written(F.col("cell")).alias("value"),
+    )
+    tested = cells.select(
+        "position", "value", *[patterns.looks_like(m, F.col("value")).alias(m) for m in meanings]
+    )
+    counted = tested.groupBy("position").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("value").alias("n_filled"),
+        *[F.count_if(m).alias(m) for m in meanings],
+    )
+    # A dataset without rows still has columns: they count nothing.
+    every = df.sparkSession.createDataFrame([(i,) for i, _ in columns], "position int")
+    whole = every.join(counted, "position", "left").na.fill(0)
+    return whole.select("*", _chosen_meaning().alias("meaning")).select(
+        "position", "meaning", "n", "n_filled", _valid(meanings).alias("n_ok")
+    )
 
 
 def _chosen_meaning() -> Column:
@@ -109,17 +126,15 @@ def _chosen_meaning() -> Column:
     for m in reversed(patterns.MAJORITY_MEANINGS):
         enough = F.col(m) * 100 >= F.col("n_filled") * _MAJORITY
         chosen = F.when(enough, m).otherwise(chosen)
-    nothing = F.coalesce(F.col("n_filled"), F.lit(0)) == 0
-    return F.coalesce("by_type", F.when(nothing, "text").otherwise(chosen))
+    return F.when(F.col("n_filled") == 0, "text").otherwise(chosen)
 
 
-def _valid() -> Column:
-    """Values that fit the meaning; a typed date is one by construction."""
-    typed_date = F.col("by_type").isin("date", "datetime")
+def _valid(meanings: tuple[str, ...]) -> Column:
+    """Values that fit the meaning; any text fits "text"."""
     fits = F.col("n_filled")
-    for m in (*patterns.MAJORITY_MEANINGS, *patterns.UNANIMOUS_MEANINGS):
+    for m in meanings:
         fits = F.when(F.col("meaning") == m, F.col(m)).otherwise(fits)
-    return F.when(typed_date, F.col("n_filled")).otherwise(fits)
+    return fits
 
 
 # ------------------------------------------------------------------------- full profile
@@ -138,9 +153,9 @@ def profiled_columns(df: DataFrame) -> tuple[list[str], dict[str, list[str]]]:
 def full_profile(df: DataFrame) -> DataFrame:
     """Per column: total rows, filled, empty, exact distinct values, min and max as text.
 
-    Two passes. Rows, filled cells, minimum and maximum are plain aggregates. Distinct
-    values are counted on (column, value) pairs, each pair combined in the map tasks before
-    it travels, which no per-column count(distinct) in one aggregate does.
+    Rows, filled cells, minimum and maximum are plain aggregates of one pass. Distinct values
+    are counted on (column, value) pairs, one pass per stored type over its columns only;
+    pairs are combined in the map tasks before they travel.
     """
     names, _ = profiled_columns(df)
     if not names:
@@ -182,15 +197,37 @@ def full_profile(df: DataFrame) -> DataFrame:
 
 
 def _distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    entries = []
+    """Columns of one stored type share a pass and keep their type: no value becomes text."""
+    by_type: dict[str, list[Column]] = {}
     for i, n in enumerate(names):
-        c = col(n)
-        if isinstance(df.schema[n].dataType, (T.FloatType, T.DoubleType)):
-            c = c + F.lit(0.0).cast(df.schema[n].dataType)  # -0.0 and 0.0 are one value
-        entries.append(F.struct(F.lit(i).alias("position"), c.cast("string").alias("value")))
-    pairs = df.select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
-    values = pairs.filter(F.col("value").isNotNull()).distinct()
-    return values.groupBy("position").agg(F.count(F.lit(1)).alias("distinct"))
+        kind, value = _comparable(col(n), df.schema[n].dataType)
+        by_type.setdefault(kind, []).append(value.alias(str(i)))
+    parts = []
+    for values in by_type.values():
+        slim = df.select(*values)
+        pairs = slim.unpivot([], slim.columns, "place", "value")
+        parts.append(
+            pairs.filter(F.col("value").isNotNull())
+            .distinct()
+            .groupBy(F.col("place").cast("int").alias("position"))
+            .agg(F.count(F.lit(1)).alias("distinct"))
+        )
+    return reduce(DataFrame.union, parts)
+
+
+def _comparable(c: Column, dtype: T.DataType) -> tuple[str, Column]:
+    """A type the values can be compared in, and the values in that type, one to one."""
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return "bigint", c.cast("bigint")
+    if isinstance(dtype, T.DateType):
+        return "bigint", F.unix_date(c).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return "bigint", F.unix_micros(c)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double", c.cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        return "timestamp_ntz", c
+    return "string", c.cast("string")
 
 
 def profile_delta(before: DataFrame, after: DataFrame) -> DataFrame:

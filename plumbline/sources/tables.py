@@ -34,6 +34,7 @@ class RecipeTable:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._schemas: dict[Version, T.StructType] = {}
 
     # -- what is there
 
@@ -51,12 +52,12 @@ class RecipeTable:
 
     def schema(self) -> T.StructType:
         """Every stored column, the hidden slice column included."""
-        return self.spark.read.parquet(self._schema_path(self._current())).schema
+        return self._schema_of(self._current())
 
     def read_stored(self) -> DataFrame:
         version = self._current()
-        schema = self.spark.read.parquet(self._schema_path(version)).schema
-        return self.spark.read.schema(schema).parquet(self._data_path(version.number))
+        reader = self.spark.read.schema(self._schema_of(version))
+        return reader.parquet(self._data_path(version.number))
 
     def read(self) -> DataFrame:
         stored = self.read_stored()
@@ -147,6 +148,12 @@ class RecipeTable:
     def _schema_path(self, version: Version) -> str:
         return f"{self.path}/schema-{version.number:06d}-{version.revision:06d}"
 
+    def _schema_of(self, version: Version) -> T.StructType:
+        """A schema folder never changes once written, so it is read once."""
+        if version not in self._schemas:
+            self._schemas[version] = self.spark.read.parquet(self._schema_path(version)).schema
+        return self._schemas[version]
+
     def _write_schema(self, schema: T.StructType, version: Version) -> None:
         columns = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
         empty = self.spark.createDataFrame([], columns)
