@@ -11,7 +11,7 @@
 from .errors import DataTestFailure, RecipeError
 from .plans.build import build
 from .plans.recipe import preview, run_recipe
-from .quality.checks import enforce, failing_rows, run_tests, sample_failing_rows
+from .quality.checks import declared_tests, enforce, failing_rows, run_tests, sample_failing_rows
 from .quality.freshness import freshness
 from .quality.joincheck import diagnose_join, join_findings
 from .quality.profiles import full_profile, profile_delta, profile_of_change, quality_profile
@@ -24,6 +24,7 @@ __all__ = [
     "RecipeError",
     "RecipeTable",
     "build",
+    "declared_tests",
     "diagnose_join",
     "enforce",
     "failing_rows",

@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.names import cols
+from ..functions.names import cols, quoted
+from ..sources.files import Folder
 
 # A group up to this many rows is left to one task.
 GROUP_ROWS = 4_000_000
@@ -100,19 +103,33 @@ def settled(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     if any(isinstance(f.dataType, _NOT_IN_PARQUET) for f in df.schema.fields):
         return df.checkpoint(eager=True)
-    where = f"{df.sparkSession.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    return _written(df, _new_folder(df.sparkSession))
 
 
 _NOT_IN_PARQUET = (T.NullType, T.CalendarIntervalType)
 
 
+@contextmanager
+def settled_while(df: DataFrame) -> Iterator[DataFrame]:
+    """Settled rows that are only needed inside a block: their folder goes when it ends."""
+    ensure_checkpoint_dir(df.sparkSession)
+    where = _new_folder(df.sparkSession)
+    try:
+        yield _written(df, where)
+    finally:
+        Folder(df.sparkSession).remove(where)
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, where: str) -> DataFrame:
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def same_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     """NULL-safe equality of key columns: NULL is one group, as in GROUP BY."""
-    tests = [left[_q(a)].eqNullSafe(right[_q(b)]) for a, b in pairs]
+    tests = [left[quoted(a)].eqNullSafe(right[quoted(b)]) for a, b in pairs]
     return reduce(Column.__and__, tests, F.lit(True))
-
-
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -19,7 +19,7 @@ from ..errors import RecipeError
 from ..functions.names import col, cols, filled_names, spare_name
 from ..functions.types import DATE, TEXT, family
 from ..operators import joins
-from ..operators.skew import same_keys, settled
+from ..operators.skew import same_keys, settled_while
 from ..sources.tables import SLICE, RecipeTable
 from . import guards
 from .output import (
@@ -75,20 +75,29 @@ def build(
     table = RecipeTable(spark, target)
     partition_by = filled_names(out.get("partition_by"))
     if kind == "table":
-        df = compute(spark, spec, inputs)
+        df = _storable(compute(spark, spec, inputs))
         table.replace(df, _layout(partition_by, df.columns))
     elif strategy_of(out) == "microbatch":
         moment = now or datetime.now(timezone.utc).replace(tzinfo=None)
         _build_slices(spark, spec, inputs, table, moment, full_refresh)
     elif full_refresh or not table.exists():
-        df = compute(spark, spec, inputs)
+        df = _storable(compute(spark, spec, inputs))
         table.replace(df, _layout(partition_by, df.columns))
     else:
-        df = compute(spark, spec, arrivals_only(spec, inputs, table))
-        load(table, df, out)
+        load(table, compute(spark, spec, arrivals_only(spec, inputs, table)), out)
     return table.read()
 
 
+def _storable(df: DataFrame) -> DataFrame:
+    """A column that is NULL by construction has no type a file can hold: text stands in."""
+    return df.select(
+        *[
+            (col(f.name).cast("string").alias(f.name) if f.dataType == T.NullType() else col(f.name))
+            for f in df.schema.fields
+        ]
+    )
+
+
 def _layout(partition_by: list[str], columns: list[str]) -> list[str]:
     missing = [c for c in partition_by if c not in columns]
     if missing:
@@ -184,6 +193,7 @@ def _touched_groups(df: DataFrame, test: Column, keys: list[str]) -> DataFrame:
 
 def load(table: RecipeTable, arrivals: DataFrame, out: dict) -> None:
     """Applies the strategy of the output to the rows of one load."""
+    arrivals = _storable(arrivals)
     policy = out.get("on_schema_change") or SCHEMA_CHANGES[0]
     change = fit(arrivals.schema, table.schema(), policy)
     partition_by = _layout(filled_names(out.get("partition_by")), change.schema.names)
@@ -223,25 +233,25 @@ def _replace_keys(
     absent = {f.casefold() for f in change.schema.names} - {
         c.casefold() for c in arrivals.columns
     }
-    rows = settled(shaped(arrivals, change.schema))
-    known = reduce(Column.__and__, [col(k).isNotNull() for k in keys])
-    arriving = rows.filter(known).select(*cols(keys)).distinct()
-    if merging:
-        _refuse_repeated_keys(rows.filter(known), keys)
+    lacking = [c for c in change.schema.names if c.casefold() in absent] if merging else []
     held = shaped(table.read(), change.schema)
-    if partition_by and not change.rewritten and not (merging and absent):
-        if change.widened:
-            table.widen(change.schema)
-        _replace_in_partitions(table, held, rows, arriving, keys, partition_by)
-        return
-    names = {k: spare_name(f"key{i}", held.columns) for i, k in enumerate(keys)}
-    gone = _sent(arriving.select(*[col(k).alias(n) for k, n in names.items()]))
-    on = reduce(Column.__and__, [col(k) == col(n) for k, n in names.items()])
-    kept = held.join(gone, on, "left_anti")
-    if merging and absent:
-        lacking = [c for c in rows.columns if c.casefold() in absent]
-        rows = _with_old_values(held, rows, keys, lacking)
-    table.replace(kept.union(rows), partition_by)
+    with settled_while(shaped(arrivals, change.schema)) as rows:
+        known = rows.filter(reduce(Column.__and__, [col(k).isNotNull() for k in keys]))
+        if merging:
+            _refuse_repeated_keys(known, keys)
+        names = {k: spare_name(f"key{i}", held.columns) for i, k in enumerate(keys)}
+        arriving = known.select(*[col(k).alias(n) for k, n in names.items()]).distinct()
+        gone = _sent(arriving)
+        on = reduce(Column.__and__, [col(k) == col(n) for k, n in names.items()])
+        if partition_by and not change.rewritten and not lacking:
+            if change.widened:
+                table.widen(change.schema)
+            _replace_in_partitions(table, held, rows, gone, on, partition_by)
+            return
+        kept = held.join(gone, on, "left_anti")
+        if lacking:
+            rows = _with_old_values(held, rows, keys, lacking)
+        table.replace(kept.union(rows), partition_by)
 
 
 def _refuse_repeated_keys(rows: DataFrame, keys: list[str]) -> None:
@@ -275,25 +285,23 @@ def _replace_in_partitions(
     table: RecipeTable,
     held: DataFrame,
     rows: DataFrame,
-    arriving: DataFrame,
-    keys: list[str],
+    gone: DataFrame,
+    on: Column,
     partition_by: list[str],
 ) -> None:
     """Rewrites only the partitions that hold or receive an arriving key."""
-    names = {k: spare_name(f"key{i}", held.columns) for i, k in enumerate(keys)}
-    gone = _sent(arriving.select(*[col(k).alias(n) for k, n in names.items()]))
-    on = reduce(Column.__and__, [col(k) == col(n) for k, n in names.items()])
     places = {p: spare_name(f"part{i}", held.columns) for i, p in enumerate(partition_by)}
     as_places = [col(p).alias(n) for p, n in places.items()]
     holding = held.join(gone, on, "left_semi").select(*as_places)
-    touched = _sent(settled(holding.union(rows.select(*as_places)).distinct()))
-    inside = held.join(touched, same_keys(held, touched, list(places.items())), "left_semi")
-    # Settled before it is written: a failed write never loses the rows it was replacing.
-    result = settled(inside.join(gone, on, "left_anti").union(rows))
-    table.overwrite_partitions(result, partition_by)
-    # A partition whose rows all moved elsewhere got no new file: it is emptied by name.
-    filled = result.select(*partition_by).distinct()
-    table.drop_emptied(touched, filled, places)
+    receiving = rows.select(*as_places)
+    with settled_while(holding.union(receiving).distinct()) as found:
+        touched = _sent(found)
+        inside = held.join(touched, same_keys(held, touched, list(places.items())), "left_semi")
+        # Settled before it is written: a failed write never loses the rows it was replacing.
+        with settled_while(inside.join(gone, on, "left_anti").union(rows)) as result:
+            table.overwrite_partitions(result, partition_by)
+            # A partition whose rows all moved elsewhere got no new file: emptied by name.
+            table.drop_emptied(touched, result.select(*cols(partition_by)).distinct(), places)
 
 
 # -------------------------------------------------------------------------- microbatch
@@ -336,7 +344,7 @@ def _build_slices(
             a: (_between(df, timed[a], low, high) if a in timed else df)
             for a, df in inputs.items()
         }
-        rows = _between(compute(spark, spec, seen), plan.column, low, high)
+        rows = _between(_storable(compute(spark, spec, seen)), plan.column, low, high)
         rows = _labelled(rows, plan)
         if first_build and n == 0:
             table.replace(rows, [SLICE])

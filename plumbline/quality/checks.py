@@ -36,6 +36,16 @@ def check_test(test: dict) -> dict:
     return test
 
 
+def declared_tests(spec: dict) -> list[dict]:
+    """The tests a recipe declares on its output columns, ready for ``run_tests``."""
+    found = []
+    for column in (spec.get("output") or {}).get("columns") or []:
+        for test in column.get("tests") or []:
+            test = {"name": test} if isinstance(test, str) else dict(test)
+            found.append(check_test({**test, "column": column.get("name")}))
+    return found
+
+
 def _accepted(test: dict) -> list:
     return [v for v in test.get("values") or [] if str(v).strip() != ""]
 
@@ -101,7 +111,8 @@ def run_tests(
     parts = []
     absent = [t for t in tests if t["name"] == "not_null"]
     if absent:
-        parts.append(_rows(df.agg(*_named(absent, lambda t: F.count_if(col(t["column"]).isNull()))), absent))
+        nulls = _named(absent, lambda t: F.count_if(col(t["column"]).isNull()))
+        parts.append(_rows(df.agg(*nulls), absent))
     by_column: dict[str, list[dict]] = {}
     for t in tests:
         if t["name"] in ("unique", "accepted_values"):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from ..functions.names import col, cols
 from ..operators.skew import same_keys
+from .files import Folder
 
 SLICE = "_slice"
 _SCHEMA_FOLDER = re.compile(r"schema-(\d{6})-(\d{6})$")
@@ -34,6 +35,7 @@ class RecipeTable:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._folder = Folder(spark)
         self._schemas: dict[Version, T.StructType] = {}
 
     # -- what is there
@@ -41,9 +43,9 @@ class RecipeTable:
     def version(self) -> Version | None:
         found = [
             Version(int(m.group(1)), int(m.group(2)))
-            for name in self._children(self.path)
+            for name in self._folder.children(self.path)
             if (m := _SCHEMA_FOLDER.match(name))
-            and self._exists(f"{self.path}/{name}/_SUCCESS")
+            and self._folder.exists(f"{self.path}/{name}/_SUCCESS")
         ]
         return max(found, key=lambda v: (v.number, v.revision), default=None)
 
@@ -66,15 +68,22 @@ class RecipeTable:
     # -- full rewrites
 
     def replace(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        """A new version with exactly these rows, visible once completely written."""
-        known = [
-            int(m.group(1))
-            for name in self._children(self.path)
+        """A new version with exactly these rows, visible once completely written.
+
+        The version before it stays for those still reading it; older ones are removed.
+        """
+        known = {
+            name: int(m.group(1))
+            for name in self._folder.children(self.path)
             if (m := re.match(r"(?:data|schema)-(\d{6})", name))
-        ]
-        number = max(known, default=0) + 1
+        }
+        current = self.version()
+        number = max(known.values(), default=0) + 1
         self._write(df, "overwrite", partition_by).parquet(self._data_path(number))
         self._write_schema(df.schema, Version(number, 1))
+        for name, held in known.items():
+            if current is None or held != current.number:
+                self._folder.remove(f"{self.path}/{name}")
 
     # -- changes inside the current version
 
@@ -106,13 +115,11 @@ class RecipeTable:
     def partition_values(self, column: str) -> list[str]:
         """Values of the first partition column, from the folder names."""
         prefix = f"{column}="
-        names = self._children(self._data_path(self._current().number))
+        names = self._folder.children(self._data_path(self._current().number))
         return sorted(n[len(prefix) :] for n in names if n.startswith(prefix))
 
     def drop_partition(self, column: str, value: str) -> None:
-        folder = f"{self._data_path(self._current().number)}/{column}={value}"
-        fs, where = self._fs(folder)
-        fs.delete(where, True)
+        self._folder.remove(f"{self._data_path(self._current().number)}/{column}={value}")
 
     def drop_emptied(self, touched: DataFrame, filled: DataFrame, names: dict[str, str]) -> None:
         """Empties the touched partitions that hold no row any more.
@@ -128,11 +135,8 @@ class RecipeTable:
             again, same_keys(touched, again, [(n, f"{n}_filled") for n in names.values()]), "left_anti"
         )
         left = pruned.join(gone, same_keys(pruned, gone, on), "left_semi")
-        for row in left.select("__folder").distinct().collect():
-            uri = self.spark.sparkContext._jvm.java.net.URI(row["__folder"])
-            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-            fs, _ = self._fs(self.path)
-            fs.delete(where, True)
+        for row in left.select("__folder").distinct().collect():  # one row per partition
+            self._folder.remove_uri(row["__folder"])
 
     # -- files
 
@@ -158,18 +162,3 @@ class RecipeTable:
         columns = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
         empty = self.spark.createDataFrame([], columns)
         empty.write.mode("overwrite").parquet(self._schema_path(version))
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
-
-    def _exists(self, path: str) -> bool:
-        fs, where = self._fs(path)
-        return fs.exists(where)
-
-    def _children(self, path: str) -> list[str]:
-        fs, where = self._fs(path)
-        if not fs.exists(where):
-            return []
-        return [status.getPath().getName() for status in fs.listStatus(where)]

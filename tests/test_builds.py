@@ -104,6 +104,31 @@ def test_full_refresh(spark, target):
     assert column(out, "id") == [1]
 
 
+def test_a_column_that_is_always_null(spark, target):
+    nothing = ("formula", {"into": "rien", "expression": "null"})
+    spec = spec_of(steps=[nothing], output={**BY_ID, "on_schema_change": "fail"})
+    build(spark, spec, {"ventes": ventes(spark, FIRST[0])}, target)
+    assert column(build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target), "rien") == [None, None]
+
+
+def test_old_versions_are_removed(spark, target, tmp_path):
+    spec = spec_of(output={"materialized": "table"})
+    for n in range(1, 5):
+        build(spark, spec, {"ventes": ventes(spark, *[(n, date(2024, 1, 1), "x")])}, target)
+    left = sorted(p.name for p in (tmp_path / "target").iterdir() if p.is_dir())
+    assert left == ["data-000003", "data-000004", "schema-000003-000001", "schema-000004-000001"]
+    assert column(RecipeTable(spark, target).read(), "id") == [4]
+
+
+def test_a_failed_build_leaves_the_table_alone(spark, target):
+    spec = spec_of(steps=[("change_type", {"column": "ville", "to": "integer"})], output={"materialized": "table"})
+    build(spark, spec_of(output={"materialized": "table"}), {"ventes": ventes(spark, *FIRST)}, target)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
+    assert column(RecipeTable(spark, target).read(), "ville") == ["caen", "lyon"]
+    assert build(spark, spec_of(output={"materialized": "table"}), {"ventes": ventes(spark, FIRST[0])}, target).count() == 1
+
+
 @pytest.mark.parametrize("strategy", ["delete+insert", "merge"])
 @pytest.mark.parametrize("parts", [[], ["ville"]])
 def test_keyed_strategies(spark, target, strategy, parts):

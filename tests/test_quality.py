@@ -8,6 +8,7 @@ import pytest
 from plumbline import (
     DataTestFailure,
     RecipeError,
+    declared_tests,
     diagnose_join,
     enforce,
     failing_rows,
@@ -73,6 +74,17 @@ def test_suite_and_severity(spark, people):
         enforce(run_tests(people, [{"name": "unique", "column": "kind"}]))
 
 
+def test_tests_declared_on_output_columns(spark, people):
+    columns = [
+        {"name": "id", "tests": ["not_null", {"name": "unique", "severity": "warn"}]},
+        {"name": "kind", "description": "free text"},
+    ]
+    found = declared_tests({"output": {"columns": columns}})
+    assert column(run_tests(people, found), "status") == ["fail", "warn"]
+    with pytest.raises(RecipeError, match="lists no value"):
+        declared_tests({"output": {"columns": [{"name": "id", "tests": ["accepted_values"]}]}})
+
+
 def test_samples_are_limited(people):
     test = {"name": "not_null", "column": "id"}
     assert sample_failing_rows(people, test, limit=1).count() == 1
