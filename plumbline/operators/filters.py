@@ -63,9 +63,12 @@ def keep_or_remove(df: DataFrame, test: Column, action: str) -> DataFrame:
 
 def filter_value(df: DataFrame, params: dict) -> DataFrame:
     test = predicate(df, params)
-    action = params.get("action", "remove")
-    if action != "clear":
-        return keep_or_remove(df, test, action)
-    name = params["column"]
-    nothing = F.lit(None).cast(df.schema[name].dataType)
-    return put(df, name, F.when(test, nothing).otherwise(col(name)))
+    action, name = params.get("action", "remove"), params["column"]
+    if action == "clear":
+        nothing = F.lit(None).cast(df.schema[name].dataType)
+        return put(df, name, F.when(test, nothing).otherwise(col(name)))
+    compares = params.get("operator", "eq") not in ("empty", "not_empty")
+    if action == "remove" and compares and None not in (params.get("values") or []):
+        # Unknown only where the column is NULL: said this way, it reaches the file scan.
+        return df.filter(~test | col(name).isNull())
+    return keep_or_remove(df, test, action)

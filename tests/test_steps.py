@@ -88,6 +88,15 @@ def test_filter_keep_and_remove_are_complements(spark, stg_orders, params, kept)
     assert sorted(column(removed, "order_id") + kept) == [1, 2, 3, 4, 4]
 
 
+def test_removing_reaches_the_scan(spark, stg_orders, tmp_path):
+    where = str(tmp_path / "orders")
+    stg_orders.write.parquet(where)
+    out = steps(spark, spark.read.parquet(where), ("filter_value", {"column": "status", "value": "completed"}))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(Not(EqualTo(status,completed)),IsNull(status))]" in plan
+    assert column(out, "order_id") == [2, 4, 4]
+
+
 def test_filter_clear(spark, stg_orders):
     out = steps(
         spark, stg_orders, ("filter_value", {"column": "status", "value": "completed", "action": "clear"})
