@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
@@ -61,14 +62,41 @@ def _measured(
     df: DataFrame, keys: list[str], measures: list[dict], names: list[str]
 ) -> DataFrame:
     plain: list[Column] = []
-    medians: dict[str, Column] = {}
+    wide: dict[str, Column] = {}
+    medians: list[Column] = []
+    # A distinct count groups by (key, value) first, which would carry every median's values
+    # through one more shuffle in many small groups: next to one, medians are apart.
+    apart = any(a.get("fn") == "count_distinct" for a in measures)
     for a, name in zip(measures, names[len(keys) :], strict=True):
         fn, argument = _argument(df, a)
         if fn == "median" and _too_wide(df, keys, argument):
-            medians[name] = argument
+            wide[name] = argument
+        elif fn == "median" and apart:
+            medians.append(F.median(argument).alias(name))
         else:
             plain.append(AGGREGATIONS[fn](argument).alias(name))
-    return _assembled(df, keys, plain, medians).select(*cols(names))
+    parts = [_aggregated(df, keys, p) for p in (plain, medians) if p]
+    parts += [_positional_median(df, keys, argument, name) for name, argument in wide.items()]
+    if not parts[1:] and not wide:
+        return parts[0].select(*cols(names))
+    # Every group, so that one without any value to take the median of stays in the result.
+    if not plain:
+        one_row = df.sparkSession.range(1).select(F.lit(True).alias(spare_name("one", names)))
+        parts.insert(0, df.select(*cols(keys)).distinct() if keys else one_row)
+    return reduce(lambda out, part: _beside(out, part, keys), parts).select(*cols(names))
+
+
+def _aggregated(df: DataFrame, keys: list[str], measures: list[Column]) -> DataFrame:
+    return df.groupBy(*cols(keys)).agg(*measures) if keys else df.agg(*measures)
+
+
+def _beside(out: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
+    """The measures of a part next to those already there, group by group."""
+    names = {k: spare_name(f"key{i}", out.columns) for i, k in enumerate(keys)}
+    made = [c for c in part.columns if c not in keys]
+    part = part.select(*[col(k).alias(n) for k, n in names.items()], *cols(made))
+    joined = out.join(part, same_keys(out, part, list(names.items())), "left")
+    return joined.select(*cols([*out.columns, *made]))
 
 
 def _argument(df: DataFrame, a: dict) -> tuple[str, Column]:
@@ -87,21 +115,6 @@ def _argument(df: DataFrame, a: dict) -> tuple[str, Column]:
     return fn, what
 
 
-def _assembled(
-    df: DataFrame, keys: list[str], plain: list[Column], medians: dict[str, Column]
-) -> DataFrame:
-    if not medians:
-        return df.groupBy(*cols(keys)).agg(*plain) if keys else df.agg(*plain)
-    out = df.groupBy(*cols(keys)).agg(*plain, F.count(F.lit(1)).alias("__rows"))
-    for name, argument in medians.items():
-        found = _positional_median(df, keys, argument, name)
-        names = {k: spare_name(f"key{i}", out.columns) for i, k in enumerate(keys)}
-        found = found.select(*[col(k).alias(n) for k, n in names.items()], col(name))
-        on = same_keys(out, found, list(names.items()))
-        out = out.join(found, on, "left").select(*cols(out.columns), col(name))
-    return out
-
-
 def _too_wide(df: DataFrame, keys: list[str], argument: Column) -> bool:
     held = df.select(*cols(keys), argument.alias("__value")).filter(col("__value").isNotNull())
     return bool(hot_groups(held, keys, MEDIAN_ROWS))

@@ -152,6 +152,17 @@ def test_median_by_position_equals_the_plain_one(spark, small_groups, keys):
         assert rows(group(spark, df, keys, *measures)) == plain
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_medians_alone(spark, small_groups, keys):
+    data = [("a", 1, 5), ("a", 2, None), ("a", 4, 7), ("b", None, 1)]
+    df = spark.createDataFrame(data, "k string, v int, w int")
+    measures = [{"fn": "median", "column": "v", "alias": "one"}, {"fn": "median", "column": "w", "alias": "id"}]
+    plain = rows(group(spark, df, keys, *measures))
+    assert plain == ([("a", 2.0, 6.0), ("b", None, 1.0)] if keys else [(2.0, 5.0)])
+    with small_groups(1):
+        assert rows(group(spark, df, keys, *measures)) == plain
+
+
 @pytest.mark.parametrize(
     "keys, measures, message",
     [

@@ -5,6 +5,7 @@ from datetime import date, datetime
 import pytest
 
 from plumbline import RecipeError, preview, run_recipe
+from plumbline.operators.steps import pivot_column
 from tests.helpers import column, rows, steps
 
 
@@ -271,6 +272,14 @@ def test_pivot(spark):
     assert rows(one) == [(10.0, 20.0)]
 
 
+@pytest.mark.parametrize(
+    "value, name",
+    [("fév", "fev"), ("  En cours ! ", "en_cours"), ("A__B", "a__b"), ("_x_", "x"), ("straße", "stra_e"), ("a - b", "a_b")],
+)
+def test_pivot_column_names(value, name):
+    assert pivot_column(value) == name
+
+
 def test_reserved_and_spaced_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], ["order", "select", "order total"])
     out = steps(

@@ -13,6 +13,7 @@ from plumbline import (
     profile_of_change,
     quality_profile,
     run_tests,
+    sample_failing_rows,
 )
 
 from .common import Query, Tables, formula, through
@@ -52,6 +53,15 @@ QUERIES["test_accepted_values"] = Query(
     """select c_mktsegment as value_field, count(*) as n_records from customer
     where c_mktsegment not in ('BUILDING', 'MACHINERY') group by 1""",
 )
+QUERIES["test_failing_sample"] = Query(
+    lambda spark, folder: sample_failing_rows(
+        Tables(spark, folder)["events"],
+        {"name": "accepted_values", "column": "event_type", "values": ["click"]},
+        limit=200,
+    ),
+    """select event_type as value_field, count(*) as n_records from events
+    where event_type <> 'click' group by 1""",
+)
 QUERIES["test_relationships"] = Query(
     failing("documents", {"name": "relationships", "column": "doc_id", "to": "labels", "field": "doc_id"}),
     """select doc_id as from_field from documents

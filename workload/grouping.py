@@ -58,6 +58,10 @@ QUERIES["group_rows"] = Query(
     """select nullif(event_type, 'click') as event_type, count(*) as n,
     count(distinct user_id) as users from events group by 1""",
 )
+QUERIES["row_count"] = Query(
+    grouped("lineitem", [], [measure("count", "*", "n")]),
+    "select count(*) as n from lineitem",
+)
 QUERIES["group_filtered"] = Query(
     grouped(
         "lineitem",
