@@ -160,5 +160,5 @@ class RecipeTable:
 
     def _write_schema(self, schema: T.StructType, version: Version) -> None:
         columns = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-        empty = self.spark.createDataFrame([], columns)
+        empty = self.spark.createDataFrame([], columns).coalesce(1)
         empty.write.mode("overwrite").parquet(self._schema_path(version))
