@@ -136,7 +136,8 @@ def running_starts(parts: DataFrame, amount: str) -> DataFrame:
     for part, size in rows:
         starts.append((part, total))
         total += size
-    return parts.sparkSession.createDataFrame(starts, "__part int, __start long")
+    # Sent to every task: as many rows as were just summed here.
+    return F.broadcast(parts.sparkSession.createDataFrame(starts, "__part int, __start long"))
 
 
 def uniform(*parts: Column) -> Column:

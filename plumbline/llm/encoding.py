@@ -10,23 +10,49 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
-# Pieces remembered in each of two generations: some 100 bytes apiece.
-_REMEMBERED = 300_000
+# Pieces remembered in each of two generations: some 200 bytes apiece.
+_REMEMBERED = 500_000
 _ODD_SPACES = re.compile(r" (?:\s|\Z)")
 _CUTS = re.compile(r"(?= \S)")
 
 
+def _symbol_table() -> dict[int, str]:
+    """Printable Latin-1 characters stand for themselves, the other bytes for 256 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SYMBOLS = _symbol_table()
+
+
+def byte_symbols(text: str) -> str:
+    """One symbol per byte, as byte-level vocabularies write them."""
+    return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SYMBOLS)
+
+
 class _Pieces(dict):
-    """Ids by piece; what was not looked up in the last generation is forgotten."""
+    """Ids by piece; what was not looked up in the last generation is forgotten.
 
-    def __init__(self, encode):
+    Where a word is followed by marks, or by a line feed and another word, the
+    pre-tokenizer cuts too: such pieces are put together from remembered ones.
+    """
+
+    def __init__(self, encode, bare: _Pieces | None = None):
         super().__init__()
         self.encode, self.old = encode, {}
+        # The same for pieces that follow no space.
+        self.bare = self if bare is None else bare
 
     def __missing__(self, piece: str) -> bytes:
+        if not piece[-1].isalnum() or "\n" in piece:
+            made = self._compound(piece)
+            if made is not None:
+                return made
         found = self.old.get(piece)
         if found is None:
             found = self.encode(piece)
@@ -36,6 +62,24 @@ class _Pieces(dict):
         self[piece] = found
         return found
 
+    def _line_feed(self) -> bytes:
+        found = self.get("\n")
+        if found is None:
+            found = self["\n"] = self.encode("\n")
+        return found
+
+    def _compound(self, piece: str) -> bytes | None:
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+                return None
+            feed = self.bare._line_feed()
+            return self[lines[0]] + b"".join(feed + self.bare[x] for x in lines[1:])
+        word = piece.rstrip(string.punctuation)
+        if len(word) == len(piece) or not word.isalpha():
+            return None
+        return self[word] + self.bare[piece[len(word) :]]
+
 
 class Encoder:
     """Encodes with one tokenizer file; made once per worker by ``encoder``."""
@@ -49,14 +93,16 @@ class Encoder:
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self._model, self._before = self._tokenizer.model, self._tokenizer.pre_tokenizer
-        self._first, self._later = _Pieces(self._encode), _Pieces(self._encode_later)
+        self._first = _Pieces(self._encode)
+        self._later = _Pieces(self._encode_later, self._first)
 
     def _encode(self, piece: str) -> bytes:
-        ids = [
-            token.id
-            for mapped, _ in self._before.pre_tokenize_str(piece)
-            for token in self._model.tokenize(mapped)
-        ]
+        # The pre-tokenizer leaves a word of letters, with the space before it, as it is.
+        if piece.isalpha() or piece[0] == " " and piece[1:].isalpha():
+            words = [byte_symbols(piece)]
+        else:
+            words = [word for word, _ in self._before.pre_tokenize_str(piece)]
+        ids = [token.id for word in words for token in self._model.tokenize(word)]
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def _encode_later(self, piece: str) -> bytes:

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import named
+from .encoding import byte_symbols
 
 END = "</w>"
 # Words remembered per worker.
@@ -122,7 +123,7 @@ class WordPieces:
 
     def mapped(self, word: str) -> str:
         """One symbol per byte, as byte-level vocabularies write them."""
-        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_SYMBOLS)
+        return byte_symbols(word)
 
     def _chunk(self, chunk: str) -> tuple[int, int]:
         words = self.words(chunk)
@@ -144,14 +145,6 @@ class WordPieces:
         return tokens, words
 
 
-def _byte_symbols() -> dict[int, str]:
-    """Printable Latin-1 characters stand for themselves, the other bytes for 256 and on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-_BYTE_SYMBOLS = _byte_symbols()
 _counters: dict[str, WordPieces] = {}
 
 
