@@ -133,12 +133,12 @@ def band_keys(first: np.ndarray, bands: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted arrays taken as multisets."""
-    if not len(a) or not len(b):
-        return 0.0
-    both = np.concatenate([a, b])
-    values = np.unique(both)
-    left = np.searchsorted(a, values, "right") - np.searchsorted(a, values, "left")
-    right = np.searchsorted(b, values, "right") - np.searchsorted(b, values, "left")
-    return float(np.minimum(left, right).sum() / np.maximum(left, right).sum())
+def tagged(sorted_values: np.ndarray) -> np.ndarray:
+    """Sorted values made distinct: the second, third, ... of equal ones get hashes of their
+    own. Two multisets overlap as much as the sets of their tagged values."""
+    if not len(sorted_values):
+        return sorted_values
+    values, counts = counted(sorted_values)
+    turns = np.arange(len(sorted_values)) - np.repeat(np.cumsum(counts) - counts, counts)
+    again = mixed(sorted_values ^ mixed(turns.astype(np.uint64)))
+    return np.where(turns == 0, sorted_values, again)

@@ -80,15 +80,8 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"content": content, "marks": marks, "bands": bands})
 
 
-def _overlaps(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(
-        [bag.overlap(a.view(np.uint64), b.view(np.uint64)) for a, b in zip(left, right)],
-        dtype=float,
-    )
-
-
 def _shingled(texts: pd.Series) -> pd.Series:
-    return pd.Series([bag.shingles(bag.words_of(t)).view(np.int64) for t in texts])
+    return pd.Series([bag.tagged(bag.shingles(bag.words_of(t))).view(np.int64) for t in texts])
 
 
 class _Rows:
@@ -134,11 +127,10 @@ def _compared(pairs: DataFrame, shingled: DataFrame) -> DataFrame:
     """``pairs`` of nodes ``a`` and ``b`` with their similarity."""
     left = shingled.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = shingled.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    overlap = F.pandas_udf(_overlaps, "double")
+    common = F.size(F.array_intersect("left", "right"))
+    either = F.size("left") + F.size("right") - common
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", overlap("left", "right").alias("similarity"))
+        pairs.join(left, "a").join(right, "b").select("a", "b", (common / either).alias("similarity"))
     )
 
 
