@@ -2,10 +2,10 @@
 
 Windows, medians and outer joins put all the rows of a key together. Where one key may hold
 a third of a table that is one task doing a third of the work, so those operators first ask
-which keys are hot. The answer comes from a mergeable heavy-hitter sketch: one pass over the
-key columns, sketches instead of keys in the shuffle, merged in two levels, and a result of at
-most ``_TRACKED`` entries. Keys are compared by their 64-bit hash, so NULL is a key like any other and a collision only sends a
-small group down the path for large ones, which is exact as well.
+which keys are hot: rows are counted per key hash, combined in the map tasks, and only keys
+above the limit are kept, at most rows / limit of them. Keys are compared by their 64-bit
+hash, so NULL is a key like any other and a collision only sends a small group down the path
+for large ones, which is exact as well.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..errors import RecipeError
 from ..functions.names import cols, quoted
 from ..sources.files import Folder
 
@@ -26,12 +27,8 @@ from ..sources.files import Folder
 GROUP_ROWS = 4_000_000
 _SETTING = "spark.plumbline.groupRows"
 
-# Hottest keys split apart, and counters a sketch keeps. Every key beyond the first _TRACKED
-# holds less than 1/_TRACKED of the rows, an ordinary share of a large shuffle.
-_TRACKED = 1_000
-_SKETCH = 10_000
-# Tasks that merge the sketches of the scan before one task merges theirs.
-_MERGERS = 256
+# Hot keys up to this number are compared in an expression, more of them by a join.
+_LISTED = 1_000
 
 
 def group_rows(spark: SparkSession, default: int = GROUP_ROWS) -> int:
@@ -50,16 +47,21 @@ class HotGroups:
     def __bool__(self) -> bool:
         return bool(self.rows)
 
-    def _member(self) -> Column:
+    def _part(self, df: DataFrame, hot: bool) -> DataFrame:
         if not self.keys:
-            return F.lit(True)
-        return F.xxhash64(*cols(self.keys)).isin(list(self.hashes))
+            return df if hot else df.filter(F.lit(False))
+        key = F.xxhash64(*cols(self.keys))
+        if len(self.hashes) <= _LISTED:
+            listed = key.isin(list(self.hashes))
+            return df.filter(listed if hot else ~listed)
+        known = df.sparkSession.createDataFrame([(h,) for h in self.hashes], "__hot bigint")
+        return df.join(known, key == known["__hot"], "left_semi" if hot else "left_anti")
 
     def inside(self, df: DataFrame) -> DataFrame:
-        return df.filter(self._member())
+        return self._part(df, True)
 
     def outside(self, df: DataFrame) -> DataFrame:
-        return df.filter(~self._member())
+        return self._part(df, False)
 
     @property
     def pieces(self) -> int:
@@ -72,29 +74,22 @@ def hot_groups(df: DataFrame, keys: list[str], default: int = GROUP_ROWS) -> Hot
     if not keys:
         rows = df.count()
         return HotGroups((), (), rows if rows > limit else 0, limit)
-    partial = (
-        df.select(
-            (F.spark_partition_id() % _MERGERS).alias("__merger"),
-            F.xxhash64(*cols(keys)).alias("__key"),
-        )
-        .groupBy("__merger")
-        .agg(F.expr(f"approx_top_k_accumulate(__key, {_SKETCH})").alias("__sketch"))
+    counts = df.groupBy(F.xxhash64(*cols(keys)).alias("key")).agg(F.count("*").alias("rows"))
+    hot = counts.filter(F.col("rows") > limit).collect()
+    return HotGroups(
+        tuple(keys), tuple(r["key"] for r in hot), sum(r["rows"] for r in hot), limit
     )
-    merged = f"approx_top_k_combine(__sketch, {_SKETCH})"
-    top = F.expr(f"approx_top_k_estimate({merged}, {_TRACKED})")
-    # Grouped by a constant: without rows there are no sketches, and then no result row.
-    found = partial.groupBy(F.lit("all")).agg(top.alias("top")).first()
-    hot = [(e["item"], e["count"]) for e in (found["top"] if found else []) if e["count"] > limit]
-    return HotGroups(tuple(keys), tuple(k for k, _ in hot), sum(n for _, n in hot), limit)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The shared folder the cluster names; a local one only when none is set (tests)."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
-        )
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RecipeError("Set spark.checkpoint.dir to a folder that all executors share.")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
 
 
 def settled(df: DataFrame) -> DataFrame:

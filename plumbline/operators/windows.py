@@ -225,7 +225,7 @@ def _placed(
         "*", F.coalesce(F.sum(col(size)).over(earlier), F.lit(0)).alias(before)
     )
     on = same_keys(pieces, offsets, [*names.items()]) & (col(piece) == col(at))
-    return pieces.join(F.broadcast(offsets), on, "inner").select(
+    return pieces.join(offsets, on, "inner").select(
         *cols(df.columns),
         (col(before) + col(serial) - col(first) + F.lit(1)).alias(place),
     )
@@ -251,12 +251,14 @@ def _running_sum(placed: DataFrame, call: WindowCall, place: str, limit: int) ->
     here = spare_name("here", taken)
     summed = sliced.select("*", local.alias(here))
     on = same_keys(summed, bases, [*names.items()]) & (col(part) == col(at))
-    joined = summed.join(F.broadcast(bases), on, "inner")
+    joined = summed.join(bases, on, "inner")
     # A sum of nothing but NULLs is NULL, on either side.
     value = F.when(col(here).isNull(), col(base)).otherwise(
         F.coalesce(col(base) + col(here), col(here))
     )
-    return put(joined, call.into, value)
+    # The type that one window over the whole group gives: adding sums widens decimals.
+    plain = placed.select(F.sum(col(call.column))).schema[0].dataType
+    return put(joined, call.into, value.cast(plain))
 
 
 def _neighbours(placed: DataFrame, call: WindowCall, place: str, limit: int) -> DataFrame:

@@ -40,10 +40,6 @@ from .spec import check_shape, recipe_type, resolve_inputs
 
 log = logging.getLogger(__name__)
 
-# Keys up to this many are sent to every executor instead of shuffling the table. They are
-# counted first, on rows already written.
-BROADCAST_KEYS = 500_000
-
 
 def build(
     spark: SparkSession,
@@ -185,7 +181,7 @@ def _touched_groups(df: DataFrame, test: Column, keys: list[str]) -> DataFrame:
     names = {k: spare_name(f"key{i}", df.columns) for i, k in enumerate(keys)}
     touched = df.filter(test).select(*[col(k).alias(n) for k, n in names.items()]).distinct()
     on = reduce(Column.__and__, [col(k) == col(n) for k, n in names.items()])
-    return df.join(_sent(touched), on, "left_semi")
+    return df.join(touched, on, "left_semi")
 
 
 # --------------------------------------------------------------------------- strategies
@@ -240,8 +236,7 @@ def _replace_keys(
         if merging:
             _refuse_repeated_keys(known, keys)
         names = {k: spare_name(f"key{i}", held.columns) for i, k in enumerate(keys)}
-        arriving = known.select(*[col(k).alias(n) for k, n in names.items()]).distinct()
-        gone = _sent(arriving)
+        gone = known.select(*[col(k).alias(n) for k, n in names.items()]).distinct()
         on = reduce(Column.__and__, [col(k) == col(n) for k, n in names.items()])
         if partition_by and not change.rewritten and not lacking:
             if change.widened:
@@ -276,11 +271,6 @@ def _with_old_values(
     )
 
 
-def _sent(small: DataFrame) -> DataFrame:
-    """Broadcast only what was counted to be small; otherwise Spark picks the join."""
-    return F.broadcast(small) if small.count() <= BROADCAST_KEYS else small
-
-
 def _replace_in_partitions(
     table: RecipeTable,
     held: DataFrame,
@@ -294,8 +284,7 @@ def _replace_in_partitions(
     as_places = [col(p).alias(n) for p, n in places.items()]
     holding = held.join(gone, on, "left_semi").select(*as_places)
     receiving = rows.select(*as_places)
-    with settled_while(holding.union(receiving).distinct()) as found:
-        touched = _sent(found)
+    with settled_while(holding.union(receiving).distinct()) as touched:
         inside = held.join(touched, same_keys(held, touched, list(places.items())), "left_semi")
         # Settled before it is written: a failed write never loses the rows it was replacing.
         with settled_while(inside.join(gone, on, "left_anti").union(rows)) as result:

@@ -11,8 +11,9 @@ from ..functions import patterns
 from ..functions.names import col
 from ..functions.types import BOOLEAN, DATE, NUMBER, TEXT, family, filled, storage
 
-# How many columns a full profile covers, and the families it can measure.
-PROFILE_MAX_COLUMNS = 60
+# Columns measured by one aggregate: a wider dataset takes several.
+_COLUMNS_PER_PASS = 50
+# The families a full profile can measure.
 PROFILED = (TEXT, NUMBER, DATE, BOOLEAN)
 
 # The share of filled values that settles a meaning, in percent.
@@ -140,14 +141,10 @@ def _valid(meanings: tuple[str, ...]) -> Column:
 # ------------------------------------------------------------------------- full profile
 
 
-def profiled_columns(df: DataFrame) -> tuple[list[str], dict[str, list[str]]]:
-    """The columns a full profile covers, and those it leaves out, by reason."""
+def profiled_columns(df: DataFrame) -> tuple[list[str], list[str]]:
+    """The columns a full profile covers, and those whose type it cannot measure."""
     fit = [f.name for f in df.schema.fields if family(f.dataType) in PROFILED]
-    kept = fit[:PROFILE_MAX_COLUMNS]
-    return kept, {
-        "type": [f.name for f in df.schema.fields if f.name not in fit],
-        "limit": fit[PROFILE_MAX_COLUMNS:],
-    }
+    return fit, [n for n in df.columns if n not in fit]
 
 
 def full_profile(df: DataFrame) -> DataFrame:
@@ -160,8 +157,31 @@ def full_profile(df: DataFrame) -> DataFrame:
     names, _ = profiled_columns(df)
     if not names:
         raise RecipeError("No column of this dataset can be profiled.")
+    numbered = list(enumerate(names))
+    passes = [
+        _measured(df, numbered[at : at + _COLUMNS_PER_PASS])
+        for at in range(0, len(names), _COLUMNS_PER_PASS)
+    ]
+    return (
+        reduce(DataFrame.union, passes)
+        .join(_distinct_counts(df, names), "position", "left")
+        .select(
+            "position",
+            "column",
+            "total",
+            "filled",
+            "empty",
+            F.coalesce("distinct", F.lit(0)).alias("distinct"),
+            "min",
+            "max",
+        )
+    )
+
+
+def _measured(df: DataFrame, numbered: list[tuple[int, str]]) -> DataFrame:
+    """Everything but the distinct values of some columns, in one aggregate."""
     measures = [F.count(F.lit(1)).alias("total")]
-    for i, n in enumerate(names):
+    for i, n in numbered:
         c = col(n)
         measures += [
             F.count_if(filled(c, df.schema[n].dataType)).alias(f"filled{i}"),
@@ -178,22 +198,9 @@ def full_profile(df: DataFrame) -> DataFrame:
             F.col(f"min{i}").alias("min"),
             F.col(f"max{i}").alias("max"),
         )
-        for i, n in enumerate(names)
+        for i, n in numbered
     ]
-    simple = df.agg(*measures).select(F.inline(F.array(*entries)))
-    return (
-        simple.join(_distinct_counts(df, names), "position", "left")
-        .select(
-            "position",
-            "column",
-            "total",
-            "filled",
-            "empty",
-            F.coalesce("distinct", F.lit(0)).alias("distinct"),
-            "min",
-            "max",
-        )
-    )
+    return df.agg(*measures).select(F.inline(F.array(*entries)))
 
 
 def _distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from datetime import date
 
 import pytest
 
+from plumbline.operators.skew import hot_groups
+
 from tests.helpers import column, rows, steps
 
 ALL = ["row_number", "rank", "dense_rank", "lag", "lead", "running_sum", "moving_avg"]
@@ -192,3 +194,23 @@ def test_dedup_ties(spark, small_groups):
 def test_dedup_cuts_down_before_the_shuffle(spark, updates):
     plan = dedup(spark, updates, ["customer_id"], "maj_le")._jdf.queryExecution().toString()
     assert "row_number(), 1, Partial" in plan
+
+
+def test_every_hot_key_is_found(spark, small_groups):
+    df = spark.range(6_000).selectExpr("id % 1500 as k", "id")
+    with small_groups(3):
+        hot = hot_groups(df, ["k"])
+        assert len(hot.hashes) == 1_500 and hot.rows == 6_000
+        assert hot.inside(df).count() == 6_000 and hot.outside(df).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "bigint", "double"])
+@pytest.mark.parametrize("by", [["k"], []])
+def test_running_sum_keeps_its_type_when_split(spark, small_groups, kind, by):
+    df = spark.range(60).selectExpr("id", "id % 2 as k", f"cast(id as {kind}) as v")
+    params = {"column": "v", "partition_by": by, "order_by": [{"column": "id"}]}
+    plain = window(spark, df, "running_sum", **params)
+    with small_groups(5):
+        split = window(spark, df, "running_sum", **params)
+    assert split.schema["w"].dataType == plain.schema["w"].dataType
+    assert rows(split.select("id", "w")) == rows(plain.select("id", "w"))
