@@ -13,13 +13,14 @@ from collections.abc import Mapping
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import RecipeError
-from ..functions.names import col, cols, filled_names, spare_name
+from ..functions.names import col, cols, filled_names, require, spare_name
 from ..functions.types import DATE, TEXT, family
 from ..operators import joins
 from ..operators.skew import same_keys, settled_while
+from ..quality.checks import declared_tests, enforce, run_tests
 from ..sources.tables import SLICE, RecipeTable
 from . import guards
 from .output import (
@@ -53,6 +54,10 @@ def build(
 
     ``target`` is a folder, needed by ``table`` and ``incremental`` outputs. ``now`` ends the
     last slice of a microbatch load and defaults to the current UTC time.
+
+    The tests declared on the output's columns run on what was written, and a failing one of
+    severity 'error' raises. A version written whole is not shown to readers before it has
+    passed; rows added to the current version are there already.
     """
     check_shape(spec)
     out = spec.get("output") or {}
@@ -68,7 +73,12 @@ def build(
         return df
     if not target:
         raise RecipeError(f"A '{kind}' output needs a target folder.")
-    table = RecipeTable(spark, target)
+    tests = declared_tests(spec)
+
+    def passed(rows: DataFrame) -> None:
+        enforce(run_tests(rows, tests, datasets))
+
+    table = RecipeTable(spark, target, passed if tests else None)
     partition_by = filled_names(out.get("partition_by"))
     if kind == "table":
         df = _storable(compute(spark, spec, inputs))
@@ -80,7 +90,10 @@ def build(
         df = _storable(compute(spark, spec, inputs))
         table.replace(df, _layout(partition_by, df.columns))
     else:
-        load(table, compute(spark, spec, arrivals_only(spec, inputs, table)), out)
+        arrivals = arrivals_only(spec, inputs, table)
+        load(table, compute(spark, spec, arrivals, this=table.read()), out)
+    if tests and not table.checked:
+        passed(table.read())
     return table.read()
 
 
@@ -122,21 +135,20 @@ def arrivals_only(
     if kind == "group":
         df = inputs[driver]
         guards.check_group(spec, driver, df.columns)
-        test = bound_test(df, out, table)
+        test = bound_test(out, table)
         if test is None:
             return inputs
         return {driver: _touched_groups(df, test, filled_names(spec.get("group_by")))}
     bounded = inputs if kind == "stack" else {driver: inputs[driver]}
-    filtered = dict(inputs)
     for alias, df in bounded.items():
         guards.check_prepare_input(out, alias, df.columns)
-        test = bound_test(df, out, table)
-        if test is not None:
-            filtered[alias] = df.filter(test)
-    return filtered
+    test = bound_test(out, table)
+    if test is None:
+        return inputs
+    return inputs | {alias: df.filter(test) for alias, df in bounded.items()}
 
 
-def bound_test(df: DataFrame, out: dict, table: RecipeTable) -> Column | None:
+def bound_test(out: dict, table: RecipeTable) -> Column | None:
     """``column > bound`` with the bound as a literal; None when the table holds none."""
     name = bound_column(out)
     written = table.read()
@@ -307,7 +319,10 @@ def _build_slices(
     """Rewrites whole time slices, all in one job: a slice is a partition of the table.
 
     Row-wise, grouped and stacked recipes treat every slice alike, so the range is computed
-    at once. Joins and SQL could pair rows of different slices, so they run slice by slice.
+    at once. In a join, timed inputs only match rows of their own slice: where the output's
+    time comes from the first input, the slice is part of the join key. What is left, SQL and
+    joins whose time comes from elsewhere, could pair rows of different slices and runs slice
+    by slice.
     """
     out = spec.get("output") or {}
     plan = slices(out)
@@ -321,7 +336,9 @@ def _build_slices(
         for alias, item in zip(inputs, spec.get("inputs") or [], strict=True)
         if item.get("event_time")
     }
-    apart = recipe_type(spec) == "sql" or len(timed) > 1 and recipe_type(spec) == "join"
+    apart, labels = recipe_type(spec) == "sql", {}
+    if recipe_type(spec) == "join":
+        apart, labels = _slices_of_join(spec, inputs, timed, plan)
     bounds = [(start, end)]
     if apart and timed:
         bounds = []
@@ -333,7 +350,8 @@ def _build_slices(
             a: (_between(df, timed[a], low, high) if a in timed else df)
             for a, df in inputs.items()
         }
-        rows = _between(_storable(compute(spark, spec, seen)), plan.column, low, high)
+        made = _storable(compute(spark, spec, seen, within=labels))
+        rows = _between(made, plan.column, low, high)
         rows = _labelled(rows, plan)
         if first_build and n == 0:
             table.replace(rows, [SLICE])
@@ -341,6 +359,29 @@ def _build_slices(
             _write_slices(table, rows, out, plan, low, high)
 
 
+def _slices_of_join(
+    spec: dict, inputs: dict[str, DataFrame], timed: dict[str, str], plan: Slices
+) -> tuple[bool, dict[str, Column]]:
+    """Whether the join must run slice by slice, and else the slice labels its rows match by.
+
+    A row of the output lies in the slice of its time column. Rows that no row of the input
+    holding that column went into have no time and are in no slice.
+    """
+    names = joins.output_names(spec, {a: df.columns for a, df in inputs.items()})
+    origin, column = next(((a, c) for a, c, n in names if n == plan.column), (None, None))
+    if timed.get(origin, column) != column:
+        return True, {}
+    others = [a for a in timed if a != origin]
+    if not others:
+        return False, {}
+    if origin != next(iter(inputs)):
+        return True, {}
+    times = {origin: column} | timed
+    for alias, name in times.items():
+        require(inputs[alias], name, f"Time of '{alias}'")
+    return False, {a: _slice_label(name, plan) for a, name in times.items()}
+
+
 def _write_slices(
     table: RecipeTable, rows: DataFrame, out: dict, plan: Slices, low: datetime, high: datetime
 ) -> None:
@@ -352,21 +393,27 @@ def _write_slices(
         table.replace(shaped(table.read_stored(), change.schema), [SLICE])
     elif change.widened:
         table.widen(change.schema)
-    written = Observation()
-    observed = rows.observe(written, F.count(F.lit(1)).alias("n"), F.collect_set(SLICE).alias("s"))
-    table.overwrite_partitions(observed, [SLICE])
-    # A slice that has become empty writes no file: its old rows are removed by name.
-    full = set(written.get["s"] or [])
     first, last = _label(low, plan.size), _label(high, plan.size)
-    for value in table.partition_values(SLICE):
-        if first <= value < last and value not in full:
+
+    def files() -> dict[str, list[str]]:
+        values = [v for v in table.partition_values(SLICE) if first <= v < last]
+        return {v: table.partition_files(SLICE, v) for v in values}
+
+    held = files()
+    table.overwrite_partitions(rows, [SLICE])
+    # A slice that has become empty gets no new file: its old ones are removed by name.
+    for value, names in files().items():
+        if names == held.get(value):
             table.drop_partition(SLICE, value)
 
 
 def _labelled(df: DataFrame, plan: Slices) -> DataFrame:
-    text = col(plan.column).cast("timestamp_ntz").cast("string")
-    label = F.translate(F.substring(text, 1, _LABEL[plan.size]), " ", "T")
-    return df.select(*cols(df.columns), label.alias(SLICE))
+    return df.select(*cols(df.columns), _slice_label(plan.column, plan).alias(SLICE))
+
+
+def _slice_label(column: str, plan: Slices) -> Column:
+    text = col(column).cast("timestamp_ntz").cast("string")
+    return F.translate(F.substring(text, 1, _LABEL[plan.size]), " ", "T")
 
 
 # Characters of 'YYYY-MM-DD HH:MM:SS' that tell slices of a size apart.

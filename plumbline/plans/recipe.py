@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..errors import RecipeError
 from ..operators import groups, joins, sql, stacks
@@ -33,9 +33,17 @@ def run_recipe(
 
 
 def compute(
-    spark: SparkSession, spec: dict, inputs: dict[str, DataFrame], upto: int | None = None
+    spark: SparkSession,
+    spec: dict,
+    inputs: dict[str, DataFrame],
+    upto: int | None = None,
+    this: DataFrame | None = None,
+    within: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """The recipe over resolved inputs; incremental guards apply to the whole recipe."""
+    """The recipe over resolved inputs; incremental guards apply to the whole recipe.
+
+    ``this`` is the table SQL text of a later load may name, ``within`` labels joined rows.
+    """
     kind, out = recipe_type(spec), spec.get("output") or {}
     alias, first = next(iter(inputs.items()))
     if kind == "prepare":
@@ -44,7 +52,7 @@ def compute(
         names = joins.output_names(spec, {a: df.columns for a, df in inputs.items()})
         guards.check_join(spec, inputs, names)
         guards.check_produced(out, [n for _, _, n in names])
-        return joins.join(spec, inputs)
+        return joins.join(spec, inputs, within)
     if kind == "group":
         guards.check_group(spec, alias, first.columns)
         guards.check_produced(out, groups.output_names(spec))
@@ -54,7 +62,7 @@ def compute(
         guards.check_produced(out, stacks.output_names(inputs))
         return stacks.stack(spec, inputs)
     guards.check_sql(out)
-    df = sql.run_sql(spark, spec, inputs, known_names(spec))
+    df = sql.run_sql(spark, spec, inputs, known_names(spec), this)
     guards.check_produced(out, df.columns)
     return df
 

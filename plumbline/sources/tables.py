@@ -12,6 +12,7 @@ the schema explicitly: no footers are merged, and dropped columns are never read
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
@@ -31,10 +32,19 @@ class Version:
 
 
 class RecipeTable:
-    """A target in a folder every executor can reach (a shared file system or object store)."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """A target in a folder every executor can reach (a shared file system or object store).
+
+    ``check`` sees the rows of a full rewrite before anyone else does, and may raise.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        check: Callable[[DataFrame], object] | None = None,
+    ):
+        self.spark, self.path, self._check = spark, path.rstrip("/"), check
+        self.checked = False
         self._folder = Folder(spark)
         self._schemas: dict[Version, T.StructType] = {}
 
@@ -79,12 +89,23 @@ class RecipeTable:
         }
         current = self.version()
         number = max(known.values(), default=0) + 1
-        self._write(df, "overwrite", partition_by).parquet(self._data_path(number))
+        where = self._data_path(number)
+        self._write(df, "overwrite", partition_by).parquet(where)
+        if self._check:
+            self._pass(self.spark.read.schema(df.schema).parquet(where), where)
         self._write_schema(df.schema, Version(number, 1))
         for name, held in known.items():
             if current is None or held != current.number:
                 self._folder.remove(f"{self.path}/{name}")
 
+    def _pass(self, rows: DataFrame, where: str) -> None:
+        try:
+            self._check(rows.select(*cols(c for c in rows.columns if c != SLICE)))
+        except Exception:
+            self._folder.remove(where)
+            raise
+        self.checked = True
+
     # -- changes inside the current version
 
     def widen(self, schema: T.StructType) -> None:
@@ -118,6 +139,10 @@ class RecipeTable:
         names = self._folder.children(self._data_path(self._current().number))
         return sorted(n[len(prefix) :] for n in names if n.startswith(prefix))
 
+    def partition_files(self, column: str, value: str) -> list[str]:
+        where = f"{self._data_path(self._current().number)}/{column}={value}"
+        return sorted(self._folder.children(where))
+
     def drop_partition(self, column: str, value: str) -> None:
         self._folder.remove(f"{self._data_path(self._current().number)}/{column}={value}")
 

@@ -4,7 +4,7 @@ from datetime import date, datetime
 
 import pytest
 
-from plumbline import RecipeError, RecipeTable, build, load_arrivals, run_recipe
+from plumbline import DataTestFailure, RecipeError, RecipeTable, build, load_arrivals, run_recipe
 from tests.helpers import column, rows
 
 
@@ -350,6 +350,58 @@ def test_microbatch_join_stays_inside_a_slice(spark, target):
     assert rows(out.select("id", "other")) == [(1, datetime(2024, 1, 1, 3)), (2, None)]
 
 
+@pytest.mark.parametrize("timed", ["b", "ab"])
+@pytest.mark.parametrize("kind", ["left", "inner", "full"])
+@pytest.mark.parametrize("time_of", ["a", "b"])
+def test_microbatch_join_does_not_depend_on_the_builds(spark, tmp_path, timed, kind, time_of):
+    spec = spec_of(
+        "join",
+        ["a", "b"],
+        joins=[{"type": kind, "on": [{"left": "id", "right": "id"}]}],
+        select=[
+            {"from": time_of, "column": "at"},
+            {"from": "a", "column": "at", "as": "at_a"},
+            {"from": "b", "column": "at", "as": "at_b"},
+        ],
+        output=sliced(lookback=0),
+    )
+    for i in spec["inputs"]:
+        if i["ref"] in timed:
+            i["event_time"] = "at"
+    days = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    a = events(spark, (1, days[0]), (1, days[1]), (2, days[2]), (3, days[0]))
+    b = events(spark, (1, days[1]), (2, days[0]), (2, days[2]), (4, days[1]), (3, days[1]))
+    once, often = str(tmp_path / "once"), str(tmp_path / "often")
+    out = build(spark, spec, {"a": a, "b": b}, once, now=days[2])
+    for day in days:
+        again = build(spark, spec, {"a": a, "b": b}, often, now=day)
+    assert rows(out.select("at", "at_a", "at_b")) == rows(again.select("at", "at_a", "at_b"))
+    met = [(x, y) for _, x, y in rows(out.select("at", "at_a", "at_b")) if x and y]
+    if timed == "ab" or time_of == "a":
+        assert met == [(days[1], days[1]), (days[2], days[2])]
+
+
+def test_sql_reads_the_table_it_adds_to(spark, target):
+    later = "{% if is_incremental() %} where ts > (select max(ts) from {this}) {% endif %}"
+    spec = spec_of("sql", sql="select * from {ventes} " + later, output={"incremental_strategy": "append"})
+    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
+    newer = ventes(spark, *FIRST, (9, date(2030, 1, 1), "nice"))
+    assert build(spark, spec, {"ventes": newer}, target).count() == len(FIRST) + 1
+    with pytest.raises(RecipeError, match="first build has none"):
+        run_recipe(spark, {**spec, "sql": "select * from {this}"}, {"ventes": newer})
+
+
+def test_a_version_that_fails_its_tests_is_not_shown(spark, target):
+    output = {"materialized": "table", "columns": [{"name": "id", "tests": ["unique"]}]}
+    spec = spec_of(output=output)
+    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
+    with pytest.raises(DataTestFailure, match="unique"):
+        build(spark, spec, {"ventes": ventes(spark, *FIRST, *FIRST)}, target)
+    assert RecipeTable(spark, target).read().count() == len(FIRST)
+    output["columns"][0]["tests"] = [{"name": "unique", "severity": "warn"}]
+    assert build(spark, spec, {"ventes": ventes(spark, *FIRST, *FIRST)}, target).count() == 2 * len(FIRST)
+
+
 def test_microbatch_schema_change(spark, target):
     spec = spec_of(inputs=["ev"], output=sliced())
     build(spark, spec, {"ev": events(spark, (1, datetime(2024, 1, 1)))}, target, now=datetime(2024, 1, 1))

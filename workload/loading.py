@@ -412,6 +412,85 @@ QUERIES["inc_microbatch_emptied_slice"] = Query(
     """select * from orders where o_orderdate < '1998-06-01' or o_orderdate >= '1999-01-01'""",
 )
 
+
+def _sliced_join(*timed: str):
+    """Orders with their lines by year, built twice: timed inputs match within a year only."""
+    times = {"o": "o_orderdate", "l": "l_shipdate"}
+    spec = recipe(
+        "join",
+        inputs=[
+            {"ref": "orders", "alias": "o", **({"event_time": times["o"]} if "o" in timed else {})},
+            {"ref": "lineitem", "alias": "l", **({"event_time": times["l"]} if "l" in timed else {})},
+        ],
+        joins=[{"type": "left", "on": [{"left": "o_orderkey", "right": "l_orderkey"}]}],
+        select=[
+            {"from": "o", "column": "o_orderkey"},
+            {"from": "o", "column": "o_orderdate"},
+            {"from": "l", "column": "l_linenumber"},
+            {"from": "l", "column": "l_shipdate"},
+        ],
+        output=sliced("o_orderdate", "1996-01-01", "year"),
+    )
+
+    def run(spark, folder):
+        tables, target = Tables(spark, folder), new_target(spark)
+        for moment in (datetime(1999, 6, 15), datetime(2002, 1, 1)):
+            build(spark, spec, tables, target, now=moment)
+        return RecipeTable(spark, target).read()
+
+    return run
+
+
+_SAME_YEAR = "and date_trunc('year', o_orderdate) = date_trunc('year', l_shipdate)"
+for _name, _timed, _same in (
+    ("driver", "o", ""),
+    ("dimension", "l", _SAME_YEAR),
+    ("both", "ol", _SAME_YEAR),
+):
+    QUERIES[f"inc_microbatch_join_{_name}"] = Query(
+        _sliced_join(*_timed),
+        f"""select o_orderkey, o_orderdate, l_linenumber, l_shipdate from orders
+        left join lineitem on o_orderkey = l_orderkey {_same}
+        where o_orderdate >= '1996-01-01'""",
+    )
+
+# -------------------------------------------------------------------------- SQL and tests
+
+QUERIES["inc_sql"] = Query(
+    loads(
+        recipe(
+            "sql",
+            sql="""select event_id, ts, user_id, value from {src}
+            {% if is_incremental() %} where ts > (select max(ts) from {{ this }}) {% endif %}""",
+            output={"incremental_strategy": "append"},
+        ),
+        "events",
+        [only("ts < timestamp_ntz '2024-01-11'")],
+        [_DOUBLED],
+    ),
+    """select event_id, ts, user_id, case when ts > (select max(ts) from events
+    where ts < '2024-01-11') then value * 2 else value end as value from events""",
+)
+
+
+def _build_with_tests(spark, folder):
+    spec = recipe(
+        output={
+            "materialized": "table",
+            "columns": [
+                {"name": "o_orderkey", "tests": ["not_null", "unique"]},
+                {
+                    "name": "o_orderstatus",
+                    "tests": [{"name": "accepted_values", "values": ["F"], "severity": "warn"}],
+                },
+            ],
+        }
+    )
+    return build(spark, spec, {"src": Tables(spark, folder)["orders"]}, new_target(spark))
+
+
+QUERIES["build_with_tests"] = Query(_build_with_tests, "select * from orders")
+
 # ------------------------------------------------------------------------ schema changes
 
 _NARROW = keep("event_id", "ts", "user_id", "value")

@@ -264,8 +264,14 @@ add(
 add(
     "filter_documents_contains",
     "documents",
-    ("filter_value", {"column": "text", "operator": "contains", "value": "100%", "action": "keep"}),
-    sql="select * from documents where contains(text, '100%')",
+    ("filter_value", {"column": "text", "operator": "contains", "value": "%", "action": "keep"}),
+    sql="select * from documents where contains(text, '%')",
+)
+add(
+    "filter_documents_contains_marks",
+    "documents",
+    ("filter_value", {"column": "text", "operator": "contains", "value": ".*", "action": "keep"}),
+    sql="select * from documents where contains(text, '.*')",
 )
 
 # ------------------------------------------------------------------------------ cleaning

@@ -39,6 +39,7 @@ _CALLS = {
     "max": ({}, "max(price) over (partition by o_custkey)"),
     "count": ({}, "count(*) over (partition by o_custkey)"),
 }
+FUNCTIONS = tuple(_CALLS)
 for _fn, (_settings, _expr) in _CALLS.items():
     QUERIES[f"window_{_fn}"] = Query(
         prepared(
@@ -103,6 +104,7 @@ _GLOBAL = {
     "max": ({}, "max(value) over ()"),
     "count": ({}, "count(*) over ()"),
 }
+WITHOUT_KEYS = tuple(_GLOBAL)
 for _fn, (_settings, _expr) in _GLOBAL.items():
     QUERIES[f"window_global_{_fn}"] = Query(
         prepared(
