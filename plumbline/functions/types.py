@@ -18,15 +18,17 @@ _FAMILIES = (
     (COMPOSITE, (T.ArrayType, T.StructType, T.MapType, T.VariantType)),
 )
 
+# How values are stored, and what they mean where the type alone tells.
 _STORAGE = (
-    ("boolean", (T.BooleanType,)),
-    ("date", (T.DateType, T.TimestampType, T.TimestampNTZType)),
-    ("decimal", (T.DecimalType,)),
-    ("double", (T.DoubleType, T.FloatType)),
-    ("bigint", (T.LongType,)),
-    ("int", (T.IntegerType, T.ShortType, T.ByteType)),
-    ("string", (T.StringType, T.CharType, T.VarcharType)),
-    (COMPOSITE, (T.ArrayType, T.StructType, T.MapType, T.VariantType)),
+    ("boolean", "boolean", (T.BooleanType,)),
+    ("date", "date", (T.DateType,)),
+    ("date", "datetime", (T.TimestampType, T.TimestampNTZType)),
+    ("decimal", "decimal", (T.DecimalType,)),
+    ("double", "decimal", (T.DoubleType, T.FloatType)),
+    ("bigint", "integer", (T.LongType,)),
+    ("int", "integer", (T.IntegerType, T.ShortType, T.ByteType)),
+    ("string", None, (T.StringType, T.CharType, T.VarcharType)),
+    (COMPOSITE, None, (T.ArrayType, T.StructType, T.MapType, T.VariantType)),
 )
 
 # Fixed value: text that may stand as a bare number (no inf, nan or 1_000).
@@ -78,10 +80,17 @@ def family(dtype: T.DataType) -> str:
 
 
 def storage(dtype: T.DataType) -> str:
-    for name, classes in _STORAGE:
-        if isinstance(dtype, classes):
-            return name
-    return dtype.typeName()
+    return _stored(dtype)[0]
+
+
+def meaning(dtype: T.DataType) -> str | None:
+    """What every value of the type means; None where only the values can tell."""
+    return _stored(dtype)[1]
+
+
+def _stored(dtype: T.DataType) -> tuple[str, str | None]:
+    found = (row[:2] for row in _STORAGE if isinstance(dtype, row[2]))
+    return next(found, (dtype.typeName(), None))
 
 
 def spark_type(text: object) -> str:

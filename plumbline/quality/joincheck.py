@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -152,131 +153,89 @@ def _output_rows(driver: DataFrame, inputs: dict[str, DataFrame], checks: list)
 # ----------------------------------------------------------------------------- findings
 
 
-def join_findings(
-    spark: SparkSession, spec: dict, datasets: Mapping[str, DataFrame] | None = None
-) -> list[dict]:
-    """What the counts mean, worst news included: {level, kind, alias, title, detail}."""
-    rows = diagnose_join(spark, spec, datasets).orderBy("position").collect()  # one per input
-    driver = next(iter(resolve_inputs(spark, spec, datasets or {})))
-    return read_findings(driver, [r.asDict() for r in rows])
-
-
-def read_findings(driver: str, rows: list[dict]) -> list[dict]:
-    out = [_row_count(driver, rows[0]["driver_rows"], rows[0]["output_rows"])]
-    for r in rows:
-        if r["type"] == "cross":
-            out.append(
-                _finding(
-                    "bad" if r["joined_rows"] > 1 else "ok",
-                    "cross",
-                    r["alias"],
-                    f"'{r['alias']}' is cross joined: each row of '{driver}' is repeated "
-                    f"{r['joined_rows']} times.",
-                    "A cross join matches nothing, it combines everything.",
-                )
-            )
-            continue
-        out += [_cardinality(driver, r), *_orphans(driver, r), *_null_keys(driver, r)]
-    return out
-
-
-def _finding(level: str, kind: str, alias: str, title: str, detail: str) -> dict:
-    return {"level": level, "kind": kind, "alias": alias, "title": title, "detail": detail}
+class Rule(NamedTuple):
+    """A finding on a row of the diagnosis: when it holds, and what it says of which input.
 
+    ``when``, ``side``, ``n`` and ``values`` are SQL over the diagnosis and ``driver``.
+    """
 
-def _row_count(driver: str, before: int, after: int) -> dict:
-    counts = f"{before} rows in, {after} out."
-    if before == 0:
-        return _finding("warn", "empty", driver, f"'{driver}' is empty.", "Nothing to diagnose.")
-    if after > before:
-        factor = after / before
-        shown = str(round(factor)) if abs(factor - round(factor)) < 0.01 else f"{factor:.1f}"
-        return _finding(
-            "bad",
-            "fan_out",
-            driver,
-            f"This join multiplies the rows of '{driver}' by {shown}.",
-            f"{counts} Any sum after it counts the same row several times.",
-        )
-    if after < before:
-        return _finding(
-            "warn", "lost", driver, f"This join loses {before - after} rows of '{driver}'.", counts
-        )
-    return _finding(
-        "ok",
-        "same",
-        driver,
-        f"The join does not change the number of rows: {before}.",
-        "Equal totals are not a one-to-one match: a repeated key and an unmatched one can "
-        "make up for each other. The findings below tell them apart.",
-    )
+    when: str
+    level: str
+    kind: str
+    side: str
+    n: str
+    title: str
+    values: str
+
+
+_KEYED = "type <> 'cross' and "
+_RULES = [
+    Rule("position = 1 and driver_rows = 0", "warn", "empty", "driver", "driver_rows",
+         "No rows in %s, so there is nothing to judge.", "driver"),
+    Rule("position = 1 and driver_rows > 0 and output_rows > driver_rows", "bad", "fan_out",
+         "driver", "output_rows", "%s has %d rows and the join gives %d: sums are overstated.",
+         "driver, driver_rows, output_rows"),
+    Rule("position = 1 and output_rows < driver_rows", "warn", "lost", "driver", "output_rows",
+         "%s has %d rows and only %d come out.", "driver, driver_rows, output_rows"),
+    Rule("position = 1 and driver_rows > 0 and output_rows = driver_rows", "ok", "same", "driver",
+         "output_rows", "%s has %d rows and as many come out; repeats and losses may cancel out.",
+         "driver, output_rows"),
+    Rule("type = 'cross' and joined_rows > 1", "bad", "cross", "alias", "joined_rows",
+         "Every row meets all %2$d rows of %1$s, as no key is compared.", "alias, joined_rows"),
+    Rule("type = 'cross' and joined_rows <= 1", "ok", "cross", "alias", "joined_rows",
+         "No key is compared with %s, which has %d rows.", "alias, joined_rows"),
+    Rule(_KEYED + "joined_max <= 1 and driver_max <= 1", "ok", "1-1", "alias", "joined_max",
+         "One row on either side of %s.", "keys"),
+    Rule(_KEYED + "joined_max <= 1 and driver_max > 1", "ok", "N-1", "alias", "joined_max",
+         "Each key of %s has one row in %s.", "keys, alias"),
+    Rule(_KEYED + "joined_max > 1 and driver_max <= 1", "bad", "1-N", "alias", "joined_max",
+         "A key of %s has up to %d rows in %s: group that input first.",
+         "keys, joined_max, alias"),
+    Rule(_KEYED + "joined_max > 1 and driver_max > 1", "bad", "N-N", "alias", "joined_max",
+         "A key of %s has up to %d rows in %s and %d in %s: it may lack a column.",
+         "keys, driver_max, driver, joined_max, alias"),
+]
+# What holds for either side: its column in front of the counts, and the joins that keep it.
+for _side, _counts, _keeps in (
+    ("driver", "driver", "('left', 'full')"),
+    ("alias", "joined", "('right', 'full')"),
+):
+    _alone = f"{_KEYED}{_counts}_orphans > 0 and type "
+    _values = f"{_counts}_orphans, {_side}, type"
+    _RULES += [
+        Rule(f"{_alone} in {_keeps}", "warn", "orphans_kept", _side, f"{_counts}_orphans",
+             "%d rows of %s match nothing and stay half empty after a %s join.", _values),
+        Rule(f"{_alone} not in {_keeps}", "bad", "orphans_dropped", _side, f"{_counts}_orphans",
+             "%d rows of %s match nothing and do not survive a %s join.", _values),
+        Rule(f"{_KEYED}{_counts}_nulls > 0", "warn", "null_keys", _side, f"{_counts}_nulls",
+             "%d rows of %s have no key, which equals no other key.", f"{_counts}_nulls, {_side}"),
+    ]
 
 
-def _cardinality(driver: str, r: dict) -> dict:
-    alias, keys = r["alias"], r["keys"]
-    here, there = r["driver_max"], r["joined_max"]
-    if there <= 1:
-        relation, side = ("1-1", "1 to 1") if here <= 1 else ("N-1", "N to 1")
-        return _finding(
-            "ok",
-            relation,
-            alias,
-            f"{side} on {keys}.",
-            f"'{driver}' has {r['driver_keys']} distinct keys, '{alias}' has "
-            f"{r['joined_keys']}, none of them repeated: joining '{alias}' multiplies nothing.",
+def finding_rows(diagnosis: DataFrame, driver: str) -> DataFrame:
+    """position, level, kind, alias, n, title: one row per rule that holds for a joined input."""
+    found = [
+        F.when(
+            F.expr(r.when),
+            F.struct(
+                F.lit(r.level).alias("level"),
+                F.lit(r.kind).alias("kind"),
+                F.expr(r.side).alias("alias"),
+                F.expr(r.n).cast("bigint").alias("n"),
+                F.expr(f"format_string('{r.title}', {r.values})").alias("title"),
+            ),
         )
-    if here <= 1:
-        return _finding(
-            "bad",
-            "1-N",
-            alias,
-            f"'{alias}' is not unique on {keys}: up to {there} rows for one key.",
-            f"{r['joined_keys']} distinct keys for {r['joined_rows']} rows. Deduplicate or "
-            f"group '{alias}' by its key before joining.",
-        )
-    return _finding(
-        "bad",
-        "N-N",
-        alias,
-        f"N to N on {keys}: neither '{driver}' nor '{alias}' is unique.",
-        f"Up to {here} rows for a key on one side and {there} on the other. A column is "
-        "probably missing from the join key.",
-    )
-
-
-def _orphans(driver: str, r: dict) -> list[dict]:
-    alias, kind = r["alias"], r["type"]
-    sides = (
-        (r["driver_orphans"], r["driver_rows"], driver, alias, kind in ("left", "full")),
-        (r["joined_orphans"], r["joined_rows"], alias, driver, kind in ("right", "full")),
-    )
-    out = []
-    for orphans, total, side, other, kept in sides:
-        if orphans:
-            fate = (
-                f"stay, with the columns of '{other}' empty" if kept else "leave the result"
-            )
-            out.append(
-                _finding(
-                    "warn" if kept else "bad",
-                    "orphans_kept" if kept else "orphans_dropped",
-                    side,
-                    f"{orphans} rows of '{side}' out of {total} have no match in '{other}'.",
-                    f"The join is '{kind}': these rows {fate}.",
-                )
-            )
-    return out
+        for r in _RULES
+    ]
+    named = diagnosis.withColumn("driver", F.lit(driver))
+    held = F.array_compact(F.array(*found))
+    return named.select("position", F.inline(held))
 
 
-def _null_keys(driver: str, r: dict) -> list[dict]:
-    return [
-        _finding(
-            "warn",
-            "null_keys",
-            side,
-            f"{empties} rows of '{side}' have an empty key.",
-            "An empty key matches nothing, not even another empty key.",
-        )
-        for empties, side in ((r["driver_nulls"], driver), (r["joined_nulls"], r["alias"]))
-        if empties
-    ]
+def join_findings(
+    spark: SparkSession, spec: dict, datasets: Mapping[str, DataFrame] | None = None
+) -> list[dict]:
+    """What the counts mean, as {level, kind, alias, n, title}: a few for each input."""
+    driver = next(iter(resolve_inputs(spark, spec, datasets or {})))
+    rows = finding_rows(diagnose_join(spark, spec, datasets), driver).orderBy("position")
+    return [r.asDict() for r in rows.drop("position").collect()]

@@ -295,8 +295,8 @@ def diagnosed(inputs: dict[str, str], joins: list[dict], made=None, findings: bo
         if not findings:
             return diagnose_join(spark, spec, datasets)
         found = join_findings(spark, spec, datasets)
-        rows = [(f["level"], f["kind"], f["alias"]) for f in found]
-        return spark.createDataFrame(rows, "level string, kind string, alias string")
+        rows = [(f["level"], f["kind"], f["alias"], f["n"]) for f in found]
+        return spark.createDataFrame(rows, "level string, kind string, alias string, n bigint")
 
     return run
 
@@ -386,12 +386,12 @@ QUERIES["join_findings"] = Query(
         (select count(*) from o join lineitem on k = l_orderkey) as b)
     select case when b > a then 'bad' when b < a then 'warn' else 'ok' end as level,
         case when b > a then 'fan_out' when b < a then 'lost' else 'same' end as kind,
-        'o' as alias from t union all
+        'o' as alias, b as n from t union all
     select case when joined_max <= 1 then 'ok' else 'bad' end,
         case when joined_max <= 1 then case when driver_max <= 1 then '1-1' else 'N-1' end
-        when driver_max <= 1 then '1-N' else 'N-N' end, 'l' from m union all
-    select 'bad', 'orphans_dropped', 'o' from m where driver_orphans > 0 union all
-    select 'bad', 'orphans_dropped', 'l' from m where joined_orphans > 0 union all
-    select 'warn', 'null_keys', 'o' from m where driver_nulls > 0 union all
-    select 'warn', 'null_keys', 'l' from m where joined_nulls > 0""",
+        when driver_max <= 1 then '1-N' else 'N-N' end, 'l', joined_max from m union all
+    select 'bad', 'orphans_dropped', 'o', driver_orphans from m where driver_orphans > 0 union all
+    select 'bad', 'orphans_dropped', 'l', joined_orphans from m where joined_orphans > 0 union all
+    select 'warn', 'null_keys', 'o', driver_nulls from m where driver_nulls > 0 union all
+    select 'warn', 'null_keys', 'l', joined_nulls from m where joined_nulls > 0""",
 )
