@@ -62,22 +62,27 @@ def _measured(
     df: DataFrame, keys: list[str], measures: list[dict], names: list[str]
 ) -> DataFrame:
     plain: list[Column] = []
+    distinct: dict[str, Column] = {}
     wide: dict[str, Column] = {}
     medians: list[Column] = []
     # A distinct count groups by (key, value) first, which would carry every median's values
-    # through one more shuffle in many small groups: next to one, medians are apart.
-    apart = any(a.get("fn") == "count_distinct" for a in measures)
+    # through one more shuffle in many small groups: next to one, medians are apart. Several
+    # of them in one aggregate would multiply the rows, so each then groups for itself.
+    counted = sum(a.get("fn") == "count_distinct" for a in measures)
     for a, name in zip(measures, names[len(keys) :], strict=True):
         fn, argument = _argument(df, a)
         if fn == "median" and _too_wide(df, keys, argument):
             wide[name] = argument
-        elif fn == "median" and apart:
+        elif fn == "count_distinct" and counted > 1:
+            distinct[name] = argument
+        elif fn == "median" and counted:
             medians.append(F.median(argument).alias(name))
         else:
             plain.append(AGGREGATIONS[fn](argument).alias(name))
     parts = [_aggregated(df, keys, p) for p in (plain, medians) if p]
+    parts += [_distinct_count(df, keys, argument, name) for name, argument in distinct.items()]
     parts += [_positional_median(df, keys, argument, name) for name, argument in wide.items()]
-    if not parts[1:] and not wide:
+    if not parts[1:] and not wide and not distinct:
         return parts[0].select(*cols(names))
     # Every group, so that one without any value to take the median of stays in the result.
     if not plain:
@@ -90,6 +95,12 @@ def _aggregated(df: DataFrame, keys: list[str], measures: list[Column]) -> DataF
     return df.groupBy(*cols(keys)).agg(*measures) if keys else df.agg(*measures)
 
 
+def _distinct_count(df: DataFrame, keys: list[str], argument: Column, name: str) -> DataFrame:
+    """Distinct pairs of group and value first, combined in the map tasks, then their number."""
+    pairs = df.select(*cols(keys), argument.alias("__value")).distinct()
+    return _aggregated(pairs, keys, [F.count("__value").alias(name)])
+
+
 def _beside(out: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
     """The measures of a part next to those already there, group by group."""
     names = {k: spare_name(f"key{i}", out.columns) for i, k in enumerate(keys)}

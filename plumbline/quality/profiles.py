@@ -13,6 +13,8 @@ from ..functions.types import BOOLEAN, DATE, NUMBER, TEXT, family, filled, meani
 
 # Columns measured by one aggregate: a wider dataset takes several.
 _COLUMNS_PER_PASS = 50
+# Bytes of a text from which its SHA-256, in as many digits, stands for it.
+_DIGEST = 64
 # The families a full profile can measure.
 PROFILED = (TEXT, NUMBER, DATE, BOOLEAN)
 
@@ -134,6 +136,13 @@ def profiled_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     return fit, [n for n in df.columns if n not in fit]
 
 
+def _profilable(df: DataFrame) -> list[str]:
+    names, _ = profiled_columns(df)
+    if not names:
+        raise RecipeError("No column of this dataset can be profiled.")
+    return names
+
+
 def full_profile(df: DataFrame) -> DataFrame:
     """Per column: total rows, filled, empty, exact distinct values, min and max as text.
 
@@ -141,9 +150,7 @@ def full_profile(df: DataFrame) -> DataFrame:
     are counted on (column, value) pairs, one pass per stored type over its columns only;
     pairs are combined in the map tasks before they travel.
     """
-    names, _ = profiled_columns(df)
-    if not names:
-        raise RecipeError("No column of this dataset can be profiled.")
+    names = _profilable(df)
     numbered = list(enumerate(names))
     passes = [
         _measured(df, numbered[at : at + _COLUMNS_PER_PASS])
@@ -221,7 +228,10 @@ def _comparable(c: Column, dtype: T.DataType) -> tuple[str, Column]:
         return "double", c.cast("double")
     if isinstance(dtype, T.TimestampNTZType):
         return "timestamp_ntz", c
-    return "string", c.cast("string")
+    # Long texts are told apart by their digest, which is as long as the shortest of them.
+    text = c.cast("string")
+    long = F.octet_length(text) >= _DIGEST
+    return "string", F.when(long, F.sha2(text.cast("binary"), 256)).otherwise(text)
 
 
 def profile_delta(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -257,5 +267,16 @@ def profile_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def profile_of_change(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The delta between a recipe's input and its output."""
-    return profile_delta(full_profile(before), full_profile(after))
+    """The delta between a recipe's input and its output, from one narrow aggregate of each."""
+    return profile_delta(_fill_counts(before), _fill_counts(after))
+
+
+def _fill_counts(df: DataFrame) -> DataFrame:
+    """``column``, ``total`` and ``empty`` of a full profile."""
+    names = _profilable(df)
+    counts = [F.count_if(filled(col(n), df.schema[n].dataType)) for n in names]
+    one = df.agg(F.count(F.lit(1)).alias("total"), F.array(*counts).alias("filled"))
+    listed = F.array(*map(F.lit, names))
+    return one.select("total", "filled", F.posexplode(listed).alias("at", "column")).select(
+        "column", "total", (F.col("total") - F.col("filled")[F.col("at")]).alias("empty")
+    )

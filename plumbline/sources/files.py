@@ -1,7 +1,9 @@
-"""The few file operations a driver does: listing, checking and removing folders."""
+"""The few file operations a driver does: listing, checking and removing folders, small texts."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -25,6 +27,27 @@ class Folder:
             return []
         return [status.getPath().getName() for status in fs.listStatus(where)]
 
+    def read_text(self, path: str) -> str:
+        fs, where = self._open(path)
+        stream = fs.open(where)
+        try:
+            return self._context._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_text(self, path: str, text: str) -> None:
+        """A new file that others see once it is complete."""
+        part = f"{path}.{uuid.uuid4().hex}.tmp"
+        fs, unfinished = self._open(part)
+        stream = fs.create(unfinished)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if not fs.rename(unfinished, self._open(path)[1]):
+            fs.delete(unfinished, False)
+            raise FileExistsError(path)
+
     def remove(self, path: str) -> None:
         fs, where = self._open(path)
         fs.delete(where, True)

@@ -1,16 +1,16 @@
 """The table a recipe writes: Parquet files in a folder, one folder per full version.
 
-``<path>/data-000001/``            the rows of version 1
-``<path>/schema-000001-000001/``   an empty Parquet file holding its columns
+``<path>/data-000001/``           the rows of version 1
+``<path>/schema-000001-000001``   its columns, as JSON
 
-The newest schema folder with a ``_SUCCESS`` file names the current version, so a full
-rewrite becomes visible at once and only when complete, and readers of the previous version
-are not disturbed. Adding a column writes a new schema folder and no data. Reading passes
-the schema explicitly: no footers are merged, and dropped columns are never read.
+The newest schema file names the current version, so a full rewrite becomes visible at once
+and only when complete, and readers of the previous version are not disturbed. Adding a
+column writes a new schema file and no data. Reading passes the schema explicitly: no footers are merged, and dropped columns are never read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -22,7 +22,7 @@ from ..operators.skew import same_keys
 from .files import Folder
 
 SLICE = "_slice"
-_SCHEMA_FOLDER = re.compile(r"schema-(\d{6})-(\d{6})$")
+_SCHEMA_FILE = re.compile(r"schema-(\d{6})-(\d{6})$")
 
 
 @dataclass(frozen=True)
@@ -54,8 +54,7 @@ class RecipeTable:
         found = [
             Version(int(m.group(1)), int(m.group(2)))
             for name in self._folder.children(self.path)
-            if (m := _SCHEMA_FOLDER.match(name))
-            and self._folder.exists(f"{self.path}/{name}/_SUCCESS")
+            if (m := _SCHEMA_FILE.match(name))
         ]
         return max(found, key=lambda v: (v.number, v.revision), default=None)
 
@@ -178,12 +177,12 @@ class RecipeTable:
         return f"{self.path}/schema-{version.number:06d}-{version.revision:06d}"
 
     def _schema_of(self, version: Version) -> T.StructType:
-        """A schema folder never changes once written, so it is read once."""
+        """A schema file never changes once written, so it is read once."""
         if version not in self._schemas:
-            self._schemas[version] = self.spark.read.parquet(self._schema_path(version)).schema
+            text = self._folder.read_text(self._schema_path(version))
+            self._schemas[version] = T.StructType.fromJson(json.loads(text))
         return self._schemas[version]
 
     def _write_schema(self, schema: T.StructType, version: Version) -> None:
         columns = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-        empty = self.spark.createDataFrame([], columns).coalesce(1)
-        empty.write.mode("overwrite").parquet(self._schema_path(version))
+        self._folder.write_text(self._schema_path(version), columns.json())

@@ -115,7 +115,7 @@ def test_old_versions_are_removed(spark, target, tmp_path):
     spec = spec_of(output={"materialized": "table"})
     for n in range(1, 5):
         build(spark, spec, {"ventes": ventes(spark, *[(n, date(2024, 1, 1), "x")])}, target)
-    left = sorted(p.name for p in (tmp_path / "target").iterdir() if p.is_dir())
+    left = sorted(p.name for p in (tmp_path / "target").iterdir() if not p.name.startswith("."))
     assert left == ["data-000003", "data-000004", "schema-000003-000001", "schema-000004-000001"]
     assert column(RecipeTable(spark, target).read(), "id") == [4]
 

@@ -238,6 +238,14 @@ def test_full_profile_covers_every_column(spark):
     assert [r["position"] for r in full_profile(df).sort("position").collect()] == [*range(70)]
 
 
+def test_long_texts_are_told_apart(spark):
+    long = "x" * 500
+    values = [long + "a", long + "b", long + "a", "short", None, "f" * 64, "f" * 63]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    (found,) = full_profile(df).collect()
+    assert (found["distinct"], found["filled"]) == (5, 6)
+
+
 def test_profile_delta(spark):
     def profile(total, **empties):
         data = [(c, total, total - e, e) for c, e in empties.items()]

@@ -130,6 +130,17 @@ def test_group(spark, stg_orders):
     assert rows(out) == [(10, 2, 120.456, 2, 1, 2), (11, 1, 5.5, 1, 1, 1), (12, 2, None, 0, 0, 0)]
 
 
+def test_several_distinct_counts_do_not_multiply_rows(spark):
+    df = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 1, "y"), ("b", None, None)], "g string, n int, t string"
+    )
+    measures = [{"fn": "count_distinct", "column": c, "alias": f"d_{c}"} for c in ("n", "t")]
+    out = group(spark, df, ["g"], *measures)
+    assert rows(out) == [("a", 1, 2), ("b", 0, 0)]
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(group(spark, df.limit(0), [], *measures)) == [(0, 0)]
+
+
 def test_global_group_and_null_key(spark, stg_orders):
     assert rows(group(spark, stg_orders, [], {"fn": "max", "column": "amount_eur", "alias": "m"})) == [(100.456,)]
     by = group(spark, stg_orders, ["country"], {"fn": "count", "alias": "n"})
