@@ -218,13 +218,13 @@ def test_incremental_stack_bounds_every_input(spark, target):
     assert build(spark, spec, {"fr": fr, "es": es}, target).count() == 2
 
 
-def test_chained_recipes(spark, stg_orders, target):
-    clean = spec_of(steps=[("filter_value", {"column": "status", "value": "completed", "action": "keep"})],
+def test_chained_recipes(spark, parcels, target):
+    clean = spec_of(steps=[("filter_value", {"column": "weight", "operator": "gt", "value": 2, "action": "keep"})],
                     inputs=["o"], output={"materialized": "ephemeral"})
-    total = spec_of("group", ["clean"], group_by=["customer_id"],
+    total = spec_of("group", ["clean"], group_by=["sent"],
                     aggregations=[{"fn": "count", "alias": "n"}], output={"materialized": "table"})
-    stage = build(spark, clean, {"o": stg_orders})
-    assert rows(build(spark, total, {"clean": stage}, target)) == [(10, 1), (11, 1)]
+    stage = build(spark, clean, {"o": parcels})
+    assert rows(build(spark, total, {"clean": stage}, target)) == [("2023-12-01", 1), ("2023-12-24", 2)]
 
 
 @pytest.mark.parametrize(

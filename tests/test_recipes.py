@@ -19,30 +19,30 @@ def join(spark, datasets, joins, select=None, aliases=None):
     return run_recipe(spark, spec, datasets)
 
 
-ON = {"on": [{"left": "customer_id", "right": "customer_id"}]}
+ON = {"on": [{"left": "hub", "right": "hub"}]}
 
 
-@pytest.mark.parametrize("kind, n", [("left", 5), ("inner", 3), ("right", 3), ("full", 5), ("cross", 10)])
-def test_join_types(spark, stg_orders, stg_customers, kind, n):
-    out = join(spark, {"o": stg_orders, "c": stg_customers}, [{"type": kind, **ON}])
+@pytest.mark.parametrize("kind, n", [("left", 7), ("inner", 5), ("right", 7), ("full", 9), ("cross", 28)])
+def test_join_types(spark, parcels, hubs, kind, n):
+    out = join(spark, {"p": parcels, "h": hubs}, [{"type": kind, **ON}])
     assert out.count() == n
-    assert out.columns[-2:] == ["c_customer_id", "nom"]
+    assert out.columns == [*parcels.columns, "h_hub", "town"]
 
 
-def test_left_is_the_default_and_unmatched_is_null(spark, stg_orders, stg_customers):
-    out = join(spark, {"o": stg_orders, "c": stg_customers}, [ON])
-    assert column(out.filter("order_id = 4"), "nom") == [None, None]
+def test_left_is_the_default_and_unmatched_is_null(spark, parcels, hubs):
+    out = join(spark, {"p": parcels, "h": hubs}, [ON])
+    assert column(out.filter("town is null"), "parcel_id") == [11, 13]
 
 
-def test_select_and_rename(spark, stg_orders, stg_customers):
+def test_select_and_rename(spark, parcels, hubs):
     select = [
-        {"from": "o", "column": "order_id"},
-        {"from": "o", "column": "customer_id"},
-        {"from": "c", "column": "customer_id", "as": "customer_id_client"},
-        {"from": "c", "column": "nom", "as": "client"},
+        {"from": "h", "column": "town", "as": "city"},
+        {"from": "p", "column": "hub"},
+        {"from": "h", "column": "hub", "as": "found"},
     ]
-    out = join(spark, {"o": stg_orders, "c": stg_customers}, [ON], select)
-    assert out.columns == ["order_id", "customer_id", "customer_id_client", "client"]
+    out = join(spark, {"p": parcels, "h": hubs}, [{"type": "right", **ON}], select)
+    assert out.columns == ["city", "hub", "found"]
+    assert set(rows(out)) >= {("Porto", 3, 3), ("Turku", None, 6), ("nowhere", None, None)}
 
 
 def test_select_all_names_later_twins_after_their_dataset(spark):
@@ -53,15 +53,15 @@ def test_select_all_names_later_twins_after_their_dataset(spark):
     assert rows(out) == [(1, 7, 0, 7, "Alice")]
 
 
-def test_self_join(spark, stg_orders):
+def test_self_join(spark, parcels):
     out = join(
         spark,
-        {"stg": stg_orders},
-        [{"type": "inner", "on": [{"left": "order_id", "right": "order_id"}]}],
-        [{"from": "a", "column": "order_id"}, {"from": "b", "column": "order_id", "as": "autre"}],
+        {"p": parcels},
+        [{"type": "inner", "on": [{"left": "sent", "right": "sent"}]}],
+        [{"from": "a", "column": "parcel_id"}, {"from": "b", "column": "parcel_id", "as": "same_day"}],
         aliases=["a", "b"],
     )
-    assert out.columns == ["order_id", "autre"] and out.count() == 1 + 1 + 1 + 4
+    assert out.filter("parcel_id < same_day").collect() == [(8, 9)] and out.count() == 1 + 4 + 4 + 1
 
 
 def test_star_joins_to_the_first_input(spark):
@@ -100,15 +100,15 @@ def test_hot_keys_give_the_same_join(spark, small_groups, kind):
     [
         ([{"type": "asof", **ON}], None, "Unknown join type"),
         ([{"type": "inner", "on": []}], None, "no key given"),
-        ([{"on": [{"left": "nope", "right": "customer_id"}]}], None, "does not exist"),
-        ([ON], [{"from": "z", "column": "nom"}], "unknown dataset"),
-        ([ON], [{"from": "c", "column": "zip"}], "does not exist in 'c'"),
-        ([ON], [{"from": "o", "column": "customer_id"}, {"from": "c", "column": "nom", "as": "Customer_id"}], "two columns"),
+        ([{"on": [{"left": "nope", "right": "hub"}]}], None, "does not exist"),
+        ([ON], [{"from": "z", "column": "town"}], "unknown dataset"),
+        ([ON], [{"from": "h", "column": "zip"}], "does not exist in 'h'"),
+        ([ON], [{"from": "p", "column": "hub"}, {"from": "h", "column": "town", "as": "Hub"}], "two columns"),
     ],
 )
-def test_join_refusals(spark, stg_orders, stg_customers, joins, select, message):
+def test_join_refusals(spark, parcels, hubs, joins, select, message):
     with pytest.raises(RecipeError, match=message):
-        join(spark, {"o": stg_orders, "c": stg_customers}, joins, select)
+        join(spark, {"p": parcels, "h": hubs}, joins, select)
 
 
 def group(spark, df, keys, *aggregations):
@@ -116,18 +116,23 @@ def group(spark, df, keys, *aggregations):
     return run_recipe(spark, spec, {"o": df})
 
 
-def test_group(spark, stg_orders):
+def test_group(spark, parcels):
     out = group(
         spark,
-        stg_orders,
-        ["customer_id"],
+        parcels,
+        ["hub"],
         {"fn": "count", "column": "*", "alias": "n"},
-        {"fn": "sum", "column": "amount_eur", "alias": "total"},
-        {"fn": "count_distinct", "column": "status", "alias": "d"},
-        {"fn": "count", "column": "*", "alias": "done", "filter": "status = 'completed'"},
-        {"fn": "count", "column": "status", "alias": "known"},
+        {"fn": "sum", "column": "weight", "alias": "total"},
+        {"fn": "count_distinct", "column": "state", "alias": "states"},
+        {"fn": "max", "column": "weight", "alias": "light", "filter": "weight < 10"},
+        {"fn": "count", "column": "state", "alias": "known"},
     )
-    assert rows(out) == [(10, 2, 120.456, 2, 1, 2), (11, 1, 5.5, 1, 1, 1), (12, 2, None, 0, 0, 0)]
+    assert rows(out) == [
+        (3, 2, 2.25, 2, 2.0, 2),
+        (5, 3, 76.0, 1, None, 1),
+        (9, 1, 2.0, 1, 2.0, 1),
+        (None, 1, None, 1, None, 1),
+    ]
 
 
 def test_several_distinct_counts_do_not_multiply_rows(spark):
@@ -141,10 +146,10 @@ def test_several_distinct_counts_do_not_multiply_rows(spark):
     assert rows(group(spark, df.limit(0), [], *measures)) == [(0, 0)]
 
 
-def test_global_group_and_null_key(spark, stg_orders):
-    assert rows(group(spark, stg_orders, [], {"fn": "max", "column": "amount_eur", "alias": "m"})) == [(100.456,)]
-    by = group(spark, stg_orders, ["country"], {"fn": "count", "alias": "n"})
-    assert (None, 1) in rows(by) and by.count() == 4
+def test_global_group_and_null_key(spark, parcels):
+    assert rows(group(spark, parcels, [], {"fn": "max", "column": "weight", "alias": "m"})) == [(31.75,)]
+    by = group(spark, parcels, ["country"], {"fn": "count", "alias": "n"})
+    assert rows(by) == [("  ", 1), ("PT", 2), ("SE", 2), ("se", 1), (None, 1)]
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
@@ -178,17 +183,17 @@ def test_medians_alone(spark, small_groups, keys):
     "keys, measures, message",
     [
         ([], [], "at least one measure"),
-        ([], [{"fn": "mode", "column": "status", "alias": "x"}], "Unknown aggregation"),
+        ([], [{"fn": "mode", "column": "state", "alias": "x"}], "Unknown aggregation"),
         ([], [{"fn": "sum", "column": "*", "alias": "x"}], "only counts rows"),
         ([], [{"fn": "count", "alias": "1x"}], "Invalid measure name"),
-        (["status"], [{"fn": "count", "alias": "Status"}], "two columns"),
+        (["state"], [{"fn": "count", "alias": "State"}], "two columns"),
         (["nope"], [{"fn": "count", "alias": "n"}], "does not exist"),
         ([], [{"fn": "count", "alias": "n", "filter": "true limit 1"}], "refused by Spark"),
     ],
 )
-def test_group_refusals(spark, stg_orders, keys, measures, message):
+def test_group_refusals(spark, parcels, keys, measures, message):
     with pytest.raises(RecipeError, match=message):
-        group(spark, stg_orders, keys, *measures)
+        group(spark, parcels, keys, *measures)
 
 
 def stack(spark, datasets, mode="all"):
@@ -233,9 +238,9 @@ def test_sql_refusals(spark):
         run_recipe(spark, {"type": "sql", "inputs": [{"ref": "o"}], "sql": "select 1 from {{ ref('x') }}"}, {"o": df})
 
 
-def test_catalog_table_and_odd_names(spark, stg_orders):
-    stg_orders.createOrReplaceTempView("cat_orders")
+def test_catalog_table_and_odd_names(spark, parcels):
+    parcels.createOrReplaceTempView("cat_orders")
     spec = {"type": "prepare", "inputs": [{"ref": "cat_orders"}]}
-    assert run_recipe(spark, spec).count() == 5
+    assert run_recipe(spark, spec).count() == 7
     odd = {"type": "sql", "inputs": [{"source_name": "raw", "table": "order-items"}], "sql": "select * from {order_items}"}
-    assert run_recipe(spark, odd, {"raw.order-items": stg_orders}).count() == 5
+    assert run_recipe(spark, odd, {"raw.order-items": parcels}).count() == 7
