@@ -7,9 +7,12 @@ Jaccard similarity of at least ``THRESHOLD``; a class is everything that links c
 2. Nodes that agree in one of ``BANDS`` bands of their signature meet in a bucket. Every
    bucket has a hub, its node of most neighbours, and every other node is compared with the
    hub alone: a bucket of n nodes makes n - 1 pairs, not n squared.
-3. What is then still apart in a bucket is compared too, unless it cannot be linked: the
-   overlap distance is a metric, so two nodes whose distances to their hub differ by more
-   than the limit are apart, and so are those whose signatures agree in too few registers.
+3. Where a bucket is then still apart, further hubs are chosen among the nodes outside its
+   largest class and compared with all of the bucket that is not yet in their class, some
+   times more of them in every round, until no two nodes are left uncompared and apart. Only
+   pairs that cannot be linked are left out: the overlap distance is a metric, so two nodes
+   whose distances to their first hub differ by more than the limit are apart, and so are two
+   of which one has too few shingles.
 4. Pairs are verified on the whole shingle multisets; components are found by passing on the
    smallest label and jumping along it.
 
@@ -23,19 +26,19 @@ of its members and keeps that document, of repeated rows one. A null id ranks la
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bagminhash as bag
 from .common import named, stored, with_ids, without_dropped
 
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-# Registers that pairs of step 3 must share, of 125: at 0.8 similarity, with a band in common,
-# 101 are expected, and fewer than 90 happen to one such pair in two hundred.
-LEAST_SHARED = 90
+# How many times more hubs a bucket gets in every further round.
+_MORE_HUBS = 4
 # Shingles whose signatures are made at once.
 _BATCH = 200_000
 
@@ -43,7 +46,7 @@ _BATCH = 200_000
 def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         content: list[bytes | None] = []
-        marks: list[np.ndarray | None] = []
+        lengths: list[int] = []
         bands: list[np.ndarray | None] = []
         waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
 
@@ -58,26 +61,26 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 len(waiting),
                 BANDS * ROWS,
             )
-            short = (bag.mixed(first) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
-            for (row, _, _), mark, keys in zip(waiting, short, bag.band_keys(first, BANDS)):
-                marks[row], bands[row] = mark, keys
+            for (row, _, _), keys in zip(waiting, bag.band_keys(first, BANDS)):
+                bands[row] = keys
             waiting.clear()
 
         pending = 0
         for row, text in enumerate(texts):
             words = bag.words_of(text)
             content.append(bag.content_key(words) if words else None)
-            marks.append(None)
+            lengths.append(0)
             bands.append(None)
             if words:
                 elements, counts = bag.counted(bag.shingles(words))
+                lengths[row] = int(counts.sum())
                 waiting.append((row, elements, counts))
                 pending += len(elements)
             if pending >= _BATCH:
                 sign()
                 pending = 0
         sign()
-        yield pd.DataFrame({"content": content, "marks": marks, "bands": bands})
+        yield pd.DataFrame({"content": content, "length": lengths, "bands": bands})
 
 
 def _shingled(texts: pd.Series) -> pd.Series:
@@ -91,14 +94,14 @@ class _Rows:
         self.texts = docs.select(
             named(docs, key).cast("long").alias("doc_id"), named(docs, text).alias("text")
         ).withColumn("print", F.xxhash64("text"))
-        sign = F.pandas_udf(_signed, "content binary, marks array<short>, bands array<long>")
+        sign = F.pandas_udf(_signed, "content binary, length int, bands array<long>")
         self.signed = stored(
             self.texts.withColumn("uid", F.monotonically_increasing_id())
             .withColumn("signed", sign("text"))
             .select("uid", "doc_id", "print", "signed.*"),
             "near-signed",
         )
-        best = F.min_by(F.struct("print", "marks", "bands"), "uid")
+        best = F.min_by(F.struct("print", "length", "bands"), "uid")
         self.nodes = stored(
             self.signed.filter("content is not null")
             .groupBy("content")
@@ -124,13 +127,15 @@ def _spokes(nodes: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, shingled: DataFrame) -> DataFrame:
-    """``pairs`` of nodes ``a`` and ``b`` with their similarity."""
+    """``pairs`` of nodes ``a`` and ``b``, and what else they hold, with their similarity."""
     left = shingled.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = shingled.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     common = F.size(F.array_intersect("left", "right"))
     either = F.size("left") + F.size("right") - common
     return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", (common / either).alias("similarity"))
+        pairs.join(left, "a")
+        .join(right, "b")
+        .select(*pairs.columns, (common / either).alias("similarity"))
     )
 
 
@@ -171,7 +176,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _still_apart(
     spokes: DataFrame, nodes: DataFrame, compared: DataFrame, labels: DataFrame
 ) -> DataFrame:
-    """Pairs of a bucket that may be linked and are not connected through its hub."""
+    """The nodes of buckets that their hubs do not hold together, without the hubs."""
     label = F.coalesce("label", "node")
     known = spokes.join(labels, "node", "left").withColumn("label", label)
     hub_labels = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
@@ -179,27 +184,78 @@ def _still_apart(
         "hub_label", F.coalesce("hub_label", "hub")
     )
     apart = known.filter("label != hub_label").select("bucket").distinct()
-    rows = (
+    return (
         known.join(apart, "bucket", "left_semi")
         .filter("node != hub")
         .join(compared.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similarity"),
               ["hub", "node"])
-        .join(nodes.select("node", "marks", "bands"), "node")
-        .withColumn("outside", F.col("label") != F.col("hub_label"))
+        .join(nodes.select("node", "length", "bands"), "node")
+        .select("bucket", "band", "node", "label", "similarity", "length", "bands")
     )
-    rows = stored(rows.drop("hub", "hub_label"), "near-apart")
-    x, y = rows.filter("outside").alias("x"), rows.alias("y")
+
+
+def _further_hubs(rows: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` of the ``rows`` of each bucket, none of the class that most of it is in,
+    and of as many classes as can be."""
+    classes = rows.groupBy("bucket", "label").agg(F.count("*").alias("members"))
+    largest = (
+        classes.groupBy("bucket")
+        .agg(F.max(F.struct("members", "label")).alias("top"), F.count("*").alias("classes"))
+        .filter("classes > 1")
+        .select("bucket", F.col("top.label").alias("largest"))
+    )
+    own = Window.partitionBy("bucket", "label").orderBy("node")
+    all_classes = Window.partitionBy("bucket").orderBy("turn", "node")
+    return (
+        rows.join(largest, "bucket")
+        .filter("label != largest")
+        .withColumn("turn", F.row_number().over(own))
+        .filter(F.col("turn") <= most)
+        .withColumn("place", F.row_number().over(all_classes))
+        .filter(F.col("place") <= most)
+        .select(*rows.columns)
+    )
+
+
+def _late_links(rows: DataFrame, shingled: DataFrame) -> list[DataFrame]:
+    """Links ``a``, ``b`` that connect the classes of buckets still apart.
+
+    A further hub has been compared with its whole bucket and needs no second look; in a
+    bucket whose other nodes are of one class nothing is left to find.
+    """
+    found: list[DataFrame] = []
+    rows, most = stored(rows, "near-apart"), 1
     allowed = 1.0 - THRESHOLD + 1e-9
-    return x.join(
-        y,
-        F.expr(
-            "x.bucket = y.bucket and x.label != y.label and (not y.outside or x.node < y.node)"
-            f" and abs(x.similarity - y.similarity) <= {allowed}"
-            " and array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1"
-            " and size(filter(zip_with(x.marks, y.marks, (p, q) -> p = q), e -> e))"
-            f" >= {LEAST_SHARED}"
-        ),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    while True:
+        hubs = stored(_further_hubs(rows, most), "near-hubs")
+        if hubs.isEmpty():
+            return found
+        x, y = hubs.alias("x"), rows.alias("y")
+        pairs = x.join(
+            y,
+            F.expr(
+                "x.bucket = y.bucket and x.label != y.label"
+                f" and abs(x.similarity - y.similarity) <= {allowed}"
+                f" and least(x.length, y.length) >= {THRESHOLD - 1e-9} * greatest(x.length, y.length)"
+                " and array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1"
+            ),
+        ).select(
+            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
+            F.least("x.label", "y.label").alias("from"), F.greatest("x.label", "y.label").alias("to"),
+        ).distinct()
+        pairs = stored(pairs, "near-pairs")
+        late = _compared(pairs, shingled).filter(F.col("similarity") >= THRESHOLD)
+        late = stored(late.drop("similarity"), "near-late")
+        rows = rows.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        if not late.isEmpty():
+            found.append(late.select("a", "b"))
+            classes = components(late.select(F.col("from").alias("a"), F.col("to").alias("b")))
+            classes = classes.select(F.col("node").alias("label"), F.col("label").alias("joined"))
+            rows = rows.join(classes, "label", "left").withColumn(
+                "label", F.coalesce("joined", "label")
+            )
+            rows = rows.drop("joined")
+        most *= _MORE_HUBS
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -225,12 +281,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     compared = stored(_compared(pairs.distinct(), shingled), "near-compared")
     links = compared.filter(F.col("similarity") >= THRESHOLD)
     labels = components(links)
-    apart = stored(_still_apart(spokes, rows.nodes, compared, labels), "near-pairs")
-    late = stored(
-        _compared(apart, shingled).filter(F.col("similarity") >= THRESHOLD), "near-late"
-    )
-    if not late.isEmpty():
-        labels = components(links.select("a", "b").union(late.select("a", "b")))
+    late = _late_links(_still_apart(spokes, rows.nodes, compared, labels), shingled)
+    if late:
+        labels = components(reduce(DataFrame.union, late, links.select("a", "b")))
     return _classes(rows, labels)
 
 
