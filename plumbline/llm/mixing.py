@@ -27,7 +27,7 @@ from .common import free_name, named, stored, uniform
 
 MOST_COPIES = 3
 CHUNK = 64
-# Documents of a level that one task orders.
+# Documents of one source and size class that one task orders.
 _BUCKET = 16_384
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -113,11 +113,22 @@ def _pivot(state: Column, item: Column) -> Column:
     return F.struct(kept.alias("carry"), F.concat(state["done"], F.array(done)).alias("done"))
 
 
-def _level(items: DataFrame, count: int) -> DataFrame:
-    """Every chunk of the level: what it settles and the one document it carries on."""
-    buckets = max(1, count // _BUCKET)
+def _level(items: DataFrame) -> DataFrame:
+    """Every chunk of the level: what it settles and the one document it carries on.
+
+    Only a source's size class that one task cannot order is dealt into buckets, fewer than
+    it has documents, so every level settles some of each class that still holds several.
+    """
+    large = (
+        items.groupBy("source", "octave")
+        .agg(F.floor(F.count("*") / _BUCKET).alias("buckets"))
+        .filter("buckets > 1")
+        .select(F.col("source").alias("of"), F.col("octave").alias("class"), "buckets")
+    )
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("octave") == F.col("class"))
+    items = items.join(large, same, "left").withColumn("buckets", F.coalesce("buckets", F.lit(1)))
     turn = Window.partitionBy("source", "octave", "bucket").orderBy("turn", "uid")
-    chunked = items.withColumn("bucket", F.pmod("turn", F.lit(buckets))).withColumn(
+    chunked = items.withColumn("bucket", F.pmod("turn", "buckets")).withColumn(
         "chunk", F.floor((F.row_number().over(turn) - 1) / CHUNK)
     )
     gathered = chunked.groupBy("source", "octave", "bucket", "chunk").agg(
@@ -149,7 +160,7 @@ def extra_copies(items: DataFrame) -> DataFrame:
     settled = []
     count = level.count()
     while count > level.select("source", "octave").distinct().count():
-        done = stored(_level(level, count), "mix-level")
+        done = stored(_level(level), "mix-level")
         settled.append(done.select(F.explode("done").alias("d")).select("d.*"))
         level = done.select("source", "octave", "carry.*")
         count = level.count()

@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.llm import common, neardup
+from plumbline.llm import common, mixing, neardup
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -34,3 +35,34 @@ def test_near_link_beside_the_hub_with_few_shared_registers(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
     assert found == {1: 1, 2: 2, 3: 2}
+
+
+def test_mixing_of_more_sources_than_one_bucket_holds(spark, monkeypatch):
+    levels = []
+
+    def stored(df, label, partition_rows=None):
+        levels.append(label)
+        assert len(levels) <= 4, "no level settles anything any more"
+        return common.stored(df, label, partition_rows)
+
+    monkeypatch.setattr(mixing, "stored", stored)
+    items = spark.range(80_000).select(
+        F.concat(F.lit("s"), F.col("id") % 40_000).alias("source"), F.xxhash64("id").alias("turn"),
+        F.col("id").alias("uid"), F.lit(0.5).alias("p"), F.lit(4.0).alias("size"),
+    )
+    # Two documents of one half each: one of them is taken, of every source.
+    extra = mixing.extra_copies(items).groupBy((F.col("uid") % 40_000).alias("source"))
+    found = extra.agg(F.count("*").alias("rows"), F.sum("extra").alias("taken"))
+    seen = found.groupBy("rows", "taken").agg(F.count("*").alias("sources")).collect()
+    assert [tuple(r) for r in seen] == [(2, 1, 40_000)]
+
+
+def test_mixing_deals_a_large_class_into_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_BUCKET", 100)
+    items = spark.range(3_000).select(
+        F.when(F.col("id") % 3 > 0, "s").alias("source"), F.xxhash64("id").alias("turn"),
+        F.col("id").alias("uid"), F.lit(0.5).alias("p"), F.lit(4.0).alias("size"),
+    )
+    found = mixing.extra_copies(items).groupBy(F.col("uid") % 3 > 0)
+    got = found.agg(F.count("*").alias("rows"), F.sum("extra").alias("taken")).select("rows", "taken")
+    assert sorted(map(tuple, got.collect())) == [(1_000, 500), (2_000, 1_000)]
