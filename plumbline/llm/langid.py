@@ -27,7 +27,7 @@ from .common import named, stored, uniform
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-# Sampled training rows of one language; the fit's cost does not depend on the corpus.
+# Sampled different training texts of one language; the fit's cost does not depend on the corpus.
 FIT_ROWS = 2_000
 SHARDS = 8
 EPOCHS = 3
@@ -161,7 +161,7 @@ def train(rows: DataFrame, text: str, lang: str) -> LanguageModel:
     empty = np.zeros((BUCKETS, len(languages)))
     if not languages:
         return LanguageModel((), idf, empty, 1.0)
-    sample = stored(_sampled(known, counts), "langid-sample")
+    sample = stored(_sampled(known, _distinct_texts(known)), "langid-sample")
     index = {language: i for i, language in enumerate(languages)}
     sent = spark.sparkContext.broadcast((idf, index))
 
@@ -215,14 +215,21 @@ def _document_frequencies(known: DataFrame) -> np.ndarray:
     return frequencies
 
 
-def _sampled(known: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """At most ``FIT_ROWS`` rows of a language, by a hash of their text: ``fit`` or ``calibrate``.
+def _distinct_texts(known: DataFrame) -> dict[str, int]:
+    """How many different texts each language has."""
+    texts = known.select("lang", F.xxhash64("text").alias("print")).distinct()
+    return {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
 
-    A text that occurs often is drawn as one text, so copies cannot fill the sample.
+
+def _sampled(known: DataFrame, texts: dict[str, int]) -> DataFrame:
+    """At most ``FIT_ROWS`` texts of a language, by a hash of the text: ``fit`` or ``calibrate``.
+
+    ``texts`` has the number of different texts of each language. A text that occurs often is
+    drawn as one text, so copies cannot fill the sample, nor thin it.
     """
     draw = uniform(F.lit("langid"), F.col("text"))
     share = F.create_map(
-        *[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * FIT_ROWS / n)))]
+        *[x for k, n in texts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * FIT_ROWS / n)))]
     )
     picked = (
         known.withColumn("turn", draw)

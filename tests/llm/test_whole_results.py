@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, mixing, neardup
+from plumbline.llm import common, langid, mixing, neardup
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -66,3 +66,20 @@ def test_mixing_deals_a_large_class_into_buckets(spark, monkeypatch):
     found = mixing.extra_copies(items).groupBy(F.col("uid") % 3 > 0)
     got = found.agg(F.count("*").alias("rows"), F.sum("extra").alias("taken")).select("rows", "taken")
     assert sorted(map(tuple, got.collect())) == [(1_000, 500), (2_000, 1_000)]
+
+
+def test_language_sample_counts_texts_and_not_copies(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_ROWS", 20)
+    copies = spark.range(20_000).select(F.lit("kopia").alias("text"), F.lit("sv").alias("lang"))
+    texts = spark.range(15).select(F.concat(F.lit("text "), "id").alias("text"), F.lit("sv").alias("lang"))
+    more = spark.range(500).select(F.concat(F.lit("word "), "id").alias("text"), F.lit("en").alias("lang"))
+    sample, seen = langid._sampled, []
+
+    def sampled(known, counts):
+        seen.append(sample(known, counts))
+        return seen[-1]
+
+    monkeypatch.setattr(langid, "_sampled", sampled)
+    langid.train(copies.union(texts).union(more), "text", "lang")
+    drawn = {r["lang"]: r["count"] for r in seen[0].groupBy("lang").count().collect()}
+    assert drawn == {"sv": 16, "en": 20}
