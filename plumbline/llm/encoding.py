@@ -3,7 +3,8 @@
 The library's pre-tokenizer never joins what a space separates from a following word, so a
 text is cut before each such space and the ids of its pieces are looked up; pieces not met
 lately go through the library's own pre-tokenizer and model. The ids are those of encoding
-the whole text at once (the tests compare them), special-token strings being ordinary text.
+the whole text at once (the tests compare them). A text that holds an added token of the file
+is handed to the library whole; only ``Encoder.ids`` takes such strings for ordinary text.
 """
 
 from __future__ import annotations
@@ -89,9 +90,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = [token.content for token in added]
+        # Added tokens that are looked for in normalized text can be there in another form.
+        self._hidden = self._tokenizer.normalizer is not None and any(t.normalized for t in added)
         self._model, self._before = self._tokenizer.model, self._tokenizer.pre_tokenizer
         self._first = _Pieces(self._encode)
         self._later = _Pieces(self._encode_later, self._first)
@@ -108,8 +112,15 @@ class Encoder:
     def _encode_later(self, piece: str) -> bytes:
         return self._encode(" " + piece)
 
+    def library_ids(self, text: str) -> bytes:
+        """What the library's ``encode`` gives for a text, without special tokens around it."""
+        if not self._hidden and not any(token in text for token in self._added):
+            return self.ids(text)
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype=self.dtype).tobytes()
+
     def ids(self, text: str) -> bytes:
-        """The ids of a text in ``dtype``, one after the other."""
+        """The ids of a text in ``dtype``, one after the other; added tokens are plain text."""
         if not text:
             return b""
         if _ODD_SPACES.search(text):

@@ -145,7 +145,7 @@ def pack(
         ids = encoder(tokenizer)
         closing = np.array([end_id], dtype=ids.dtype).tobytes()
         for texts in batches:
-            yield pd.Series([ids.ids(t or "") + closing for t in texts])
+            yield pd.Series([ids.library_ids(t or "") + closing for t in texts])
 
     width = encoder(tokenizer).dtype.itemsize
     ident = named(docs, key).cast("long")

@@ -144,7 +144,7 @@ def _segments(path: str, end_id: int):
 
         for batch in batches:
             for doc_id, is_known, text in zip(batch["doc_id"], batch["known"], batch["text"]):
-                piece = encode.ids(text) + closing
+                piece = encode.library_ids(text) + closing
                 ids.append(int(doc_id))
                 known.append(bool(is_known))
                 encoded.append(piece)

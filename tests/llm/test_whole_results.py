@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, langid, mixing, neardup
+from plumbline.llm import common, langid, mixing, neardup, packing, tokenfile
+from plumbline.llm.queries import tokenizer_path
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -83,3 +85,21 @@ def test_language_sample_counts_texts_and_not_copies(spark, monkeypatch):
     langid.train(copies.union(texts).union(more), "text", "lang")
     drawn = {r["lang"]: r["count"] for r in seen[0].groupBy("lang").count().collect()}
     assert drawn == {"sv": 16, "en": 20}
+
+
+def test_added_tokens_are_those_of_the_library(spark, tmp_path):
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    parts = ["<|endoftext|>", "<|endoftext|", " ", "\n", "end.", "Next", "é", "  "]
+    rng = random.Random(8)
+    texts = ["end. <|endoftext|>Next", "<|endoftext|>"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [437, 13, 220, 50256, 10019]
+    tokenfile.write_token_files(docs, f"{tmp_path}/f", path, 2)
+    for r in tokenfile.read_token_files(spark, f"{tmp_path}/f").collect():
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == [*expected[r["doc_id"]], 2]
+    for r in packing.pack(docs, path, 1, window=64).collect():
+        ids = np.array([*expected[r["doc_id"]], 1], "<u4")[r["start"] : r["start"] + r["length"]]
+        assert bytes(r["ids"]) == ids.tobytes()
