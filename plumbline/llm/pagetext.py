@@ -80,10 +80,12 @@ BAD_ROLES = frozenset(
     "search toolbar".split()
 )
 
+# A quote opens a value after an equals sign only, and reaches to the next one of its kind,
+# however far; without one in the rest of the page it is a stray character. A tag that does
+# not end takes the rest of the page, as in browsers.
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,20000}\"|'[^']{0,20000}')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -146,10 +148,10 @@ def parse(page: str) -> Node:
             break
         text(at, m.start())
         at = m.end()
-        name = m[2] or m[5]
+        name = m[2]
         if not name:
             continue
-        closing, name, attributes = m[1] or m[4], name.lower(), m[3] or m[6] or ""
+        closing, name, attributes = m[1], name.lower(), m[3]
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == name:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import common, langid, mixing, neardup, packing, tokenfile
+from plumbline.llm.pagetext import main_text
 from plumbline.llm.queries import tokenizer_path
 
 
@@ -103,3 +104,16 @@ def test_added_tokens_are_those_of_the_library(spark, tmp_path):
     for r in packing.pack(docs, path, 1, window=64).collect():
         ids = np.array([*expected[r["doc_id"]], 1], "<u4")[r["start"] : r["start"] + r["length"]]
         assert bytes(r["ids"]) == ids.tobytes()
+
+
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_attribute_values_of_any_length(quote):
+    value = "<p>Leak, leak.</p>> </div> " * 40_000
+    page = f"<div data-x={quote}{value}{quote} id=a><p>The text, whole.</p><p>And more.</p></div>"
+    assert main_text(page) == "The text, whole.\n\nAnd more."
+
+
+def test_stray_quotes_end_with_their_tag():
+    page = """<div><p title="a">b" c">The "text", it's whole.</p><p class="x"">More, more.</p>"""
+    assert main_text(page) == """b" c">The "text", it's whole.\n\nMore, more."""
+    assert main_text('<p title="never closed>The text.</p>') == "The text."
