@@ -13,8 +13,10 @@ from . import (
     langid,
     mixing,
     neardup,
+    negatives,
     packing,
     pagetext,
+    prefixtrie,
     quality,
     tokenfile,
     wordpiece,
@@ -136,6 +138,120 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(
+        F.pmod("vec_id", F.lit(7)) == 0, (F.col("label").cast("long") + 1) % 10
+    ).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.pmod("id", F.lit(100)) == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS grid
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, o.uid AS other, o.vec_id AS other_id,
+         list_inner_product(a.grid, o.grid)::BIGINT AS score, a.label = o.label AS same
+  FROM v a JOIN v o ON a.uid <> o.uid AND len(a.grid) = len(o.grid)
+  WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT * FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id NULLS LAST) <= 5
+),
+inside AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id,
+         p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.other
+                            ORDER BY n.score DESC, n.other_id NULLS LAST)::INT AS rank
+  FROM positives p JOIN pairs n ON n.anchor = p.anchor AND NOT n.same
+  WHERE 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM inside WHERE rank <= 5
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefixtrie.turns_in_order(_table(spark, folder, "conversations"))
+    group = F.col("conv_id") - F.col("conv_id") % 5
+    return prefixtrie.prefix_trie(
+        prefixtrie.with_shared_starts(turns, group, fold(F.col("conv_id"), 9))
+    )
+
+
+# DuckDB has no crc32: a conversation's number goes through the polynomial bit by bit.
+OP13_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS turns,
+         xor(list_reduce(
+           list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda crc, byte: list_reduce(
+             range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte)),
+           4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM turns GROUP BY conv_id
+),
+sized AS (
+  SELECT c.*, least(c.h, coalesce(b.turns, 0)) AS taken
+  FROM convs c LEFT JOIN convs b ON b.conv_id = c.base
+),
+rebuilt AS (
+  SELECT s.conv_id, t.n AS depth, t.role, t.text
+  FROM sized s JOIN turns t ON t.conv_id = s.base AND t.n <= s.taken
+  UNION ALL
+  SELECT s.conv_id, t.n - s.h + s.taken, t.role, t.text
+  FROM sized s JOIN turns t ON t.conv_id = s.conv_id AND t.n > s.h
+),
+member AS (
+  SELECT conv_id, depth, strlen(text) AS n_bytes,
+         string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '')
+           OVER (PARTITION BY conv_id ORDER BY depth) AS path,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+  FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM convs
+),
+keyed AS (
+  SELECT conv_id, depth, n_bytes, ends, md5(path) AS node,
+         lag(md5(path)) OVER (PARTITION BY conv_id ORDER BY depth) AS parent
+  FROM member
+),
+node AS (
+  SELECT node, parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         any_value(n_bytes) AS n_bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+           FILTER (WHERE ends), '')) AS ends_sha256
+  FROM keyed GROUP BY ALL
+),
+children AS (SELECT parent, count(*) AS n_children FROM node GROUP BY parent),
+known AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children
+  FROM node n LEFT JOIN children c ON c.parent = n.node
+),
+subtree AS (
+  SELECT above.node, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves,
+         sum((k.n_convs - 1) * k.n_bytes)::BIGINT AS saved_tokens
+  FROM known k JOIN keyed above ON above.conv_id = k.conv_id AND above.depth <= k.depth
+  GROUP BY above.node
+)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children,
+       s.n_leaves, s.saved_tokens, k.ends_sha256
+FROM known k JOIN subtree s ON s.node = k.node LEFT JOIN node p ON p.node = k.parent
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -149,6 +265,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_packing,
         op10_mixing,
+        op11_hard_negatives,
+        op13_prefix_trie,
     )
 }
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
+}
