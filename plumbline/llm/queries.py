@@ -18,6 +18,7 @@ from . import (
     pagetext,
     prefixtrie,
     quality,
+    suffixdedup,
     tokenfile,
     wordpiece,
 )
@@ -178,6 +179,62 @@ FROM inside WHERE rank <= 5
 """
 
 
+def op12_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixdedup.without_repeats(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, hex(encode(coalesce(text, ''))) AS bytes
+  FROM documents
+),
+strings AS (
+  SELECT uid, doc_id, p, substr(bytes, 2 * p + 1, 100) AS s
+  FROM d, unnest(range(len(bytes) // 2 - 49)) AS t(p)
+),
+earliest AS (
+  SELECT s, min(coalesce(doc_id, 9223372036854775807)) AS least
+  FROM strings GROUP BY s HAVING count(*) > 1
+),
+hits AS (
+  SELECT uid, p, lag(p) OVER (PARTITION BY uid ORDER BY p) AS before
+  FROM strings JOIN earliest USING (s)
+  WHERE least < coalesce(doc_id, 9223372036854775807)
+),
+numbered AS (
+  SELECT uid, p,
+         count(*) FILTER (WHERE before IS NULL OR p - before > 50)
+           OVER (PARTITION BY uid ORDER BY p) AS span
+  FROM hits
+),
+spans AS (
+  SELECT uid, min(p) AS first, max(p) + 50 AS after FROM numbered GROUP BY uid, span
+),
+stays AS (
+  SELECT uid, coalesce(lag(after) OVER w, 0) AS a, first AS b, after - first AS gone
+  FROM spans WINDOW w AS (PARTITION BY uid ORDER BY first)
+  UNION ALL
+  SELECT uid, max(after), 1000000000, 0 FROM spans GROUP BY uid
+),
+parts AS (
+  SELECT uid, sum(gone)::BIGINT AS n_removed, count(*) - 1 AS n_spans,
+         string_agg(substr(bytes, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept
+  FROM stays JOIN d USING (uid) GROUP BY uid
+)
+SELECT doc_id, len(bytes) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, bytes))) AS kept_sha256
+FROM d LEFT JOIN parts USING (uid)
+"""
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = prefixtrie.turns_in_order(_table(spark, folder, "conversations"))
     group = F.col("conv_id") - F.col("conv_id") % 5
@@ -266,11 +323,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_mixing,
         op11_hard_negatives,
+        op12_repeated_bytes,
         op13_prefix_trie,
     )
 }
 SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_repeated_bytes": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
