@@ -203,7 +203,8 @@ def _shard_nodes(sequences: DataFrame) -> DataFrame:
         .select("conv_id", "slice", "start_high", "start_low")
     )
     rows = placed.join(starts, ["conv_id", "slice"], "left").fillna(0, ["start_high", "start_low"])
-    return rows.groupBy("shard", "slice").applyInPandas(_nodes_of, _LOCAL)
+    run = _RUN
+    return rows.groupBy("shard", "slice").applyInPandas(lambda f: _nodes_of(f, run), _LOCAL)
 
 
 def _turn_hashes(depth: str, digest: str) -> Column:
@@ -225,8 +226,8 @@ def _turn_hashes(depth: str, digest: str) -> Column:
     return F.pandas_udf(hashes, "high long, low long")(depth, digest)
 
 
-def _nodes_of(frame: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first intersection of bitsets over one shard's slice."""
+def _nodes_of(frame: pd.DataFrame, run: int) -> pd.DataFrame:
+    """Depth-first intersection of bitsets over one shard's slice; ends in lists of ``run``."""
     frame = frame.sort_values(["conv_id", "depth"], kind="stable")
     convs, owner = np.unique(frame["conv_id"].to_numpy(), return_inverse=True)
     depths = frame["depth"].tolist()
@@ -260,10 +261,10 @@ def _nodes_of(frame: pd.DataFrame) -> pd.DataFrame:
 
     def give(key, parent, depth: int, members: list[int], ended: list[int], row: int) -> None:
         out.append((*key, *parent, depth, members[0], len(members), n_bytes[row], members,
-                    ended[:_RUN]))
-        for more in range(_RUN, len(ended), _RUN):
+                    ended[:run]))
+        for more in range(run, len(ended), run):
             out.append((*key, *parent, depth, members[0], 0, n_bytes[row], [],
-                        ended[more : more + _RUN]))
+                        ended[more : more + run]))
 
     def alone(who: int, row: int, parent) -> None:
         """The rest of a sequence that no other shares: a path."""

@@ -3,19 +3,19 @@
 Every byte covered by a string of ``MATCH`` bytes that also starts in a document with a
 smaller ``doc_id`` is removed; strings are judged on the input.
 
-1. Texts are laid out in blocks; a document longer than ``SEGMENT_BYTES`` is cut into
+1. Texts are laid out in blocks; a document longer than ``segment_bytes`` is cut into
    segments that overlap by a window less one byte, so that every window lies in one of them.
 2. A window's anchor is the least hash of its ``ANCHOR``-byte strings. Equal windows have
    equal anchors, neighbouring windows mostly the same: a *piece* is a run of windows with
    one anchor. Blocks send the owners of the anchors sorted, packed hashes and learn which of
    them another block has too; windows whose anchor is in one document alone are done with.
 3. The pieces that are left, equal ones of a block once, go to the shard of their anchor. A
-   shard lays its distinct pieces end to end, sorts the suffixes and takes the Burrows-Wheeler
+   shard lays its distinct pieces, all that share an anchor, end to end, sorts the suffixes and takes the Burrows-Wheeler
    transform. Common prefixes of neighbouring rows come by increasing length: rows that start
    with byte c are, in order, the backward extensions by c of the rows that c precedes, so two
    neighbours part at length l + 1 where the rows they extend were parted at length l. Only
-   neighbours not parted yet are looked at, and the search stops at ``MATCH``, or earlier when
-   a length parts none: what still hangs together are the equal strings of ``MATCH`` bytes.
+   neighbours not parted yet are looked at, and the search stops at ``MATCH``:
+   what still hangs together are the equal strings of ``MATCH`` bytes.
 4. The smallest document of each group goes back to the blocks, which remove what is covered.
 
 An anchor in very many pieces (a line of a third of all documents, each time with other
@@ -30,30 +30,38 @@ are named are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bagminhash import mixed
 from .common import named, stored
 
 MATCH = 50
 ANCHOR = 20
-SEGMENT_BYTES = 1 << 20
-BLOCK_BYTES = 4 << 20
-# Anchors that one owner compares, and text whose pieces one shard takes.
-OWNER_ANCHORS = 2 << 20
-SHARD_TEXT = 8 << 20
-# Bytes of distinct pieces whose suffixes are sorted at once.
-SORTED_BYTES = 3 << 20
-# Pieces of one anchor beyond which its windows are dealt out one by one.
-HOT_PIECES = 1 << 14
-# Windows of one piece.
-LONGEST_RUN = 512
-# What may be sent to every task, by measured size.
-BROADCAST_BYTES = 48 << 20
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much one task holds; results do not depend on it."""
+
+    segment_bytes: int = 1 << 19
+    block_bytes: int = 1 << 20
+    # Anchors that one owner compares, and text whose pieces one shard takes.
+    owner_anchors: int = 1 << 20
+    shard_text: int = 4 << 20
+    # Bytes of distinct pieces whose suffixes are sorted at once.
+    sorted_bytes: int = 1 << 20
+    # Pieces of one anchor beyond which its windows are dealt out one by one.
+    hot_pieces: int = 1 << 14
+    # Windows of one piece.
+    longest_run: int = 512
+    # What may be sent to every task, by measured size.
+    broadcast_bytes: int = 48 << 20
+
 
 _BITS = 48
 _LAST = np.iinfo(np.int64).max
@@ -126,9 +134,12 @@ class _Block:
         self.data = np.frombuffer(zstandard.decompress(row.text), dtype=np.uint8)
         self.segment = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 
-    def find_pieces(self) -> None:
+    def find_pieces(self, longest: int) -> None:
         """``at``, ``runs`` (windows) and ``keys`` of the pieces, in order of place."""
         least = anchors_of(self.data)
+        if not len(least):
+            self.at = self.runs = self.keys = self.piece_docs = least
+            return
         inside = self.segment[: len(least)] == self.segment[MATCH - 1 :][: len(least)]
         change = np.ones(len(least), dtype=bool)
         change[1:] = (
@@ -138,11 +149,10 @@ class _Block:
         )
         starts = np.flatnonzero(change)
         runs = np.diff(np.append(starts, len(least)))
-        kept = inside[starts] if len(starts) else np.zeros(0, dtype=bool)
-        starts, runs = starts[kept], runs[kept]
-        self.at, self.runs = cut(starts, runs, LONGEST_RUN)
+        starts, runs = starts[inside[starts]], runs[inside[starts]]
+        self.at, self.runs = cut(starts, runs, longest)
         self.keys = least[self.at]
-        self.piece_docs = self.docs[self.segment[self.at]] if len(self.at) else self.at
+        self.piece_docs = self.docs[self.segment[self.at]]
 
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys, how many pieces each has, and which occur in two documents."""
@@ -167,58 +177,62 @@ _BLOCK = (
 )
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(limits: Limits):
     """Lays texts out in blocks; segments of long documents have blocks of their own."""
-    waiting: list[tuple] = []
-    held = 0
 
-    def block(cut_up: bool) -> pd.DataFrame:
-        uids, docs, known, offsets, totals, texts = zip(*waiting)
-        waiting.clear()
-        return pd.DataFrame({
-            "block": [f"{uids[0]}:{offsets[0]}"],
-            "cut": [cut_up],
-            "uids": [pack(np.array(uids))],
-            "offsets": [pack(np.array(offsets))],
-            "docs": [pack(np.array(docs))],
-            "known": [np.array(known, dtype=bool).tobytes()],
-            "totals": [pack(np.array(totals))],
-            "sizes": [pack(np.array([len(t) for t in texts]))],
-            "text": [zstandard.compress(b"".join(texts), 3)],
-        })
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple] = []
+        held = 0
+
+        def block(cut_up: bool) -> pd.DataFrame:
+            uids, docs, known, offsets, totals, texts = zip(*waiting)
+            waiting.clear()
+            return pd.DataFrame({
+                "block": [f"{uids[0]}:{offsets[0]}"],
+                "cut": [cut_up],
+                "uids": [pack(np.array(uids))],
+                "offsets": [pack(np.array(offsets))],
+                "docs": [pack(np.array(docs))],
+                "known": [np.array(known, dtype=bool).tobytes()],
+                "totals": [pack(np.array(totals))],
+                "sizes": [pack(np.array([len(t) for t in texts]))],
+                "text": [zstandard.compress(b"".join(texts), 3)],
+            })
 
-    for frame in batches:
-        for uid, doc, known, text in zip(frame["uid"], frame["doc"], frame["known"], frame["text"]):
-            size = len(text)
-            if size > SEGMENT_BYTES:
-                if waiting:
+        for frame in batches:
+            for uid, doc, known, text in zip(frame["uid"], frame["doc"], frame["known"], frame["text"]):
+                size = len(text)
+                if size > limits.segment_bytes:
+                    if waiting:
+                        yield block(False)
+                        held = 0
+                    for offset in range(0, size, limits.segment_bytes):
+                        part = text[offset : offset + limits.segment_bytes + MATCH - 1]
+                        waiting.append((uid, doc, known, offset, size, part))
+                        yield block(True)
+                    continue
+                waiting.append((uid, doc, known, 0, size, text))
+                held += size + 64
+                if held >= limits.block_bytes:
                     yield block(False)
                     held = 0
-                for offset in range(0, size, SEGMENT_BYTES):
-                    part = text[offset : offset + SEGMENT_BYTES + MATCH - 1]
-                    waiting.append((uid, doc, known, offset, size, part))
-                    yield block(True)
-                continue
-            waiting.append((uid, doc, known, 0, size, text))
-            held += size + 64
-            if held >= BLOCK_BYTES:
-                yield block(False)
-                held = 0
-    if waiting:
-        yield block(False)
+        if waiting:
+            yield block(False)
+
+    return run
 
 
 _MESSAGE = "block string, owner long, keys binary, pieces binary"
 
 
-def _messages(owners: int):
+def _messages(owners: int, limits: Limits):
     """The distinct anchors of each block, a message for every owner."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for row in frame.itertuples(index=False):
                 block = _Block(row)
-                block.find_pieces()
+                block.find_pieces(limits.longest_run)
                 if not len(block.keys):
                     continue
                 keys, pieces, _ = block.distinct_keys()
@@ -242,19 +256,25 @@ def _spans(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _ANSWER = "block string, owner long, elsewhere binary, hot binary"
 
 
-def _answers(received: pd.DataFrame) -> pd.DataFrame:
+def _answers(limits: Limits):
     """For each message, which of its anchors other blocks have, and which are hot."""
-    lists = [unpack(x) for x in received["keys"]]
-    pieces = np.concatenate([unpack(x) for x in received["pieces"]])
-    ends = np.cumsum([len(x) for x in lists])[:-1]
-    _, place, blocks = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    hot = np.bincount(place, weights=pieces) > HOT_PIECES
-    return pd.DataFrame({
-        "block": received["block"].to_numpy(),
-        "owner": received["owner"].to_numpy(),
-        "elsewhere": [np.packbits(x).tobytes() for x in np.split(blocks[place] > 1, ends)],
-        "hot": [pack(np.flatnonzero(x)) for x in np.split(hot[place], ends)],
-    })
+
+    def run(received: pd.DataFrame) -> pd.DataFrame:
+        lists = [unpack(x) for x in received["keys"]]
+        pieces = np.concatenate([unpack(x) for x in received["pieces"]])
+        ends = np.cumsum([len(x) for x in lists])[:-1]
+        _, place, blocks = np.unique(
+            np.concatenate(lists), return_inverse=True, return_counts=True
+        )
+        hot = np.bincount(place, weights=pieces) > limits.hot_pieces
+        return pd.DataFrame({
+            "block": received["block"].to_numpy(),
+            "owner": received["owner"].to_numpy(),
+            "elsewhere": [np.packbits(x).tobytes() for x in np.split(blocks[place] > 1, ends)],
+            "hot": [pack(np.flatnonzero(x)) for x in np.split(hot[place], ends)],
+        })
+
+    return run
 
 
 _PIECES = (
@@ -263,7 +283,7 @@ _PIECES = (
 )
 
 
-def _candidates(owners: int, shards: int):
+def _candidates(owners: int, shards: int, limits: Limits):
     """The pieces of each block that others may hold too, a message for every shard."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,7 +295,9 @@ def _candidates(owners: int, shards: int):
 
     def _messages_of(row) -> pd.DataFrame | None:
         block = _Block(row)
-        block.find_pieces()
+        block.find_pieces(limits.longest_run)
+        if not len(block.keys):
+            return None
         keys, _, several = block.distinct_keys()
         starts, ends, owner = _spans(dealt(keys, owners))
         hot = np.zeros(len(keys), dtype=bool)
@@ -370,14 +392,15 @@ def equal_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
     first = text[order]
     parted = np.ones(len(text), dtype=bool)
     parted[1:] = first[1:] != first[:-1]
-    waiting = np.flatnonzero(~parted)
+    waiting = np.flatnonzero(~parted).astype(np.int32)
+    above, below = extended[waiting - 1], extended[waiting]
     for _ in range(1, length):
         interval = np.cumsum(parted, dtype=np.int32)
-        now = interval[extended[waiting - 1]] != interval[extended[waiting]]
-        if not now.any():
-            break
+        now = interval[above] != interval[below]
         parted[waiting[now]] = True
-        waiting = waiting[~now]
+        left = len(now) - np.count_nonzero(now)
+        if 8 * left < 7 * len(now):  # rows parted before part again, which changes nothing
+            waiting, above, below = waiting[~now], above[~now], below[~now]
     return parted
 
 
@@ -399,66 +422,74 @@ def _least_of_windows(texts: list[bytes], runs: np.ndarray, least: np.ndarray) -
 _FOUND = "block string, shard long, piece binary, start binary, stop binary, least binary"
 
 
-def _expanded(received: pd.DataFrame) -> pd.DataFrame:
+def _expanded(limits: Limits):
     """For each message of a shard, the runs of windows that a smaller document holds."""
-    numbers: dict[bytes, int] = {}
-    named_pieces, mosts, leasts, lengths = [], [], [], []
-    for row in received.itertuples(index=False):
-        text, runs = zstandard.decompress(row.text), unpack(row.runs)
-        ends = np.cumsum(runs + MATCH - 1).tolist()
-        begun = [0, *ends[:-1]]
-        named_pieces.append(
-            np.array([numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(begun, ends)])
-        )
-        leasts.append(unpack(row.least))
-        mosts.append(unpack(row.most))
-        lengths.append(runs)
-    every = np.concatenate(named_pieces)
-    runs = np.zeros(len(numbers), dtype=np.int64)
-    runs[every] = np.concatenate(lengths)
-    least = np.full(len(numbers), _LAST)
-    np.minimum.at(least, every, np.concatenate(leasts))
-    # Pieces of one anchor stay together when the shard is cut to bounded sorts.
-    texts = list(numbers)
-    heads = np.frombuffer(b"".join([t[:MATCH] for t in texts]), dtype=np.uint8)
-    anchor = anchors_of(heads)[::MATCH]
-    order = np.argsort(anchor, kind="stable")
-    sizes = np.cumsum(runs[order] + MATCH)
-    batch = sizes // SORTED_BYTES
-    # A batch starts with the first piece of an anchor.
-    begins = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
-    batch = batch[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))]
-    piece_of, start, stop, smallest = [], [], [], []
-    for a, b, _ in zip(*_spans(batch)):
-        mine = order[a:b]
-        found = _least_of_windows([texts[i] for i in mine.tolist()], runs[mine], least[mine])
-        owner = np.repeat(np.arange(len(mine)), runs[mine])
-        change = np.ones(len(found), dtype=bool)
-        change[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
-        begun = np.flatnonzero(change)
-        first = np.cumsum(runs[mine]) - runs[mine]
-        piece_of.append(mine[owner[begun]])
-        start.append(begun - first[owner[begun]])
-        stop.append(np.append(begun[1:], len(found)) - first[owner[begun]])
-        smallest.append(found[begun])
-    piece_of = np.concatenate(piece_of)
-    by_piece = np.argsort(piece_of, kind="stable")
-    piece_of = piece_of[by_piece]
-    start, stop, smallest = (np.concatenate(x)[by_piece] for x in (start, stop, smallest))
-    lists = np.searchsorted(piece_of, np.arange(len(numbers) + 1))
-    out = []
-    for row, pieces, most in zip(received.itertuples(index=False), named_pieces, mosts):
-        counts = lists[pieces + 1] - lists[pieces]
-        local = np.repeat(np.arange(len(pieces)), counts)
-        runs_of = np.repeat(lists[pieces], counts) + (
-            np.arange(len(local)) - np.repeat(np.cumsum(counts) - counts, counts)
-        )
-        smaller = smallest[runs_of] < most[local]
-        if smaller.any():
-            local, runs_of = local[smaller], runs_of[smaller]
-            out.append((row.block, row.shard, pack(local), pack(start[runs_of]),
-                        pack(stop[runs_of]), pack(smallest[runs_of])))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
+
+    def run(received: pd.DataFrame) -> pd.DataFrame:
+        numbers: dict[bytes, int] = {}
+        named_pieces, mosts, leasts, lengths = [], [], [], []
+        for row in received.itertuples(index=False):
+            text, runs = zstandard.decompress(row.text), unpack(row.runs)
+            ends = np.cumsum(runs + MATCH - 1).tolist()
+            begun = [0, *ends[:-1]]
+            named_pieces.append(
+                np.array([numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(begun, ends)])
+            )
+            leasts.append(unpack(row.least))
+            mosts.append(unpack(row.most))
+            lengths.append(runs)
+        every = np.concatenate(named_pieces)
+        runs = np.zeros(len(numbers), dtype=np.int64)
+        runs[every] = np.concatenate(lengths)
+        least = np.full(len(numbers), _LAST)
+        np.minimum.at(least, every, np.concatenate(leasts))
+        # Pieces of one anchor stay together when the shard is cut to bounded sorts. A piece
+        # that shares its anchor with no other one can share no window: it is its own answer.
+        texts = list(numbers)
+        heads = np.frombuffer(b"".join([t[:MATCH] for t in texts]), dtype=np.uint8)
+        anchor = anchors_of(heads)[::MATCH]
+        order = np.argsort(anchor, kind="stable")
+        begins = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
+        alone = begins & np.append(begins[1:], True)
+        single = order[alone]
+        piece_of, start, stop, smallest = [single], [np.zeros_like(single)], [runs[single]], []
+        smallest.append(least[single])
+        order, begins = order[~alone], begins[~alone]
+        batch = np.cumsum(runs[order] + MATCH) // limits.sorted_bytes
+        # A batch starts with the first piece of an anchor.
+        batch = batch[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))]
+        for a, b, _ in zip(*_spans(batch)) if len(order) else ():
+            mine = order[a:b]
+            found = _least_of_windows([texts[i] for i in mine.tolist()], runs[mine], least[mine])
+            owner = np.repeat(np.arange(len(mine)), runs[mine])
+            change = np.ones(len(found), dtype=bool)
+            change[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+            begun = np.flatnonzero(change)
+            first = np.cumsum(runs[mine]) - runs[mine]
+            piece_of.append(mine[owner[begun]])
+            start.append(begun - first[owner[begun]])
+            stop.append(np.append(begun[1:], len(found)) - first[owner[begun]])
+            smallest.append(found[begun])
+        piece_of = np.concatenate(piece_of)
+        by_piece = np.argsort(piece_of, kind="stable")
+        piece_of = piece_of[by_piece]
+        start, stop, smallest = (np.concatenate(x)[by_piece] for x in (start, stop, smallest))
+        lists = np.searchsorted(piece_of, np.arange(len(numbers) + 1))
+        out = []
+        for row, pieces, most in zip(received.itertuples(index=False), named_pieces, mosts):
+            counts = lists[pieces + 1] - lists[pieces]
+            local = np.repeat(np.arange(len(pieces)), counts)
+            runs_of = np.repeat(lists[pieces], counts) + (
+                np.arange(len(local)) - np.repeat(np.cumsum(counts) - counts, counts)
+            )
+            smaller = smallest[runs_of] < most[local]
+            if smaller.any():
+                local, runs_of = local[smaller], runs_of[smaller]
+                out.append((row.block, row.shard, pack(local), pack(start[runs_of]),
+                            pack(stop[runs_of]), pack(smallest[runs_of])))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
+
+    return run
 
 
 _SEGMENT = (
@@ -495,7 +526,7 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # Runs of two neighbouring texts are apart even where they touch.
             bounds = np.cumsum(block.sizes)
             begun = bounds - block.sizes
-            touching = [b for b in begun[1:].tolist() if b < len(covered) and b > 0
+            touching = [b for b in np.unique(begun[1:]).tolist() if b < len(covered) and b > 0
                         and covered[b] and covered[b - 1]]
             edges = np.sort(np.concatenate([edges, np.repeat(np.array(touching, dtype=np.int64), 2)]))
             starts, ends = edges[::2], edges[1::2]
@@ -519,13 +550,13 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _RESULT = "doc long, known boolean, n_bytes long, spans array<struct<start long, length long>>, kept binary"
 
 
-def _kept(segments: pd.DataFrame) -> tuple:
+def _kept(segments: pd.DataFrame, segment_bytes: int) -> tuple:
     """One document from its segments: the spans that go and the bytes that stay."""
     segments = segments.sort_values("offset")
     starts = np.concatenate([np.asarray(x, dtype=np.int64) for x in segments["starts"]])
     ends = np.concatenate([np.asarray(x, dtype=np.int64) for x in segments["ends"]])
     text = b"".join(
-        [t[:SEGMENT_BYTES] for t in segments["text"].iloc[:-1]] + [segments["text"].iloc[-1]]
+        [t[:segment_bytes] for t in segments["text"].iloc[:-1]] + [segments["text"].iloc[-1]]
     )
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
@@ -543,8 +574,9 @@ def _kept(segments: pd.DataFrame) -> tuple:
     return int(head["doc"]), bool(head["known"]), int(head["n_bytes"]), spans, b"".join(parts)
 
 
-def _one_document(segments: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([_kept(segments)], columns=["doc", "known", "n_bytes", "spans", "kept"])
+def _one_document(limits: Limits):
+    columns = ["doc", "known", "n_bytes", "spans", "kept"]
+    return lambda rows: pd.DataFrame([_kept(rows, limits.segment_bytes)], columns=columns)
 
 
 def _whole_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -562,13 +594,15 @@ def _whole_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc", "known", "n_bytes", "spans", "kept"])
 
 
-def _sent_if_small(table: DataFrame, size) -> DataFrame:
+def _sent_if_small(table: DataFrame, size: Column, most: int) -> DataFrame:
     """A stored table, for broadcasting where its measured bytes are few."""
     total = table.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+    return F.broadcast(table) if total <= most else table
 
 
-def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", limits: Limits = Limits()
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_bytes``, ``spans`` (start and length in
     bytes of each maximal removed run) and ``kept``, the bytes that stay."""
     rows = docs.select(
@@ -579,14 +613,14 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         F.octet_length(F.coalesce(named(docs, text), F.lit(""))).alias("size"),
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    blocks = stored(rows.drop("size").mapInPandas(_blocks, _BLOCK), "repeats-blocks")
-    owners = total // (8 * OWNER_ANCHORS) + 1
-    shards = total // SHARD_TEXT + 1
+    blocks = stored(rows.drop("size").mapInPandas(_blocks(limits), _BLOCK), "repeats-blocks")
+    owners = total // (8 * limits.owner_anchors) + 1
+    shards = total // limits.shard_text + 1
 
-    messages = blocks.mapInPandas(_messages(owners), _MESSAGE)
+    messages = blocks.mapInPandas(_messages(owners, limits), _MESSAGE)
     answers = stored(
         messages.groupBy("owner")
-        .applyInPandas(_answers, _ANSWER)
+        .applyInPandas(_answers(limits), _ANSWER)
         .groupBy("block")
         .agg(F.collect_list(F.struct("owner", "elsewhere", "hot")).alias("answers")),
         "repeats-answers",
@@ -594,13 +628,13 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     weight = F.aggregate(
         "answers", F.lit(0), lambda n, a: n + F.octet_length(a["elsewhere"]) + 64
     )
-    known = blocks.join(_sent_if_small(answers, weight), "block")
-    pieces = stored(known.mapInPandas(_candidates(owners, shards), _PIECES), "repeats-pieces")
+    known = blocks.join(_sent_if_small(answers, weight, limits.broadcast_bytes), "block")
+    pieces = stored(known.mapInPandas(_candidates(owners, shards, limits), _PIECES), "repeats-pieces")
 
     found = (
         pieces.select("block", "shard", "runs", "least", "most", "text")
         .groupBy("shard")
-        .applyInPandas(_expanded, _FOUND)
+        .applyInPandas(_expanded(limits), _FOUND)
     )
     returned = stored(
         found.join(
@@ -617,13 +651,13 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     )
     weight = F.aggregate("found", F.lit(0), lambda n, f: n + F.octet_length(f["at"])
                          + F.octet_length(f["occurs"]) + 200)
-    marked = blocks.join(_sent_if_small(returned, weight), "block", "left")
+    marked = blocks.join(_sent_if_small(returned, weight, limits.broadcast_bytes), "block", "left")
     whole = marked.filter(~F.col("cut")).mapInPandas(_whole_documents, _RESULT)
     long = (
         marked.filter("cut")
         .mapInPandas(_removed, _SEGMENT)
         .groupBy("uid")
-        .applyInPandas(_one_document, _RESULT)
+        .applyInPandas(_one_document(limits), _RESULT)
     )
     return whole.union(long).select(
         F.when(F.col("known"), F.col("doc")).alias("doc_id"), "n_bytes", "spans", "kept"
