@@ -7,12 +7,13 @@ Jaccard similarity of at least ``THRESHOLD``; a class is everything that links c
 2. Nodes that agree in one of ``BANDS`` bands of their signature meet in a bucket. Every
    bucket has a hub, its node of most neighbours, and every other node is compared with the
    hub alone: a bucket of n nodes makes n - 1 pairs, not n squared.
-3. Where a bucket is then still apart, further hubs are chosen among the nodes outside its
-   largest class and compared with all of the bucket that is not yet in their class, some
-   times more of them in every round, until no two nodes are left uncompared and apart. Only
-   pairs that cannot be linked are left out: the overlap distance is a metric, so two nodes
-   whose distances to their first hub differ by more than the limit are apart, and so are two
-   of which one has too few shingles.
+3. Where a bucket is then still of several classes, its nodes meet again by their shingles,
+   rare ones first: two multisets that overlap enough share one of the rarest fifth of each
+   (prefix filter), so nothing is lost, and what makes unlike texts meet in a bucket, a
+   passage that many hold, comes last in the order. Two nodes of different classes that share
+   such a shingle are compared, unless their sizes or the places of the shingle in the order
+   rule out enough overlap. The order is by counts in a table of fixed size: whatever falls
+   together there, all nodes have the same order, which is all that the filter needs.
 4. Pairs are verified on the whole shingle multisets; components are found by passing on the
    smallest label and jumping along it.
 
@@ -25,20 +26,20 @@ of its members and keeps that document, of repeated rows one. A null id ranks la
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import bagminhash as bag
 from .common import named, stored, with_ids, without_dropped
 
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-# How many times more hubs a bucket gets in every further round.
-_MORE_HUBS = 4
+# Counters of the table that tells rare shingles from frequent ones: 8 MB.
+_COUNTERS = 1 << 20
 # Shingles whose signatures are made at once.
 _BATCH = 200_000
 
@@ -173,89 +174,74 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _still_apart(
-    spokes: DataFrame, nodes: DataFrame, compared: DataFrame, labels: DataFrame
-) -> DataFrame:
-    """The nodes of buckets that their hubs do not hold together, without the hubs."""
-    label = F.coalesce("label", "node")
-    known = spokes.join(labels, "node", "left").withColumn("label", label)
-    hub_labels = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    known = known.join(hub_labels, "hub", "left").withColumn(
-        "hub_label", F.coalesce("hub_label", "hub")
+def _still_apart(spokes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node`` and ``label`` of what lies in a bucket with nodes of another label."""
+    known = spokes.join(labels, "node", "left").select(
+        "bucket", "node", F.coalesce("label", "node").alias("label")
     )
-    apart = known.filter("label != hub_label").select("bucket").distinct()
-    return (
-        known.join(apart, "bucket", "left_semi")
-        .filter("node != hub")
-        .join(compared.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similarity"),
-              ["hub", "node"])
-        .join(nodes.select("node", "length", "bands"), "node")
-        .select("bucket", "band", "node", "label", "similarity", "length", "bands")
-    )
-
-
-def _further_hubs(rows: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` of the ``rows`` of each bucket, none of the class that most of it is in,
-    and of as many classes as can be."""
-    classes = rows.groupBy("bucket", "label").agg(F.count("*").alias("members"))
-    largest = (
-        classes.groupBy("bucket")
-        .agg(F.max(F.struct("members", "label")).alias("top"), F.count("*").alias("classes"))
-        .filter("classes > 1")
-        .select("bucket", F.col("top.label").alias("largest"))
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = mixed.filter("low != high").select("bucket")
+    return known.join(mixed, "bucket", "left_semi").select("node", "label").distinct()
+
+
+def _rarest_first(counts: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The shingles of which two linked nodes share one, with their places in the order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for row in frame.itertuples(index=False):
+                shingles = np.asarray(row.shingles, dtype=np.int64)
+                order = np.lexsort((shingles, counts[shingles & (_COUNTERS - 1)]))
+                size = len(shingles)
+                chosen = shingles[order[: size - math.ceil(THRESHOLD * size - 1e-9) + 1]]
+                out.append(
+                    pd.DataFrame({
+                        "shingle": chosen, "place": np.arange(len(chosen), dtype=np.int32),
+                        "node": row.node, "label": row.label, "size": np.int32(size),
+                    })
+                )
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
+def _late_links(apart: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` between the classes that meet in a bucket."""
+    apart = stored(apart, "near-apart")
+    rows = shingled.join(apart, "node")
+    counter = F.col("shingle").bitwiseAND(F.lit(_COUNTERS - 1)).cast("int").alias("counter")
+    table = rows.select(F.explode("shingles").alias("shingle")).groupBy(counter).count()
+    found = table.toArrow()  # at most one row per counter
+    counts = np.zeros(_COUNTERS, dtype=np.int64)
+    counts[found["counter"].to_numpy()] = found["count"].to_numpy()
+    first = stored(
+        rows.mapInPandas(
+            _rarest_first(counts), "shingle long, place int, node long, label long, size int"
+        ),
+        "near-rarest",
     )
-    own = Window.partitionBy("bucket", "label").orderBy("node")
-    all_classes = Window.partitionBy("bucket").orderBy("turn", "node")
-    return (
-        rows.join(largest, "bucket")
-        .filter("label != largest")
-        .withColumn("turn", F.row_number().over(own))
-        .filter(F.col("turn") <= most)
-        .withColumn("place", F.row_number().over(all_classes))
-        .filter(F.col("place") <= most)
-        .select(*rows.columns)
+    mixed = first.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = mixed.filter("low != high").select("shingle")
+    first = stored(first.join(mixed, "shingle", "left_semi"), "near-shared")
+    x, y = first.alias("x"), first.alias("y")
+    # Of two linked nodes, this many shingles are shared; none before the first shared one is.
+    enough = (
+        f"{THRESHOLD / (1 + THRESHOLD)} * (x.size + y.size) - 1e-6"
+        " <= least(x.size - x.place, y.size - y.place)"
     )
-
-
-def _late_links(rows: DataFrame, shingled: DataFrame) -> list[DataFrame]:
-    """Links ``a``, ``b`` that connect the classes of buckets still apart.
-
-    A further hub has been compared with its whole bucket and needs no second look; in a
-    bucket whose other nodes are of one class nothing is left to find.
-    """
-    found: list[DataFrame] = []
-    rows, most = stored(rows, "near-apart"), 1
-    allowed = 1.0 - THRESHOLD + 1e-9
-    while True:
-        hubs = stored(_further_hubs(rows, most), "near-hubs")
-        if hubs.isEmpty():
-            return found
-        x, y = hubs.alias("x"), rows.alias("y")
-        pairs = x.join(
-            y,
-            F.expr(
-                "x.bucket = y.bucket and x.label != y.label"
-                f" and abs(x.similarity - y.similarity) <= {allowed}"
-                f" and least(x.length, y.length) >= {THRESHOLD - 1e-9} * greatest(x.length, y.length)"
-                " and array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1"
-            ),
-        ).select(
-            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
-            F.least("x.label", "y.label").alias("from"), F.greatest("x.label", "y.label").alias("to"),
-        ).distinct()
-        pairs = stored(pairs, "near-pairs")
-        late = _compared(pairs, shingled).filter(F.col("similarity") >= THRESHOLD)
-        late = stored(late.drop("similarity"), "near-late")
-        rows = rows.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti")
-        if not late.isEmpty():
-            found.append(late.select("a", "b"))
-            classes = components(late.select(F.col("from").alias("a"), F.col("to").alias("b")))
-            classes = classes.select(F.col("node").alias("label"), F.col("label").alias("joined"))
-            rows = rows.join(classes, "label", "left").withColumn(
-                "label", F.coalesce("joined", "label")
-            )
-            rows = rows.drop("joined")
-        most *= _MORE_HUBS
+    pairs = x.join(
+        y,
+        F.expr(
+            "x.shingle = y.shingle and x.label < y.label"
+            f" and least(x.size, y.size) >= {THRESHOLD - 1e-9} * greatest(x.size, y.size)"
+            f" and {enough}"
+        ),
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = stored(pairs.distinct(), "near-pairs")
+    found = _compared(pairs, shingled).filter(F.col("similarity") >= THRESHOLD)
+    return stored(found.select("a", "b"), "near-late")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -281,9 +267,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     compared = stored(_compared(pairs.distinct(), shingled), "near-compared")
     links = compared.filter(F.col("similarity") >= THRESHOLD)
     labels = components(links)
-    late = _late_links(_still_apart(spokes, rows.nodes, compared, labels), shingled)
-    if late:
-        labels = components(reduce(DataFrame.union, late, links.select("a", "b")))
+    late = _late_links(_still_apart(spokes, labels), shingled)
+    if not late.isEmpty():
+        labels = components(links.select("a", "b").union(late))
     return _classes(rows, labels)
 
 
