@@ -54,9 +54,9 @@ class Limits:
     owner_anchors: int = 1 << 20
     shard_text: int = 4 << 20
     # Bytes of distinct pieces whose suffixes are sorted at once.
-    sorted_bytes: int = 1 << 20
+    sorted_bytes: int = 1 << 18
     # Pieces of one anchor beyond which its windows are dealt out one by one.
-    hot_pieces: int = 1 << 14
+    hot_pieces: int = 1 << 12
     # Windows of one piece.
     longest_run: int = 512
     # What may be sent to every task, by measured size.
