@@ -45,10 +45,12 @@ def test_mixing_of_more_sources_than_one_bucket_holds(spark, monkeypatch):
 
     def stored(df, label, partition_rows=None):
         levels.append(label)
-        assert len(levels) <= 4, "no level settles anything any more"
+        assert len(levels) <= 8, "no level settles anything any more"
         return common.stored(df, label, partition_rows)
 
     monkeypatch.setattr(mixing, "stored", stored)
+    monkeypatch.setattr(mixing, "FOLD", 0)
+    monkeypatch.setattr(mixing, "HELD", 0)
     items = spark.range(80_000).select(
         F.concat(F.lit("s"), F.col("id") % 40_000).alias("source"), F.xxhash64("id").alias("turn"),
         F.col("id").alias("uid"), F.lit(0.5).alias("p"), F.lit(4.0).alias("size"),
@@ -62,6 +64,8 @@ def test_mixing_of_more_sources_than_one_bucket_holds(spark, monkeypatch):
 
 def test_mixing_deals_a_large_class_into_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "_BUCKET", 100)
+    monkeypatch.setattr(mixing, "FOLD", 0)
+    monkeypatch.setattr(mixing, "HELD", 0)
     items = spark.range(3_000).select(
         F.when(F.col("id") % 3 > 0, "s").alias("source"), F.xxhash64("id").alias("turn"),
         F.col("id").alias("uid"), F.lit(0.5).alias("p"), F.lit(4.0).alias("size"),
