@@ -110,11 +110,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray) -> np.ndarray:
-    """The anchor of the window at every place: 48 bits."""
+    """The anchor of the window at every place: 48 bits, spread evenly again, as the least of
+    many hashes are all small."""
     if len(data) < MATCH:
         return np.zeros(0, dtype=np.int64)
-    hashes = string_hashes(data, ANCHOR) >> np.uint64(64 - _BITS)
-    return sliding_least(hashes, MATCH - ANCHOR + 1).view(np.int64)
+    least = sliding_least(string_hashes(data, ANCHOR), MATCH - ANCHOR + 1)
+    return (mixed(least) >> np.uint64(64 - _BITS)).view(np.int64)
 
 
 def dealt(keys: np.ndarray, parts: int) -> np.ndarray:
