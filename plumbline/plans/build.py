@@ -9,7 +9,8 @@ the build tool whose vocabulary the settings use.
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
@@ -18,12 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..errors import RecipeError
 from ..functions.names import col, cols, filled_names, require, spare_name
 from ..functions.types import DATE, TEXT, family
-from ..operators import joins
+from ..operators import groups, joins
 from ..operators.skew import same_keys, settled_while
 from ..quality.checks import declared_tests, enforce, run_tests
-from ..sources.tables import SLICE, RecipeTable
+from ..sources.tables import SLICE, RecipeTable, bucket_of
 from . import guards
 from .output import (
+    REPLACING,
     SCHEMA_CHANGES,
     Slices,
     bound_column,
@@ -35,6 +37,7 @@ from .output import (
     strategy_of,
     unique_key,
 )
+from .partials import partials_of
 from .recipe import compute
 from .schema_change import Fit, fit, shaped
 from .spec import check_shape, recipe_type, resolve_inputs
@@ -81,23 +84,52 @@ def build(
     table = RecipeTable(spark, target, passed if tests else None)
     partition_by = filled_names(out.get("partition_by"))
     if kind == "table":
-        df = _storable(compute(spark, spec, inputs))
+        df = storable(compute(spark, spec, inputs))
         table.replace(df, _layout(partition_by, df.columns))
     elif strategy_of(out) == "microbatch":
         moment = now or datetime.now(timezone.utc).replace(tzinfo=None)
         _build_slices(spark, spec, inputs, table, moment, full_refresh)
-    elif full_refresh or not table.exists():
-        df = _storable(compute(spark, spec, inputs))
-        table.replace(df, _layout(partition_by, df.columns))
     else:
-        arrivals = arrivals_only(spec, inputs, table)
-        load(table, compute(spark, spec, arrivals, this=table.read()), out)
+        _build_incremental(spark, spec, inputs, table, partition_by, full_refresh)
     if tests and not table.checked:
         passed(table.read())
     return table.read()
 
 
-def _storable(df: DataFrame) -> DataFrame:
+def _build_incremental(
+    spark: SparkSession,
+    spec: dict,
+    inputs: dict[str, DataFrame],
+    table: RecipeTable,
+    partition_by: list[str],
+    full_refresh: bool,
+) -> None:
+    out, partials = spec.get("output") or {}, None
+    first = full_refresh or not table.exists()
+    if recipe_type(spec) == "group":
+        ((driver, df),) = inputs.items()
+        guards.check_group(spec, driver, df.columns)
+        guards.check_produced(out, groups.output_names(spec))
+        partials = partials_of(spec, df)
+    if partials and not first and (test := bound_test(out, table)) is not None:
+        fresh = partials.arrivals(df, test)
+        if partials.fit(fresh.schema, table, out):
+            load(table, fresh, out, merged=partials.merged)
+            return
+    seen = inputs if first else arrivals_only(spec, inputs, table)
+    if partials:
+        made = storable(partials.compute(seen[driver]))
+    else:
+        made = storable(compute(spark, spec, seen, this=None if first else table.read()))
+    hidden = partials.hidden if partials else []
+    if first:
+        layout = _layout(partition_by, made.columns)
+        table.replace(made, layout, bucket_keys(out, made.schema), hidden)
+    else:
+        load(table, made, out, hidden=hidden)
+
+
+def storable(df: DataFrame) -> DataFrame:
     """A column that is NULL by construction has no type a file can hold: text stands in."""
     return df.select(
         *[
@@ -199,28 +231,58 @@ def _touched_groups(df: DataFrame, test: Column, keys: list[str]) -> DataFrame:
 # --------------------------------------------------------------------------- strategies
 
 
-def load(table: RecipeTable, arrivals: DataFrame, out: dict) -> None:
-    """Applies the strategy of the output to the rows of one load."""
-    arrivals = _storable(arrivals)
+def bucket_keys(out: dict, schema: T.StructType) -> list[str]:
+    """The columns by whose hash a table with a replacing strategy is stored."""
+    if not is_incremental(out) or strategy_of(out) not in REPLACING:
+        return []
+    fields = {f.name.casefold(): f.name for f in schema}
+    return [fields[k.casefold()] for k in unique_key(out) if k.casefold() in fields]
+
+
+def load(
+    table: RecipeTable,
+    arrivals: DataFrame,
+    out: dict,
+    mark: tuple[str, int] | None = None,
+    hidden: Sequence[str] = (),
+    merged: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> None:
+    """Applies the strategy of the output to the rows of one load.
+
+    ``mark`` names the stream and batch they came in; it is shown together with the rows.
+    ``hidden`` columns are stored and not seen by readers; ``merged`` adds to the arrivals what
+    the table holds under their keys.
+    """
+    arrivals = storable(arrivals)
     policy = out.get("on_schema_change") or SCHEMA_CHANGES[0]
-    change = fit(arrivals.schema, table.schema(), policy)
+    held = table.layout()
+    lost = set(held.hidden if held else ()) - set(hidden) if merged is None else set()
+    stored = T.StructType([f for f in table.schema() if f.name not in lost])
+    change = fit(arrivals.schema, stored, policy)
+    if lost:  # hidden columns that this load does not fill would be wrong from now on
+        change = replace(change, rewritten=True)
     partition_by = _layout(filled_names(out.get("partition_by")), change.schema.names)
     if strategy_of(out) == "append":
-        _append(table, arrivals, change, partition_by)
+        _append(table, arrivals, change, partition_by, mark)
     else:
-        _replace_keys(table, arrivals, change, partition_by, out)
+        _replace_keys(table, arrivals, change, partition_by, out, mark, list(hidden), merged)
 
 
 def _append(
-    table: RecipeTable, arrivals: DataFrame, change: Fit, partition_by: list[str]
+    table: RecipeTable,
+    arrivals: DataFrame,
+    change: Fit,
+    partition_by: list[str],
+    mark: tuple[str, int] | None,
 ) -> None:
     rows = shaped(arrivals, change.schema)
     if change.rewritten:
-        table.replace(shaped(table.read(), change.schema).union(rows), partition_by)
+        held = shaped(table.read_stored(), change.schema)
+        table.replace(held.union(rows), partition_by, mark=mark)
         return
-    if change.widened:
+    if change.widened and table.layout() is None:
         table.widen(change.schema)
-    table.append(rows, partition_by)
+    table.append(rows, partition_by, mark)
 
 
 def _replace_keys(
@@ -229,11 +291,15 @@ def _replace_keys(
     change: Fit,
     partition_by: list[str],
     out: dict,
+    mark: tuple[str, int] | None,
+    hidden: list[str],
+    merged: Callable[[DataFrame, DataFrame], DataFrame] | None,
 ) -> None:
     """delete+insert and merge: rows of the table whose key arrives again are replaced.
 
     Arrivals are written once first: their keys decide what is removed and their rows are
-    what is added, and both must be the same rows.
+    what is added, and both must be the same rows. Only the buckets of arriving keys are read
+    and written again, and those that make room for a growing table.
     """
     fields = {f.name.casefold(): f.name for f in change.schema}
     keys = [fields[k.casefold()] for k in unique_key(out)]
@@ -242,23 +308,49 @@ def _replace_keys(
         c.casefold() for c in arrivals.columns
     }
     lacking = [c for c in change.schema.names if c.casefold() in absent] if merging else []
-    held = shaped(table.read(), change.schema)
+    layout = table.layout()
+    by_bucket = layout is not None and list(layout.keys) == keys and not change.rewritten
     with settled_while(shaped(arrivals, change.schema)) as rows:
         known = rows.filter(reduce(Column.__and__, [col(k).isNotNull() for k in keys]))
         if merging:
             _refuse_repeated_keys(known, keys)
+        touched: list[int] = []
+        if by_bucket and not partition_by:
+            layout, giving = table.split(layout)
+            touched = _touched_buckets(rows, keys, len(layout.buckets), giving)
+            if not touched and not change.widened and not mark:
+                return
+            held = shaped(table.read_stored(touched), change.schema)
+        else:
+            held = shaped(table.read_stored(), change.schema)
+        if merged:
+            rows = merged(held, rows)
         names = {k: spare_name(f"key{i}", held.columns) for i, k in enumerate(keys)}
         gone = known.select(*[col(k).alias(n) for k, n in names.items()]).distinct()
         on = reduce(Column.__and__, [col(k) == col(n) for k, n in names.items()])
-        if partition_by and not change.rewritten and not lacking:
+        if partition_by and layout is None and not change.rewritten and not lacking:
             if change.widened:
                 table.widen(change.schema)
+                held = shaped(table.read(), change.schema)
             _replace_in_partitions(table, held, rows, gone, on, partition_by)
             return
         kept = held.join(gone, on, "left_anti")
         if lacking:
             rows = _with_old_values(held, rows, keys, lacking)
-        table.replace(kept.union(rows), partition_by)
+        if by_bucket and not partition_by:
+            table.load(kept.union(rows), layout, touched, mark=mark)
+        else:
+            table.replace(kept.union(rows), partition_by, keys, hidden, mark)
+
+
+def _touched_buckets(
+    rows: DataFrame, keys: list[str], count: int, giving: list[int]
+) -> list[int]:
+    """The buckets these rows belong to: at most as many numbers as the table has buckets."""
+    if count == 1:
+        return [] if rows.isEmpty() and not giving else [0]
+    found = rows.select(bucket_of(keys, rows.schema, count).alias("bucket")).distinct()
+    return sorted({r["bucket"] for r in found.collect()} | set(giving))
 
 
 def _refuse_repeated_keys(rows: DataFrame, keys: list[str]) -> None:
@@ -329,6 +421,8 @@ def _build_slices(
     for message in guards.slice_warnings(spec):
         log.warning(message)
     first_build = full_refresh or not table.exists()
+    if not first_build and table.layout() is not None:
+        raise RecipeError("The table was not built in slices: build it anew (full refresh).")
     start = _start(plan, None if first_build else table, now)
     end = _next(_floor(now, plan.size), plan.size)
     timed = {
@@ -350,7 +444,7 @@ def _build_slices(
             a: (_between(df, timed[a], low, high) if a in timed else df)
             for a, df in inputs.items()
         }
-        made = _storable(compute(spark, spec, seen, within=labels))
+        made = storable(compute(spark, spec, seen, within=labels))
         rows = _between(made, plan.column, low, high)
         rows = _labelled(rows, plan)
         if first_build and n == 0:

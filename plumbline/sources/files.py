@@ -48,6 +48,11 @@ class Folder:
             fs.delete(unfinished, False)
             raise FileExistsError(path)
 
+    def size(self, path: str) -> int:
+        """Bytes of all files in a folder."""
+        fs, where = self._open(path)
+        return fs.getContentSummary(where).getLength()
+
     def remove(self, path: str) -> None:
         fs, where = self._open(path)
         fs.delete(where, True)

@@ -2,9 +2,12 @@
 
 The checkpoint of the stream remembers which files were read, so it plays the part of the
 bound: each run processes what arrived since the last one and stops. Every micro-batch goes
-through the same recipe and the same strategy as a batch build. Only replacing strategies
-are accepted, because a micro-batch may be delivered twice after a failure and replacing by
-key gives the same table either way.
+through the same recipe and the same strategy as a batch build.
+
+A micro-batch may be delivered twice after a failure. The table remembers the last batch of
+each stream, in the version that first shows its rows, and a batch that is in the table is
+passed over: rows land once whatever the strategy. A table in partitions of the user's columns
+is changed inside its version, so there only replacing strategies are accepted.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..errors import RecipeError
-from ..plans.build import load
+from ..functions.names import filled_names
+from ..plans.build import bucket_keys, load, storable
 from ..plans.output import REPLACING, bound_column, check_output, is_incremental, strategy_of
 from ..plans.recipe import compute
 from ..plans.spec import check_shape, input_aliases, recipe_type
@@ -34,22 +38,30 @@ def load_arrivals(
     check_output(out)
     if recipe_type(spec) != "prepare" or not is_incremental(out):
         raise RecipeError("Only an incremental 'prepare' recipe can be fed by a stream.")
-    if strategy_of(out) not in REPLACING:
-        raise RecipeError(f"A stream needs one of {', '.join(REPLACING)}, with a unique key.")
+    replacing, partitioned = strategy_of(out) in REPLACING, filled_names(out.get("partition_by"))
+    if not replacing and (strategy_of(out) != "append" or partitioned):
+        raise RecipeError(
+            f"A stream needs one of {', '.join(REPLACING)}, with a unique key, or 'append' "
+            "without 'partition_by'."
+        )
     if bound_column(out):
         raise RecipeError("A stream remembers what it has read: remove the incremental column.")
     (alias,) = input_aliases(spec)
     table = RecipeTable(spark, target)
+    stream = checkpoint.rstrip("/")
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         rows = compute(batch.sparkSession, spec, {alias: batch})
         if not table.exists():
-            # The first batch goes through the same replacement, over an empty table.
-            table.replace(rows.limit(0))
-        load(table, rows, out)
+            # The first batch goes through the same strategy, over an empty table.
+            first = storable(rows.limit(0))
+            table.replace(first, partitioned, bucket_keys(out, first.schema))
+        done = table.mark(stream)
+        if done is None or number > done:
+            load(table, rows, out, None if partitioned else (stream, number))
 
     query = (
         reader.parquet(folder)

@@ -1,8 +1,9 @@
-"""The paths for groups too big for one task, reached by lowering what a group may hold."""
+"""The paths for groups too big for one task and tables of many buckets, reached by lowering
+what a group or a bucket may hold."""
 
 from __future__ import annotations
 
-from . import grouping, joining, windowing
+from . import grouping, joining, loading, windowing
 from .common import Query
 from .joining import joined, on, pick
 
@@ -13,23 +14,27 @@ _SETTING = "spark.plumbline.groupRows"
 _PER_CUSTOMER, _PER_TABLE = 18, 3_000
 
 
-def with_groups_of(rows: int, query: Query) -> Query:
+def with_setting(name: str, value: str, query: Query) -> Query:
     """The same query and SQL; the plan is chosen while the query is being defined."""
 
     def run(spark, folder):
-        before = spark.conf.get(_SETTING, None)
-        spark.conf.set(_SETTING, str(rows))
+        before = spark.conf.get(name, None)
+        spark.conf.set(name, value)
         try:
             return query.run(spark, folder)
         finally:
             if before is None:
-                spark.conf.unset(_SETTING)
+                spark.conf.unset(name)
             else:
-                spark.conf.set(_SETTING, before)
+                spark.conf.set(name, before)
 
     return Query(run, query.sql)
 
 
+def with_groups_of(rows: int, query: Query) -> Query:
+    return with_setting(_SETTING, str(rows), query)
+
+
 _LEFT = Query(
     joined(
         {"c": "customer", "o": "orders"},
@@ -48,3 +53,15 @@ for _fn in windowing.WITHOUT_KEYS:
     QUERIES[f"{_name}_hot"] = with_groups_of(_PER_TABLE, windowing.QUERIES[_name])
 for _name in ("group_median", "group_median_few_groups", "group_global"):
     QUERIES[f"{_name}_hot"] = with_groups_of(_PER_TABLE, grouping.QUERIES[_name])
+
+# Some tens of kilobytes of orders: a few dozen buckets, split further as the table grows.
+for _name in (
+    "inc_delete_insert",
+    "inc_merge_latest_per_key",
+    "inc_merge_keeps_missing_columns",
+    "inc_group_append_only",
+    "stream_delete_insert",
+):
+    QUERIES[f"{_name}_buckets"] = with_setting(
+        "spark.plumbline.bucketBytes", "50000", loading.QUERIES[_name]
+    )

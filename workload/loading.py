@@ -237,6 +237,36 @@ QUERIES["inc_group"] = Query(
     """select o_custkey, count(*) as n, max(o_totalprice) as best,
     max(o_orderdate) as o_orderdate from orders group by o_custkey""",
 )
+_MERGEABLE = [
+    {"fn": "count", "column": "*", "alias": "n"},
+    {"fn": "count", "column": "o_orderpriority", "alias": "urgent",
+     "filter": "o_orderpriority < '2'"},
+    {"fn": "sum", "column": "o_custkey", "alias": "total"},
+    {"fn": "avg", "column": "o_custkey", "alias": "mean"},
+    {"fn": "min", "column": "o_totalprice", "alias": "cheapest"},
+    {"fn": "max", "column": "o_orderdate", "alias": "o_orderdate"},
+]
+QUERIES["inc_group_append_only"] = Query(
+    loads(
+        recipe(
+            "group",
+            group_by=["o_orderstatus", "o_orderpriority"],
+            aggregations=_MERGEABLE,
+            output={
+                "unique_key": ["o_orderstatus", "o_orderpriority"],
+                "incremental": {**_BY_DATE, "append_only": True},
+            },
+        ),
+        "orders",
+        [only("o_orderdate < timestamp_ntz '1995-01-01'")],
+        [_OLD_ORDERS],
+        [],
+    ),
+    """select o_orderstatus, o_orderpriority, count(*) as n,
+    count(case when o_orderpriority < '2' then o_orderpriority end) as urgent,
+    sum(o_custkey)::bigint as total, avg(o_custkey) as mean, min(o_totalprice) as cheapest,
+    max(o_orderdate) as o_orderdate from orders group by o_orderstatus, o_orderpriority""",
+)
 QUERIES["inc_group_two_keys"] = Query(
     loads(
         recipe(
@@ -581,3 +611,22 @@ QUERIES["stream_delete_insert"] = Query(
     case when o_orderdate < '1997-01-01' then '?' else o_orderstatus end as o_orderstatus)
     from orders o""",
 )
+
+
+def _append_stream(spark, folder):
+    """Events arrive in two deliveries, each row once."""
+    events = Tables(spark, folder)["events"]
+    landing, target, state = (new_target(spark) for _ in range(3))
+    spec = recipe(
+        steps=[("text_transform", {"column": "event_type", "mode": "upper"})],
+        output={"incremental_strategy": "append"},
+    )
+    for steps in ([_EARLY], [only("ts >= timestamp_ntz '2024-01-11'")]):
+        through(spark, events, *steps).coalesce(1).write.mode("append").parquet(landing)
+        load_arrivals(spark, spec, landing, events.schema, target, state)
+    return RecipeTable(spark, target).read()
+
+
+QUERIES["stream_append"] = Query(
+    _append_stream, "select * replace (upper(event_type) as event_type) from events"
+)
