@@ -49,10 +49,12 @@ class Limits:
     """How much one task holds; results do not depend on it."""
 
     segment_bytes: int = 1 << 19
-    block_bytes: int = 1 << 20
+    block_bytes: int = 16 << 20
+    # Bytes of a block whose windows are hashed at once.
+    hashed_bytes: int = 1 << 20
     # Anchors that one owner compares, and text whose pieces one shard takes.
     owner_anchors: int = 1 << 20
-    shard_text: int = 4 << 20
+    shard_text: int = 12 << 20
     # Bytes of distinct pieces whose suffixes are sorted at once.
     sorted_bytes: int = 1 << 18
     # Pieces of one anchor beyond which its windows are dealt out one by one.
@@ -133,27 +135,39 @@ class _Block:
         self.sizes = unpack(row.sizes)
         self.known = np.frombuffer(row.known, dtype=bool)
         self.data = np.frombuffer(zstandard.decompress(row.text), dtype=np.uint8)
-        self.segment = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.ends = np.cumsum(self.sizes)
 
-    def find_pieces(self, longest: int) -> None:
+    def segment_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, places, side="right")
+
+    def find_pieces(self, limits: Limits) -> None:
         """``at``, ``runs`` (windows) and ``keys`` of the pieces, in order of place."""
-        least = anchors_of(self.data)
-        if not len(least):
-            self.at = self.runs = self.keys = self.piece_docs = least
-            return
-        inside = self.segment[: len(least)] == self.segment[MATCH - 1 :][: len(least)]
-        change = np.ones(len(least), dtype=bool)
-        change[1:] = (
-            (least[1:] != least[:-1])
-            | (inside[1:] != inside[:-1])
-            | (self.segment[1 : len(least)] != self.segment[: len(least) - 1])
-        )
-        starts = np.flatnonzero(change)
-        runs = np.diff(np.append(starts, len(least)))
-        starts, runs = starts[inside[starts]], runs[inside[starts]]
-        self.at, self.runs = cut(starts, runs, longest)
-        self.keys = least[self.at]
-        self.piece_docs = self.docs[self.segment[self.at]]
+        at, runs, keys = [], [], []
+        for begin in range(0, len(self.data), limits.hashed_bytes):
+            stop = begin + limits.hashed_bytes
+            least = anchors_of(self.data[begin : stop + MATCH - 1])
+            if not len(least):
+                continue
+            places = np.arange(begin, begin + len(least))
+            segment = self.segment_of(places[[0, -1]])
+            own = np.arange(segment[0], segment[1] + 1)
+            # Where each segment's windows and its last bytes without a window start.
+            bounds = np.concatenate([self.ends[own] - self.sizes[own], self.ends[own] - MATCH + 1])
+            cuts = np.zeros(len(least), dtype=bool)
+            inside = (bounds > begin) & (bounds < begin + len(least))
+            cuts[bounds[inside] - begin] = True
+            cuts[0] = True
+            cuts[1:] |= least[1:] != least[:-1]
+            starts = np.flatnonzero(cuts)
+            lengths = np.diff(np.append(starts, len(least)))
+            whole = starts + begin + MATCH <= self.ends[self.segment_of(starts + begin)]
+            starts, lengths = cut(starts[whole], lengths[whole], limits.longest_run)
+            at.append(starts + begin)
+            runs.append(lengths)
+            keys.append(least[starts])
+        none = [np.zeros(0, dtype=np.int64)]
+        self.at, self.runs, self.keys = (np.concatenate(x + none) for x in (at, runs, keys))
+        self.piece_docs = self.docs[self.segment_of(self.at)]
 
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys, how many pieces each has, and which occur in two documents."""
@@ -233,7 +247,7 @@ def _messages(owners: int, limits: Limits):
         for frame in batches:
             for row in frame.itertuples(index=False):
                 block = _Block(row)
-                block.find_pieces(limits.longest_run)
+                block.find_pieces(limits)
                 if not len(block.keys):
                     continue
                 keys, pieces, _ = block.distinct_keys()
@@ -296,7 +310,7 @@ def _candidates(owners: int, shards: int, limits: Limits):
 
     def _messages_of(row) -> pd.DataFrame | None:
         block = _Block(row)
-        block.find_pieces(limits.longest_run)
+        block.find_pieces(limits)
         if not len(block.keys):
             return None
         keys, _, several = block.distinct_keys()
@@ -313,7 +327,8 @@ def _candidates(owners: int, shards: int, limits: Limits):
         at, runs, dealt_by = block.at[cold], block.runs[cold], block.keys[cold]
         if hot.any():
             single, ones = cut(block.at[hot], block.runs[hot], 1)
-            whole = string_hashes(block.data, MATCH)[single] >> np.uint64(64 - _BITS)
+            windows = block.data[single[:, None] + np.arange(MATCH)].ravel()
+            whole = string_hashes(windows, MATCH)[::MATCH] >> np.uint64(64 - _BITS)
             at, runs = np.concatenate([at, single]), np.concatenate([runs, ones])
             dealt_by = np.concatenate([dealt_by, whole.view(np.int64)])
         if not len(at):
@@ -327,7 +342,7 @@ def _candidates(owners: int, shards: int, limits: Limits):
         texts = list(numbers)
         first = np.zeros(len(texts), dtype=np.int64)
         first[piece[::-1]] = np.arange(len(piece))[::-1]
-        docs = block.docs[block.segment[at]]
+        docs = block.docs[block.segment_of(at)]
         least = np.full(len(texts), _LAST)
         most = np.full(len(texts), np.iinfo(np.int64).min)
         np.minimum.at(least, piece, docs)
@@ -420,7 +435,9 @@ def _least_of_windows(texts: list[bytes], runs: np.ndarray, least: np.ndarray) -
     return found[windows]
 
 
-_FOUND = "block string, shard long, piece binary, start binary, stop binary, least binary"
+_FOUND = (
+    "block string, at binary, occurs binary, piece binary, start binary, stop binary, least binary"
+)
 
 
 def _expanded(limits: Limits):
@@ -486,13 +503,32 @@ def _expanded(limits: Limits):
             smaller = smallest[runs_of] < most[local]
             if smaller.any():
                 local, runs_of = local[smaller], runs_of[smaller]
-                out.append((row.block, row.shard, pack(local), pack(start[runs_of]),
-                            pack(stop[runs_of]), pack(smallest[runs_of])))
+                # The occurrences of the pieces concerned go back with them.
+                at, occurs = unpack(row.at), unpack(row.piece)
+                mine = np.isin(occurs, local)
+                out.append((row.block, pack(at[mine]), pack(occurs[mine]), pack(local),
+                            pack(start[runs_of]), pack(stop[runs_of]),
+                            pack(smallest[runs_of])))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
     return run
 
 
+def _united(
+    block: _Block, firsts: list[np.ndarray], lasts: list[np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping and touching spans as one; those of two texts stay apart."""
+    if not firsts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    starts, ends = np.concatenate(firsts), np.concatenate(lasts)
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    segment = block.segment_of(starts)
+    apart = (starts[1:] > ends[:-1]) | (segment[1:] != segment[:-1])
+    heads = np.flatnonzero(np.concatenate([[True], apart]))
+    return starts[heads], np.append(ends[heads[1:] - 1], ends[-1])
+
+
 _SEGMENT = (
     "uid long, doc long, known boolean, offset long, n_bytes long, starts array<long>, "
     "ends array<long>, text binary"
@@ -505,7 +541,7 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         for row in frame.itertuples(index=False):
             block = _Block(row)
-            covers = np.zeros(len(block.data) + 1, dtype=np.int32)
+            firsts, lasts = [], []
             for found in row.found if row.found is not None else ():
                 at, piece = unpack(found["at"]), unpack(found["occurs"])
                 local, start, stop, least = (
@@ -517,20 +553,13 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 place = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(
                     len(run)
                 )
-                doc = block.docs[block.segment[at[place]]]
-                smaller = least[run] < doc
+                smaller = least[run] < block.docs[block.segment_of(at[place])]
                 place, run = at[place[smaller]], run[smaller]
-                np.add.at(covers, place + start[run], 1)
-                np.add.at(covers, place + stop[run] + MATCH - 1, -1)
-            covered = np.cumsum(covers[:-1]) > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
-            # Runs of two neighbouring texts are apart even where they touch.
-            bounds = np.cumsum(block.sizes)
+                firsts.append(place + start[run])
+                lasts.append(place + stop[run] + MATCH - 1)
+            starts, ends = _united(block, firsts, lasts)
+            bounds = block.ends
             begun = bounds - block.sizes
-            touching = [b for b in np.unique(begun[1:]).tolist() if b < len(covered) and b > 0
-                        and covered[b] and covered[b - 1]]
-            edges = np.sort(np.concatenate([edges, np.repeat(np.array(touching, dtype=np.int64), 2)]))
-            starts, ends = edges[::2], edges[1::2]
             of = np.searchsorted(starts, begun), np.searchsorted(starts, bounds)
             data = block.data.tobytes()
             out = []
@@ -630,18 +659,10 @@ def without_repeats(
         "answers", F.lit(0), lambda n, a: n + F.octet_length(a["elsewhere"]) + 64
     )
     known = blocks.join(_sent_if_small(answers, weight, limits.broadcast_bytes), "block")
-    pieces = stored(known.mapInPandas(_candidates(owners, shards, limits), _PIECES), "repeats-pieces")
-
-    found = (
-        pieces.select("block", "shard", "runs", "least", "most", "text")
-        .groupBy("shard")
-        .applyInPandas(_expanded(limits), _FOUND)
-    )
+    pieces = known.mapInPandas(_candidates(owners, shards, limits), _PIECES)
     returned = stored(
-        found.join(
-            pieces.select("block", "shard", "at", F.col("piece").alias("occurs")),
-            ["block", "shard"],
-        )
+        pieces.groupBy("shard")
+        .applyInPandas(_expanded(limits), _FOUND)
         .groupBy("block")
         .agg(
             F.collect_list(F.struct("at", "occurs", "piece", "start", "stop", "least")).alias(

@@ -165,7 +165,7 @@ def test_repeats_as_brute_force(spark, seed):
 
 def test_repeats_in_segments_shards_and_hot_anchors(spark):
     limits = suffixdedup.Limits(
-        segment_bytes=150, block_bytes=500, owner_anchors=20, shard_text=900, sorted_bytes=700,
+        segment_bytes=150, block_bytes=500, hashed_bytes=130, owner_anchors=20, shard_text=900, sorted_bytes=700,
         hot_pieces=6, longest_run=7, broadcast_bytes=0,
     )
     rows = _texts(3)
