@@ -1,11 +1,14 @@
 """Finding and splitting the groups that are too big for one task.
 
-Windows, medians and outer joins put all the rows of a key together. Where one key may hold
-a third of a table that is one task doing a third of the work, so those operators first ask
-which keys are hot: rows are counted per key hash, combined in the map tasks, and only keys
-above the limit are kept, at most rows / limit of them. Keys are compared by their 64-bit
-hash, so NULL is a key like any other and a collision only sends a small group down the path
-for large ones, which is exact as well.
+Ordered windows and medians put all the rows of a key together. Where one key may hold a third
+of a table that is one task doing a third of the work, so those operators first ask which keys
+are hot: rows are counted per key hash, combined in the map tasks, and only keys above the
+limit are kept, at most rows / limit of them. Keys are compared by their 64-bit hash, so NULL
+is a key like any other and a collision only sends a small group down the path for large ones,
+which is exact as well. Outer joins count the same way as part of their own plan.
+
+Asking runs a job while a recipe is being described. Under ``described_only`` (previews and
+views, which promise to run nothing) nothing is asked and Spark's own operators are used.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,6 +35,33 @@ _SETTING = "spark.plumbline.groupRows"
 _LISTED = 1_000
 
 
+_describing: ContextVar[bool] = ContextVar("describing", default=False)
+_kept: ContextVar[list[str] | None] = ContextVar("kept", default=None)
+
+
+@contextmanager
+def described_only() -> Iterator[None]:
+    """No job runs and nothing is written while a recipe is described inside."""
+    token = _describing.set(True)
+    try:
+        yield
+    finally:
+        _describing.reset(token)
+
+
+@contextmanager
+def settled_rows_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes the rows settled inside when it ends: everything made from them is written."""
+    token = _kept.set([])
+    try:
+        yield
+    finally:
+        folders = _kept.get() or []
+        _kept.reset(token)
+        for where in folders:
+            Folder(spark).remove(where)
+
+
 def group_rows(spark: SparkSession, default: int = GROUP_ROWS) -> int:
     return int(spark.conf.get(_SETTING, str(default)))
 
@@ -71,6 +102,8 @@ class HotGroups:
 
 def hot_groups(df: DataFrame, keys: list[str], default: int = GROUP_ROWS) -> HotGroups:
     limit = group_rows(df.sparkSession, default)
+    if _describing.get():
+        return HotGroups(tuple(keys), (), 0, limit)
     if not keys:
         rows = df.count()
         return HotGroups((), (), rows if rows > limit else 0, limit)
@@ -98,7 +131,10 @@ def settled(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     if any(isinstance(f.dataType, _NOT_IN_PARQUET) for f in df.schema.fields):
         return df.checkpoint(eager=True)
-    return _written(df, _new_folder(df.sparkSession))
+    where, kept = _new_folder(df.sparkSession), _kept.get()
+    if kept is not None:
+        kept.append(where)
+    return _written(df, where)
 
 
 _NOT_IN_PARQUET = (T.NullType, T.CalendarIntervalType)

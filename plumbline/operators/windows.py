@@ -1,9 +1,10 @@
 """Window functions and one-row-per-key, safe when one group holds most of the rows.
 
-Ordinary groups use Spark's own Window operator: one shuffle on the partition keys. Groups
-found hot (see ``skew``) are handled apart:
+Measures of whole groups are aggregated, with a map-side combine, and joined back: a join
+whose one side has a row per key, which adaptive execution broadcasts or splits where a key is
+hot. Ordered functions use Spark's own Window operator: one shuffle on the partition keys.
+Groups found hot (see ``skew``) are handled apart:
 
-* whole-group measures are aggregated (map-side combine) and joined back: one row per hot key;
 * ordered functions range-partition the rows by key *and* order, so a hot group spans many
   tasks; each row then gets its exact position from its place in its piece plus the sizes of
   the pieces before it, and the function is evaluated over slices of bounded size.
@@ -109,6 +110,8 @@ class WindowCall:
 
 def window_function(df: DataFrame, params: dict) -> DataFrame:
     call = read_call(df, params)
+    if call.fn not in NEEDS_ORDER:
+        return _whole_group(df, call)
     return evaluate(df, call, hot_groups(df, list(call.keys)))
 
 
@@ -171,14 +174,16 @@ def _large_groups(df: DataFrame, call: WindowCall, hot: HotGroups) -> DataFrame:
 
 
 def _whole_group(df: DataFrame, call: WindowCall) -> DataFrame:
-    """At most one row per hot key joins back, so the broadcast side is bounded."""
+    """One row per key joins back, or one row to all; Spark chooses how from measured sizes."""
     value = spare_name("value", [*df.columns, call.into])
     names = {k: spare_name(f"key{i}", df.columns) for i, k in enumerate(call.keys)}
     totals = df.groupBy(*[col(k).alias(n) for k, n in names.items()]).agg(
         call.measure().alias(value)
     )
-    on = same_keys(df, totals, list(names.items()))
-    joined = df.join(F.broadcast(totals), on, "inner")
+    if call.keys:
+        joined = df.join(totals, same_keys(df, totals, list(names.items())), "left")
+    else:
+        joined = df.crossJoin(F.broadcast(totals))  # one row
     return put(joined.select(*cols(df.columns), col(value)), call.into, col(value)).select(
         *cols(put(df, call.into, F.lit(None)).columns)
     )

@@ -20,7 +20,7 @@ from ..errors import RecipeError
 from ..functions.names import col, cols, filled_names, require, spare_name
 from ..functions.types import DATE, TEXT, family
 from ..operators import groups, joins
-from ..operators.skew import same_keys, settled_while
+from ..operators.skew import described_only, same_keys, settled_rows_removed, settled_while
 from ..quality.checks import declared_tests, enforce, run_tests
 from ..sources.tables import SLICE, RecipeTable, bucket_of
 from . import guards
@@ -70,7 +70,9 @@ def build(
     if kind == "ephemeral":
         return compute(spark, spec, inputs)
     if kind == "view":
-        df = compute(spark, spec, inputs)
+        # Every reading of a view sees its inputs as they are then, all of them.
+        with described_only():
+            df = compute(spark, spec, inputs)
         if spec.get("name"):
             df.createOrReplaceTempView(str(spec["name"]))
         return df
@@ -83,14 +85,15 @@ def build(
 
     table = RecipeTable(spark, target, passed if tests else None)
     partition_by = filled_names(out.get("partition_by"))
-    if kind == "table":
-        df = storable(compute(spark, spec, inputs))
-        table.replace(df, _layout(partition_by, df.columns))
-    elif strategy_of(out) == "microbatch":
-        moment = now or datetime.now(timezone.utc).replace(tzinfo=None)
-        _build_slices(spark, spec, inputs, table, moment, full_refresh)
-    else:
-        _build_incremental(spark, spec, inputs, table, partition_by, full_refresh)
+    with settled_rows_removed(spark):
+        if kind == "table":
+            df = storable(compute(spark, spec, inputs))
+            table.replace(df, _layout(partition_by, df.columns))
+        elif strategy_of(out) == "microbatch":
+            moment = now or datetime.now(timezone.utc).replace(tzinfo=None)
+            _build_slices(spark, spec, inputs, table, moment, full_refresh)
+        else:
+            _build_incremental(spark, spec, inputs, table, partition_by, full_refresh)
     if tests and not table.checked:
         passed(table.read())
     return table.read()

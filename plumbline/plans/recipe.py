@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..errors import RecipeError
 from ..operators import groups, joins, sql, stacks
+from ..operators.skew import described_only
 from ..operators.steps import apply_step
 from . import guards
 from .output import check_output
@@ -92,7 +93,8 @@ def preview(
     upto: int | None = None,
     limit: int = PREVIEW_ROWS,
 ) -> DataFrame:
-    """A few rows of the result, to look at."""
+    """A few rows of the result, to look at. Nothing runs before they are asked for."""
     if not 1 <= limit <= PREVIEW_MAX_ROWS:
         raise RecipeError(f"A preview shows 1 to {PREVIEW_MAX_ROWS} rows, not {limit}.")
-    return run_recipe(spark, spec, datasets, upto).limit(limit)
+    with described_only():
+        return run_recipe(spark, spec, datasets, upto).limit(limit)
