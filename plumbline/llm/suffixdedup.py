@@ -54,11 +54,11 @@ class Limits:
     hashed_bytes: int = 1 << 20
     # Anchors that one owner compares, and text whose pieces one shard takes.
     owner_anchors: int = 1 << 20
-    shard_text: int = 12 << 20
+    shard_text: int = 4 << 20
     # Bytes of distinct pieces whose suffixes are sorted at once.
     sorted_bytes: int = 1 << 18
     # Pieces of one anchor beyond which its windows are dealt out one by one.
-    hot_pieces: int = 1 << 12
+    hot_pieces: int = 1 << 14
     # Windows of one piece.
     longest_run: int = 512
     # What may be sent to every task, by measured size.
@@ -170,12 +170,17 @@ class _Block:
         self.piece_docs = self.docs[self.segment_of(self.at)]
 
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct keys, how many pieces each has, and which occur in two documents."""
-        order = np.argsort(self.keys, kind="stable")
-        keys, docs = self.keys[order], self.piece_docs[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        """Sorted distinct keys, between how many different neighbours each has its pieces, and
+        which occur in two documents. Equal pieces of a block count as one."""
+        around = np.concatenate([[0], self.keys, [0]]).view(np.uint64)
+        context = mixed(mixed(around[:-2] ^ self.runs.astype(np.uint64)) + around[2:]).view(np.int64)
+        order = np.lexsort((context, self.keys))
+        keys, docs, context = self.keys[order], self.piece_docs[order], context[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        fresh = first | np.concatenate([[True], context[1:] != context[:-1]])
+        starts = np.flatnonzero(first)
         several = np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts)
-        return keys[starts], np.diff(np.append(starts, len(keys))), several
+        return keys[starts], np.add.reduceat(fresh.astype(np.int64), starts), several
 
 
 def cut(starts: np.ndarray, runs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
