@@ -9,11 +9,15 @@ the build tool whose vocabulary the settings use.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import RecipeError
@@ -417,7 +421,7 @@ def _build_slices(
     at once. In a join, timed inputs only match rows of their own slice: where the output's
     time comes from the first input, the slice is part of the join key. What is left, SQL and
     joins whose time comes from elsewhere, could pair rows of different slices and runs slice
-    by slice.
+    by slice, several at once where ``concurrent_batches`` says so.
     """
     out = spec.get("output") or {}
     plan = slices(out)
@@ -442,18 +446,69 @@ def _build_slices(
         while start < end:
             bounds.append((start, _next(start, plan.size)))
             start = bounds[-1][1]
-    for n, (low, high) in enumerate(bounds):
+
+    def slice_rows(low: datetime, high: datetime) -> DataFrame:
         seen = {
             a: (_between(df, timed[a], low, high) if a in timed else df)
             for a, df in inputs.items()
         }
         made = storable(compute(spark, spec, seen, within=labels))
-        rows = _between(made, plan.column, low, high)
-        rows = _labelled(rows, plan)
-        if first_build and n == 0:
-            table.replace(rows, [SLICE])
-        else:
-            _write_slices(table, rows, out, plan, low, high)
+        return _labelled(_between(made, plan.column, low, high), plan)
+
+    def write(low: datetime, high: datetime) -> None:
+        _write_slices(table, slice_rows(low, high), out, plan, low, high)
+
+    if not bounds:
+        return
+    # The first slice makes the table, or settles its columns, before others run beside each
+    # other: from then on every slice writes a partition of its own.
+    if first_build:
+        table.replace(slice_rows(*bounds[0]), [SLICE])
+    else:
+        write(*bounds[0])
+    if plan.concurrent:
+        _write_side_by_side(spark, write, bounds[1:], plan)
+    else:
+        for low, high in bounds[1:]:
+            write(low, high)
+
+
+# Slices that run at the same time, and how often one is tried.
+SLICES_AT_ONCE = 4
+_TRIES = 2
+
+
+def _write_side_by_side(
+    spark: SparkSession,
+    write: Callable[[datetime, datetime], None],
+    bounds: list[tuple[datetime, datetime]],
+    plan: Slices,
+) -> None:
+    """Each slice in a job group of its own (and a fair scheduler's pool, where the session has
+    one); one that fails is tried again, since writing it replaces whatever it left."""
+    context = spark.sparkContext
+
+    def run(low: datetime, high: datetime) -> None:
+        label = _label(low, plan.size)
+        context.setJobGroup(f"slice {label} {uuid.uuid4().hex}", f"slice {label}")
+        context.setLocalProperty("spark.scheduler.pool", "slices")
+        for attempt in range(_TRIES):
+            try:
+                return write(low, high)
+            except RecipeError:
+                raise
+            except Exception:
+                if attempt + 1 == _TRIES:
+                    raise
+                log.warning("Slice %s failed and is tried again", label, exc_info=True)
+
+    with ThreadPoolExecutor(SLICES_AT_ONCE) as pool:
+        tasks = [
+            pool.submit(copy_context().run, inheritable_thread_target(spark)(run), low, high)
+            for low, high in bounds
+        ]
+    for task in tasks:
+        task.result()
 
 
 def _slices_of_join(

@@ -92,6 +92,7 @@ class Slices:
     begin: datetime
     size: str
     lookback: int
+    concurrent: bool = False
 
 
 def slices(out: dict) -> Slices:
@@ -116,7 +117,8 @@ def slices(out: dict) -> Slices:
     back = DEFAULT_BATCH_LOOKBACK if raw in (None, "") else _integer(raw, "Slice lookback")
     if back < 0:
         raise RecipeError("The slice lookback cannot be negative.")
-    return Slices(column, begin.replace(tzinfo=None), size, back)
+    concurrent = bool(config.get("concurrent_batches"))
+    return Slices(column, begin.replace(tzinfo=None), size, back, concurrent)
 
 
 def check_output(out: dict) -> None:

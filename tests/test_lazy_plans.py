@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import threading
+import time
 import uuid
 from collections import Counter
 from pathlib import Path
@@ -10,7 +12,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline import build, preview, run_recipe
+from plumbline import RecipeTable, build, preview, run_recipe
+from plumbline.plans import build as building
 from plumbline.operators.joins import equi_join
 
 TANKS = "tank string, hour int, level double"
@@ -105,3 +108,49 @@ def test_salts_split_a_hot_key(spark, small_groups):
     with small_groups(50):
         plan = equi_join(left, right, [("k", "l")], "left")
         assert plan.count() == 400 and plan.filter("l is null").count() == 0
+
+
+def _slices(concurrent):
+    return {
+        "name": "ticks", "type": "sql", "sql": "select *, count(*) over () as n from {t}",
+        "inputs": [{"ref": "t", "event_time": "at"}],
+        "output": {"materialized": "incremental", "incremental_strategy": "microbatch",
+                   "microbatch": {"event_time": "at", "begin": "2031-05-01", "batch_size": "day",
+                                  "concurrent_batches": concurrent}},
+    }
+
+
+def test_slices_run_beside_each_other(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timedelta
+
+    start = datetime(2031, 5, 1, 3)
+    rows = [(i, start + timedelta(hours=7 * i)) for i in range(30)]
+    ticks = spark.createDataFrame(rows, "id int, at timestamp_ntz")
+    running, most, tried, lock = 0, 0, Counter(), threading.Lock()
+    write = building._write_slices
+
+    def watched(table, made, out, plan, low, high):
+        nonlocal running, most
+        with lock:
+            running, most = running + 1, max(most, running + 1)
+            tried[low] += 1
+        try:
+            time.sleep(0.3)
+            if low.day == 4 and tried[low] == 1:
+                raise OSError("lost")
+            write(table, made, out, plan, low, high)
+        finally:
+            with lock:
+                running -= 1
+
+    monkeypatch.setattr(building, "_write_slices", watched)
+    found = {}
+    for concurrent in (True, False):
+        where, most = str(tmp_path / str(concurrent)), 0
+        if not concurrent:
+            tried[datetime(2031, 5, 4)] = 1
+        build(spark, _slices(concurrent), {"t": ticks}, where, now=datetime(2031, 5, 9, 23))
+        found[concurrent] = sorted(map(tuple, RecipeTable(spark, where).read().collect()))
+        assert (most > 1) == concurrent
+    assert found[True] == found[False] and len(found[True]) == 30
+    assert tried[datetime(2031, 5, 4)] == 2

@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import RecipeError, preview, run_recipe
 from plumbline.operators.steps import pivot_column
@@ -408,3 +409,36 @@ def test_input_twins_are_refused(spark):
     df = spark.createDataFrame([(1, 2)], ["id", "ID"])
     with pytest.raises(RecipeError, match="case is ignored"):
         steps(spark, df)
+
+
+@pytest.mark.parametrize(
+    "text, form, expected",
+    [
+        ("07-03-69", "%d-%m-%y", "1969-03-07 00:00:00"),
+        ("07-03-68", "%d-%m-%y", "2068-03-07 00:00:00"),
+        ("29.2.72", "%d.%m.%y", "1972-02-29 00:00:00"),
+        ("710615", "%y%m%d", "1971-06-15 00:00:00"),
+        ("wed 5 Jun 2030", "%a %d %b %Y", "2030-06-05 00:00:00"),
+        ("Wedn 5 Jun 2030", "%a %d %b %Y", None),
+        ("Saturday; 8h, 2001-09-08", "%A; %Hh, %Y-%m-%d", "2001-09-08 08:00:00"),
+        ("2001-09-08 23:30 -0145", "%Y-%m-%d %H:%M %z", "2001-09-09 01:15:00"),
+        ("2001-09-08 23:30 +12", "%Y-%m-%d %H:%M %z", "2001-09-08 11:30:00"),
+        ("2001-09-08 23:30", "%Y-%m-%d %H:%M %z", None),
+        ("1$ 2001-09-08 Sat", "1$ %Y-%m-%d %a", "2001-09-08 00:00:00"),
+    ],
+)
+def test_short_years_weekdays_and_offsets(spark, text, form, expected):
+    from plumbline.functions.dates import parsed_timestamp
+
+    row = spark.createDataFrame([(text,)], "t string").select(
+        parsed_timestamp(F.col("t"), form).cast("string").alias("at")
+    )
+    assert row.first()["at"] == expected
+
+
+def test_one_year_and_one_offset(spark):
+    from plumbline.functions.dates import parsed_timestamp
+
+    for form in ("%y %Y", "%z %z", "%y %F"):
+        with pytest.raises(RecipeError, match="both|once"):
+            parsed_timestamp(F.lit("x"), form)

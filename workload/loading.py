@@ -484,6 +484,30 @@ for _name, _timed, _same in (
         where o_orderdate >= '1996-01-01'""",
     )
 
+_BY_MONTH = sliced("o_orderdate", "1998-01-01", "month")
+_BY_MONTH["microbatch"]["concurrent_batches"] = True
+QUERIES["inc_microbatch_sql_concurrent"] = Query(
+    loads(
+        recipe(
+            "sql",
+            inputs=({"ref": "src", "event_time": "o_orderdate"},),
+            # The share of its month, so that a slice must see its own rows alone.
+            sql="""select o_orderkey, o_orderdate, o_totalprice,
+            count(*) over () as in_month from {src}""",
+            output=_BY_MONTH,
+        ),
+        "orders",
+        [],
+        [only("o_orderstatus <> 'P'")],
+        moments=[datetime(1998, 6, 15), datetime(1998, 12, 1)],
+    ),
+    # Written first up to June, then from May on without the pending orders.
+    """with seen as (select * from orders where o_orderdate >= '1998-01-01' and o_orderdate < '1999-01-01' and
+        (o_orderdate < '1998-05-01' or o_orderstatus <> 'P'))
+    select o_orderkey, o_orderdate, o_totalprice,
+    count(*) over (partition by date_trunc('month', o_orderdate)) as in_month from seen""",
+)
+
 # -------------------------------------------------------------------------- SQL and tests
 
 QUERIES["inc_sql"] = Query(

@@ -375,6 +375,32 @@ add(
     keep("event_id", "ts"),
     sql="select event_id, date_trunc('second', ts) as ts from events",
 )
+add(
+    "step_parse_date_short_year",
+    "orders",
+    formula(
+        "text",
+        "concat(date_format(o_orderdate, 'EEE dd.MM.'),"
+        " lpad(cast(pmod(o_orderkey, 100) as string), 2, '0'))",
+    ),
+    ("parse_date", {"column": "text", "format": "%a %d.%m.%y", "into": "parsed"}),
+    keep("o_orderkey", "parsed"),
+    sql="""select o_orderkey, try_strptime(strftime(o_orderdate, '%a %d.%m.')
+        || lpad((o_orderkey % 100)::varchar, 2, '0'), '%a %d.%m.%y') as parsed from orders""",
+)
+add(
+    "step_parse_date_offset",
+    "events",
+    formula(
+        "text",
+        "concat(date_format(ts, 'EEEE, yyyy-MM-dd HH:mm:ss'),"
+        " case pmod(event_id, 3) when 0 then '+0530' when 1 then '-08' else ' UTC' end)",
+    ),
+    ("parse_date", {"column": "text", "format": "%A, %Y-%m-%d %H:%M:%S%z", "into": "at"}),
+    keep("event_id", "at"),
+    sql="""select event_id, date_trunc('second', ts) + case event_id % 3
+        when 0 then -interval '330 minutes' when 1 then interval 8 hours end as at from events""",
+)
 add(
     "step_parse_date",
     "orders",
