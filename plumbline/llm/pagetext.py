@@ -1,10 +1,15 @@
 """Main text of web pages by tree scoring.
 
 Every paragraph gets points for its length and its commas and passes them to its ancestors,
-less the farther they are. An ancestor's points are discounted by its link density. The best
-container is kept with those siblings that score well or are paragraphs of prose; navigation,
-page headers and footers, side bars, notices, adverts, forms, scripts, styles and reader
-comments are removed before. White space inside a block becomes one space, blocks are joined
+less the farther they are, to the ``REACH`` nearest ones. An ancestor's points are discounted
+by its link density. The best container is kept with those siblings that score well or are
+paragraphs of prose; where other containers hold a quarter of its own points or more, the
+element around all of them stands for it. Within an element that is named as the article the
+same scores drop what is little but links. Navigation, page headers and footers, side bars,
+notices, adverts, forms, scripts, styles and reader comments are removed before; a name that
+merely contains a word which is also used of articles (``meta-analysis``, ``search-results``)
+only removes what holds no prose. Parsing and scoring take time in proportion to the page,
+however deep it is nested. White space inside a block becomes one space, blocks are joined
 by an empty line.
 
 Defined results: null, empty or textless pages give the empty text. Text outside any element
@@ -72,6 +77,11 @@ BAD_WORDS = frozenset(
     "search share sharebar sharing shoutbox sidebar sidebars signup skip social sponsor "
     "sponsored subscribe subscription tags teaser toolbar topbar trending widget widgets".split()
 )
+# Of them, those that articles are also named by, beside another word.
+DOUBTFUL_WORDS = frozenset(
+    "discussion header meta recommended related response responses search share social tags "
+    "teaser trending widget widgets".split()
+)
 GOOD_WORDS = frozenset(
     "article articlebody body content entry hentry main page post story text".split()
 )
@@ -83,6 +93,11 @@ BAD_ROLES = frozenset(
 # A quote opens a value after an equals sign only, and reaches to the next one of its kind,
 # however far; without one in the rest of the page it is a stray character. A tag that does
 # not end takes the rest of the page, as in browsers.
+# Ancestors that a paragraph passes points to, and what counts as prose in a doubtful element.
+REACH = 24
+_PROSE_CHARS, _PROSE_DENSITY = 120, 0.35
+_STRONG = 0.25
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
@@ -93,48 +108,120 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "words", "score", "removed")
+    __slots__ = (
+        "name", "parent", "parts", "words", "links", "score", "own", "strong", "removed", "doubtful",
+        "around",
+    )
 
     def __init__(self, name: str, parent: Node | None, removed: bool = False):
         self.name, self.parent, self.removed = name, parent, removed
+        # The nearest container around it.
+        self.around = None
+        if parent is not None:
+            self.around = parent if parent.name in CONTAINERS else parent.around
         self.parts: list[Node | str] = []
-        self.score = 0.0
+        self.score = self.own = 0.0
+        self.links = self.strong = 0
+        self.doubtful = False
+
+
+_GOOD, _DOUBTFUL, _BAD = range(3)
 
 
-def _is_bad(name: str, attributes: str, inside: set[str]) -> bool:
-    """Whether an element holds something else than the article."""
+def _judged(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element holds something else than the article, by its names."""
     if name in REMOVED:
-        return True
-    if name == "header" and not inside & {"article", "main"}:
-        return True
+        return _BAD
+    if name == "header" and not in_article:
+        return _BAD
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return _GOOD
     found = {}
     for m in _ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return _BAD
     if re.search(r"(display\s*:\s*none|visibility\s*:\s*hidden)", found.get("style", ""), re.I):
-        return True
+        return _BAD
     if BAD_ROLES & set(found.get("role", "").lower().split()):
-        return True
+        return _BAD
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
     if any(n.lower() in GOOD_WORDS for n in names):
-        return False
+        return _GOOD
+    worst = _GOOD
     for n in names:
         words = [w.lower() for w in _WORDS.findall(n)]
         if words and words[0] in ("has", "with", "no", "without", "js"):
             continue
-        if BAD_WORDS & set(words):
-            return True
-    return False
+        bad = BAD_WORDS & set(words)
+        if bad:
+            doubtful = bad <= DOUBTFUL_WORDS and len(set(words)) > len(bad)
+            worst = max(worst, _DOUBTFUL if doubtful else _BAD)
+    return worst
+
+
+class _Open:
+    """The elements that are open, and where those of each name and kind are among them."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.cells: list[int] = []
+
+    def has(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.name, []).append(at)
+        if node.name in BLOCKS or node.name in ENDED_BY:
+            self.blocks.append(at)
+        if node.name in ("td", "th"):
+            self.cells.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at this place and all inside it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().name].pop()
+            here = len(self.stack)
+            if self.blocks and self.blocks[-1] == here:
+                self.blocks.pop()
+            if self.cells and self.cells[-1] == here:
+                self.cells.pop()
+
+    def close(self, name: str) -> None:
+        """A closing tag does not reach out of a cell or, unless it closes a block, a block."""
+        if not self.has(name):
+            return
+        at = self.places[name][-1]
+        if name not in ("tr", "table", "tbody") and self.cells and self.cells[-1] > at:
+            return
+        if name not in BLOCKS:
+            last = next((b for b in reversed(self.blocks) if self.stack[b].name in BLOCKS), 0)
+            if last > at:
+                return
+        self.cut(at)
+
+    def open_block(self, name: str) -> None:
+        """Ends the elements that end where one of this name starts."""
+        scopes = SCOPES.get(name, ())
+        k = len(self.blocks) - 1
+        while k >= 0:
+            opened = self.stack[self.blocks[k]].name
+            if name in ENDED_BY.get(opened, ()):
+                self.cut(self.blocks[k])
+            elif opened in scopes or opened in BLOCKS and opened not in ENDED_BY:
+                return
+            k -= 1
 
 
 def parse(page: str) -> Node:
     """The element tree of a page: text parts are decoded, removed elements are empty."""
     root = Node("html", None)
     node, at = root, 0
-    stack = [root]
+    opened = _Open(root)
     end = len(page)
 
     def text(a: int, b: int) -> None:
@@ -153,41 +240,28 @@ def parse(page: str) -> Node:
             continue
         closing, name, attributes = m[1], name.lower(), m[3]
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
-                # A closing tag does not reach out of a cell or, unless it closes a block, a block.
-                if stack[depth].name in ("td", "th") and name not in ("tr", "table", "tbody"):
-                    break
-                if name not in BLOCKS and stack[depth].name in BLOCKS:
-                    break
-            node = stack[-1]
+            opened.close(name)
+            node = opened.stack[-1]
             continue
-        if name == "html" or name == "body" and any(n.name == "body" for n in stack):
+        if name == "html" or name == "body" and opened.has("body"):
             continue
         if name in BLOCKS or name == "option":
-            for depth in range(len(stack) - 1, 0, -1):
-                opened = stack[depth].name
-                if name in ENDED_BY.get(opened, ()):
-                    del stack[depth:]
-                elif name in SCOPES.get(name, ()) or opened in SCOPES.get(name, ()):
-                    break
-                elif opened in BLOCKS and opened not in ENDED_BY:
-                    break
-            node = stack[-1]
+            opened.open_block(name)
+            node = opened.stack[-1]
         if name == "br":
-            text_break = not node.removed
-            if text_break:
+            if not node.removed:
                 node.parts.append(" ")
             continue
         if name in VOID:
             if name == "hr" and not node.removed:
                 node.parts.append(Node("hr", node))
             continue
-        removed = node.removed or _is_bad(name, attributes, {n.name for n in stack})
-        child = Node(name, node, removed)
-        if not removed:
+        judged = _BAD if node.removed else _judged(
+            name, attributes, opened.has("article") or opened.has("main")
+        )
+        child = Node(name, node, judged == _BAD)
+        child.doubtful = judged == _DOUBTFUL
+        if not child.removed:
             node.parts.append(child)
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
@@ -195,13 +269,14 @@ def parse(page: str) -> Node:
             continue
         if attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        stack.append(child)
+        opened.push(child)
         node = child
     return root
 
 
 def _measure(root: Node) -> list[Node]:
-    """All nodes, parents first; ``words`` holds (characters, characters in links)."""
+    """All nodes, parents first; ``words`` holds (characters, characters in links), ``links``
+    the number of links."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -209,12 +284,14 @@ def _measure(root: Node) -> list[Node]:
         todo.extend(p for p in reversed(node.parts) if isinstance(p, Node))
     for node in reversed(order):
         chars = links = 0
+        node.links = int(node.name == "a")
         for part in node.parts:
             if isinstance(part, str):
                 chars += len(" ".join(part.split()))
             else:
                 chars += part.words[0]
                 links += part.words[1]
+                node.links += part.links
         node.words = (chars, chars if node.name == "a" else links)
     return order
 
@@ -237,24 +314,25 @@ def _own_text(node: Node) -> str:
 
 
 def _drop_menus(order: list[Node]) -> None:
-    """Lists, tables and sections that are little but links go."""
+    """Lists, tables and sections that are little but links go, and doubtful elements without
+    prose."""
     for node in order:
-        if node.name in ("ul", "ol", "dl", "table", "div", "section", "p") and node.parent:
-            if node.words[0] and _density(node) > 0.6 and _links(node) > 1:
-                node.parts = []
-                node.words = (0, 0)
+        menu = (
+            node.name in ("ul", "ol", "dl", "table", "div", "section", "p")
+            and node.words[0] and _density(node) > 0.6 and node.links > 1
+        )
+        if node.parent and (menu or node.doubtful and not _is_prose(node)):
+            node.parts = []
+            node.words = (0, 0)
 
 
-def _links(node: Node) -> int:
-    count, todo = 0, [node]
-    while todo:
-        x = todo.pop()
-        count += x.name == "a"
-        todo.extend(p for p in x.parts if isinstance(p, Node))
-    return count
+def _is_prose(node: Node) -> bool:
+    return node.words[0] >= _PROSE_CHARS and _density(node) <= _PROSE_DENSITY
 
 
 def _score(order: list[Node]) -> None:
+    """``own`` are the points of the paragraphs right inside a container, ``score`` those of
+    all of them, less the farther they are."""
     for node in order:
         if node.name not in BLOCKS or node.name in HEADINGS:
             continue
@@ -262,33 +340,61 @@ def _score(order: list[Node]) -> None:
         if not text:
             continue
         points = 1.0 + text.count(",") + min(len(text) / 100.0, 3.0)
-        holder = node if node.name in CONTAINERS else node.parent
+        holder = node if node.name in CONTAINERS else node.around
         share, level = 1.0, 0
-        while holder is not None:
-            if holder.name in CONTAINERS:
-                holder.score += points * share
-                level += 1
-                share = 0.5 if level == 1 else 1.0 / (3.0 * level)
-            holder = holder.parent
+        while holder is not None and level < REACH:
+            holder.score += points * share
+            if not level:
+                holder.own += points
+            level += 1
+            share = 0.5 if level == 1 else 1.0 / (3.0 * level)
+            holder = holder.around
+
+
+def _value(node: Node) -> float:
+    return node.score * (1.0 - _density(node))
 
 
 def _best(order: list[Node]) -> Node | None:
     found, most = None, 0.0
     for node in order:
-        value = node.score * (1.0 - _density(node))
+        value = _value(node)
         if value > most:
             found, most = node, value
     if found is None:
         return None
     # The element that says it is the article is taken whole when the best part lies in it.
-    around = found.parent
+    named_so, around = None, found
     while around is not None:
         if around.name in ("article", "main"):
-            found = around
+            named_so = around
+        around = around.parent
+    if named_so is not None:
+        return named_so
+    return _around_strong(order, found)
+
+
+def _around_strong(order: list[Node], best: Node) -> Node:
+    """The element around all containers that hold a quarter of the best one's own points."""
+    strongest = max(n.own * (1.0 - _density(n)) for n in order if _inside(n, best))
+    for node in reversed(order):
+        own = node.own * (1.0 - _density(node))
+        node.strong = int(own >= _STRONG * strongest and own > 0) + sum(
+            p.strong for p in node.parts if isinstance(p, Node)
+        )
+    found = around = best
+    while around.parent is not None:
+        if around.parent.strong > found.strong:
+            found = around.parent
         around = around.parent
     return found
 
 
+def _inside(node: Node, best: Node) -> bool:
+    """Whether ``node`` is ``best`` or right inside it: no walk to the root."""
+    return node is best or node.parent is best
+
+
 def _kept(best: Node) -> list[Node]:
     """The best container and the siblings that belong to it, in page order."""
     parent = best.parent
@@ -299,7 +405,7 @@ def _kept(best: Node) -> list[Node]:
     for part in parent.parts:
         if not isinstance(part, Node):
             continue
-        if part is best or part.score * (1.0 - _density(part)) >= least:
+        if part is best or _value(part) >= least:
             kept.append(part)
         elif part.name == "p" and part.words[0]:
             text = _own_text(part)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -175,3 +176,45 @@ def test_main_text():
     assert main_text("plain < text &lt;") == "plain < text <"
     assert main_text("<div>" * 5_000 + "deep" + "</div>" * 10) == "deep"
     assert len(main_text("<p>" + "word, " * 200_000)) == 200_000 * 6 - 1
+
+
+_PROSE = "A sentence of prose, with commas, and words enough to be worth keeping in an article. "
+
+
+def test_sections_that_wrap_their_paragraphs_all_stay():
+    sections = [f"<section><div><p>{_PROSE * 3}{i}</p></div></section>" for i in range(3)]
+    page = f"<body><div>{''.join(sections)}</div><div><a href=a>one two</a> <a href=b>three</a></div>"
+    assert main_text(page) == "\n\n".join(_PROSE * 3 + str(i) for i in range(3))
+
+
+def test_names_do_not_overrule_prose():
+    page = f"""<main><p>Intro, to it.</p><div class="search-results"><p>{_PROSE * 3}</p></div>
+    <div class="meta-analysis"><p>{_PROSE * 2}</p></div>
+    <div class="related-posts"><p>Read: <a href=x>this long title</a></p></div>
+    <div class="comment-list"><p>{_PROSE * 3}</p></div><div class="meta">{_PROSE * 3}</div></main>"""
+    assert main_text(page) == "\n\n".join(["Intro, to it.", (_PROSE * 3).strip(), (_PROSE * 2).strip()])
+
+
+def test_an_article_without_its_element():
+    page = f"""<body><div class=top>Menu: <a href=a>a</a> <a href=b>b</a></div><div id=c><h1>Title</h1>
+    <p>{_PROSE}</p><blockquote><p>Quoted, at length, here.</p></blockquote><p>{_PROSE * 2}</p>
+    <ul><li>item, one</li></ul></div><div class=side><p>Short.</p></div></body>"""
+    assert main_text(page).split("\n\n") == [
+        "Title", _PROSE.strip(), "Quoted, at length, here.", (_PROSE * 2).strip(), "item, one",
+    ]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 200_000 + "deep, text",
+        "<b>" * 20_000 + "<p>x" * 20_000 + "</i>" * 20_000,
+        "<div>some, text " * 60_000,
+        "<ul><li>" * 40_000 + "</b>" * 40_000,
+        "<table><tr><td>" * 30_000 + "</i></p>" * 30_000,
+    ],
+)
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
