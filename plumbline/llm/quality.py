@@ -6,10 +6,16 @@ the non-negative unbiased risk
     prior * risk(positives as 1) + max(0, risk(unlabelled as 0) - prior * risk(positives as 0))
 
 with the logistic loss, for a logistic model on statistics of the whole text (shares of
-letters, capitals, digits, symbols and separators, word lengths, repeated words). The
-prior, the share of good text in the unlabelled, is estimated from the trusted labels: the
-share of label 1 among labelled texts or, where no label 0 exists, the odds that a first
-classifier of positives against unlabelled gives to the unlabelled.
+letters, capitals, digits, symbols and separators, word lengths, repeated words). All
+unlabelled texts count: their features are stored once, centre, scale, risk, gradient and
+curvature are sums over every row, made by the tasks. Of the positives, labelled rows, a
+sample of at most ``FIT_ROWS`` is used. With the logistic loss the risk is convex; Newton's
+steps go down it and are shortened where the second part, the risk of negatives, would fall
+below zero: beyond that point the unlabelled would be learned by heart.
+
+The prior, the share of good text in the unlabelled, is estimated from positives and
+unlabelled alone: a first classifier tells them apart, and its mean odds for the unlabelled
+are set against those for the positives. Label 0 is not used.
 
 Defined results: a text that is null or holds no word scores 0. Without positives nothing is
 known: texts with words score 0.5. Labels that are null are ignored; a document with several
@@ -18,20 +24,19 @@ labels counts once for each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import named, stored, uniform, with_ids
 
-# Sampled positives, and as many unlabelled texts: the fit's cost is the same for any corpus.
+# Labelled positives that the fit uses at most.
 FIT_ROWS = 10_000
-STEPS = 1_500
-RATE = 0.02
+STEPS = 12
 DECAY = 2e-2
 THRESHOLD = 0.7
 
@@ -128,40 +133,95 @@ def train(
 ) -> QualityModel:
     """Learns from ``labels`` and the texts of ``docs``; both hold training rows only.
 
-    Label 1 gives the positives; ``docs`` as a whole are the unlabelled text. Label 0 is used
-    for nothing but the estimate of the prior.
+    Label 1 gives the positives; ``docs`` as a whole are the unlabelled text.
     """
     trusted = labels.select(named(labels, key).alias("id"), named(labels, label).alias("label"))
     trusted = trusted.filter(F.col("id").isNotNull() & F.col("label").isNotNull())
-    counts = {r["label"]: r["count"] for r in trusted.groupBy("label").count().collect()}
+    good = trusted.filter(F.col("label") == 1).select("id")
     texts = docs.select(named(docs, key).alias("id"), named(docs, text).alias("text"))
-    total = texts.count()
-    draw = uniform(F.lit("quality"), F.col("id"))
-
-    def share(rows: int):
-        return F.lit(min(1.0, FIT_ROWS / max(1, rows)))
-
-    chosen = stored(
-        trusted.filter((F.col("label") == 1) & (draw < share(counts.get(1, 0)))).select("id"),
-        "quality-ids",
-    )
-    measured = _measured(with_ids(texts, chosen, "id"))
-    positives = _collected(measured)
-    other = uniform(F.lit("unlabelled"), F.col("id"))
-    unlabelled = _collected(_measured(texts.filter(other < share(total))))
-    if not len(positives) or not len(unlabelled):
-        width = len(FEATURES)
+    draw = uniform(F.lit("quality"), F.col("id")) < F.lit(min(1.0, FIT_ROWS / max(1, good.count())))
+    chosen = stored(good.filter(draw), "quality-ids")
+    positives = _collected(_measured(with_ids(texts, chosen, "id")))
+    rows = stored(_measured(texts).select("features"), "quality-features")
+    width = len(FEATURES)
+    (count,), sums, squares = _summed(rows, _moments, 1, width, width)
+    if not len(positives) or not count:
         return QualityModel(np.zeros(width), np.ones(width), None, prior or 0.5)
-    both = np.vstack([positives, unlabelled])
-    centre, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    scaled = [_expanded(np.clip((x - centre) / scale, -8, 8)) for x in (positives, unlabelled)]
+    centre = sums / count
+    scale = np.sqrt(np.maximum(squares / count - centre**2, 0.0)) + 1e-6
+    scaled = _expanded(np.clip((positives - centre) / scale, -8, 8))
+
+    def unlabelled(weights: np.ndarray) -> Means:
+        def pieces(x: np.ndarray) -> list[np.ndarray]:
+            return _risk_sums(_expanded(np.clip((x - centre) / scale, -8, 8)), weights)
+
+        parts = _summed(rows, pieces, *_sizes(width + 1))
+        return _means(count, parts)
+
     if prior is None:
-        if counts.get(0):
-            prior = counts[1] / (counts[0] + counts[1])
-        else:
-            prior = _prior_without_negatives(*scaled)
+        prior = estimated_prior(scaled, unlabelled)
     prior = min(max(prior, 0.01), 0.99)
-    return QualityModel(centre, scale, minimise(*scaled, prior), prior)
+    return QualityModel(centre, scale, minimise(scaled, unlabelled, prior), prior)
+
+
+@dataclass(frozen=True)
+class Means:
+    """Over unlabelled rows, with each one taken as 0: loss, its gradient and curvature, and
+    the mean score."""
+
+    loss: float
+    gradient: np.ndarray
+    curvature: np.ndarray
+    score: float
+
+
+def _sizes(width: int) -> tuple[int, int, int, int]:
+    return 1, width, width * width, 1
+
+
+def _risk_sums(x: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    z = x @ weights
+    s = sigmoid(z)
+    curved = (x * (s * (1 - s))[:, None]).T @ x
+    return [np.array([np.logaddexp(0.0, z).sum()]), s @ x, curved.ravel(), np.array([s.sum()])]
+
+
+def _means(count: float, parts: list[np.ndarray]) -> Means:
+    loss, gradient, curved, score = (part / count for part in parts)
+    width = len(gradient)
+    return Means(float(loss[0]), gradient, curved.reshape(width, width), float(score[0]))
+
+
+def means_of(rows: np.ndarray) -> Callable[[np.ndarray], Means]:
+    """The same figures for rows that are at hand."""
+    return lambda weights: _means(len(rows), _risk_sums(rows, weights))
+
+
+def _moments(x: np.ndarray) -> list[np.ndarray]:
+    return [np.array([float(len(x))]), x.sum(axis=0), (x**2).sum(axis=0)]
+
+
+def _summed(
+    rows: DataFrame, pieces: Callable[[np.ndarray], list[np.ndarray]], *sizes: int
+) -> list[np.ndarray]:
+    """Sums over all rows of what ``pieces`` makes of a batch: one array per task, added up
+    element by element."""
+    width = sum(sizes)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            if len(values):
+                total += np.concatenate(pieces(values.reshape(-1, len(FEATURES))))
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total], pa.list_(pa.float64()))})
+
+    parts = rows.mapInArrow(partial, "sums array<double>")
+    added = parts.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("sum"))
+    flat = np.zeros(width)
+    for row in added.collect():  # one row per element
+        flat[row["pos"]] = row["sum"]
+    return np.split(flat, np.cumsum(sizes)[:-1])
 
 
 def _measured(texts: DataFrame) -> DataFrame:
@@ -179,34 +239,59 @@ def _collected(measured: DataFrame) -> np.ndarray:
     return np.array(rows).reshape(-1, len(FEATURES))
 
 
-def minimise(positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
-    """The weights of least non-negative risk, by full-batch Adam.
-
-    Where the estimated risk of negatives falls below zero the unlabelled have been learned by
-    heart; the step then goes up that part of the risk.
-    """
-    weights = np.zeros(positives.shape[1])
-    first, second = np.zeros_like(weights), np.zeros_like(weights)
-    for step in range(1, STEPS + 1):
-        p, u = sigmoid(positives @ weights), sigmoid(unlabelled @ weights)
-        as_one = prior * ((p - 1) @ positives) / len(p)
-        as_zero = (u @ unlabelled) / len(u) - prior * (p @ positives) / len(p)
-        risk = -np.log1p(-np.minimum(u, 1 - 1e-12)).mean() + prior * np.log1p(
-            -np.minimum(p, 1 - 1e-12)
-        ).mean()
-        gradient = (as_one + as_zero if risk >= 0 else -as_zero) + DECAY * weights
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        slope = first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-        weights = weights - RATE * slope / np.sqrt(1 + step / 200)
+def _descend(
+    start: np.ndarray,
+    evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray, bool]],
+) -> np.ndarray:
+    """Newton's method; ``evaluate`` gives value, gradient, curvature and whether weights are
+    allowed. A step that is not, or that leads up, is halved."""
+    weights = start
+    value, gradient, curvature, _ = evaluate(weights)
+    for _ in range(STEPS):
+        step = np.linalg.solve(curvature, gradient)
+        if gradient @ step < 1e-9:
+            return weights
+        for _ in range(6):
+            tried = evaluate(weights - step)
+            if tried[3] and tried[0] <= value + 1e-12:
+                break
+            step = step / 2
+        else:
+            return weights
+        weights = weights - step
+        value, gradient, curvature, _ = tried
     return weights
 
 
-def _prior_without_negatives(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+def minimise(
+    positives: np.ndarray, unlabelled: Callable[[np.ndarray], Means], prior: float
+) -> np.ndarray:
+    """The weights of least non-negative risk."""
+    width = positives.shape[1]
+    centre = positives.mean(axis=0)
+
+    def evaluate(weights: np.ndarray):
+        means = unlabelled(weights)
+        z = positives @ weights
+        # The loss as 1 less the loss as 0 is -z: what is left of the positives is linear.
+        value = means.loss - prior * z.mean() + DECAY / 2 * weights @ weights
+        gradient = means.gradient - prior * centre + DECAY * weights
+        negative = means.loss - prior * np.logaddexp(0.0, z).mean()
+        return value, gradient, means.curvature + DECAY * np.eye(width), negative >= 0
+
+    return _descend(np.zeros(width), evaluate)
+
+
+def estimated_prior(positives: np.ndarray, unlabelled: Callable[[np.ndarray], Means]) -> float:
     """Mean odds of being labelled among the unlabelled, against those of the positives."""
-    weights = np.zeros(positives.shape[1])
-    for step in range(1, 501):
-        p, u = sigmoid(positives @ weights), sigmoid(unlabelled @ weights)
-        gradient = ((p - 1) @ positives) / len(p) + (u @ unlabelled) / len(u) + 1e-3 * weights
-        weights -= 0.3 * gradient / np.sqrt(step)
-    return float(sigmoid(unlabelled @ weights).mean() / sigmoid(positives @ weights).mean())
+    width, ridge = positives.shape[1], 1e-3
+    known = means_of(-positives)  # the loss as 1 is the loss as 0 of the opposite
+
+    def evaluate(weights: np.ndarray):
+        one, zero = known(weights), unlabelled(weights)
+        value = one.loss + zero.loss + ridge / 2 * weights @ weights
+        gradient = one.gradient + zero.gradient + ridge * weights
+        return value, gradient, one.curvature + zero.curvature + ridge * np.eye(width), True
+
+    weights = _descend(np.zeros(width), evaluate)
+    return unlabelled(weights).score / float(sigmoid(positives @ weights).mean())

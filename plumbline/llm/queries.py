@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
     ann,
@@ -47,9 +47,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _fold_is(key: str, parts: int, fold_number: int) -> Column:
+    """Whether a row is in that fold; one without an id is in none."""
+    return F.coalesce(fold(F.col(key), parts) == fold_number, F.lit(False))
+
+
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
-    held_out = fold(F.col("doc_id"), 5) == 0
+    held_out = _fold_is("doc_id", 5, 0)
     found = langid.identify(docs, ~held_out, "text", "lang", "found")
     return found.select(
         "doc_id",
@@ -62,7 +67,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     labels = _table(spark, folder, "labels").select("doc_id", "quality")
-    held_out = fold(F.col("doc_id"), 4) == 2
+    held_out = _fold_is("doc_id", 4, 2)
     model = quality.train(docs.filter(~held_out), labels.filter(~held_out))
     return model.predict(docs, "text", "score").select(
         "doc_id",

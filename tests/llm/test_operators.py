@@ -155,12 +155,61 @@ def test_quality(spark, documents, no_documents):
     assert all((scores[i] >= quality.THRESHOLD) == bool(q) for i, _, q in rows)
     odd = model.predict(documents, "text", "s").collect()
     assert {r["s"] for r in odd if not (r["text"] or "").strip()} == {0.0}
+    # Label 0 is not looked at, and the prior is the share of good texts all the same.
     only_good = quality.train(docs, labels.filter("quality = 1"))
-    assert 0 < only_good.prior < 1
+    assert only_good.prior == model.prior == pytest.approx(200 / 260, abs=0.06)
     unknown = quality.train(no_documents, labels.limit(0))
     assert {r["s"] for r in unknown.predict(docs, "text", "s").collect()} == {0.5}
 
 
+def test_rare_kinds_count_among_the_unlabelled(spark):
+    """All unlabelled rows make centre, scale, risk and curvature, however they are dealt."""
+    rows = [(i, " ".join(_words(i, 40)).capitalize() + ".") for i in range(150)]
+    rows += [(500 + i, "|| 77 || 88 || " * 20) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.filter("doc_id < 60").select("doc_id", F.lit(1).alias("quality"))
+    models = [quality.train(d, labels) for d in (docs.repartition(1), docs.repartition(7))]
+    assert np.allclose(models[0].weights, models[1].weights)
+    features = np.array([quality.text_features(t) for _, t in rows])
+    assert np.allclose(models[0].centre, features.mean(axis=0))
+    assert np.allclose(models[0].scale, features.std(axis=0), atol=1e-5)
+    positives = features[:60]
+    x, p = (
+        quality._expanded(np.clip((f - models[0].centre) / models[0].scale, -8, 8))
+        for f in (features, positives)
+    )
+    prior = min(max(quality.estimated_prior(p, quality.means_of(x)), 0.01), 0.99)
+    assert models[0].prior == pytest.approx(prior, rel=1e-6)
+    # No small step from the weights found has a smaller risk.
+    def risk(w):
+        z = p @ w
+        return (
+            np.logaddexp(0, x @ w).mean() - prior * z.mean() + quality.DECAY / 2 * w @ w
+        )
+
+    found, rng = models[0].weights, np.random.default_rng(1)
+    negative = np.logaddexp(0, x @ found).mean() - prior * np.logaddexp(0, p @ found).mean()
+    assert negative >= 0
+    if negative > 1e-3:
+        assert all(
+            risk(found) <= risk(found + rng.normal(size=len(found)) * 1e-3) + 1e-9 for _ in range(40)
+        )
+
+
+def test_rows_without_an_id_are_in_no_fold(spark, tmp_path):
+    """They are learned from, and their results say that they were not held out."""
+    rows = [(None if i == 3 else i, " ".join(_words(i, 30)) + ".", "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int").write.parquet(
+        str(tmp_path / "labels.parquet")
+    )
+    for query in (queries.op1_language_id, queries.op2_quality):
+        found = query(spark, str(tmp_path)).collect()
+        assert len(found) == 60 and {type(r["held_out"]) for r in found} == {bool}
+        assert [r["held_out"] for r in found if r["doc_id"] is None] == [False]
+
+
 def test_page_text_keeps_rows(spark):
     rows = [(1, "<p>a</p>"), (1, "<p>a</p>"), (2, None)]
     got = pagetext.extract(spark.createDataFrame(rows, "page_id long, html string"))

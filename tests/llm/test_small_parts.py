@@ -133,7 +133,7 @@ def test_non_negative_risk_separates():
     one = np.ones((400, 1))
     positives = np.hstack([good[:400], one])
     unlabelled = np.hstack([np.vstack([good[400:], bad]), np.ones((1200, 1))])
-    weights = quality.minimise(positives, unlabelled, 1 / 3)
+    weights = quality.minimise(positives, quality.means_of(unlabelled), 1 / 3)
     assert (np.hstack([good[:400], one]) @ weights > 0).mean() > 0.9
     assert (np.hstack([bad[:400], one]) @ weights < 0).mean() > 0.9
 
