@@ -265,7 +265,7 @@ def load(
     held = table.layout()
     lost = set(held.hidden if held else ()) - set(hidden) if merged is None else set()
     stored = T.StructType([f for f in table.schema() if f.name not in lost])
-    change = fit(arrivals.schema, stored, policy)
+    change = fit(arrivals.schema, stored, policy, held.keys if held else ())
     if lost:  # hidden columns that this load does not fill would be wrong from now on
         change = replace(change, rewritten=True)
     partition_by = _layout(filled_names(out.get("partition_by")), change.schema.names)

@@ -82,7 +82,7 @@ def _prepare(
         df = after
     if upto is None:
         guards.check_produced(out, df.columns)
-        guards.check_prepare(out, trail)
+        guards.check_prepare(out, alias, trail)
     return df
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -16,10 +17,27 @@ class Fit:
 
     schema: T.StructType
     widened: bool  # columns added: old rows read NULL, nothing is rewritten
-    rewritten: bool  # columns dropped or retyped: old rows are written again
+    rewritten: bool  # columns dropped or narrowed: old rows are written again
 
 
-def fit(arrivals: T.StructType, table: T.StructType, policy: str) -> Fit:
+_WHOLE = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+
+
+def promoted(old: T.DataType, new: T.DataType) -> bool:
+    """Whether Parquet files of the old type are read as the new one without loss."""
+    if isinstance(old, T.DecimalType) and isinstance(new, T.DecimalType):
+        return new.scale >= old.scale and new.precision - new.scale >= old.precision - old.scale
+    if type(old) in _WHOLE and type(new) in _WHOLE:
+        return _WHOLE.index(type(old)) <= _WHOLE.index(type(new))
+    if isinstance(new, T.DoubleType):
+        return type(old) in (*_WHOLE[:3], T.FloatType)
+    return isinstance(old, T.DateType) and isinstance(new, T.TimestampNTZType)
+
+
+def fit(
+    arrivals: T.StructType, table: T.StructType, policy: str, fixed: Collection[str] = ()
+) -> Fit:
+    """``fixed`` columns say where a row is stored: another type moves it."""
     fresh = {f.name.casefold(): f for f in arrivals}
     held = {f.name.casefold(): f for f in table}
     added = [f for k, f in fresh.items() if k not in held]
@@ -41,7 +59,11 @@ def fit(arrivals: T.StructType, table: T.StructType, policy: str) -> Fit:
     if policy == "sync_all_columns":
         kept = [fresh[k] for k in held if k in fresh]
         schema = T.StructType([*kept, *added])
-        return Fit(schema, bool(added), bool(dropped or retyped))
+        moved = [
+            n for n in retyped
+            if n in fixed or not promoted(table[n].dataType, fresh[n.casefold()].dataType)
+        ]
+        return Fit(schema, bool(added or retyped), bool(dropped or moved))
     return Fit(T.StructType([*table.fields, *added]), bool(added), False)
 
 

@@ -283,3 +283,47 @@ def test_a_batch_delivered_twice_lands_once(spark, tmp_path):
     spec["output"]["partition_by"] = ["page"]
     with pytest.raises(RecipeError, match="without 'partition_by'"):
         load_arrivals(spark, spec, source, schema, where, state)
+
+
+@pytest.mark.parametrize(
+    "old, new, kept",
+    [
+        ("int", "bigint", True), ("float", "double", True), ("int", "double", True),
+        ("decimal(6,2)", "decimal(9,3)", True), ("date", "timestamp_ntz", True),
+        ("bigint", "int", False), ("decimal(9,3)", "decimal(6,2)", False),
+        ("bigint", "double", False), ("int", "string", False),
+    ],
+)
+def test_widened_types_write_no_old_row(spark, target, old, new, kept):
+    spec = _loading({
+        "unique_key": ["meter"], "incremental": {"column": "day"},
+        "on_schema_change": "sync_all_columns",
+    })
+    value = "date'2030-01-02'" if old == "date" else "7"
+    first = spark.sql(f"select 'a' as meter, 1 as day, cast({value} as {old}) as v")
+    build(spark, spec, {"m": first.union(first.replace("a", "b"))}, target)
+    table = RecipeTable(spark, target)
+    loads = {n for b in table.layout().buckets for n in b}
+    later = spark.sql(f"select 'c' as meter, 2 as day, cast({value} as {new}) as v")
+    strategy = {**spec, "output": {**spec["output"], "incremental_strategy": "append"}}
+    build(spark, strategy, {"m": later}, target)
+    found = table.read()
+    assert found.schema["v"].dataType.simpleString() == new
+    assert found.count() == 3 and found.select("v").distinct().count() == 1
+    assert (loads <= {n for b in table.layout().buckets for n in b}) == kept
+
+
+def test_a_key_of_another_type_moves_its_rows(spark, target, small_buckets):
+    spec = _loading({
+        "unique_key": ["zone"], "incremental": {"column": "day"},
+        "on_schema_change": "sync_all_columns",
+    })
+    data = [(f"m{k}", k, 1, 1.0) for k in range(600)]
+    build(spark, spec, {"m": spark.createDataFrame(data, METERS)}, target)
+    wide = METERS.replace("zone int", "zone long")
+    data += [("new", k, 2, 2.0) for k in range(0, 600, 7)]
+    build(spark, spec, {"m": spark.createDataFrame(data, wide)}, target)
+    data += [("newer", k, 3, 3.0) for k in range(0, 600, 5)]
+    out = build(spark, spec, {"m": spark.createDataFrame(data, wide)}, target)
+    latest = {r[1]: r for r in data}
+    assert Counter(map(tuple, out.collect())) == Counter(latest.values())

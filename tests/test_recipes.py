@@ -244,3 +244,33 @@ def test_catalog_table_and_odd_names(spark, parcels):
     assert run_recipe(spark, spec).count() == 7
     odd = {"type": "sql", "inputs": [{"source_name": "raw", "table": "order-items"}], "sql": "select * from {order_items}"}
     assert run_recipe(spark, odd, {"raw.order-items": parcels}).count() == 7
+
+
+@pytest.mark.parametrize(
+    "moves, kept, by",
+    [
+        ([("rename", {"renames": [{"from": "seen", "to": "x"}]}, ["id", "x"]),
+          ("rename", {"renames": [{"from": "x", "to": "seen"}]}, ["id", "seen"])], True, None),
+        ([("rename", {"renames": [{"from": "seen", "to": "id"}, {"from": "id", "to": "seen"}]},
+           ["seen", "id"])], False, None),
+        ([("round", {"column": "id"}, ["id", "seen"])], True, None),
+        ([("formula", {"into": "seen", "expression": "1"}, ["id", "seen"])], False, "formula"),
+        ([("filter_value", {"column": "seen", "action": "clear"}, ["id", "seen"])], False, "filter_value"),
+        ([("filter_value", {"column": "seen", "action": "keep"}, ["id", "seen"])], True, None),
+        ([("parse_date", {"column": "seen", "into": "day"}, ["id", "seen", "day"])], True, None),
+        ([("parse_date", {"column": "seen"}, ["id", "seen"])], False, "parse_date"),
+        ([("unpivot", {"columns": ["seen"], "value_into": "seen"}, ["id", "variable", "seen"])], False, "unpivot"),
+        ([("pivot", {"key_columns": ["seen"]}, ["seen", "a"])], True, None),
+        ([("keep_delete", {"columns": ["seen"]}, ["id"]), ("formula", {"into": "seen"}, ["id", "seen"])], False, None),
+    ],
+)
+def test_where_a_column_comes_from(moves, kept, by):
+    from plumbline.plans import origins
+
+    before, trail = ["id", "seen"], []
+    for kind, params, after in moves:
+        trail.append(({"type": kind, "params": params}, before, after))
+        before = after
+    found = origins.of_steps("log", trail, ())
+    assert found.keeps("log", "seen") == kept
+    assert found.overwritten.get(("log", "seen")) == by
