@@ -15,8 +15,9 @@ import string
 
 import numpy as np
 
-# Pieces remembered in each of two generations: some 200 bytes apiece.
+# Pieces remembered in each of two generations: some 200 bytes apiece, as no longer ones are.
 _REMEMBERED = 300_000
+_LONGEST_REMEMBERED = 64
 _ODD_SPACES = re.compile(r" (?:\s|\Z)")
 _CUTS = re.compile(r"(?= \S)")
 
@@ -50,6 +51,8 @@ class _Pieces(dict):
         self.bare = self if bare is None else bare
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > _LONGEST_REMEMBERED:
+            return self.encode(piece)
         if not piece[-1].isalnum() or "\n" in piece:
             made = self._compound(piece)
             if made is not None:

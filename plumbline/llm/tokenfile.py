@@ -56,34 +56,28 @@ class EliasFano:
             before.tobytes(),
         )
 
-    def select(self, i: int) -> int:
-        """Entry ``i``: one step in the directory, one block of the high bits."""
-        if not 0 <= i < self.count:
-            raise IndexError(i)
-        before = np.frombuffer(self.directory, dtype="<u4")
-        block = int(np.searchsorted(before, i, side="right")) - 1
-        size = _BLOCK_BITS // 8
-        bits = np.unpackbits(
-            np.frombuffer(self.high, dtype=np.uint8)[block * size : (block + 1) * size]
-        )
-        place = block * _BLOCK_BITS + int(np.flatnonzero(bits)[i - int(before[block])])
-        start = i * self.low_bits
-        cut = np.unpackbits(
-            np.frombuffer(self.low, np.uint8)[start // 8 : (start + self.low_bits + 7) // 8]
-        )[start % 8 : start % 8 + self.low_bits]
-        return ((place - i) << self.low_bits) + sum(int(b) << k for k, b in enumerate(cut))
-
-    def all(self) -> np.ndarray:
-        """Every entry."""
-        if not self.count:
+    def select(self, wanted: np.ndarray) -> np.ndarray:
+        """The entries with these numbers: a look into the directory and one block of the high
+        bits for each."""
+        wanted = np.asarray(wanted, dtype=np.int64)
+        if len(wanted) and not 0 <= wanted.min() <= wanted.max() < self.count:
+            raise IndexError(wanted)
+        if not len(wanted):
             return np.zeros(0, dtype=np.uint64)
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, dtype=np.uint8)))
-        high = (places - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(
-            np.frombuffer(self.low, dtype=np.uint8), count=self.count * self.low_bits
-        ).reshape(self.count, self.low_bits)
+        before = np.frombuffer(self.directory, dtype="<u4").astype(np.int64)
+        block = np.searchsorted(before, wanted, side="right") - 1
+        blocks, at = np.unique(block, return_inverse=True)
+        raw = np.frombuffer(self.high, dtype=np.uint8).reshape(len(before), -1)[blocks]
+        # The ones of the chosen blocks, end to end, and where each block's begin.
+        row, place = np.nonzero(np.unpackbits(raw, axis=1))
+        first = np.searchsorted(row, np.arange(len(blocks)))
+        one = first[at] + wanted - before[block]
+        high = (block * _BLOCK_BITS + place[one] - wanted).astype(np.uint64)
+        start = wanted[:, None] * self.low_bits + np.arange(self.low_bits)
+        low = np.frombuffer(self.low, dtype=np.uint8)
+        bits = low[start >> 3] >> (7 - (start & 7)).astype(np.uint8) & np.uint8(1)
         scale = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
-        return high + (bits.astype(np.uint64) * scale).sum(axis=1, dtype=np.uint64)
+        return (high << np.uint64(self.low_bits)) + (bits * scale).sum(axis=1, dtype=np.uint64)
 
     def columns(self, name: str) -> dict[str, object]:
         return {
@@ -179,9 +173,34 @@ def write_token_files(
     segments.write.option("parquet.block.size", 8 << 20).parquet(folder)
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+def _documents_of(row, chosen: np.ndarray | None) -> pd.DataFrame:
+    """Documents of a segment, all or those with the chosen ids, read through ``select``."""
+    bounds = EliasFano.from_columns(row, "bounds")
+    names = EliasFano.from_columns(row, "names")
+    ids = np.zeros(bounds.count - 1, dtype=np.int64)
+    # Ids ascend, documents without one come first.
+    named_ids = names.select(np.arange(names.count)) + np.uint64(row.first_id & _ALL)
+    ids[row.unnamed :] = named_ids.view(np.int64)
+    places = np.arange(len(ids))
+    if chosen is not None:
+        places = places[(places >= row.unnamed) & np.isin(ids, chosen)]
+    starts, ends = bounds.select(places).astype(np.int64), bounds.select(places + 1).astype(np.int64)
+    kept = np.frombuffer(row.ids, dtype=f"<u{row.width}")
+    return pd.DataFrame({
+        "doc_id": ids[places],
+        "known": places >= row.unnamed,
+        "start": row.start + starts,
+        "n_tokens": ends - starts,
+        "ids": [kept[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends)],
+    })
+
+
+def read_token_files(
+    spark: SparkSession, folder: str, doc_ids: list[int] | None = None
+) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids``,
-    little-endian in 4 bytes, of each document."""
+    little-endian in 4 bytes, of each document, or of those with the given ids."""
+    chosen = None if doc_ids is None else np.array(doc_ids, dtype=np.int64)
     segments = spark.read.schema(SCHEMA).parquet(folder)
     totals = segments.groupBy(F.col("part").alias("__part")).agg(F.sum("n_ids").alias("__ids"))
     starts = running_starts(totals, "__ids")
@@ -194,22 +213,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                bounds = EliasFano.from_columns(row, "bounds").all().astype(np.int64)
-                names = EliasFano.from_columns(row, "names").all()
-                names = (names + np.uint64(row.first_id & _ALL)).view(np.int64)
-                wide = np.frombuffer(row.ids, dtype=f"<u{row.width}").astype("<u4")
-                count = len(bounds) - 1
-                ids = np.zeros(count, dtype=np.int64)
-                ids[row.unnamed :] = names
-                yield pd.DataFrame(
-                    {
-                        "doc_id": ids,
-                        "known": np.arange(count) >= row.unnamed,
-                        "start": row.start + bounds[:-1],
-                        "n_tokens": np.diff(bounds),
-                        "ids": [wide[a:b].tobytes() for a, b in zip(bounds, bounds[1:])],
-                    }
-                )
+                yield _documents_of(row, chosen)
 
     read = placed.mapInPandas(
         documents, "doc_id long, known boolean, start long, n_tokens long, ids binary"

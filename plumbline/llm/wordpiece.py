@@ -27,8 +27,9 @@ from .common import named
 from .encoding import byte_symbols
 
 END = "</w>"
-# Words remembered per worker.
+# Words remembered per worker, and the characters of the longest of them.
 _REMEMBERED = 500_000
+_LONGEST_REMEMBERED = 64
 
 
 class Automaton:
@@ -128,6 +129,8 @@ class WordPieces:
     def _chunk(self, chunk: str) -> tuple[int, int]:
         words = self.words(chunk)
         found = sum(map(self.automaton.count, words)), len(words)
+        if len(chunk) > _LONGEST_REMEMBERED:
+            return found
         if len(self._known) >= _REMEMBERED:
             self._known.clear()
         self._known[chunk] = found

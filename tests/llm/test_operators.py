@@ -247,6 +247,10 @@ def test_token_files(spark, documents, no_documents, tmp_path, monkeypatch, segm
         assert (r["doc_id"], r["start"], r["n_tokens"]) == (doc_id, start, len(ids))
         assert bytes(r["ids"]) == np.array(ids, "<u4").tobytes()
         start += len(ids)
+    # Single documents, at their places in the segments.
+    some = tokenfile.read_token_files(spark, f"{tmp_path}/f", [74, 5, 999]).collect()
+    key = lambda r: (r["doc_id"], r["start"])
+    assert sorted(some, key=key) == sorted((r for r in got if r["doc_id"] in (5, 74)), key=key)
     tokenfile.write_token_files(no_documents, f"{tmp_path}/e", path, 2)
     assert tokenfile.read_token_files(spark, f"{tmp_path}/e").count() == 0
 

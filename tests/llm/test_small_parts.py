@@ -17,7 +17,7 @@ from plumbline.llm.langid import gram_counts
 from plumbline.llm.pagetext import main_text
 from plumbline.llm.queries import tokenizer_path
 from plumbline.llm.tokenfile import EliasFano
-from plumbline.llm.wordpiece import Automaton
+from plumbline.llm.wordpiece import Automaton, WordPieces
 
 
 @pytest.mark.parametrize("dims, bits", [(2, 3), (3, 2), (4, 2)])
@@ -41,15 +41,26 @@ def test_rice_round_trip(count):
 def test_elias_fano_round_trip_and_select(count, top):
     values = np.sort(np.random.default_rng(count).integers(0, top, count)).astype(np.uint64)
     coded = EliasFano.of(values)
-    assert (coded.all() == values).all()
-    for i in range(0, count, 97):
-        assert coded.select(i) == int(values[i])
-    with pytest.raises(IndexError):
-        coded.select(count)
+    assert (coded.select(np.arange(count)) == values).all()
+    some = np.random.default_rng(1).integers(0, max(count, 1), 50) if count else np.zeros(0, int)
+    assert (coded.select(some) == values[some]).all()
+    for wanted in ([count], [-1]):
+        with pytest.raises(IndexError):
+            coded.select(np.array(wanted))
     if count == 2000:
         assert len(coded.low) + len(coded.high) < count * 5
 
 
+def test_long_words_are_not_remembered():
+    encode, count = Encoder(tokenizer_path("byte_bpe_50k.json")), WordPieces(tokenizer_path("word_bpe_49k.json"))
+    words = ["x" * n for n in (3, 64, 65, 5_000)]
+    for word in words:
+        for text in (word, f"a {word} b"):
+            assert encode.ids(text) == encode.ids(text)
+        assert count.count(word) == count.count(f" {word} ")
+    assert max(map(len, [*encode._first, *encode._later, *count._known])) <= 64
+
+
 def _longest_match(word, pieces, end):
     rest, count = word + "\0", 0
     while rest:
