@@ -1,530 +1,430 @@
+"""Outputs and loads of a toll gate's records, against what a model of each strategy holds."""
+
 from __future__ import annotations
 
-from datetime import date, datetime
+import random
+from collections import Counter
+from datetime import date, datetime, timedelta
 
 import pytest
 
 from plumbline import DataTestFailure, RecipeError, RecipeTable, build, load_arrivals, run_recipe
-from tests.helpers import column, rows
+
+PASSES = "plate string, lane int, seen timestamp_ntz, toll double"
+START = datetime(2031, 3, 30, 22)
+
+
+def at(hours):
+    return START + timedelta(hours=hours)
 
 
-def spec_of(kind="prepare", inputs=("ventes",), steps=(), output=None, **more):
+def passes(spark, *data, schema=PASSES):
+    return spark.createDataFrame(list(data), schema)
+
+
+def recipe(kind="prepare", inputs=("gate",), steps=(), output=None, **more):
     return {
-        "name": "cible",
+        "name": "tolls",
         "type": kind,
-        "inputs": [{"ref": i} for i in inputs],
+        "inputs": [i if isinstance(i, dict) else {"ref": i} for i in inputs],
         "steps": [{"type": t, "params": p} for t, p in steps],
         "output": {"materialized": "incremental", **(output or {})},
         **more,
     }
 
 
-def ventes(spark, *data):
-    return spark.createDataFrame(list(data), "id int, ts date, ville string")
+def keyed(strategy="delete+insert", keys=("plate",), bound="seen", **more):
+    return {
+        "incremental_strategy": strategy, "unique_key": list(keys),
+        "incremental": {"column": bound, **more.pop("bound_by", {})}, **more,
+    }
 
 
-FIRST = [(1, date(2024, 1, 1), "caen"), (2, date(2024, 1, 2), "lyon")]
-BY_ID = {"incremental_strategy": "delete+insert", "unique_key": ["id"], "incremental": {"column": "ts"}}
+def held(df):
+    return Counter(map(tuple, df.collect()))
 
 
-def test_view_ephemeral_and_table(spark, target):
-    df = ventes(spark, *FIRST)
-    spec = spec_of(output={"materialized": "view"})
-    build(spark, spec, {"ventes": df})
-    assert spark.table("cible").count() == 2
-    assert build(spark, spec_of(output={"materialized": "ephemeral"}), {"ventes": df}).count() == 2
-    table = spec_of(output={"materialized": "table"})
-    assert build(spark, table, {"ventes": df}, target).count() == 2
-    assert build(spark, table, {"ventes": df.limit(1)}, target).count() == 1
-    with pytest.raises(RecipeError, match="target folder"):
-        build(spark, table, {"ventes": df})
-
-
-def test_append(spark, target):
-    spec = spec_of(output={"incremental_strategy": "append", "incremental": {"column": "ts"}})
-    assert build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target).count() == 2
-    assert build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target).count() == 2
-    more = ventes(spark, *FIRST, (3, date(2024, 1, 3), "caen"))
-    assert build(spark, spec, {"ventes": more}, target).count() == 3
-
-
-def test_string_and_timestamp_bounds(spark, target, tmp_path):
-    for i, (kind, a, b) in enumerate(
-        [("string", "2024-01-01", "2024-01-03"), ("timestamp_ntz", datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 2))]
-    ):
-        spec = spec_of(output={"incremental_strategy": "append", "incremental": {"column": "ts"}})
-        where = str(tmp_path / str(i))
-        one = spark.createDataFrame([(1, a)], f"id int, ts {kind}")
-        two = spark.createDataFrame([(1, a), (2, b)], f"id int, ts {kind}")
-        build(spark, spec, {"ventes": one}, where)
-        assert build(spark, spec, {"ventes": two}, where).count() == 2
-
-
-def test_bound_is_pushed_to_the_scan(spark, target, tmp_path):
-    source = str(tmp_path / "src")
-    ventes(spark, *FIRST).write.parquet(source)
-    spec = spec_of(output={"incremental_strategy": "append", "incremental": {"column": "ts"}})
-    build(spark, spec, {"ventes": spark.read.parquet(source)}, target)
-    from plumbline.plans.build import arrivals_only
+class Model:
+    """What a table holds after loads of rows (plate, lane, seen, toll)."""
 
-    seen = arrivals_only(spec, {"ventes": spark.read.parquet(source)}, RecipeTable(spark, target))
-    plan = seen["ventes"]._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(ts,2024-01-02)" in plan
+    def __init__(self, strategy, back=timedelta(0), inclusive=False):
+        self.strategy, self.back, self.inclusive, self.rows = strategy, back, inclusive, []
 
+    def load(self, source):
+        times = [r[2] for r in self.rows if r[2]]
+        fresh = source
+        if times:
+            bound = max(times) - self.back
+            later = (lambda t: t >= bound) if self.inclusive or self.back else (lambda t: t > bound)
+            fresh = [r for r in source if r[2] and later(r[2])]
+        if self.strategy != "append":
+            gone = {r[0] for r in fresh} - {None}
+            self.rows = [r for r in self.rows if r[0] not in gone]
+        self.rows = self.rows + fresh
+        return Counter(self.rows)
 
-def test_late_rows_need_a_lookback(spark, target, tmp_path):
-    early = ventes(spark, (1, date(2024, 1, 1), "a"), (2, date(2024, 1, 5), "b"))
-    late = ventes(spark, (1, date(2024, 1, 1), "a"), (2, date(2024, 1, 5), "b"), (3, date(2024, 1, 3), "c"))
-    strict = spec_of(output=BY_ID)
-    build(spark, strict, {"ventes": early}, target)
-    assert column(build(spark, strict, {"ventes": late}, target), "id") == [1, 2]
-    back = spec_of(output={**BY_ID, "incremental": {"column": "ts", "lookback": {"n": 5, "unit": "day"}}})
-    where = str(tmp_path / "back")
-    build(spark, back, {"ventes": early}, where)
-    assert column(build(spark, back, {"ventes": late}, where), "id") == [1, 2, 3]
 
+def traffic(seed, late=0.0):
+    """Deliveries of growing records; some rows arrive hours after they were seen."""
+    rng, source = random.Random(seed), []
+    for load in range(4):
+        for k in rng.sample(range(40), 9):
+            plate = None if k == 7 else f"P{k}"
+            lag = rng.randint(1, 8) if rng.random() < late else 0
+            source.append((plate, rng.randint(1, 3), at(10 * load + rng.randint(0, 9) - lag), float(k)))
+        yield list(source)
 
-def test_gte_reads_the_last_value_again(spark, target):
-    spec = spec_of(output={**BY_ID, "incremental": {"column": "ts", "operator": "gte"}})
-    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
-    again = ventes(spark, *FIRST, (3, date(2024, 1, 2), "nice"))
-    assert column(build(spark, spec, {"ventes": again}, target), "id") == [1, 2, 3]
 
+@pytest.mark.parametrize(
+    "strategy, bound_by, model",
+    [
+        ("append", {}, {}),
+        ("delete+insert", {}, {}),
+        ("delete+insert", {"operator": "gte"}, {"inclusive": True}),
+        ("delete+insert", {"lookback": {"n": 7, "unit": "hour"}}, {"back": timedelta(hours=7)}),
+        ("delete+insert", {"lookback": {"n": 1, "unit": "day"}}, {"back": timedelta(days=1)}),
+    ],
+)
+@pytest.mark.parametrize("partitions", [[], ["lane"]])
+def test_strategies_leave_what_their_models_hold(spark, target, strategy, bound_by, model, partitions):
+    if strategy == "append" and partitions:
+        output = {"incremental_strategy": strategy, "incremental": {"column": "seen"}, "partition_by": partitions}
+    else:
+        output = keyed(strategy, bound_by=bound_by, partition_by=partitions)
+    known = Model(strategy, **model)
+    for source in traffic(len(partitions) + 3, late=0.3):
+        out = build(spark, recipe(output=output), {"gate": passes(spark, *source)}, target)
+        assert held(out.select("plate", "lane", "seen", "toll")) == known.load(source)
+
+
+def test_a_merge_is_one_row_per_key(spark, target):
+    merge = recipe(output=keyed("merge"))
+    first = [("A", 1, at(0), 1.0), ("B", 1, at(1), 1.0), (None, 2, at(1), 0.0)]
+    build(spark, merge, {"gate": passes(spark, *first)}, target)
+    twice = [("A", 2, at(5), 2.0), ("A", 3, at(6), 3.0)]
+    with pytest.raises(RecipeError, match="several rows for the same key"):
+        build(spark, merge, {"gate": passes(spark, *first, *twice)}, target)
+    assert held(RecipeTable(spark, target).read()) == Counter(first)
+    # Without a key nothing is matched, so such rows gather.
+    more = [("A", 2, at(5), 2.0), (None, 2, at(6), 0.0)]
+    out = build(spark, merge, {"gate": passes(spark, *first, *more)}, target)
+    assert held(out) == Counter([first[1], first[2], *more])
 
-def test_empty_table_lets_everything_in(spark, target):
-    spec = spec_of(output=BY_ID)
-    build(spark, spec, {"ventes": ventes(spark, *FIRST).limit(0)}, target)
-    assert build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target).count() == 2
 
+@pytest.mark.parametrize(
+    "kind, low, high",
+    [("string", "a10", "a11"), ("date", date(2031, 3, 1), date(2031, 3, 2)), ("decimal(5,1)", 7, 8),
+     ("timestamp", datetime(2031, 3, 1, 2), datetime(2031, 3, 1, 3)), ("bigint", 2**40, 2**40 + 1)],
+)
+def test_bounds_of_many_types(spark, target, kind, low, high):
+    from decimal import Decimal
+
+    if kind.startswith("decimal"):
+        low, high = Decimal(low), Decimal(high)
+    append = recipe(output={"incremental_strategy": "append", "incremental": {"column": "mark"}})
+    frame = lambda *marks: spark.createDataFrame([(m,) for m in marks], f"mark {kind}")
+    assert build(spark, append, {"gate": frame(None).limit(0)}, target).count() == 0
+    assert build(spark, append, {"gate": frame(low, None)}, target).count() == 2
+    out = build(spark, append, {"gate": frame(low, None, high, high)}, target)
+    assert Counter(r["mark"] is None for r in out.collect()) == {True: 1, False: 3}
+
+
+def test_the_scan_is_given_the_bound(spark, target, tmp_path):
+    from plumbline.plans.build import arrivals_only
 
-def test_full_refresh(spark, target):
-    spec = spec_of(output=BY_ID)
-    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
-    out = build(spark, spec, {"ventes": ventes(spark, FIRST[0])}, target, full_refresh=True)
-    assert column(out, "id") == [1]
+    source = str(tmp_path / "gate")
+    passes(spark, ("A", 1, at(0), 1.0), ("B", 1, at(2), 1.0)).write.parquet(source)
+    spec = recipe(output=keyed())
+    build(spark, spec, {"gate": spark.read.parquet(source)}, target)
+    seen = arrivals_only(spec, {"gate": spark.read.parquet(source)}, RecipeTable(spark, target))
+    assert "GreaterThan(seen,2031-03-31T00:00)" in seen["gate"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_views_tables_and_what_is_passed_on(spark, target):
+    frame = passes(spark, ("A", 1, at(0), 1.0), ("B", 2, at(1), 3.0))
+    dear = [("filter_formula", {"condition": "toll > 2"})]
+    build(spark, recipe(steps=dear, output={"materialized": "view"}), {"gate": frame})
+    assert [r["plate"] for r in spark.table("tolls").collect()] == ["B"]
+    stage = build(spark, recipe(steps=dear, output={"materialized": "ephemeral"}), {"gate": frame})
+    count = recipe("group", ["stage"], group_by=["lane"], aggregations=[{"fn": "count", "alias": "n"}],
+                   output={"materialized": "table"})
+    assert held(build(spark, count, {"stage": stage}, target)) == {(2, 1): 1}
+    assert held(build(spark, count, {"stage": frame}, target)) == {(1, 1): 1, (2, 1): 1}
+    with pytest.raises(RecipeError, match="target folder"):
+        build(spark, count, {"stage": frame})
 
 
-def test_a_column_that_is_always_null(spark, target):
-    nothing = ("formula", {"into": "rien", "expression": "null"})
-    spec = spec_of(steps=[nothing], output={**BY_ID, "on_schema_change": "fail"})
-    build(spark, spec, {"ventes": ventes(spark, FIRST[0])}, target)
-    assert column(build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target), "rien") == [None, None]
+def test_only_the_version_before_is_kept(spark, target, tmp_path):
+    whole = recipe(output={"materialized": "table"})
+    for n in range(5):
+        build(spark, whole, {"gate": passes(spark, ("A", n, at(n), 0.0))}, target)
+    left = {p.name for p in (tmp_path / "target").iterdir() if not p.name.startswith(".")}
+    assert left == {f"{kind}-00000{n}{more}" for n in (4, 5) for kind, more in (("data", ""), ("schema", "-000001"))}
+    assert held(RecipeTable(spark, target).read().select("lane")) == {(4,): 1}
 
 
-def test_old_versions_are_removed(spark, target, tmp_path):
-    spec = spec_of(output={"materialized": "table"})
-    for n in range(1, 5):
-        build(spark, spec, {"ventes": ventes(spark, *[(n, date(2024, 1, 1), "x")])}, target)
-    left = sorted(p.name for p in (tmp_path / "target").iterdir() if not p.name.startswith("."))
-    assert left == ["data-000003", "data-000004", "schema-000003-000001", "schema-000004-000001"]
-    assert column(RecipeTable(spark, target).read(), "id") == [4]
+def test_a_refresh_forgets_what_was_there(spark, target):
+    spec = recipe(output=keyed())
+    build(spark, spec, {"gate": passes(spark, ("A", 1, at(9), 1.0))}, target)
+    frame = passes(spark, ("B", 1, at(2), 1.0))
+    assert held(build(spark, spec, {"gate": frame}, target).select("plate")) == {("A",): 1}
+    assert held(build(spark, spec, {"gate": frame}, target, full_refresh=True).select("plate")) == {("B",): 1}
 
 
-def test_a_failed_build_leaves_the_table_alone(spark, target):
-    spec = spec_of(steps=[("change_type", {"column": "ville", "to": "integer"})], output={"materialized": "table"})
-    build(spark, spec_of(output={"materialized": "table"}), {"ventes": ventes(spark, *FIRST)}, target)
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
-    assert column(RecipeTable(spark, target).read(), "ville") == ["caen", "lyon"]
-    assert build(spark, spec_of(output={"materialized": "table"}), {"ventes": ventes(spark, FIRST[0])}, target).count() == 1
-
-
-@pytest.mark.parametrize("strategy", ["delete+insert", "merge"])
-@pytest.mark.parametrize("parts", [[], ["ville"]])
-def test_keyed_strategies(spark, target, strategy, parts):
-    spec = spec_of(output={**BY_ID, "incremental_strategy": strategy, "partition_by": parts})
-    build(spark, spec, {"ventes": ventes(spark, *FIRST, (None, date(2024, 1, 1), "x"))}, target)
-    # 1 moves from caen to lyon, so caen holds no row any more.
-    arrivals = ventes(
-        spark,
-        *FIRST,
-        (1, date(2024, 1, 3), "lyon"),
-        (3, date(2024, 1, 4), "nice"),
-        (None, date(2024, 1, 4), "x"),
-    )
-    out = build(spark, spec, {"ventes": arrivals}, target)
-    assert rows(out) == sorted(
-        [
-            (1, date(2024, 1, 3), "lyon"),
-            (2, date(2024, 1, 2), "lyon"),
-            (3, date(2024, 1, 4), "nice"),
-            (None, date(2024, 1, 1), "x"),
-            (None, date(2024, 1, 4), "x"),
-        ],
-        key=repr,
-    )
-
-
-def test_delete_insert_lands_repeats_and_merge_refuses_them(spark, target, tmp_path):
-    twice = [(1, date(2024, 1, 3), "a"), (1, date(2024, 1, 4), "b")]
-    spec = spec_of(output=BY_ID)
-    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
-    assert column(build(spark, spec, {"ventes": ventes(spark, *FIRST, *twice)}, target), "id") == [1, 1, 2]
-    merge = spec_of(output={**BY_ID, "incremental_strategy": "merge"})
-    where = str(tmp_path / "merge")
-    build(spark, merge, {"ventes": ventes(spark, *FIRST)}, where)
-    with pytest.raises(RecipeError, match="several rows for the same key"):
-        build(spark, merge, {"ventes": ventes(spark, *FIRST, *twice)}, where)
-    assert RecipeTable(spark, where).read().count() == 2
-
-
-def lignes(spark, *data):
-    return spark.createDataFrame(list(data), "client string, montant int, ts string")
-
-
-def test_incremental_group_recomputes_whole_groups(spark, target):
-    spec = spec_of(
-        "group",
-        ["lignes"],
-        group_by=["client"],
-        aggregations=[
-            {"fn": "sum", "column": "montant", "alias": "total"},
-            {"fn": "max", "column": "ts", "alias": "ts"},
-        ],
-        output={"unique_key": ["client"], "incremental": {"column": "ts"}},
-    )
-    data = [("a", 10, "2024-01-01"), (None, 1, "2024-01-01")]
-    build(spark, spec, {"lignes": lignes(spark, *data)}, target)
-    data += [("a", 5, "2024-01-02"), (None, 1, "2024-01-02")]
-    out = build(spark, spec, {"lignes": lignes(spark, *data)}, target)
-    # The group without a key stays as first written.
-    assert rows(out.select("client", "total")) == [("a", 15), (None, 1)]
-    data += [("b", 7, "2024-01-03")]
-    out = build(spark, spec, {"lignes": lignes(spark, *data)}, target)
-    assert rows(out.select("client", "total")) == [("a", 15), ("b", 7), (None, 1)]
-
-
-def test_incremental_join_bounds_the_driver_only(spark, target):
-    spec = spec_of(
-        "join",
-        ["g", "d"],
-        joins=[{"type": "left", "on": [{"left": "id", "right": "id"}]}],
-        select=[{"from": "g", "column": "id"}, {"from": "g", "column": "ts"}, {"from": "d", "column": "nom"}],
-        output={"incremental_strategy": "append", "incremental": {"column": "ts"}},
-    )
-    g = spark.createDataFrame([(1, 1)], "id int, ts int")
-    d = spark.createDataFrame([(1, "x"), (2, "y")], "id int, nom string")
-    build(spark, spec, {"g": g, "d": d}, target)
-    assert build(spark, spec, {"g": g, "d": d}, target).count() == 1
-    g2 = spark.createDataFrame([(1, 1), (2, 2)], "id int, ts int")
-    assert rows(build(spark, spec, {"g": g2, "d": d}, target)) == [(1, 1, "x"), (2, 2, "y")]
-
-
-def test_incremental_stack_bounds_every_input(spark, target):
-    spec = spec_of("stack", ["fr", "es"], output={"incremental_strategy": "append", "incremental": {"column": "ts"}})
-    fr = spark.createDataFrame([(1, "2024-01-01")], "id int, ts string")
-    es = spark.createDataFrame([(2, "2024-01-01")], "id int, ts string")
-    build(spark, spec, {"fr": fr, "es": es}, target)
-    assert build(spark, spec, {"fr": fr, "es": es}, target).count() == 2
-
-
-def test_chained_recipes(spark, parcels, target):
-    clean = spec_of(steps=[("filter_value", {"column": "weight", "operator": "gt", "value": 2, "action": "keep"})],
-                    inputs=["o"], output={"materialized": "ephemeral"})
-    total = spec_of("group", ["clean"], group_by=["sent"],
-                    aggregations=[{"fn": "count", "alias": "n"}], output={"materialized": "table"})
-    stage = build(spark, clean, {"o": parcels})
-    assert rows(build(spark, total, {"clean": stage}, target)) == [("2023-12-01", 1), ("2023-12-24", 2)]
+def test_a_column_of_nothing_is_text(spark, target):
+    spec = recipe(steps=[("formula", {"into": "remark", "expression": "null"})],
+                  output=keyed(on_schema_change="fail"))
+    for hours in (1, 2):
+        out = build(spark, spec, {"gate": passes(spark, ("A", 1, at(hours), 1.0))}, target)
+    assert out.schema["remark"].dataType.simpleString() == "string" and out.count() == 1
 
 
-@pytest.mark.parametrize(
-    "policy, names, values",
-    [
-        ("append_new_columns", ["id", "ts", "ville", "neuf"], [("caen", None), ("lyon", None), (None, 9)]),
-        ("sync_all_columns", ["id", "ts", "neuf"], None),
-    ],
-)
-@pytest.mark.parametrize("strategy", ["append", "delete+insert", "merge"])
-def test_schema_change(spark, target, policy, names, values, strategy):
-    spec = spec_of(output={**BY_ID, "incremental_strategy": strategy, "on_schema_change": policy})
-    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
-    changed = spark.createDataFrame([(3, date(2024, 1, 3), 9)], "id int, ts date, neuf int")
-    out = build(spark, spec, {"ventes": changed}, target)
-    assert out.columns == names and out.count() == 3
-    if values:
-        assert rows(out.select("ville", "neuf")) == sorted(values, key=repr)
-    else:
-        assert column(out, "neuf") == [9, None, None]
+def test_failures_before_and_after_writing(spark, target):
+    good = passes(spark, ("A", 1, at(0), 1.0))
+    tested = {"materialized": "table", "columns": [{"name": "plate", "tests": ["unique"]}]}
+    build(spark, recipe(output=tested), {"gate": good}, target)
+    with pytest.raises(DataTestFailure, match="unique"):
+        build(spark, recipe(output=tested), {"gate": good.union(good)}, target)
+    wrong = recipe(steps=[("change_type", {"column": "plate", "to": "integer"})], output={"materialized": "table"})
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        build(spark, wrong, {"gate": good}, target)
+    assert held(RecipeTable(spark, target).read()) == held(good)
+    tested["columns"][0]["tests"] = [{"name": "unique", "severity": "warn"}]
+    assert build(spark, recipe(output=tested), {"gate": good.union(good)}, target).count() == 2
+
+
+# ------------------------------------------------------------------- other kinds of recipe
+
+
+def test_touched_groups_are_computed_whole(spark, target):
+    """Rows of earlier loads count again, late ones too; the group without a plate is frozen."""
+    spec = recipe(
+        "group", group_by=["plate"],
+        aggregations=[{"fn": "median", "column": "toll", "alias": "middle"},
+                      {"fn": "count_distinct", "column": "lane", "alias": "lanes"},
+                      {"fn": "max", "column": "seen", "alias": "seen"}],
+        output=keyed(),
+    )
+    source = [("A", 1, at(0), 2.0), ("A", 1, at(1), 4.0), ("B", 1, at(2), 5.0), (None, 1, at(2), 1.0)]
+    build(spark, spec, {"gate": passes(spark, *source)}, target)
+    source += [("A", 2, at(1), 9.0), ("B", 3, at(2), 7.0), ("A", 2, at(3), 6.0), (None, 2, at(3), 3.0)]
+    out = build(spark, spec, {"gate": passes(spark, *source)}, target)
+    # B's late row does not touch it, as it is not beyond the bound.
+    assert held(out) == {("A", 5.0, 2, at(3)): 1, ("B", 5.0, 1, at(2)): 1, (None, 1.0, 1, at(2)): 1}
+
+
+def test_joins_load_their_first_input_and_stacks_all(spark, tmp_path):
+    lanes = spark.createDataFrame([(1, "car"), (2, "lorry")], "lane int, use string")
+    join = recipe(
+        "join", ["gate", "lanes"], joins=[{"type": "left", "on": [{"left": "lane", "right": "lane"}]}],
+        select=[{"from": "gate", "column": "plate"}, {"from": "gate", "column": "seen"}, {"from": "lanes", "column": "use"}],
+        output={"incremental_strategy": "append", "incremental": {"column": "seen"}},
+    )
+    stack = recipe("stack", ["gate", "other"], output={"incremental_strategy": "append", "incremental": {"column": "seen"}})
+    source, other = [("A", 1, at(0), 1.0)], [("Z", 9, at(0), 1.0)]
+    for load in range(1, 3):
+        gate, side = passes(spark, *source), passes(spark, *other)
+        joined = build(spark, join, {"gate": gate, "lanes": lanes}, str(tmp_path / "join"))
+        stacked = build(spark, stack, {"gate": gate, "other": side}, str(tmp_path / "stack"))
+        assert joined.count() == len(source) and stacked.count() == len(source) + len(other)
+        source.append(("B", 2, at(load), 1.0))
+        other.append(("Y", 8, at(load), 1.0))
+        lanes = lanes.replace("car", "bus")  # does not reach what is written
+    assert held(joined.select("use")) == {("car",): 1, ("lorry",): 1}
+
+
+def test_sql_text_names_the_table_it_adds_to(spark, target):
+    later = "{% if is_incremental() %} where seen > (select max(seen) from {this}) {% endif %}"
+    spec = recipe("sql", sql="select plate, seen from {gate} " + later, output={"incremental_strategy": "append"})
+    source = [("A", 1, at(0), 1.0)]
+    build(spark, spec, {"gate": passes(spark, *source)}, target)
+    source += [("A", 1, at(0), 1.0), ("B", 1, at(4), 1.0)]
+    assert build(spark, spec, {"gate": passes(spark, *source)}, target).count() == 2
+    with pytest.raises(RecipeError, match="first build has none"):
+        run_recipe(spark, {**spec, "sql": "select * from {this}"}, {"gate": passes(spark, *source)})
 
 
-def test_merge_keeps_columns_the_arrivals_lack(spark, target):
-    spec = spec_of(output={**BY_ID, "incremental_strategy": "merge"})
-    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
-    fewer = spark.createDataFrame([(1, date(2024, 1, 3))], "id int, ts date")
-    out = build(spark, spec, {"ventes": fewer}, target)
-    assert rows(out) == [(1, date(2024, 1, 3), "caen"), (2, date(2024, 1, 2), "lyon")]
+def test_a_stream_replaces_by_key(spark, tmp_path):
+    source, where, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spec = recipe(steps=[("text_transform", {"column": "plate", "mode": "lower"})], output={"unique_key": ["plate"]})
+    deliveries = [[("A", 1, at(0), 1.0), ("B", 1, at(1), 1.0)], [("B", 2, at(2), 5.0), ("C", 2, at(2), 6.0)]]
+    for data in deliveries:
+        passes(spark, *data).coalesce(1).write.mode("append").parquet(source)
+        out = load_arrivals(spark, spec, source, passes(spark, *data).schema, where, state)
+    assert held(out.select("plate", "lane")) == {("a", 1): 1, ("b", 2): 1, ("c", 2): 1}
+    with pytest.raises(RecipeError, match="remembers what it has read"):
+        load_arrivals(spark, recipe(output=keyed()), source, out.schema, where, state)
 
 
-def test_schema_change_ignore_and_fail(spark, target):
-    def spec(policy):
-        return spec_of(output={**BY_ID, "on_schema_change": policy})
+# --------------------------------------------------------------------------- other columns
 
-    build(spark, spec("fail"), {"ventes": ventes(spark, *FIRST)}, target)
-    wider = spark.createDataFrame([(3, date(2024, 1, 3), "x", 9)], "id int, ts date, ville string, neuf int")
-    with pytest.raises(RecipeError, match="added neuf"):
-        build(spark, spec("fail"), {"ventes": wider}, target)
-    assert build(spark, spec("ignore"), {"ventes": wider}, target).columns == ["id", "ts", "ville"]
-    with pytest.raises(RecipeError, match="no longer has ville"):
-        build(spark, spec("ignore"), {"ventes": wider.drop("ville").withColumn("ts", wider.ts + 9)}, target)
 
+@pytest.mark.parametrize("strategy", ["append", "delete+insert", "merge"])
+@pytest.mark.parametrize(
+    "policy, columns", [("append_new_columns", "plate lane seen toll axles"), ("sync_all_columns", "plate seen axles")]
+)
+def test_columns_come_and_go(spark, target, strategy, policy, columns):
+    spec = recipe(output=keyed(strategy, on_schema_change=policy))
+    build(spark, spec, {"gate": passes(spark, ("A", 1, at(0), 1.0), ("B", 2, at(0), 2.0))}, target)
+    changed = passes(spark, ("C", at(1), 4), schema="plate string, seen timestamp_ntz, axles int")
+    out = build(spark, spec, {"gate": changed}, target)
+    assert out.columns == columns.split() and out.count() == 3
+    assert {r["plate"]: r["axles"] for r in out.collect()} == {"A": None, "B": None, "C": 4}
+    if "toll" in out.columns:
+        assert {r["plate"]: r["toll"] for r in out.collect()} == {"A": 1.0, "B": 2.0, "C": None}
 
-def test_sync_retypes(spark, target):
-    spec = spec_of(output={**BY_ID, "on_schema_change": "sync_all_columns"})
-    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
-    retyped = spark.createDataFrame([(2**40, date(2024, 1, 3), "x")], "id bigint, ts date, ville string")
-    out = build(spark, spec, {"ventes": retyped}, target)
-    assert out.schema["id"].dataType.simpleString() == "bigint" and out.count() == 3
 
+def test_a_merge_leaves_columns_it_was_not_given(spark, target):
+    spec = recipe(output=keyed("merge"))
+    build(spark, spec, {"gate": passes(spark, ("A", 1, at(0), 1.5), ("B", 2, at(0), 2.5))}, target)
+    fewer = passes(spark, ("A", at(1)), ("C", at(1)), schema="plate string, seen timestamp_ntz")
+    out = build(spark, spec, {"gate": fewer}, target)
+    assert {r["plate"]: (r["seen"], r["toll"]) for r in out.collect()} == {
+        "A": (at(1), 1.5), "B": (at(0), 2.5), "C": (at(1), None),
+    }
 
-# ---------------------------------------------------------------------------- slices
 
+def test_columns_that_may_not_change(spark, target):
+    def load(policy, frame):
+        return build(spark, recipe(output=keyed(on_schema_change=policy)), {"gate": frame}, target)
 
-def events(spark, *data):
-    return spark.createDataFrame(list(data), "id int, at timestamp_ntz")
+    load("fail", passes(spark, ("A", 1, at(0), 1.0)))
+    wider = passes(spark, ("B", 1, at(1), 1.0, 3), schema=PASSES + ", axles int")
+    for frame, change in (
+        (wider, "added axles"), (wider.drop("axles", "lane"), "missing lane"),
+        (passes(spark, ("B", "x", at(1), 1.0), schema=PASSES.replace("int", "string")), "retyped lane"),
+    ):
+        with pytest.raises(RecipeError, match=change):
+            load("fail", frame)
+    assert load("ignore", wider).columns == ["plate", "lane", "seen", "toll"]
+    later = passes(spark, ("C", at(2), 1.0), schema="plate string, seen timestamp_ntz, toll double")
+    with pytest.raises(RecipeError, match="no longer has lane"):
+        load("ignore", later)
 
 
-def sliced(size="day", lookback=0, **more):
-    return {
-        "incremental_strategy": "microbatch",
-        "microbatch": {"event_time": "at", "begin": "2024-01-01", "batch_size": size, "lookback": lookback},
-        **more,
-    }
+# --------------------------------------------------------------------------------- guards
 
 
-def test_microbatch_replaces_whole_slices(spark, target):
-    spec = spec_of(inputs=["ev"], output=sliced())
-    spec["inputs"][0]["event_time"] = "at"
-    d = lambda day, hour=0: datetime(2024, 1, day, hour)
-    early = events(spark, (0, datetime(2023, 12, 31)), (1, d(1)), (2, d(2)), (3, d(3, 5)), (9, d(9)))
-    out = build(spark, spec, {"ev": early}, target, now=d(3, 12))
-    assert column(out, "id") == [1, 2, 3] and out.columns == ["id", "at"]
-    # Day 3 is rewritten and day 4 added; days 1 and 2 are frozen.
-    later = events(spark, (10, d(1)), (30, d(3)), (4, d(4)))
-    out = build(spark, spec, {"ev": later}, target, now=d(4, 1))
-    assert column(out, "id") == [1, 2, 30, 4]
-    # A slice whose rows have gone is emptied.
-    spec["output"]["microbatch"]["lookback"] = 1
-    out = build(spark, spec, {"ev": events(spark, (4, d(4)))}, target, now=d(4, 2))
-    assert column(out, "id") == [1, 2, 4]
-    out = build(spark, spec, {"ev": later}, target, now=d(4, 2), full_refresh=True)
-    assert column(out, "id") == [10, 30, 4]
-
-
-@pytest.mark.parametrize("size", ["hour", "month", "year"])
-def test_microbatch_sizes(spark, target, size):
-    spec = spec_of(inputs=["ev"], output=sliced(size))
-    data = [(1, datetime(2024, 1, 1, 0, 30)), (2, datetime(2024, 1, 1, 1, 30)), (3, datetime(2024, 2, 1))]
-    out = build(spark, spec, {"ev": events(spark, *data)}, target, now=datetime(2024, 2, 1))
-    assert column(out, "id") == [1, 2, 3]
-    folders = RecipeTable(spark, target).partition_values("_slice")
-    expected = {"hour": ["2024-01-01T00", "2024-01-01T01", "2024-02-01T00"], "month": ["2024-01", "2024-02"], "year": ["2024"]}
-    assert folders == expected[size]
-
-
-def test_microbatch_date_column_and_group(spark, target):
-    spec = spec_of(
-        "group",
-        ["ev"],
-        group_by=["at"],
-        aggregations=[{"fn": "count", "alias": "n"}],
-        output=sliced("month"),
-    )
-    df = spark.createDataFrame([(date(2024, 1, 5),), (date(2024, 1, 5),), (date(2024, 2, 1),)], "at date")
-    out = build(spark, spec, {"ev": df}, target, now=datetime(2024, 2, 2))
-    assert rows(out) == [(date(2024, 1, 5), 2), (date(2024, 2, 1), 1)]
-
-
-def test_microbatch_join_stays_inside_a_slice(spark, target):
-    spec = spec_of(
-        "join",
-        ["a", "b"],
-        joins=[{"type": "left", "on": [{"left": "id", "right": "id"}]}],
-        select=[{"from": "a", "column": "id"}, {"from": "a", "column": "at"}, {"from": "b", "column": "at", "as": "other"}],
-        output=sliced(),
-    )
-    for i in spec["inputs"]:
-        i["event_time"] = "at"
-    a = events(spark, (1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 2)))
-    b = events(spark, (1, datetime(2024, 1, 1, 3)), (2, datetime(2024, 1, 1)))
-    out = build(spark, spec, {"a": a, "b": b}, target, now=datetime(2024, 1, 2))
-    assert rows(out.select("id", "other")) == [(1, datetime(2024, 1, 1, 3)), (2, None)]
-
-
-@pytest.mark.parametrize("timed", ["b", "ab"])
-@pytest.mark.parametrize("kind", ["left", "inner", "full"])
-@pytest.mark.parametrize("time_of", ["a", "b"])
-def test_microbatch_join_does_not_depend_on_the_builds(spark, tmp_path, timed, kind, time_of):
-    spec = spec_of(
-        "join",
-        ["a", "b"],
-        joins=[{"type": kind, "on": [{"left": "id", "right": "id"}]}],
-        select=[
-            {"from": time_of, "column": "at"},
-            {"from": "a", "column": "at", "as": "at_a"},
-            {"from": "b", "column": "at", "as": "at_b"},
-        ],
-        output=sliced(lookback=0),
-    )
-    for i in spec["inputs"]:
-        if i["ref"] in timed:
-            i["event_time"] = "at"
-    days = [datetime(2024, 1, d) for d in (1, 2, 3)]
-    a = events(spark, (1, days[0]), (1, days[1]), (2, days[2]), (3, days[0]))
-    b = events(spark, (1, days[1]), (2, days[0]), (2, days[2]), (4, days[1]), (3, days[1]))
-    once, often = str(tmp_path / "once"), str(tmp_path / "often")
-    out = build(spark, spec, {"a": a, "b": b}, once, now=days[2])
-    for day in days:
-        again = build(spark, spec, {"a": a, "b": b}, often, now=day)
-    assert rows(out.select("at", "at_a", "at_b")) == rows(again.select("at", "at_a", "at_b"))
-    met = [(x, y) for _, x, y in rows(out.select("at", "at_a", "at_b")) if x and y]
-    if timed == "ab" or time_of == "a":
-        assert met == [(days[1], days[1]), (days[2], days[2])]
-
-
-def test_sql_reads_the_table_it_adds_to(spark, target):
-    later = "{% if is_incremental() %} where ts > (select max(ts) from {this}) {% endif %}"
-    spec = spec_of("sql", sql="select * from {ventes} " + later, output={"incremental_strategy": "append"})
-    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
-    newer = ventes(spark, *FIRST, (9, date(2030, 1, 1), "nice"))
-    assert build(spark, spec, {"ventes": newer}, target).count() == len(FIRST) + 1
-    with pytest.raises(RecipeError, match="first build has none"):
-        run_recipe(spark, {**spec, "sql": "select * from {this}"}, {"ventes": newer})
+def one_row(keys=("plate",), by=(("seen", True),)):
+    order = [{"column": c, "descending": d} for c, d in by]
+    return [("dedup_key", {"keys": list(keys), "order_by": order})]
 
 
-def test_a_version_that_fails_its_tests_is_not_shown(spark, target):
-    output = {"materialized": "table", "columns": [{"name": "id", "tests": ["unique"]}]}
-    spec = spec_of(output=output)
-    build(spark, spec, {"ventes": ventes(spark, *FIRST)}, target)
-    with pytest.raises(DataTestFailure, match="unique"):
-        build(spark, spec, {"ventes": ventes(spark, *FIRST, *FIRST)}, target)
-    assert RecipeTable(spark, target).read().count() == len(FIRST)
-    output["columns"][0]["tests"] = [{"name": "unique", "severity": "warn"}]
-    assert build(spark, spec, {"ventes": ventes(spark, *FIRST, *FIRST)}, target).count() == 2 * len(FIRST)
-
-
-def test_microbatch_schema_change(spark, target):
-    spec = spec_of(inputs=["ev"], output=sliced())
-    build(spark, spec, {"ev": events(spark, (1, datetime(2024, 1, 1)))}, target, now=datetime(2024, 1, 1))
-    wider = spark.createDataFrame([(2, datetime(2024, 1, 2), "x")], "id int, at timestamp_ntz, neuf string")
-    out = build(spark, spec, {"ev": wider}, target, now=datetime(2024, 1, 2))
-    assert rows(out.select("id", "neuf")) == [(2, "x")]  # day 1 was rewritten, and is empty
-    spec["output"]["on_schema_change"] = "sync_all_columns"
-    out = build(spark, spec, {"ev": wider.drop("id")}, target, now=datetime(2024, 1, 3))
-    assert out.columns == ["at", "neuf"] and out.count() == 1
-
-
-# ---------------------------------------------------------------------------- guards
-
-
-ORDER = [{"column": "ts", "descending": True}]
-PIVOT = {"key_columns": ["id"], "name_column": "ville", "value_column": "ts", "values": ["a"]}
-REFUSED = [
-    (spec_of(output={"incremental_strategy": "upsert"}), "Unknown incremental strategy"),
-    (spec_of(output={**BY_ID, "on_schema_change": "x"}), "Unknown on_schema_change"),
-    (spec_of(output={}), "at least one unique key"),
-    (spec_of(output={**BY_ID, "unique_key": ["zip"]}), "not in the output"),
-    (spec_of(output={**BY_ID, "incremental": {"column": "zip"}}), "does not exist"),
-    (spec_of(steps=[("keep_delete", {"columns": ["ts"]})], output=BY_ID), "not in the output"),
-    (spec_of(steps=[("formula", {"into": "ts", "expression": "ts + 1"})], output=BY_ID), "recomputes"),
-    (spec_of(steps=[("parse_date", {"column": "ts"})], output=BY_ID), "recomputes"),
-    (spec_of(steps=[("filter_value", {"column": "ts", "operator": "gt", "value": "2024-01-01", "action": "clear"})], output=BY_ID), "recomputes"),
-    (spec_of(steps=[("rename", {"renames": [{"from": "ts", "to": "x"}]}), ("formula", {"into": "ts", "expression": "x"})], output=BY_ID), "rebuilds"),
-    (spec_of(steps=[("window_function", {"fn": "count", "into": "n"})], output=BY_ID), "window function"),
-    (spec_of(steps=[("window_function", {"fn": "count", "into": "n"})], output={"unique_key": ["id"]}), "window function"),
-    (spec_of(steps=[("dedup_key", {"keys": ["id"], "order_by": ORDER})], output={**BY_ID, "incremental_strategy": "append"}), "One row per key"),
-    (spec_of(steps=[("dedup_key", {"keys": ["id", "ville"], "order_by": ORDER})], output=BY_ID), "must cover"),
-    (spec_of(steps=[("dedup_key", {"keys": ["id"], "order_by": ORDER})], output={**BY_ID, "unique_key": ["id", "ville"]}), "may only hold"),
-    (spec_of(steps=[("dedup_key", {"keys": ["id"], "order_by": [{"column": "ts"}]})], output=BY_ID), "Sort by 'ts' descending"),
-    (spec_of(steps=[("dedup_key", {"keys": ["id"], "order_by": [{"column": "at"}]})], inputs=["ev"], output=sliced()), "One row per key"),
-    (spec_of(steps=[("pivot", {**PIVOT, "key_columns": []})], output={"unique_key": ["a"]}), "without key columns"),
-    (spec_of(steps=[("pivot", PIVOT)], output={"incremental_strategy": "append"}), "removes none"),
-    (spec_of(steps=[("pivot", {**PIVOT, "key_columns": ["id", "ts"], "value_column": "id"})], output={"unique_key": ["id"]}), "must cover"),
-    (spec_of(steps=[("pivot", PIVOT)], output={"unique_key": ["id", "a"]}), "may only hold"),
-    (spec_of(steps=[("pivot", PIVOT)], output={**BY_ID}), "not in the output|could receive"),
-    (spec_of(output={**BY_ID, "incremental_strategy": "append", "incremental": {"column": "ts", "operator": "gte"}}), "second time"),
-    (spec_of(output={**BY_ID, "incremental_strategy": "append", "incremental": {"column": "ts", "lookback": {"n": 1}}}), "cannot go with 'append'"),
-    (spec_of(output={**BY_ID, "incremental": {"column": "ts", "lookback": {"n": -1}}}), "negative"),
-    (spec_of(output={**BY_ID, "incremental": {"column": "ts", "lookback": {"n": "x"}}}), "whole number"),
-    (spec_of(output={**BY_ID, "incremental": {"column": "ts", "lookback": {"n": 1, "unit": "week"}}}), "lookback unit"),
-    (spec_of(output={"incremental_strategy": "microbatch"}), "needs a time column"),
-    (spec_of(output={"incremental_strategy": "microbatch", "microbatch": {"event_time": "ts"}}), "start date"),
-    (spec_of(output={"incremental_strategy": "microbatch", "microbatch": {"event_time": "ts", "begin": "hier"}}), "Invalid start"),
-    (spec_of(output={"incremental_strategy": "microbatch", "microbatch": {"event_time": "ts", "begin": "2024-01-01", "batch_size": "week"}}), "slice size"),
-    (spec_of(output=sliced(lookback=-1)), "negative"),
-    (spec_of(output=sliced(lookback=1.5)), "whole number"),
-    (spec_of(output=sliced()), "time column 'at' is not in the output"),
-    (spec_of("sql", sql="select * from {ventes}", output=BY_ID), "writes its own bound"),
-    (spec_of("stack", ["ventes", "ev"], output={"incremental_strategy": "append", "incremental": {"column": "ts"}}), "missing from 'ev'"),
-]
-
-
-@pytest.mark.parametrize("spec, message", REFUSED)
-def test_guards(spark, spec, message):
-    data = {"ventes": ventes(spark, *FIRST), "ev": events(spark, (1, datetime(2024, 1, 1)))}
-    with pytest.raises(RecipeError, match=message):
-        run_recipe(spark, spec, data)
+def spread(keys=("plate",), value="toll"):
+    return [("pivot", {"key_columns": list(keys), "name_column": "lane", "value_column": value, "values": [1], "prefix": "lane_"})]
 
 
-def test_bound_may_travel_through_renames(spark):
-    there_and_back = [
-        ("rename", {"renames": [{"from": "ts", "to": "x"}]}),
-        ("rename", {"renames": [{"from": "x", "to": "ts"}]}),
-    ]
-    run_recipe(spark, spec_of(steps=there_and_back, output=BY_ID), {"ventes": ventes(spark, *FIRST)})
+def moved(*names):
+    pairs = zip(names, names[1:])
+    return [("rename", {"renames": [{"from": a, "to": b}]}) for a, b in pairs]
 
 
-@pytest.mark.parametrize(
-    "change, message",
-    [
-        ({"joins": [{"type": "right", "on": [{"left": "id", "right": "id"}]}]}, "already written would come back"),
-        ({"joins": [{"type": "full", "on": [{"left": "id", "right": "id"}]}]}, "already written would come back"),
-        ({"select": [{"from": "d", "column": "ts"}]}, "must come from 'g'"),
-        ({"select": [{"from": "g", "column": "id", "as": "ts"}]}, "must come from 'g'"),
-    ],
-)
-def test_join_guards(spark, change, message):
-    df = spark.createDataFrame([(1, 1)], "id int, ts int")
-    spec = spec_of(
-        "join", ["g", "d"], output={"incremental_strategy": "append", "incremental": {"column": "ts"}},
-        **{"joins": [{"on": [{"left": "id", "right": "id"}]}], **change},
-    )
-    with pytest.raises(RecipeError, match=message):
-        run_recipe(spark, spec, {"g": df, "d": df})
+def by_slice(**more):
+    settings = {"event_time": "seen", "begin": "2031-03-01", "batch_size": "day", **more}
+    return {"incremental_strategy": "microbatch", "microbatch": {k: v for k, v in settings.items() if v is not None}}
 
 
-@pytest.mark.parametrize(
-    "keys, measure, output, message",
-    [
-        ([], {"fn": "max", "column": "ts", "alias": "ts"}, {}, "at least one key"),
-        (["client"], {"fn": "count", "alias": "n"}, {}, "is not in the output"),
-        (["client"], {"fn": "min", "column": "ts", "alias": "ts"}, {}, "computed measure"),
-        (["client"], {"fn": "max", "column": "ts", "alias": "ts", "filter": "montant > 0"}, {}, "computed measure"),
-        (["client"], {"fn": "max", "column": "ts", "alias": "ts"}, {"incremental_strategy": "append"}, "beside its previous"),
-        (["client", "ts"], {"fn": "count", "alias": "n"}, {}, "must cover"),
-        (["client"], {"fn": "max", "column": "ts", "alias": "ts"}, {"unique_key": ["client", "ts"]}, "may only hold"),
+_COUNTED = [("window_function", {"fn": "count", "into": "n"})]
+_APPEND = {"incremental_strategy": "append"}
+# What is refused, by what would go wrong.
+GUARDS = {
+    "settings nobody knows": [
+        ({"output": {"incremental_strategy": "replace"}}, "Unknown incremental strategy"),
+        ({"output": keyed(on_schema_change="guess")}, "Unknown on_schema_change"),
     ],
-)
-def test_group_guards(spark, keys, measure, output, message):
-    spec = spec_of("group", ["l"], group_by=keys, aggregations=[measure],
-                   output={"unique_key": ["client"], "incremental": {"column": "ts"}, **output})
-    with pytest.raises(RecipeError, match=message):
-        run_recipe(spark, spec, {"l": lignes(spark, ("a", 1, "2024-01-01"))})
+    "rows that could not be found again": [
+        ({"output": {}}, "at least one unique key"),
+        ({"output": keyed(keys=["driver"])}, "not in the output"),
+        ({"output": keyed(), "steps": [("keep_delete", {"columns": ["plate"]})]}, "not in the output"),
+    ],
+    "bounds that compare unlike things": [
+        ({"output": keyed(bound="noted")}, "does not exist"),
+        ({"output": keyed(), "steps": [("keep_delete", {"columns": ["seen"]})]}, "not in the output"),
+        ({"output": keyed(bound="toll"), "steps": [("round", {"column": "toll"})]}, "'round' recomputes"),
+        ({"output": keyed(bound="toll"), "steps": [("fill_empty", {"column": "toll", "value": "0"})]}, "recomputes"),
+        ({"output": keyed(), "steps": [("parse_date", {"column": "seen"})]}, "recomputes"),
+        ({"output": keyed(bound="lane"), "steps": [("filter_value", {
+            "column": "lane", "operator": "gt", "value": 5, "action": "clear"})]}, "recomputes"),
+        ({"output": keyed(), "steps": [*moved("seen", "then"), ("formula", {"into": "seen", "expression": "then"})]}, "rebuilds"),
+        ({"output": keyed(), "steps": [*moved("seen", "x"), *moved("toll", "seen")]}, "rebuilds"),
+    ],
+    "windows over arrivals alone": [
+        ({"output": keyed(), "steps": _COUNTED}, "window function"),
+        ({"output": {"unique_key": ["plate"]}, "steps": _COUNTED}, "window function"),
+    ],
+    "one row per key, from a part of its rows": [
+        ({"output": keyed("append"), "steps": one_row()}, "One row per key"),
+        ({"output": keyed(), "steps": one_row(["plate", "lane"])}, "must cover"),
+        ({"output": keyed(keys=["plate", "lane"]), "steps": one_row()}, "may only hold"),
+        ({"output": keyed(), "steps": one_row(by=[("seen", False)])}, "Sort by 'seen' descending"),
+        ({"output": keyed(), "steps": one_row(by=[("toll", True), ("seen", True)])}, "Sort by 'seen' descending"),
+        ({"output": by_slice(), "steps": one_row()}, "One row per key"),
+    ],
+    "cells of a pivot in two loads": [
+        ({"output": {"unique_key": ["lane_1"]}, "steps": spread([])}, "without key columns"),
+        ({"output": _APPEND, "steps": spread()}, "removes none"),
+        ({"output": {"unique_key": ["plate"]}, "steps": spread(["plate", "seen"])}, "must cover"),
+        ({"output": keyed(keys=["plate"]), "steps": spread(["plate"], "seen")}, "not in the output|could receive"),
+    ],
+    "rows read twice": [
+        ({"output": keyed("append", bound_by={"operator": "gte"})}, "second time"),
+        ({"output": keyed("append", bound_by={"lookback": {"n": 3}})}, "cannot go with 'append'"),
+        ({"output": keyed(bound_by={"lookback": {"n": -3}})}, "negative"),
+        ({"output": keyed(bound_by={"lookback": {"n": "few"}})}, "whole number"),
+        ({"output": keyed(bound_by={"lookback": {"n": 3, "unit": "minute"}})}, "lookback unit"),
+    ],
+    "slices without an edge": [
+        ({"output": by_slice(event_time=None)}, "needs a time column"),
+        ({"output": by_slice(begin=None)}, "start date"),
+        ({"output": by_slice(begin="soon")}, "Invalid start"),
+        ({"output": by_slice(batch_size="decade")}, "slice size"),
+        ({"output": by_slice(lookback=-2)}, "negative"),
+        ({"output": by_slice(lookback=0.5)}, "whole number"),
+        ({"output": by_slice(event_time="noted")}, "time column 'noted' is not in the output"),
+    ],
+    "bounds that cannot be placed": [
+        ({"kind": "sql", "sql": "select * from {gate}", "output": keyed()}, "writes its own bound"),
+        ({"kind": "stack", "inputs": ["gate", "lanes"], "output": keyed("append")}, "missing from 'lanes'"),
+    ],
+    "groups of arrivals": [
+        ({"kind": "group", "group_by": [], "aggregations": [{"fn": "max", "column": "seen", "alias": "seen"}],
+          "output": keyed(keys=["seen"])}, "at least one key"),
+        ({"kind": "group", "group_by": ["plate"], "aggregations": [{"fn": "sum", "column": "toll", "alias": "t"}],
+          "output": keyed()}, "is not in the output"),
+        ({"kind": "group", "group_by": ["plate"], "aggregations": [{"fn": "min", "column": "seen", "alias": "seen"}],
+          "output": keyed()}, "computed measure"),
+        ({"kind": "group", "group_by": ["plate"], "output": keyed(), "aggregations": [
+            {"fn": "max", "column": "seen", "alias": "seen", "filter": "toll > 0"}]}, "computed measure"),
+        ({"kind": "group", "group_by": ["plate"], "aggregations": [{"fn": "max", "column": "seen", "alias": "seen"}],
+          "output": keyed("append")}, "beside its previous"),
+        ({"kind": "group", "group_by": ["plate", "seen"], "aggregations": [{"fn": "count", "alias": "n"}],
+          "output": keyed()}, "must cover"),
+        ({"kind": "group", "group_by": ["plate"], "aggregations": [{"fn": "max", "column": "seen", "alias": "seen"}],
+          "output": keyed(keys=["plate", "seen"])}, "may only hold"),
+    ],
+    "rows a join would give back": [
+        ({"kind": "join", "inputs": ["gate", "lanes"], "joins": [{"type": kind, "on": [{"left": "lane", "right": "lane"}]}],
+          "output": keyed("append")}, "already written would come back")
+        for kind in ("right", "full")
+    ] + [
+        ({"kind": "join", "inputs": ["gate", "lanes"], "joins": [{"on": [{"left": "lane", "right": "lane"}]}],
+          "select": chosen, "output": keyed("append", keys=[], bound="lane")}, "must come from 'gate'")
+        for chosen in ([{"from": "lanes", "column": "lane"}], [{"from": "gate", "column": "seen", "as": "lane"}])
+    ],
+}
 
 
-def test_group_by_slices_needs_its_time(spark):
-    spec = spec_of("group", ["ev"], group_by=["id"], aggregations=[{"fn": "max", "column": "at", "alias": "at"}], output=sliced())
-    with pytest.raises(RecipeError, match="must group by its time column"):
-        run_recipe(spark, spec, {"ev": events(spark, (1, datetime(2024, 1, 1)))})
+@pytest.mark.parametrize("why, case", [(why, case) for why, cases in GUARDS.items() for case in cases])
+def test_refused_before_anything_is_read(spark, why, case):
+    settings, message = case
+    data = {
+        "gate": passes(spark, ("A", 1, at(0), 1.0)),
+        "lanes": spark.createDataFrame([(1, "car")], "lane int, use string"),
+    }
+    with pytest.raises(RecipeError, match=message):
+        run_recipe(spark, recipe(**settings), data)
 
 
-def test_stream_of_files(spark, tmp_path):
-    source, where, state = (str(tmp_path / n) for n in ("src", "out", "state"))
-    spec = spec_of(steps=[("text_transform", {"column": "ville", "mode": "upper"})], output={"unique_key": ["id"]})
-    ventes(spark, *FIRST).coalesce(1).write.parquet(source)
-    schema = ventes(spark, *FIRST).schema
-    assert column(load_arrivals(spark, spec, source, schema, where, state), "ville") == ["CAEN", "LYON"]
-    ventes(spark, (1, date(2024, 1, 9), "nice"), (3, date(2024, 1, 9), "metz")).coalesce(1).write.mode("append").parquet(source)
-    out = load_arrivals(spark, spec, source, schema, where, state)
-    assert rows(out.select("id", "ville")) == [(1, "NICE"), (2, "LYON"), (3, "METZ")]
-    with pytest.raises(RecipeError, match="remembers what it has read"):
-        load_arrivals(spark, spec_of(output=BY_ID), source, schema, where, state)
+def test_a_bound_may_travel(spark):
+    spec = recipe(steps=moved("seen", "x", "y", "seen"), output=keyed())
+    assert run_recipe(spark, spec, {"gate": passes(spark, ("A", 1, at(0), 1.0))}).count() == 1
