@@ -41,7 +41,7 @@ BANDS, ROWS = 25, 5
 # Counters of the table that tells rare shingles from frequent ones: 8 MB.
 _COUNTERS = 1 << 20
 # Shingles whose signatures are made at once.
-_BATCH = 200_000
+_BATCH = 100_000
 
 
 def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
