@@ -220,14 +220,19 @@ def test_dates_and_addresses(spark, meaning):
 
 
 def test_full_profile(spark):
-    df = spark.createDataFrame(
-        [(1, "ada", 0.0, True), (2, None, -0.0, None), (3, "", 2.5, False), (3, "   ", None, False)],
-        "id int, nom string, x double, b boolean",
-    )
-    got = [r[:6] for r in rows(full_profile(df))]
-    assert got == [(0, "id", 4, 4, 0, 3), (1, "nom", 4, 1, 3, 3), (2, "x", 4, 3, 1, 2), (3, "b", 4, 3, 1, 2)]
-    ends = {r["column"]: (r["min"], r["max"]) for r in full_profile(df.drop("x")).collect()}
-    assert ends == {"id": ("1", "3"), "nom": ("", "ada"), "b": ("false", "true")}
+    data = [(9, "oak", -0.0, True), (7, " ", 0.0, None), (7, None, None, None), (-2, "ash", 1.5, True), (9, "", 0.5, True)]
+    frame = spark.createDataFrame(data, "age int, tree string, girth double, felled boolean")
+    found = {r["column"]: r for r in full_profile(frame).collect()}
+    for place, name in enumerate(frame.columns):
+        values = [r[place] for r in data]
+        blank = [v for v in values if v is None or isinstance(v, str) and not v.strip(" ")]
+        got = found[name]
+        assert (got["filled"], got["empty"]) == (len(values) - len(blank), len(blank))
+        known = {v for v in values if v is not None}
+        assert got["distinct"] == len(known)
+        if name != "girth":
+            ends = [str(v).lower() if isinstance(v, bool) else str(v) for v in (min(known), max(known))]
+            assert [got["min"], got["max"]] == ends
 
 
 def test_full_profile_covers_every_column(spark):
@@ -246,16 +251,23 @@ def test_long_texts_are_told_apart(spark):
     assert (found["distinct"], found["filled"]) == (5, 6)
 
 
-def test_profile_delta(spark):
-    def profile(total, **empties):
-        data = [(c, total, total - e, e) for c, e in empties.items()]
+@pytest.mark.parametrize("before, after", [(40, 31), (31, 40), (40, 40), (0, 6), (8, 0)])
+def test_profile_delta(spark, before, after):
+    """Rows that came or went, or, of as many rows, the values that became empty."""
+
+    def profile(total, empty):
+        data = [(c, total, total - min(n, total), min(n, total)) for c, n in empty.items()]
         return spark.createDataFrame(data, "column string, total bigint, filled bigint, empty bigint")
 
-    fewer = profile_delta(profile(1000, d=10), profile(880, d=350))
-    assert rows(fewer) == [("rows_removed", None, 1000, 880, 12.0)]
-    same = profile_delta(profile(1000, d=10, e=5), profile(1000, d=350, e=5, f=9))
-    assert rows(same) == [("emptied", "d", 10, 350, None)]
-    assert profile_delta(profile(0, d=0), profile(5, d=0)).count() == 0
+    found = rows(profile_delta(profile(before, {"a": 3, "b": 5, "c": 4}), profile(after, {"a": 7, "b": 5, "c": 1, "d": 9})))
+    if before == after:
+        assert found == [("emptied", "a", 3, 7, None)]
+    elif not before:
+        assert found == []
+    else:
+        kind = "rows_removed" if after < before else "rows_added"
+        share = round(100 * abs(after - before) / before, 1)
+        assert found == [(kind, None, before, after, share)]
 
 
 SEEDS = {

@@ -14,40 +14,40 @@ WHOLE = ["sum", "avg", "min", "max", "count"]
 
 
 @pytest.fixture(scope="module")
-def sales(spark):
-    days = [date(2024, 1, d) for d in (1, 2, 3)]
-    data = [("A", days[0], 10.0), ("A", days[1], 20.0), ("A", days[2], 30.0), ("B", days[0], 100.0)]
-    return spark.createDataFrame(data, "client string, jour date, montant double")
+def tides(spark):
+    """Two ports; the second has one tide."""
+    data = [("ebb", 4, 2.5), ("ebb", 10, -1.0), ("ebb", 16, 3.5), ("flood", 5, 8.0)]
+    return spark.createDataFrame(data, "port string, hour int, height double")
 
 
 def window(spark, df, fn, **params):
     return steps(spark, df, ("window_function", {"fn": fn, "into": "w", **params}))
 
 
-BY_DAY = {"partition_by": ["client"], "order_by": [{"column": "jour"}]}
+BY_HOUR = {"partition_by": ["port"], "order_by": [{"column": "hour"}]}
 
 
 @pytest.mark.parametrize(
     "fn, params, expected",
     [
-        ("running_sum", {"column": "montant", **BY_DAY}, [10.0, 100.0, 30.0, 60.0]),
-        ("sum", {"column": "montant", "partition_by": ["client"]}, [100.0, 60.0, 60.0, 60.0]),
-        ("lag", {"column": "montant", **BY_DAY}, [10.0, 20.0, None, None]),
-        ("lead", {"column": "montant", **BY_DAY}, [20.0, 30.0, None, None]),
-        ("moving_avg", {"column": "montant", "window_rows": 2, **BY_DAY}, [10.0, 100.0, 15.0, 25.0]),
-        ("row_number", BY_DAY, [1, 1, 2, 3]),
-        ("rank", {"order_by": [{"column": "montant", "descending": True}]}, [1, 2, 3, 4]),
-        ("count", {}, [4, 4, 4, 4]),
+        ("running_sum", {"column": "height", **BY_HOUR}, {4: 2.5, 10: 1.5, 16: 5.0, 5: 8.0}),
+        ("max", {"column": "height", "partition_by": ["port"]}, {4: 3.5, 10: 3.5, 16: 3.5, 5: 8.0}),
+        ("lag", {"column": "height", **BY_HOUR}, {4: None, 10: 2.5, 16: -1.0, 5: None}),
+        ("lead", {"column": "height", "offset": 2, **BY_HOUR}, {4: 3.5, 10: None, 16: None, 5: None}),
+        ("moving_avg", {"column": "height", "window_rows": 2, **BY_HOUR}, {4: 2.5, 10: 0.75, 16: 1.25, 5: 8.0}),
+        ("row_number", BY_HOUR, {4: 1, 10: 2, 16: 3, 5: 1}),
+        ("dense_rank", {"order_by": [{"column": "port", "descending": True}]}, {4: 2, 10: 2, 16: 2, 5: 1}),
+        ("count", {}, {4: 4, 10: 4, 16: 4, 5: 4}),
     ],
 )
-def test_functions(spark, sales, fn, params, expected):
-    assert column(window(spark, sales, fn, **params), "w") == expected
+def test_functions(spark, tides, fn, params, expected):
+    assert {r["hour"]: r["w"] for r in window(spark, tides, fn, **params).collect()} == expected
 
 
-def test_counts_are_bigint(spark, sales):
+def test_counts_are_bigint(spark, tides):
     for fn in ("row_number", "rank", "dense_rank", "count"):
-        order = {} if fn == "count" else BY_DAY
-        assert window(spark, sales, fn, **order).schema["w"].dataType.simpleString() == "bigint"
+        order = {} if fn == "count" else BY_HOUR
+        assert window(spark, tides, fn, **order).schema["w"].dataType.simpleString() == "bigint"
 
 
 def _reference(data, fn, by, descending, n):
@@ -162,12 +162,13 @@ def test_result_can_replace_a_column(spark, skewed, small_groups):
 @pytest.fixture
 def updates(spark):
     data = [
-        (1, date(2024, 1, 1), "Lyon"),
-        (1, date(2024, 3, 1), "Paris"),
-        (1, None, "Nulle part"),
-        (2, date(2024, 2, 1), "Nantes"),
+        ("kestrel", date(2019, 5, 7), "marsh"),
+        ("wren", None, "unseen"),
+        ("kestrel", date(2019, 6, 2), "tower"),
+        ("kestrel", date(2018, 9, 9), "barn"),
+        ("wren", date(2017, 1, 3), "hedge"),
     ]
-    return spark.createDataFrame(data, "customer_id int, maj_le date, ville string")
+    return spark.createDataFrame(data, "bird string, sighted date, place string")
 
 
 def dedup(spark, df, keys, column_, ties="one"):
@@ -176,23 +177,25 @@ def dedup(spark, df, keys, column_, ties="one"):
 
 
 def test_dedup_keeps_the_latest_and_never_a_null(spark, updates):
-    out = dedup(spark, updates, ["customer_id"], "maj_le")
-    assert column(out, "ville") == ["Nantes", "Paris"] and out.columns == updates.columns
+    out = dedup(spark, updates, ["bird"], "sighted")
+    assert column(out, "place") == ["hedge", "tower"] and out.columns == updates.columns
 
 
 def test_dedup_ties(spark, small_groups):
-    df = spark.createDataFrame(
-        [(1, date(2024, 1, 1), "a"), (1, date(2024, 1, 1), "b"), (2, None, "c"), (2, None, "d")],
-        "id int, maj_le date, v string",
-    )
-    assert dedup(spark, df, ["id"], "maj_le").count() == 2
-    assert column(dedup(spark, df, ["id"], "maj_le", "all"), "v") == ["a", "b", "c", "d"]
-    with small_groups(1):
-        assert column(dedup(spark, df, ["id"], "maj_le", "all"), "v") == ["a", "b", "c", "d"]
+    """All that share the first place stay, those without a date too where none has one."""
+    data = [("owl", 3, "a"), ("owl", 3, "b"), ("owl", 1, "c"), ("owl", None, "d"),
+            ("jay", None, "e"), ("jay", None, "f"), (None, 2, "g")]
+    frame = spark.createDataFrame(data, "bird string, at int, note string")
+    kept = {"a", "b", "e", "f", "g"}
+    one = dedup(spark, frame, ["bird"], "at")
+    assert one.count() == 3 and set(column(one, "note")) < kept
+    for limit in (1, 10_000):
+        with small_groups(limit):
+            assert set(column(dedup(spark, frame, ["bird"], "at", "all"), "note")) == kept
 
 
 def test_dedup_cuts_down_before_the_shuffle(spark, updates):
-    plan = dedup(spark, updates, ["customer_id"], "maj_le")._jdf.queryExecution().toString()
+    plan = dedup(spark, updates, ["bird"], "sighted")._jdf.queryExecution().toString()
     assert "row_number(), 1, Partial" in plan
 
 
