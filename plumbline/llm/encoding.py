@@ -12,11 +12,12 @@ from __future__ import annotations
 import os
 import re
 import string
+from array import array
 
 import numpy as np
 
 # Pieces remembered in each of two generations: some 200 bytes apiece, as no longer ones are.
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 _LONGEST_REMEMBERED = 64
 _ODD_SPACES = re.compile(r" (?:\s|\Z)")
 _CUTS = re.compile(r"(?= \S)")
@@ -34,6 +35,8 @@ _SYMBOLS = _symbol_table()
 
 def byte_symbols(text: str) -> str:
     """One symbol per byte, as byte-level vocabularies write them."""
+    if text.isascii() and text.isalnum():
+        return text
     return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SYMBOLS)
 
 
@@ -44,22 +47,23 @@ class _Pieces(dict):
     pre-tokenizer cuts too: such pieces are put together from remembered ones.
     """
 
-    def __init__(self, encode, bare: _Pieces | None = None):
+    def __init__(self, encode, encode_word, bare: _Pieces | None = None):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.encode_word, self.old = encode, encode_word, {}
         # The same for pieces that follow no space.
         self.bare = self if bare is None else bare
 
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > _LONGEST_REMEMBERED:
             return self.encode(piece)
-        if not piece[-1].isalnum() or "\n" in piece:
+        # The pre-tokenizer leaves a word of letters, with the space before it, as it is.
+        if piece.isalpha():
+            found = self.old.get(piece) or self.encode_word(piece)
+        else:
             made = self._compound(piece)
             if made is not None:
                 return made
-        found = self.old.get(piece)
-        if found is None:
-            found = self.encode(piece)
+            found = self.old.get(piece) or self.encode(piece)
         if len(self) >= _REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -79,6 +83,8 @@ class _Pieces(dict):
                 return None
             feed = self.bare._line_feed()
             return self[lines[0]] + b"".join(feed + self.bare[x] for x in lines[1:])
+        if piece[-1].isalnum():
+            return None
         word = piece.rstrip(string.punctuation)
         if len(word) == len(piece) or not word.isalpha():
             return None
@@ -100,21 +106,26 @@ class Encoder:
         # Added tokens that are looked for in normalized text can be there in another form.
         self._hidden = self._tokenizer.normalizer is not None and any(t.normalized for t in added)
         self._model, self._before = self._tokenizer.model, self._tokenizer.pre_tokenizer
-        self._first = _Pieces(self._encode)
-        self._later = _Pieces(self._encode_later, self._first)
+        self._code = "HI"[self.dtype.itemsize > 2]
+        self._first = _Pieces(self._encode, self._encode_word)
+        self._later = _Pieces(self._encode_later, self._encode_later_word, self._first)
 
     def _encode(self, piece: str) -> bytes:
-        # The pre-tokenizer leaves a word of letters, with the space before it, as it is.
-        if piece.isalpha() or piece[0] == " " and piece[1:].isalpha():
-            words = [byte_symbols(piece)]
-        else:
-            words = [word for word, _ in self._before.pre_tokenize_str(piece)]
-        ids = [token.id for word in words for token in self._model.tokenize(word)]
-        return np.array(ids, dtype=self.dtype).tobytes()
+        words = self._before.pre_tokenize_str(piece)
+        ids = [token.id for word, _ in words for token in self._model.tokenize(word)]
+        return array(self._code, ids).tobytes()
 
     def _encode_later(self, piece: str) -> bytes:
         return self._encode(" " + piece)
 
+    def _encode_word(self, word: str) -> bytes:
+        ids = [token.id for token in self._model.tokenize(byte_symbols(word))]
+        return array(self._code, ids).tobytes()
+
+    def _encode_later_word(self, word: str) -> bytes:
+        ids = [token.id for token in self._model.tokenize(_SYMBOLS[32] + byte_symbols(word))]
+        return array(self._code, ids).tobytes()
+
     def library_ids(self, text: str) -> bytes:
         """What the library's ``encode`` gives for a text, without special tokens around it."""
         if not self._hidden and not any(token in text for token in self._added):
