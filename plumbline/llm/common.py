@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Ids that may be broadcast: 2 million longs are a few dozen MB as a hash table.
@@ -58,6 +60,15 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system. Workers outlive their tasks, and an
+    idle one would hold the most that any of its batches took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only in the GNU library
+        trim(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import bagminhash as bag
-from .common import named, stored, with_ids, without_dropped
+from .common import give_back, named, stored, with_ids, without_dropped
 
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
@@ -82,9 +82,11 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 pending = 0
         sign()
         yield pd.DataFrame({"content": content, "length": lengths, "bands": bands})
+        give_back()
 
 
 def _shingled(texts: pd.Series) -> pd.Series:
+    give_back()
     return pd.Series([bag.tagged(bag.shingles(bag.words_of(t))).view(np.int64) for t in texts])
 
 

@@ -24,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import named, stored
+from .common import give_back, named, stored
 from .encoding import encoder
 
 WINDOW = 2_048
 # Most frequent lengths of which triples are made; pairs are made of all lengths.
 TRIPLE_LENGTHS = 48
 SWEEPS = 60
+# Rows that a worker turns into Python objects at once, of a batch of documents or pieces.
+SLICE_ROWS = 1_000
 
 
 def combinations(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, ...]]:
@@ -129,6 +132,27 @@ class _Packer:
         return pieces
 
 
+def _encoded(tokenizer: str, end_id: int):
+    """Ids of the texts of batches of ``doc_id``, ``known`` and ``text``, a slice at a time: a
+    worker never holds the texts of a whole batch as objects beside all of their ids."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = encoder(tokenizer)
+        closing = np.array([end_id], dtype=ids.dtype).tobytes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(start, SLICE_ROWS)
+                texts = rows.column("text").to_pylist()
+                encoded = [ids.library_ids(t or "") + closing for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns[:2], pa.array(encoded, pa.binary())], ["doc_id", "known", "ids"]
+                )
+                del texts, encoded
+            give_back()
+
+    return encode
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -140,21 +164,17 @@ def pack(
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids`` (little-endian, 4 bytes
     each), ``doc_tokens``, ``sequence_id`` and ``offset``."""
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = encoder(tokenizer)
-        closing = np.array([end_id], dtype=ids.dtype).tobytes()
-        for texts in batches:
-            yield pd.Series([ids.library_ids(t or "") + closing for t in texts])
-
     width = encoder(tokenizer).dtype.itemsize
     ident = named(docs, key).cast("long")
+    rows = docs.select(
+        F.coalesce(ident, F.lit(0)).alias("doc_id"),
+        ident.isNotNull().alias("known"),
+        named(docs, text).alias("text"),
+    )
     tokens = stored(
-        docs.select(
-            F.coalesce(ident, F.lit(0)).alias("doc_id"),
-            ident.isNotNull().alias("known"),
-            encode(named(docs, text)).alias("ids"),
-        ).withColumn("size", (F.length("ids") / width).cast("long")),
+        rows.mapInArrow(_encoded(tokenizer, end_id), "doc_id long, known boolean, ids binary").withColumn(
+            "size", (F.length("ids") / width).cast("long")
+        ),
         "packing-tokens",
     )
     left = F.pmod("size", F.lit(window)).cast("int")
@@ -170,21 +190,27 @@ def pack(
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = _Packer(TaskContext.get().partitionId(), *sent.value, window)
         for batch in batches:
-            ids = [np.frombuffer(b, dtype=f"<u{width}").astype("<u4") for b in batch["ids"]]
+            ids = [np.frombuffer(b, dtype=f"<u{width}") for b in batch["ids"]]
             found = packer.pack([len(x) for x in ids])
-            doc, start, length, sequence, offset = np.array(found, dtype=np.int64).reshape(-1, 5).T
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].to_numpy()[doc],
-                    "known": batch["known"].to_numpy()[doc],
-                    "start": start,
-                    "length": length,
-                    "ids": [ids[d][s : s + n].tobytes() for d, s, n in zip(doc, start, length)],
-                    "doc_tokens": batch["size"].to_numpy()[doc],
-                    "sequence_id": sequence,
-                    "offset": offset,
-                }
-            )
+            found = np.array(found, dtype=np.int64).reshape(-1, 5)
+            for at in range(0, len(found), SLICE_ROWS):
+                doc, start, length, sequence, offset = found[at : at + SLICE_ROWS].T
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"].to_numpy()[doc],
+                        "known": batch["known"].to_numpy()[doc],
+                        "start": start,
+                        "length": length,
+                        "ids": [
+                            ids[d][s : s + n].astype("<u4").tobytes()
+                            for d, s, n in zip(doc, start, length)
+                        ],
+                        "doc_tokens": batch["size"].to_numpy()[doc],
+                        "sequence_id": sequence,
+                        "offset": offset,
+                    }
+                )
+            give_back()
 
     packed = tokens.mapInPandas(
         pieces,

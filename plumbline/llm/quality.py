@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import named, stored, uniform, with_ids
+from .common import give_back, named, stored, uniform, with_ids
 
 # Labelled positives that the fit uses at most.
 FIT_ROWS = 10_000
@@ -119,6 +119,7 @@ class QualityModel:
                 rows = np.array([text_features(t or "") for t in texts]).reshape(-1, len(FEATURES))
                 worded = np.array([bool(t) and not t.isspace() for t in texts], dtype=float)
                 yield pd.Series(sent.value.scores(rows) * worded)
+                give_back()
 
         return docs.withColumn(into, score(named(docs, text)))
 
@@ -228,6 +229,7 @@ def _summed(
 def _measured(texts: DataFrame) -> DataFrame:
     @F.pandas_udf("array<double>")
     def measure(batch: pd.Series) -> pd.Series:
+        give_back()
         return pd.Series([text_features(t) for t in batch])
 
     worded = texts.filter(F.col("text").rlike(r"\S"))

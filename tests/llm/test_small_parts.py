@@ -7,6 +7,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import bagminhash as bag, packing, quality
@@ -229,3 +230,16 @@ def test_deep_pages_take_linear_time(page):
     began = time.process_time()
     main_text(page)
     assert time.process_time() - began < 5
+
+
+def test_encoding_holds_a_slice_of_a_batch_at_a_time():
+    texts = [None, "", *(f"text {i}, of some words" for i in range(2 * packing.SLICE_ROWS))]
+    rows = {"doc_id": range(len(texts)), "known": [True] * len(texts), "text": texts}
+    encode = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    run = packing._encoded(tokenizer_path("byte_bpe_50k.json"), 1)
+    parts = list(run(iter([pa.RecordBatch.from_pydict({k: list(v) for k, v in rows.items()})])))
+    assert [p.num_rows for p in parts] == [packing.SLICE_ROWS] * 2 + [2]
+    whole = pa.Table.from_batches(parts).to_pydict()
+    assert whole["doc_id"] == list(range(len(texts)))
+    end = np.array([1], dtype=encode.dtype).tobytes()
+    assert whole["ids"] == [encode.library_ids(t or "") + end for t in texts]
