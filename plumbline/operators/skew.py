@@ -34,6 +34,15 @@ _SETTING = "spark.plumbline.groupRows"
 # Hot keys up to this number are compared in an expression, more of them by a join.
 _LISTED = 1_000
 
+# Rows of hot groups that a sorting task gets, and the pieces that a low limit may still ask
+# for: Spark sends some 300 sampled rows a piece to the driver.
+PIECE_ROWS = 1_000_000
+_MORE_PIECES = 32
+
+# Rows known to be at most this many are broadcast without waiting for their measured size,
+# as the large side would be shuffled by then.
+_FEW = 100_000
+
 
 _describing: ContextVar[bool] = ContextVar("describing", default=False)
 _kept: ContextVar[list[str] | None] = ContextVar("kept", default=None)
@@ -96,8 +105,21 @@ class HotGroups:
 
     @property
     def pieces(self) -> int:
-        """Range partitions that keep each piece of a hot group under the limit."""
-        return self.rows // self.limit + 2
+        """Range partitions of the rows. Pieces are sorted on disk if need be and only cut into
+        slices afterwards, so that a low limit does not ask for ever more of them."""
+        return max(
+            self.rows // PIECE_ROWS + 2, min(self.rows // self.limit + 2, _MORE_PIECES)
+        )
+
+    @property
+    def slice_rows(self) -> int:
+        """Rows of a slice, in which a function is evaluated by one task."""
+        return min(self.limit, PIECE_ROWS)
+
+    def beside(self, small: DataFrame) -> DataFrame:
+        """The side of a join that holds a row for each piece, slice or hot group at most."""
+        groups = 2 * len(self.hashes) + self.pieces + self.rows // self.slice_rows
+        return F.broadcast(small) if groups <= _FEW else small
 
 
 def hot_groups(df: DataFrame, keys: list[str], default: int = GROUP_ROWS) -> HotGroups:

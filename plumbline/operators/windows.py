@@ -159,7 +159,7 @@ def read_call(df: DataFrame, params: dict) -> WindowCall:
 
 def _large_groups(df: DataFrame, call: WindowCall, hot: HotGroups) -> DataFrame:
     if call.fn not in NEEDS_ORDER:
-        return _whole_group(df, call)
+        return _whole_group(df, call, hot)
     columns = df.columns
     out = put(df, call.into, F.lit(None)).columns
     if call.fn in ("rank", "dense_rank"):
@@ -169,11 +169,11 @@ def _large_groups(df: DataFrame, call: WindowCall, hot: HotGroups) -> DataFrame:
     if call.fn == "row_number":
         return put(placed, call.into, col(place)).select(*cols(out))
     if call.fn == "running_sum":
-        return _running_sum(placed, call, place, hot.limit).select(*cols(out))
+        return _running_sum(placed, call, place, hot).select(*cols(out))
     return _neighbours(placed, call, place, hot.limit).select(*cols(out))
 
 
-def _whole_group(df: DataFrame, call: WindowCall) -> DataFrame:
+def _whole_group(df: DataFrame, call: WindowCall, hot: HotGroups | None = None) -> DataFrame:
     """One row per key joins back, or one row to all; Spark chooses how from measured sizes."""
     value = spare_name("value", [*df.columns, call.into])
     names = {k: spare_name(f"key{i}", df.columns) for i, k in enumerate(call.keys)}
@@ -181,6 +181,7 @@ def _whole_group(df: DataFrame, call: WindowCall) -> DataFrame:
         call.measure().alias(value)
     )
     if call.keys:
+        totals = hot.beside(totals) if hot else totals
         joined = df.join(totals, same_keys(df, totals, list(names.items())), "left")
     else:
         joined = df.crossJoin(F.broadcast(totals))  # one row
@@ -230,18 +231,20 @@ def _placed(
         "*", F.coalesce(F.sum(col(size)).over(earlier), F.lit(0)).alias(before)
     )
     on = same_keys(pieces, offsets, [*names.items()]) & (col(piece) == col(at))
-    return pieces.join(offsets, on, "inner").select(
+    return pieces.join(hot.beside(offsets), on, "inner").select(
         *cols(df.columns),
         (col(before) + col(serial) - col(first) + F.lit(1)).alias(place),
     )
 
 
-def _running_sum(placed: DataFrame, call: WindowCall, place: str, limit: int) -> DataFrame:
+def _running_sum(
+    placed: DataFrame, call: WindowCall, place: str, hot: HotGroups
+) -> DataFrame:
     """Sum inside slices of bounded size, plus what the slices before hold."""
     taken = [*placed.columns, call.into]
     part, total, at, base = (spare_name(n, taken) for n in ("slice", "total", "at", "base"))
     names = {k: spare_name(f"key{i}", taken) for i, k in enumerate(call.keys)}
-    sliced = placed.select("*", _slice(place, limit).alias(part))
+    sliced = placed.select("*", _slice(place, hot.slice_rows).alias(part))
     totals = sliced.groupBy(
         *[col(k).alias(n) for k, n in names.items()], col(part).alias(at)
     ).agg(F.sum(col(call.column)).alias(total))
@@ -256,7 +259,7 @@ def _running_sum(placed: DataFrame, call: WindowCall, place: str, limit: int) ->
     here = spare_name("here", taken)
     summed = sliced.select("*", local.alias(here))
     on = same_keys(summed, bases, [*names.items()]) & (col(part) == col(at))
-    joined = summed.join(bases, on, "inner")
+    joined = summed.join(hot.beside(bases), on, "inner")
     # A sum of nothing but NULLs is NULL, on either side.
     value = F.when(col(here).isNull(), col(base)).otherwise(
         F.coalesce(col(base) + col(here), col(here))
@@ -301,7 +304,7 @@ def _ranked(df: DataFrame, call: WindowCall, hot: HotGroups) -> DataFrame:
         ranks = numbered.select(*cols(by), col(place).alias(value))
     else:
         total = WindowCall("running_sum", size, call.keys, call.order, 0, value)
-        ranks = _running_sum(numbered, total, place, hot.limit).select(
+        ranks = _running_sum(numbered, total, place, hot).select(
             *cols(by), (col(value) - col(size) + F.lit(1)).alias(value)
         )
     names = {c: spare_name(f"by{i}", taken) for i, c in enumerate(by)}

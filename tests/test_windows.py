@@ -5,7 +5,7 @@ from datetime import date
 
 import pytest
 
-from plumbline.operators.skew import hot_groups
+from plumbline.operators.skew import HotGroups, hot_groups
 
 from tests.helpers import column, rows, steps
 
@@ -217,3 +217,30 @@ def test_running_sum_keeps_its_type_when_split(spark, small_groups, kind, by):
         split = window(spark, df, "running_sum", **params)
     assert split.schema["w"].dataType == plain.schema["w"].dataType
     assert rows(split.select("id", "w")) == rows(plain.select("id", "w"))
+
+
+def test_a_low_limit_asks_for_few_pieces(spark, small_groups):
+    """Spark samples 300 rows a piece to the driver: pieces go by what a task can sort."""
+    few = HotGroups(("k",), (1, 2, 3), 36_000_000, 3_000)
+    assert 36 <= few.pieces <= 64
+    assert HotGroups((), (), 9_000_000_000, 4_000_000).pieces >= 9_000
+    df = spark.range(0, 4_000, 1, 4).selectExpr("id % 2 as k", "id div 4 as o", "id", "1 as v")
+    params = {"column": "v", "partition_by": ["k"], "order_by": [{"column": "o"}, {"column": "id"}]}
+    with small_groups(10):
+        assert hot_groups(df, ["k"]).pieces < 100
+        split = window(spark, df, "running_sum", **params)
+    assert rows(split.select("id", "w")) == rows(df.selectExpr("id", "id div 2 + 1 as w"))
+
+
+def test_rows_of_hot_groups_meet_small_sides_unshuffled(spark, small_groups):
+    """Piece sizes and slice totals are broadcast: the rows are shuffled by slice alone."""
+    df = spark.range(200).selectExpr("id % 2 as k", "id", "id as v")
+    params = {"column": "v", "partition_by": ["k"], "order_by": [{"column": "id"}]}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with small_groups(20):
+            split = window(spark, df, "running_sum", **params)
+            plan = split._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
