@@ -154,6 +154,18 @@ def read_call(df: DataFrame, params: dict) -> WindowCall:
     return WindowCall(fn, column, tuple(keys), tuple(order), reach, into)
 
 
+def without_unread(df: DataFrame, params: dict, kept: list) -> DataFrame:
+    """The rows without what neither the function reads nor a keep step behind it lets
+    through: rows of hot groups are written once, from which no later plan can drop columns."""
+    call = read_call(df, params)
+    if any(c != call.into and c not in df.columns for c in kept):
+        return df  # that step will say which
+    read = {call.column, *call.keys, *(o.column for o in call.order), *kept}
+    # A column of the result's name keeps its place, or is refused if only its case differs.
+    left = [c for c in df.columns if c in read or c.lower() == call.into.lower()]
+    return df.select(*cols(left)) if left else df
+
+
 # ------------------------------------------------------------------------ hot groups
 
 

@@ -76,8 +76,9 @@ def _prepare(
         guards.check_steps(out, steps)
         guards.check_prepare_input(out, alias, df.columns)
     trail: list[tuple[dict, list[str], list[str]]] = []
-    for step in steps if upto is None else steps[: max(0, upto)]:
-        after = apply_step(df, step)
+    wanted = steps if upto is None else steps[: max(0, upto)]
+    for step, following in zip(wanted, [*wanted[1:], None]):
+        after = apply_step(df, step, following)
         trail.append((step, df.columns, after.columns))
         df = after
     if upto is None:

@@ -5,6 +5,8 @@ from datetime import date
 
 import pytest
 
+from plumbline.errors import RecipeError
+from plumbline.operators import windows
 from plumbline.operators.skew import HotGroups, hot_groups
 
 from tests.helpers import column, rows, steps
@@ -244,3 +246,29 @@ def test_rows_of_hot_groups_meet_small_sides_unshuffled(spark, small_groups):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_split_groups_carry_only_what_is_read(spark, small_groups, monkeypatch):
+    """Columns that a keep step behind the window drops are not shuffled and written."""
+    seen = []
+    plain = windows.settled
+    monkeypatch.setattr(windows, "settled", lambda df: seen.append(df.columns) or plain(df))
+    df = spark.range(60).selectExpr("id", "repeat('x', 99) as note", "id % 2 as k", "1 as w", "id as v")
+    params = {"fn": "running_sum", "into": "w", "column": "v", "partition_by": ["k"]}
+    params["order_by"] = [{"column": "id"}]
+    kept = {"columns": ["w", "id"], "action": "keep"}
+    call = ("window_function", params)
+    with small_groups(5):
+        split = steps(spark, df, call, ("keep_delete", kept))
+        whole = steps(spark, df, call)
+    assert set(seen[0]) - {"piece", "serial"} <= {"id", "k", "w", "v", "__piece", "__serial"}
+    assert any("note" in c for c in seen[1:])  # without that step all columns stay
+    assert split.columns == ["id", "w"] and whole.columns == df.columns
+    assert rows(split) == rows(whole.select("id", "w"))
+
+
+def test_columns_are_refused_as_before_a_keep_step(spark, tides):
+    for into, kept, message in (("HOUR", "HOUR", "refused"), ("w", "depth", "hour, height, w")):
+        call = ("window_function", {"fn": "count", "into": into})
+        with pytest.raises(RecipeError, match=message):
+            steps(spark, tides, call, ("keep_delete", {"columns": [kept], "action": "keep"}))
