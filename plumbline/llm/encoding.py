@@ -21,6 +21,11 @@ _REMEMBERED = 200_000
 _LONGEST_REMEMBERED = 64
 _ODD_SPACES = re.compile(r" (?:\s|\Z)")
 _CUTS = re.compile(r"(?= \S)")
+# Where commas, full stops and line feeds all lie as in plain prose, texts are cut at them as
+# well: a mark behind a letter or digit, or a line feed between others, starts a new word of
+# the pre-tokenizer. A marked piece follows no space.
+_MARK = "\x01"
+_ODD_MARKS = re.compile(r"[,.](?<![^\W_][,.])")
 
 
 def _symbol_table() -> dict[int, str]:
@@ -54,6 +59,12 @@ class _Pieces(dict):
         self.bare = self if bare is None else bare
 
     def __missing__(self, piece: str) -> bytes:
+        if piece[:1] == _MARK and self is not self.bare:
+            rest = piece[1:]
+            encode = self.bare.encode_word if rest.isalpha() else self.bare.encode
+            if len(piece) > _LONGEST_REMEMBERED:
+                return encode(rest)
+            return self._remember(piece, self.old.get(piece) or encode(rest))
         if len(piece) > _LONGEST_REMEMBERED:
             return self.encode(piece)
         # The pre-tokenizer leaves a word of letters, with the space before it, as it is.
@@ -64,6 +75,9 @@ class _Pieces(dict):
             if made is not None:
                 return made
             found = self.old.get(piece) or self.encode(piece)
+        return self._remember(piece, found)
+
+    def _remember(self, piece: str, found: bytes) -> bytes:
         if len(self) >= _REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -91,6 +105,21 @@ class _Pieces(dict):
         return self[word] + self.bare[piece[len(word) :]]
 
 
+def _is_prose(text: str) -> bool:
+    """No white space but single spaces and line feeds inside, no mark of ours (it cannot be
+    printed), and commas and full stops only behind letters and digits."""
+    return (
+        text[0] not in " \n"
+        and text[-1] not in " \n"
+        and "  " not in text
+        and "\n\n" not in text
+        and " \n" not in text
+        and "\n " not in text
+        and text.replace("\n", "").isprintable()
+        and not _ODD_MARKS.search(text)
+    )
+
+
 class Encoder:
     """Encodes with one tokenizer file; made once per worker by ``encoder``."""
 
@@ -137,7 +166,13 @@ class Encoder:
         """The ids of a text in ``dtype``, one after the other; added tokens are plain text."""
         if not text:
             return b""
-        if _ODD_SPACES.search(text):
+        if _is_prose(text):
+            cut = text.replace("\n", f" {_MARK}\n {_MARK}")
+            cut = cut.replace(",", f" {_MARK},").replace(".", f" {_MARK}.")
+            head, *rest = cut.split(" ")
+        elif _MARK in text:
+            return self._encode(text)
+        elif _ODD_SPACES.search(text):
             head, *rest = _CUTS.split(text)
             if text[0] == " " and not head and rest:
                 head, rest = rest[0], rest[1:]

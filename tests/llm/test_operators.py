@@ -373,3 +373,26 @@ def test_pipeline_stages(spark, tmp_path):
         ids = np.array(encode(text[r["doc_id"]]), "<u4")[r["start"] : r["start"] + r["length"]]
         assert zlib.crc32(ids.tobytes()) == r["ids_crc32"]
     assert tokens == Counter({i: n * len(encode(text[i])) for i, n in per.items()})
+
+
+def test_texts_cut_at_marks_have_the_librarys_ids():
+    """Prose is cut at commas, full stops and line feeds; what looks like our marks is text."""
+    import public_tokenizers
+
+    from plumbline.llm import encoding
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = encoding.encoder(path)
+    calls = []
+    odd = ["a", "Bc", "thé", "日本", "ß", "3", "14", "²", "Ⅷ", "_", " ", " ", ",", ". ", ".",
+           "\n", ".\n", "'s", "?", "\t", "\x01", " \x01", "​", "😀", "...", "्", "क"]
+    draw = random.Random(5)
+    for _ in range(3_000):
+        text = "".join(draw.choice(odd) for _ in range(draw.randint(1, 14)))
+        ids = encode._tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode.library_ids(text) == np.array(ids, dtype=encode.dtype).tobytes(), text
+    counted = encoding.Encoder(path)
+    plain = counted._later._compound
+    counted._later._compound = lambda piece: calls.append(piece) or plain(piece)
+    counted.library_ids("One word, two.\nThree, four. Five, six.")
+    assert not calls  # such pieces were put together each time they were met
