@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -134,20 +135,20 @@ class _Packer:
 
 def _encoded(tokenizer: str, end_id: int):
     """Ids of the texts of batches of ``doc_id``, ``known`` and ``text``, a slice at a time: a
-    worker never holds the texts of a whole batch as objects beside all of their ids."""
+    worker never holds the pieces of a whole batch as objects beside all of their ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(tokenizer)
         closing = np.array([end_id], dtype=ids.dtype).tobytes()
         for batch in batches:
+            found = ids.library_ids_of(batch.column("text"))
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 rows = batch.slice(start, SLICE_ROWS)
-                texts = rows.column("text").to_pylist()
-                encoded = [ids.library_ids(t or "") + closing for t in texts]
+                encoded = [x + closing for x in islice(found, rows.num_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns[:2], pa.array(encoded, pa.binary())], ["doc_id", "known", "ids"]
                 )
-                del texts, encoded
+                del encoded
             give_back()
 
     return encode

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -104,10 +105,12 @@ SCHEMA = (
     "part int, segment int, start_in_part long, n_ids long, width int, ids binary,"
     f" unnamed int, first_id long, {_sequence_schema('bounds')}, {_sequence_schema('names')}"
 )
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_ARROW_SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in map(str.split, SCHEMA.split(","))])
 
 
 def _segments(path: str, end_id: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         width = encode.dtype.itemsize
         closing = np.array([end_id], dtype=encode.dtype).tobytes()
@@ -117,12 +120,12 @@ def _segments(path: str, end_id: int):
         encoded: list[bytes] = []
         held = 0
 
-        def segment() -> pd.DataFrame:
+        def segment() -> pa.RecordBatch:
             sizes = np.array([len(e) // width for e in encoded], dtype=np.int64)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             names = np.array([i for i, k in zip(ids, known) if k], dtype=np.int64)
             first = int(names[0]) if len(names) else 0
-            return pd.DataFrame(
+            return pa.RecordBatch.from_pylist(
                 [
                     {
                         "part": part, "segment": number, "start_in_part": start,
@@ -133,14 +136,16 @@ def _segments(path: str, end_id: int):
                             "names"
                         ),
                     }
-                ]
+                ],
+                _ARROW_SCHEMA,
             )
 
         for batch in batches:
-            for doc_id, is_known, text in zip(batch["doc_id"], batch["known"], batch["text"]):
-                piece = encode.library_ids(text) + closing
-                ids.append(int(doc_id))
-                known.append(bool(is_known))
+            names_of = zip(batch["doc_id"].to_pylist(), batch["known"].to_pylist())
+            for (doc_id, is_known), found in zip(names_of, encode.library_ids_of(batch["text"])):
+                piece = found + closing
+                ids.append(doc_id)
+                known.append(is_known)
                 encoded.append(piece)
                 held += len(piece) // width
                 if held >= SEGMENT_IDS:
@@ -168,7 +173,7 @@ def write_token_files(
     )
     order = ["known", "doc_id", "text"]
     ordered = rows.repartitionByRange("known", "doc_id").sortWithinPartitions(*order)
-    segments = ordered.mapInPandas(_segments(tokenizer, end_id), SCHEMA)
+    segments = ordered.mapInArrow(_segments(tokenizer, end_id), SCHEMA)
     # Small row groups: a reader holds one of them at a time.
     segments.write.option("parquet.block.size", 8 << 20).parquet(folder)
 

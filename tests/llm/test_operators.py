@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,3 +397,48 @@ def test_texts_cut_at_marks_have_the_librarys_ids():
     counted._later._compound = lambda piece: calls.append(piece) or plain(piece)
     counted.library_ids("One word, two.\nThree, four. Five, six.")
     assert not calls  # such pieces were put together each time they were met
+
+
+def test_columns_of_texts_have_the_librarys_ids(monkeypatch):
+    """Columns are cut at bytes, and each different piece of a slice is looked up once."""
+    import public_tokenizers
+
+    from plumbline.llm import encoding
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = encoding.Encoder(path)
+    odd = ["a", "Bc", "thé", "日本", "ß", "3", "²", "Ⅷ", "_", " ", " ", ",", ". ", ".", "\n", "\n", "'s",
+           "'", "?", "\t", "\x01", "\x1c", "\x85", "\xa0", "　", "\r\n", "×", "”", "…", "​", "😀",
+           "ª", "́", "ж", "٣", "्", "क", "<|endoftext|>", "\x00"]
+    draw = random.Random(6)
+    texts = ["".join(draw.choice(odd) for _ in range(draw.randint(0, 14))) for _ in range(3_000)]
+    texts = [None, "", *texts, None]
+    whole = [encode._tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    whole = [np.array(ids, dtype=encode.dtype).tobytes() for ids in whole]
+    for size in (1, 100, encoding.SLICE_BYTES):
+        monkeypatch.setattr(encoding, "SLICE_BYTES", size)
+        for skipped in (0, 7):
+            column = pa.array(texts, pa.string()).slice(skipped)
+            assert list(encode.library_ids_of(column)) == whole[skipped:]
+    assert list(encode.library_ids_of(pa.array([], pa.string()))) == []
+    # Words that occur in many places are looked up once.
+    looked_up, plain = [], encode._look_up
+    monkeypatch.setattr(encode, "_look_up", lambda x: looked_up.extend(x) or plain(x))
+    list(encode.library_ids_of(pa.array(["One word, two words.\nOne word, two."] * 50)))
+    assert sorted(looked_up) == sorted(["One", " word", ",", " two", " words", ".", "\n"])
+
+
+def test_memory_of_pieces_of_columns_is_bounded(monkeypatch):
+    import public_tokenizers
+
+    from plumbline.llm import encoding
+
+    monkeypatch.setattr(encoding, "_REMEMBERED", 10)
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = encoding.Encoder(path)
+    texts = [f"word {chr(97 + i % 26) * (1 + i // 26)} {'x' * 65} word" for i in range(200)]
+    for at in range(0, 200, 20):
+        got = list(encode.library_ids_of(pa.array(texts[at : at + 20])))
+        assert got == [encode.library_ids(t) for t in texts[at : at + 20]]
+        assert len(encode._known) <= 10 and len(encode._old) <= 10
+        assert max(map(len, [*encode._known, *encode._old])) <= 64
