@@ -46,8 +46,9 @@ def _symbol_table() -> dict[int, str]:
 _SYMBOLS = _symbol_table()
 _SYMBOL_OF_BYTE = "".join(_SYMBOLS[b] for b in range(256))
 
-# Bytes of texts that are looked up together, unless one text alone has more.
-SLICE_BYTES = 8 << 20
+# Bytes of texts that are looked up together, unless one text alone has more: the work on a
+# slice takes some 15 times its bytes.
+SLICE_BYTES = 2 << 20
 # What a byte is for the pre-tokenizer, and behind which bytes a text is cut before it: a cut
 # is where both have a bit in common, or a character beyond ASCII is to be looked at. Other
 # control characters and white space are nothing that a text is cut at.
@@ -231,12 +232,20 @@ class Encoder:
 
     def library_ids_of(self, texts: pa.Array) -> Iterator[bytes]:
         """``library_ids`` of each text of a column, in their order; null is the empty text. No
-        more than a slice of ``SLICE_BYTES``, or one longer text, is worked on at a time."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        more than a slice of ``SLICE_BYTES``, or one longer text, is copied and worked on at a
+        time."""
+        if not len(texts):
+            return
+        if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+            texts = texts.cast(pa.large_string())
+        if texts.null_count:  # the bytes below a null are anything
+            texts = pc.fill_null(texts, "")
         if self._hidden:
-            yield from map(self._library, texts.to_pylist())
+            yield from (self._library(text.as_py()) for text in texts)
             return
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+        number = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        bounds = np.frombuffer(texts.buffers()[1], number)[texts.offset :][: len(texts) + 1]
+        bounds = bounds.astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         first = 0
         while first < len(texts):

@@ -148,7 +148,8 @@ def _encoded(tokenizer: str, end_id: int):
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns[:2], pa.array(encoded, pa.binary())], ["doc_id", "known", "ids"]
                 )
-                del encoded
+                del rows, encoded
+            del batch, found
             give_back()
 
     return encode

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -243,3 +244,18 @@ def test_encoding_holds_a_slice_of_a_batch_at_a_time():
     assert whole["doc_id"] == list(range(len(texts)))
     end = np.array([1], dtype=encode.dtype).tobytes()
     assert whole["ids"] == [encode.library_ids(t or "") + end for t in texts]
+
+
+def test_encoding_a_column_takes_memory_by_the_slice():
+    texts = pa.array([f"Some words, {i} of them {i * i}.\nAnd more words." for i in range(200_000)])
+    encode = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    pool, usual = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in encode.library_ids_of(texts)) == len(texts)
+        taken = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(usual)
+    assert taken < 9 * texts.nbytes
